@@ -358,7 +358,7 @@ def _turns(spark: SparkSession, folder: str) -> DataFrame:
 def _contexts(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation has up to four of the documents."""
     uploaded = _table(spark, folder, "documents").select(
-        F.floor(F.col("doc_id") / DOCUMENTS_PER_CONVERSATION).cast("long").alias("conv_id"),
+        F.call_function("div", "doc_id", F.lit(DOCUMENTS_PER_CONVERSATION)).alias("conv_id"),
         F.col("doc_id").alias("position"),
         "text",
     )

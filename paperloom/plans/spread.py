@@ -15,7 +15,7 @@ _SEGMENT = "_segment"
 
 def by_number(position: Column, width: int) -> Column:
     """Segment of a numeric position: 0 for the first ``width`` positions and below."""
-    return F.greatest(F.floor(position / F.lit(width)), F.lit(0)).cast("long")
+    return F.greatest(F.call_function("div", position, F.lit(width)), F.lit(0)).cast("long")
 
 
 def by_hour(moment: Column) -> Column:
@@ -34,24 +34,33 @@ def running_sum(
     """Add ``out``: sum of ``value`` over the key's rows up to and including this one.
 
     ``segment`` must not decrease along ``order`` within a key, and rows with
-    equal ``order`` must not exist within a key.
+    equal ``order`` must not exist within a key. The sum up to a segment enters
+    it as a row of its own, ahead of the others, so the rows take part in one
+    shuffle and no join. Null keys are keys like others.
     """
-    placed = rows.withColumn(_SEGMENT, segment).withColumn("_value", value.cast("long"))
-    before_window = Window.partitionBy(*keys).orderBy(_SEGMENT).rowsBetween(
+    placed = rows.withColumns(
+        {_SEGMENT: segment, "_value": F.coalesce(value.cast("long"), F.lit(0)), "_real": F.lit(1)}
+    )
+    earlier = Window.partitionBy(*keys).orderBy(_SEGMENT).rowsBetween(
         Window.unboundedPreceding, -1
     )
     before = (
         placed.groupBy(*keys, _SEGMENT)
         .agg(F.sum("_value").alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_total").over(before_window), F.lit(0)))
-        .drop("_total")
+        .select(
+            *keys,
+            _SEGMENT,
+            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_value"),
+            F.lit(0).alias("_real"),
+        )
     )
-    inside = Window.partitionBy(*keys, _SEGMENT).orderBy(*order).rowsBetween(
+    inside = Window.partitionBy(*keys, _SEGMENT).orderBy("_real", *order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        placed.join(before, [*keys, _SEGMENT])
-        .withColumn(out, F.col("_before") + F.sum("_value").over(inside))
+        placed.unionByName(before, allowMissingColumns=True)
+        .withColumn(out, F.sum("_value").over(inside))
+        .filter(F.col("_real") == 1)
         .select(*rows.columns, out)
     )
 
@@ -66,31 +75,33 @@ def next_row(
 ) -> DataFrame:
     """Add ``out``: a struct of ``columns`` of the key's following row, null at its end.
 
-    ``segment`` comes from :func:`by_number`: keys that end within segment 0,
-    the usual case, take no part in the look past a segment's end.
+    ``segment`` comes from :func:`by_number`. A segment's first row is put at the
+    end of the segment before it too. Keys that end within segment 0, the usual
+    case, have no such rows.
     """
-    placed = rows.withColumn(_SEGMENT, segment)
-    payload = F.struct(*columns)
+    placed = rows.withColumns({_SEGMENT: segment, "_copy": F.lit(0)})
     inside = Window.partitionBy(*keys, _SEGMENT).orderBy(*order)
-    along = Window.partitionBy(*keys).orderBy(_SEGMENT)
-
-    previous = (
-        placed.groupBy(*keys, _SEGMENT)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_previous", F.lag(_SEGMENT).over(along))
-        .filter(F.col("_previous").isNotNull())
-        .select(*keys, _SEGMENT, "_previous")
-    )
-    heads = (
+    firsts = (
         placed.filter(F.col(_SEGMENT) > 0)
         .withColumn("_rank", F.row_number().over(inside))
         .filter(F.col("_rank") == 1)
-        .join(previous, [*keys, _SEGMENT])
-        .select(*keys, F.col("_previous").alias(_SEGMENT), payload.alias("_head"))
+        .select(*keys, _SEGMENT, *columns, F.lit(1).alias("_copy"))
+    )
+    # Per key and segment: the segment itself, then its first row if it is not
+    # segment 0. Two rows back from a first row lies the segment before.
+    segments = placed.groupBy(*keys, _SEGMENT).agg(F.max("_copy").alias("_copy"))
+    along = Window.partitionBy(*keys).orderBy(_SEGMENT, "_copy")
+    copies = (
+        firsts.unionByName(segments, allowMissingColumns=True)
+        .withColumn("_previous", F.lag(_SEGMENT, 2).over(along))
+        .filter((F.col("_copy") == 1) & F.col("_previous").isNotNull())
+        .withColumn(_SEGMENT, F.col("_previous"))
+        .drop("_previous")
     )
+    following = Window.partitionBy(*keys, _SEGMENT).orderBy("_copy", *order)
     return (
-        placed.withColumn("_next", F.lead(payload).over(inside))
-        .join(heads, [*keys, _SEGMENT], "left")
-        .withColumn(out, F.coalesce("_next", "_head"))
+        placed.unionByName(copies, allowMissingColumns=True)
+        .withColumn(out, F.lead(F.struct(*columns)).over(following))
+        .filter(F.col("_copy") == 0)
         .select(*rows.columns, out)
     )
