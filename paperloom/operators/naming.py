@@ -56,6 +56,7 @@ def archive_names(files: DataFrame, taken: DataFrame) -> DataFrame:
         .unionByName(_as_counted(taken))
         .unionByName(_as_counted(files))
         .join(files.select("file_name").distinct(), "file_name", "left_semi")
+        .repartition("file_name", "_counter")
         .distinct()
     )
     passed = spread.running_sum(

@@ -3,6 +3,11 @@
 A window partitioned by the key alone puts all rows of a key into one task. Here
 a key's rows are cut into segments along the order column. Windows run per
 (key, segment); only one short summary row per segment is ordered per key.
+
+Unions are repartitioned in so many words. Spark may otherwise keep a
+partitioning by the key alone that both sides happen to have, which would put a
+hot key back into one task, and which does not survive when the sides are read
+back with different partition counts.
 """
 
 from __future__ import annotations
@@ -59,6 +64,7 @@ def running_sum(
     )
     return (
         placed.unionByName(before, allowMissingColumns=True)
+        .repartition(*keys, _SEGMENT)
         .withColumn(out, F.sum("_value").over(inside))
         .filter(F.col("_real") == 1)
         .select(*rows.columns, out)
@@ -93,6 +99,7 @@ def next_row(
     along = Window.partitionBy(*keys).orderBy(_SEGMENT, "_copy")
     copies = (
         firsts.unionByName(segments, allowMissingColumns=True)
+        .repartition(*keys)
         .withColumn("_previous", F.lag(_SEGMENT, 2).over(along))
         .filter((F.col("_copy") == 1) & F.col("_previous").isNotNull())
         .withColumn(_SEGMENT, F.col("_previous"))
@@ -101,6 +108,7 @@ def next_row(
     following = Window.partitionBy(*keys, _SEGMENT).orderBy("_copy", *order)
     return (
         placed.unionByName(copies, allowMissingColumns=True)
+        .repartition(*keys, _SEGMENT)
         .withColumn(out, F.lead(F.struct(*columns)).over(following))
         .filter(F.col("_copy") == 0)
         .select(*rows.columns, out)

@@ -11,6 +11,11 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A union must not pass on a partitioning its sides share: adaptive execution
+    # may read the sides back with different partition counts, and rows of one key
+    # would no longer meet. Operators here repartition unions before grouping them;
+    # this covers what users add.
+    "spark.sql.unionOutputPartitioning": "false",
     # Long texts: bound an Arrow batch by its bytes as well as by its rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",

@@ -21,6 +21,8 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            # The default, which jobs must bear in sessions they did not build.
+            "spark.sql.unionOutputPartitioning": "true",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
     )

@@ -70,3 +70,20 @@ def test_negative_positions_share_the_first_segment(spark):
     frame = spark.createDataFrame([(-5,), (-1,), (0,), (9,), (10,)], "p long")
     found = [r[0] for r in frame.orderBy("p").select(spread.by_number(F.col("p"), 10)).collect()]
     assert found == [0, 0, 0, 0, 1]
+
+
+def test_input_partitioned_by_key_is_spread_again(spark, plan):
+    """Both sides of the union then share a partitioning, which must not be kept."""
+    frame = spark.createDataFrame([("hot", i) for i in range(40)], "key string, position long")
+    wanted = spark.createDataFrame([("hot",)], "key string")
+    by_key = frame.join(wanted.distinct(), "key", "left_semi").distinct()
+    summed = spread.running_sum(
+        by_key, ["key"], spread.by_number(F.col("position"), 5), ["position"], F.lit(1), "total"
+    )
+    assert "REPARTITION_BY_COL" in plan(summed)
+    assert sorted((r.position, r.total) for r in summed.collect()) == [(i, i + 1) for i in range(40)]
+    followed = spread.next_row(
+        by_key, ["key"], spread.by_number(F.col("position"), 5), ["position"], ["position"], "next"
+    )
+    found = {r.position: r.next and r.next.position for r in followed.collect()}
+    assert found == {i: i + 1 if i < 39 else None for i in range(40)}

@@ -1,0 +1,64 @@
+from pyspark.sql import functions as F
+
+from paperloom import schemas
+from paperloom.operators import documents, feedback
+from paperloom.sources import tables
+
+
+def test_contracts_are_created_once(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS contracts")
+    for _ in range(2):
+        schemas.create_tables(spark, "contracts")
+    for name, schema in schemas.CONTRACTS.items():
+        columns = [(f.name, f.dataType) for f in spark.table(f"contracts.{name}").schema]
+        expected = [(f.name, f.dataType) for f in schema]
+        assert [column for column in columns if column[0] != "batch_id"] == expected
+
+
+def test_feedback(spark):
+    spark.sql("DROP TABLE IF EXISTS user_feedback")
+    schemas.create_tables(spark)
+    given = [("t", 0, "c"), ("t", 1, ""), ("t", 5, None), ("t", 6, "c"), ("t", None, "it's")]
+    frame = spark.createDataFrame(given, "text string, rating int, comments string")
+    accepted = feedback.accepted_feedback(frame, "2024-05-01 12:00:00")
+    assert sorted((row.rating, row.comments) for row in accepted.collect()) == [(1, ""), (3, "it's"), (5, "")]
+    rejected = feedback.rejected_feedback(frame, "2024-05-01 12:00:00")
+    assert sorted(row.rating for row in rejected.collect()) == [0, 6]
+    tables.append_feedback(accepted)
+    quote = "x'); DROP TABLE user_feedback; --"
+    tables.submit_feedback(spark, quote, 4, "", "2024-05-02T08:00:00.5")
+    tables.submit_feedback(spark, "none", None, "", "2024-05-02T08:00:00")
+    stored = spark.table("user_feedback")
+    assert stored.schema == schemas.FEEDBACK
+    assert sorted(row.rating for row in stored.collect()) == [1, 3, 3, 4, 5]
+    assert stored.filter(F.col("text") == quote).count() == 1
+
+
+def test_latest_and_keys(spark, plan):
+    rows = [("a", 1, 10), ("a", 3, 11), ("a", 3, 12), ("b", 2, 13), ("a", 2, 99)]
+    frame = spark.createDataFrame(rows, "document_uuid string, created_at int, id long")
+    newest = documents.latest_ids(frame)
+    assert sorted((r.document_uuid, r.id) for r in newest.collect()) == [("a", 12), ("b", 13)]
+    assert "partial_max" in plan(newest)
+    one = documents.latest_one(frame, "a")
+    assert [row.id for row in one.collect()] == [12]
+    assert "TakeOrderedAndProject" in plan(one)
+    assert documents.latest_one(frame, "none").isEmpty()
+    chunks = spark.createDataFrame(
+        [("a", 0), ("b", 1), ("zz", 2)], "document_uuid string, chunk_index int"
+    )
+    attached = documents.attach_document_ids(chunks, frame)
+    assert sorted((r.chunk_index, r.document_id) for r in attached.collect()) == [(0, 12), (1, 13)]
+    twice = documents.duplicate_keys(frame, "document_uuid", "created_at").collect()
+    assert [tuple(row) for row in twice] == [("a", 3, 2)]
+
+
+def test_filters_reach_the_scan(spark, plan, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).select(
+        F.col("id").cast("string").alias("document_uuid"), F.col("id").alias("created_at"), "id", F.lit("x").alias("text")
+    ).write.parquet(path)
+    stored = spark.read.parquet(path)
+    text = plan(documents.latest_one(stored, "5").select("id"))
+    assert "EqualTo(document_uuid,5)" in text
+    assert "text" not in text.split("ReadSchema")[1].split("\n")[0]
