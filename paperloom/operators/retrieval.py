@@ -21,6 +21,7 @@ QUESTION_BYTES = 64 * 1024 * 1024
 CHUNKS_PER_CELL = 100_000
 # Rows multiplied at a time, which bounds the score matrix.
 _SCORES_PER_BLOCK = 8_000_000
+_SCORE_DIGITS = 12
 
 
 
@@ -312,7 +313,9 @@ class _Search:
         """
         lengths = np.sqrt(np.outer((vectors * vectors).sum(axis=1), squares))
         with np.errstate(divide="ignore", invalid="ignore"):
-            scores = (vectors @ matrix.T) / lengths
+            # The last bits depend on how a product is blocked; equal vectors must
+            # come out equal wherever they lie.
+            scores = np.round((vectors @ matrix.T) / lengths, _SCORE_DIGITS)
         valid = (lengths > 0) & (scores > self.min_score) & (scores >= floor)
         scores = np.where(valid, scores, -np.inf)
         if len(rows) > self.k:

@@ -1,0 +1,185 @@
+import sys
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from paperloom import fixed_values as fixed
+from paperloom.functions import prompt_texts
+from paperloom.operators import generation, prompting, tasks
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+REGISTRY = "name string, version int, template string"
+
+
+def registry(spark, *rows):
+    return spark.createDataFrame(list(rows), REGISTRY)
+
+
+def test_every_template_has_its_slots():
+    assert list(prompt_texts.DEFAULT_TEMPLATES) == fixed.PROMPT_NAMES
+    for name, template in prompt_texts.DEFAULT_TEMPLATES.items():
+        slots = ["chat_history", "input"] if name.endswith("agent_prompt") else ["text"]
+        slots += ["target_language"] if name == "translate_text" else []
+        assert all("{" + slot + "}" in template for slot in slots)
+    assert all(slot in prompt_texts.RAG_PROMPT for slot in ("{context}", "{question}"))
+
+
+def test_values_are_never_read_as_slots(spark):
+    frame = spark.createDataFrame(
+        [("{b} and {a}", "{a}", "<{a}|{b}|{c}{a}>"), ("x", None, "{a}{b}"), ("x", "y", "no slots"), ("x", "y", "")],
+        "a string, b string, t string",
+    )
+    slots = {"a": F.col("a"), "b": F.col("b")}
+    found = [r[0] for r in frame.select(prompting.render(F.col("t"), slots)).collect()]
+    assert found == ["<{b} and {a}|{a}|{c}{b} and {a}>", "x", "no slots", ""]
+    constant = frame.select(prompting.render_fixed("<{a}|{b}|{c}{a}>", slots)).first()[0]
+    assert constant == found[0]
+
+
+def test_registered_prompt_or_default(spark, plan):
+    known = registry(
+        spark, ("summarize_text", 2, "two {text}"), ("summarize_text", 10, "ten {text}"), ("strange", 1, "never")
+    )
+    asked = spark.createDataFrame(
+        [("summarize_text", "a", None), ("translate_text", "b", None), ("translate_text", "b", "Greek"), ("strange", "c", None)],
+        "task string, text string, target_language string",
+    )
+    prompted = prompting.task_prompts(asked, known)
+    rows = [(r.task, r.target_language, r.prompt) for r in prompted.collect()]
+    default = prompt_texts.DEFAULT_TEMPLATES["translate_text"].replace("{text}", "b")
+    assert sorted(rows, key=str) == sorted(
+        [
+            ("summarize_text", None, "ten a"),
+            ("translate_text", None, default.replace("{target_language}", prompt_texts.UNNAMED_LANGUAGE)),
+            ("translate_text", "Greek", default.replace("{target_language}", "Greek")),
+            ("strange", None, None),
+        ],
+        key=str,
+    )
+    assert "BroadcastHashJoin" in plan(prompted)
+
+
+def test_agent_messages(spark):
+    history = spark.createDataFrame(
+        [(1, 4, "ask", [("human", "h"), ("ai", "a")]), (2, 0, "first", [])],
+        "conv_id long, turn long, text string, history array<struct<role:string,text:string>>",
+    )
+    contexts = spark.createDataFrame([(1, "Document 1:\nD")], "conv_id long, numbered string")
+    rows = prompting.agent_messages(history, contexts, template="{chat_history}|{input}").collect()
+    found = {row.conv_id: [tuple(m) for m in row.messages] for row in rows}
+    documents = "Answer questions based on these Context documents:\nDocument 1:\nD\n"
+    assert found[1] == [
+        ("system", f"human: {documents}\nai: Context Documents Acknowledged.\nhuman: h\nai: a|ask"),
+        ("human", documents),
+        ("ai", "Context Documents Acknowledged."),
+        ("human", "h"),
+        ("ai", "a"),
+        ("human", "ask"),
+    ]
+    assert found[2] == [("system", "|first"), ("human", "first")]
+
+
+def flaky_model():
+    def model(prompts):
+        if any("bad" in prompt for prompt in prompts):
+            raise RuntimeError("model refused")
+        return [None if prompt == "silent" else f"<think>x</think> {prompt.upper()} " for prompt in prompts]
+
+    return model
+
+
+@pytest.mark.parametrize("task,prefix", fixed.ERROR_PREFIXES.items())
+def test_one_failing_prompt_does_not_stop_the_others(spark, task, prefix):
+    frame = spark.createDataFrame(
+        [(1, "one"), (2, "bad two"), (3, None), (4, "silent"), (5, "five")], "id long, prompt string"
+    ).coalesce(1)
+    rows = generation.generate(frame, flaky_model, task).collect()
+    found = {row.id: (row.response, row.status, row.error) for row in rows}
+    assert found == {
+        1: ("ONE", "ok", None),
+        2: (prefix + "model refused", "error", "model refused"),
+        3: ("No response generated", "ok", None),
+        4: ("No response generated", "ok", None),
+        5: ("FIVE", "ok", None),
+    }
+
+
+def test_only_chosen_rows_are_generated(spark):
+    frame = spark.createDataFrame([(1, "bad"), (2, "ok")], "id long, prompt string")
+    rows = generation.generate(frame, flaky_model, where=F.col("id") == 2).collect()
+    assert {r.id: (r.response, r.status) for r in rows} == {1: (None, None), 2: ("OK", "ok")}
+
+
+def test_model_with_wrong_number_of_outputs(spark):
+    frame = spark.createDataFrame([(1, "a")], "id long, prompt string")
+    row = generation.generate(frame, lambda: lambda prompts: []).first()
+    assert row.status == "error" and "number of outputs" in row.error
+
+
+def test_best_sentence():
+    prompt = prompt_texts.RAG_PROMPT.format(
+        context="Cats sleep. Question: dogs bark!\n\nDogs bark loudly.", question="Why do dogs bark loudly?"
+    )
+    assert generation.best_sentence(prompt) == "Dogs bark loudly."
+    assert generation.best_sentence(prompt_texts.RAG_PROMPT.format(context="", question="x")) is None
+
+
+@pytest.mark.parametrize(
+    "text,supplied,steps",
+    [
+        ("Hello there", False, ["answer"]),
+        ("Find papers on soil", False, ["retrieve"]),
+        ("Find papers on soil", True, ["answer"]),
+        ("SUMMARISE and translate this", False, ["summarize", "translate"]),
+        ("search, summarize, translate", False, ["retrieve", "summarize", "translate"]),
+        ("search, summarize, translate", True, ["summarize", "translate"]),
+        ("findings", False, ["answer"]),
+    ],
+)
+def test_routing(spark, text, supplied, steps):
+    frame = spark.createDataFrame([(1, text, supplied)], "query_id long, text string, supplied boolean")
+    rows = tasks.route_requests(frame, has_documents=F.col("supplied")).orderBy("step_no").collect()
+    assert [(row.step_no, row.step) for row in rows] == list(enumerate(steps, 1))
+
+
+def test_summary():
+    filler = [f"Odd{i} thing{i}." for i in range(9)]
+    text = " ".join(["Cats like fish.", *filler[:4], "Cats like milk.", *filler[4:], "Cats like cats!"])
+    summary = tasks.summarize(text)
+    assert summary == "Cats like fish. Odd0 thing0. Odd1 thing1. Cats like milk. Cats like cats!"
+    assert tasks.summarize("") == "" and tasks.summarize(None) is None
+    assert tasks.summarize("no end") == "no end"
+    many = " ".join(f"s{i}." for i in range(41))
+    assert len(tasks.summarize(many).split()) == 8
+
+
+def test_call_agents_runs_steps_in_turn(spark):
+    requests = spark.createDataFrame(
+        [
+            (1, "Find soil texts", None, False),
+            (2, "Summarize: soil is brown", None, False),
+            (3, "Translate: soil", "German", False),
+            (4, "Find soil, summarise, translate", "Greek", False),
+            (5, "bad plain request", None, False),
+            (6, "Find soil in mine", None, True),
+            (7, "Find nothingness", None, False),
+            (8, "Summarize and translate bad things", "Greek", False),
+        ],
+        "query_id long, query string, target_language string, own boolean",
+    )
+    chunks = spark.createDataFrame([(5, 0, "soil facts"), (6, 1, "sea")], "document_id long, chunk_index int, chunk_text string")
+    templates = registry(spark, ("summarize_text", 1, "S({text})"), ("translate_text", 1, "T[{target_language}]({text})"))
+    answered = tasks.call_agents(requests, chunks, flaky_model, templates, has_documents=F.col("own"))
+    found = {row.query_id: (row.response, row.status) for row in answered.collect()}
+    assert found == {
+        1: ("[5#0] soil facts", "ok"),
+        2: ("S(SUMMARIZE: SOIL IS BROWN)", "ok"),
+        3: ("T[GERMAN](TRANSLATE: SOIL)", "ok"),
+        4: ("T[GREEK](S([5#0] SOIL FACTS))", "ok"),
+        5: ("An error occurred while processing your request: model refused", "error"),
+        6: ("FIND SOIL IN MINE", "ok"),
+        7: (prompt_texts.NO_EXCERPTS, "ok"),
+        8: ("Error generating summary: model refused", "error"),
+    }
