@@ -39,8 +39,8 @@ def top_k_chunks(
     ``questions``: ``query_id, embedding``. ``chunks``: ``document_id,
     chunk_index`` and either ``embedding`` or, with an ``embedder``,
     ``chunk_text`` to embed on the way. Returns ``query_id, rank, document_id,
-    chunk_index, score`` and the ``carry`` columns. Equal scores go by document
-    and index. Only scores above ``min_score`` count; vectors of length zero
+    chunk_index, score`` and the ``carry`` columns. Scores have 12 digits; equal
+    ones go by document and index. Only scores above ``min_score`` count; vectors of length zero
     match nothing.
 
     The questions' matrix is measured. Up to ``question_bytes`` it is sent to

@@ -95,7 +95,7 @@ scored AS (
 ranked AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (
-      PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS rank
+      PARTITION BY query_id ORDER BY round(score, 12) DESC, document_id, chunk_index) AS rank
     FROM scored)
   WHERE rank <= 3
 )"""
@@ -487,7 +487,7 @@ scored AS (
 SELECT query_id, rank, document_id, chunk_index::BIGINT AS chunk_index, round(score, 4) AS score
 FROM (
   SELECT *, row_number() OVER (
-    PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS rank
+    PARTITION BY query_id ORDER BY round(score, 12) DESC, document_id, chunk_index) AS rank
   FROM scored)
 WHERE rank <= 3""",
     "rag_topk": f"""

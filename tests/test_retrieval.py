@@ -38,7 +38,7 @@ def brute_force(questions, chunks, k, min_score=-math.inf):
         scored = []
         for c, chunk in enumerate(chunks):
             length = math.sqrt((question @ question) * (chunk @ chunk))
-            if length and (score := (question @ chunk) / length) > min_score:
+            if length and (score := round((question @ chunk) / length, 12)) > min_score:
                 scored.append((-score, c // 3, c % 3))
         for rank, (score, document, index) in enumerate(sorted(scored)[:k], 1):
             expected[q, rank] = (document, index, pytest.approx(-score))
