@@ -6,7 +6,7 @@ import traceback
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,6 +191,22 @@ def recursive_chunks(
     return documents.select(*keys, text).mapInPandas(chunk_batches, schema)
 
 
+def register_chunker(
+    spark: SparkSession, name: str = "recursive_chunks", splitter: Callable[[str], list[str]] | None = None
+) -> None:
+    """Make the chunker a table function for SQL:
+    ``SELECT ... FROM documents, LATERAL recursive_chunks(text)``."""
+    cut = splitter or RecursiveSplitter()
+
+    @F.udtf(returnType="chunk_index int, chunk_text string")
+    class ChunkText:
+        def eval(self, text: str):
+            if text is not None:
+                yield from enumerate(cut(text))
+
+    spark.udtf.register(name, ChunkText)
+
+
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=schema.names)
     frame["chunk_index"] = frame["chunk_index"].astype("Int32")

@@ -17,6 +17,26 @@ Embedder = Callable[[list[str]], np.ndarray]
 EMBEDDING_DIMENSION = 256
 
 
+class _Buckets(dict):
+    """Bucket per word, worked out when a word is first met."""
+
+    _remembered = 200_000
+
+    def __init__(self, dimension: int) -> None:
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode("utf-8")).hexdigest()
+        bucket = int(digest[:8], 16) % self.dimension
+        if len(self) < self._remembered:
+            self[word] = bucket
+        return bucket
+
+    def __reduce__(self):
+        return _Buckets, (self.dimension,)
+
+
 class HashedEmbedder:
     """Bag of words: word counts in buckets chosen by md5.
 
@@ -25,28 +45,21 @@ class HashedEmbedder:
     cosine metric takes care of their length.
     """
 
-    _remembered = 200_000
-
     def __init__(self, dimension: int = EMBEDDING_DIMENSION) -> None:
         self.dimension = dimension
-        self._buckets: dict[str, int] = {}
+        self._buckets = _Buckets(dimension)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        vectors = np.zeros((len(texts), self.dimension), dtype=np.float32)
-        for row, text in enumerate(texts):
-            buckets = [self._bucket(word) for word in words_of(text or "")]
-            if buckets:
-                vectors[row] = np.bincount(buckets, minlength=self.dimension)
-        return vectors
-
-    def _bucket(self, word: str) -> int:
-        bucket = self._buckets.get(word)
-        if bucket is None:
-            digest = hashlib.md5(word.encode("utf-8")).hexdigest()
-            bucket = int(digest[:8], 16) % self.dimension
-            if len(self._buckets) < self._remembered:
-                self._buckets[word] = bucket
-        return bucket
+        words = [words_of(text or "") for text in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+        bucket_of = self._buckets.__getitem__
+        buckets = np.fromiter(
+            (bucket for own in words for bucket in map(bucket_of, own)), np.int64, len(rows)
+        )
+        counts = np.bincount(
+            rows * self.dimension + buckets, minlength=len(texts) * self.dimension
+        )
+        return counts.reshape(len(texts), self.dimension).astype(np.float32)
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -104,12 +117,10 @@ def vector_entries(embedded: DataFrame, keys: list[str]) -> DataFrame:
         F.lit(0.0),
         lambda total, value: total + value.cast("double") * value.cast("double"),
     )
+    # The norm is worked out per vector, below the step that spreads its entries.
     return (
-        embedded.select(
-            *keys,
-            F.sqrt(squares).alias("_norm"),
-            F.posexplode("embedding").alias("bucket", "_value"),
-        )
+        embedded.select(*keys, F.sqrt(squares).alias("_norm"), "embedding")
+        .select(*keys, "_norm", F.posexplode("embedding").alias("bucket", "_value"))
         .filter(F.col("_value") != 0)
         .select(
             *keys,

@@ -117,14 +117,19 @@ def assign_cells(chunks: DataFrame, planes: np.ndarray) -> DataFrame:
 def nearest_cells(vectors: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
     """Per vector, the cells with the least crossing cost: the squared distances to
     the planes that lie between the vector and the cell."""
-    sides = vectors @ planes.T
     bits = planes.shape[0]
-    all_cells = np.arange(1 << bits)
-    signs = (all_cells[:, None] >> np.arange(bits)) & 1
-    chosen = np.empty((len(vectors), min(probes, len(all_cells))), dtype=np.int64)
-    for row, side in enumerate(sides):
-        cost = ((signs != (side > 0)) * side**2).sum(axis=1)
-        chosen[row] = np.argsort(cost, kind="stable")[: chosen.shape[1]]
+    signs = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    probes = min(probes, len(signs))
+    chosen = np.empty((len(vectors), probes), dtype=np.int64)
+    rows_at_once = max(_SCORES_PER_BLOCK // len(signs), 1)
+    for start in range(0, len(vectors), rows_at_once):
+        sides = vectors[start : start + rows_at_once] @ planes.T
+        own = (sides > 0).astype(float)
+        # A plane costs where the cell's sign differs: sign + own - 2 * sign * own.
+        squares = sides**2
+        cost = (squares * (1 - 2 * own)) @ signs.T + (squares * own).sum(axis=1, keepdims=True)
+        nearest = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+        chosen[start : start + rows_at_once] = nearest
     return chosen
 
 

@@ -88,7 +88,8 @@ def document_uuid(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_meta(spark: SparkSession, folder: str) -> DataFrame:
     now = texts.as_timestamp(BATCH_TIME)
-    return _uploads(spark, folder).select(
+    uploads = fill_cores(_uploads(spark, folder).select("doc_id", "path", "text"))
+    return uploads.select(
         "doc_id",
         texts.file_name(F.col("path")).alias("file_name"),
         texts.word_count(F.col("text")).cast("long").alias("word_count"),

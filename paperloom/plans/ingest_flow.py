@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom import fixed_values as fixed
 from paperloom import schemas
+from paperloom.functions.text import as_timestamp
 from paperloom.operators import chunking, ingest, naming
 from paperloom.operators.documents import unchunked_documents
 from paperloom.sources import tables
@@ -19,6 +22,8 @@ DISPOSITION_TABLE = "file_disposition"
 BATCH_TABLE = "finished_batch"
 
 DECODED = ingest.DECODED_SCHEMA
+COUNTED = ("files", "documents", "chunks", "errors")
+FINISHED = "files long, documents long, chunks long, errors long, seconds double, created_at timestamp"
 DISPOSITION = "src_path string, file_name string, outcome string, target_folder string, archived_path string"
 
 
@@ -38,19 +43,31 @@ def ingest_batch(
     read: a lost executor repeats its own part of one step, and the outcome of a
     file is the same for its document and its error row. A batch is listed as
     finished last, after all its tables are written; readers join on that list.
-    Running the batch again replaces its rows.
+    Running the batch again replaces its rows. The finished list also holds the
+    batch's report: files, documents, chunks, errors and seconds, counted while
+    the tables are written.
     """
     spark = files.sparkSession
+    started = time.monotonic()
+    seen = {name: Observation(f"{name}-{batch_id}-{uuid.uuid4()}") for name in COUNTED}
+
+    def counted(name: str, rows: DataFrame) -> DataFrame:
+        return rows.observe(seen[name], F.count(F.lit(1)).alias("rows"))
 
     def stored(name: str, schema) -> DataFrame:
         return tables.read_batch(spark, store, name, schema, batch_id).drop("batch_id")
 
     decoded_schema = spark.createDataFrame([], DECODED).schema
-    tables.write_batch(ingest.decode_files(files, decoder), store, DECODED_TABLE, batch_id)
+    tables.write_batch(
+        counted("files", ingest.decode_files(files, decoder)), store, DECODED_TABLE, batch_id
+    )
     decoded = stored(DECODED_TABLE, decoded_schema)
 
     tables.write_batch(
-        ingest.document_rows(decoded, created_at), store, fixed.DOCUMENT_TABLE, batch_id
+        counted("documents", ingest.document_rows(decoded, created_at)),
+        store,
+        fixed.DOCUMENT_TABLE,
+        batch_id,
     )
     documents = stored(fixed.DOCUMENT_TABLE, schemas.DOCUMENT)
 
@@ -60,7 +77,9 @@ def ingest_batch(
 
     good = chunks_of(documents).filter(F.col("error").isNull())
     tables.write_batch(
-        chunking.chunk_rows(good, created_at, "document_id", F.col("file_path")),
+        counted(
+            "chunks", chunking.chunk_rows(good, created_at, "document_id", F.col("file_path"))
+        ),
         store,
         fixed.CHUNK_TABLE,
         batch_id,
@@ -72,18 +91,18 @@ def ingest_batch(
     errors = ingest.error_rows(decoded, created_at).unionByName(
         ingest.chunk_error_rows(unchunked, documents, created_at)
     )
-    tables.write_batch(errors, store, fixed.ERROR_TABLE, batch_id)
+    tables.write_batch(counted("errors", errors), store, fixed.ERROR_TABLE, batch_id)
     tables.write_batch(
         disposed_files(spark, store, decoded, batch_id, processed_folder, error_folder),
         store,
         DISPOSITION_TABLE,
         batch_id,
     )
-    finished = spark.range(1).select(
-        F.lit(created_at if isinstance(created_at, str) else created_at.isoformat(sep=" "))
-        .cast("timestamp")
-        .alias("created_at")
-    )
+    report = {name: seen[name].get["rows"] for name in COUNTED}
+    finished = spark.createDataFrame(
+        [(*report.values(), round(time.monotonic() - started, 3))],
+        f"{', '.join(f'{name} long' for name in COUNTED)}, seconds double",
+    ).withColumn("created_at", as_timestamp(created_at))
     tables.write_batch(finished, store, BATCH_TABLE, batch_id)
 
 
@@ -115,6 +134,6 @@ def disposed_files(
 def finished_rows(spark: SparkSession, store: str, name: str, schema) -> DataFrame:
     """Rows of a table whose batch is finished, so that no half-written batch is seen."""
     batches = tables.read_table(
-        spark, store, BATCH_TABLE, spark.createDataFrame([], "created_at timestamp").schema
+        spark, store, BATCH_TABLE, spark.createDataFrame([], FINISHED).schema
     ).select("batch_id")
     return tables.read_table(spark, store, name, schema).join(batches, "batch_id", "left_semi")

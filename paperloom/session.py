@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 RECOMMENDED = {
@@ -36,12 +34,3 @@ def build_session(
     for key, value in {**RECOMMENDED, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a session that names none (tests) gets a folder of this machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
-    return folder or tempfile.mkdtemp(prefix="paperloom-")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +18,12 @@ def table_path(store: str, name: str) -> str:
 def read_table(spark: SparkSession, store: str, name: str, schema: T.StructType) -> DataFrame:
     """A table's rows with their ``batch_id``; empty when nothing was written yet."""
     stored = schemas.with_batch(schema)
-    if not _exists(spark, table_path(store, name)):
+    try:
+        return spark.read.schema(stored).parquet(table_path(store, name))
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], stored)
-    return spark.read.schema(stored).parquet(table_path(store, name))
 
 
 def read_batch(
@@ -70,9 +74,3 @@ def submit_feedback(
         },
     )
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder of the session's file system exists."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

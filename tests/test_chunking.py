@@ -151,3 +151,13 @@ def test_report_moves_no_text(spark, plan, tmp_path):
     report = chunking.chunk_report(frame)
     assert sorted(tuple(row) for row in report.collect()) == [(1, 2, 5, 1), (2, 1, 1, 0)]
     assert "partial_count" in plan(report)
+
+
+def test_chunker_in_sql(spark):
+    body = "one. two. " * 200
+    spark.createDataFrame([(1, body), (2, None)], "id long, text string").createOrReplaceTempView("texts")
+    chunking.register_chunker(spark)
+    rows = spark.sql(
+        "SELECT id, chunk_index, chunk_text FROM texts, LATERAL recursive_chunks(text) ORDER BY chunk_index"
+    ).collect()
+    assert [(row.id, row.chunk_text) for row in rows] == [(1, c) for c in RecursiveSplitter()(body)]

@@ -117,6 +117,10 @@ def test_batch_and_its_replay(spark, landing, tmp_path):
     assert documents.duplicate_keys(chunks, "id").isEmpty()
     ingest_batch(files, str(store), 0, NOW)
     assert snapshot(spark, store) == first
+    finished = spark.createDataFrame([], ingest_flow.FINISHED).schema
+    report = table(spark, store, ingest_flow.BATCH_TABLE, finished).collect()
+    assert [(r.files, r.documents, r.chunks, r.errors) for r in report] == [(5, 4, len(first[1]), 1)]
+    assert report[0].seconds > 0
 
 
 def test_replay_that_goes_better_leaves_no_error_behind(spark, landing, tmp_path):

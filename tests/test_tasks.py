@@ -183,3 +183,24 @@ def test_call_agents_runs_steps_in_turn(spark):
         7: (prompt_texts.NO_EXCERPTS, "ok"),
         8: ("Error generating summary: model refused", "error"),
     }
+
+
+def test_answer_questions_keeps_every_row(spark):
+    from paperloom.operators.embedding import embed
+    from paperloom.plans.answer_flow import answer_questions
+
+    chunks = spark.createDataFrame(
+        [(1, 0, "Water boils at 100 degrees. Ice melts at zero."), (2, 0, "Sugar is sweet.")],
+        "document_id long, chunk_index int, chunk_text string",
+    )
+    asked = [("When does ice melt?", 1), ("Is sugar sweet?", 2), ("When does ice melt?", 3), (None, 4), ("Zzz?", 5)]
+    questions = spark.createDataFrame(asked, "question string, n int")
+    for source in (chunks, embed(chunks, "chunk_text")):
+        rows = answer_questions(questions, source, min_score=0.0).collect()
+        assert {row.n: (row.question, row.response, row.status) for row in rows} == {
+            1: (asked[0][0], "Ice melts at zero.", "ok"),
+            2: (asked[1][0], "Sugar is sweet.", "ok"),
+            3: (asked[0][0], "Ice melts at zero.", "ok"),
+            4: (None, "No response generated", "ok"),
+            5: ("Zzz?", "No response generated", "ok"),
+        }
