@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,8 @@ from paperloom.operators.embedding import Embedder, as_matrix
 QUESTION_BYTES = 64 * 1024 * 1024
 # Chunks in one cell of the grid used beyond that.
 CHUNKS_PER_CELL = 100_000
+# Chunks that cell centres are learned from.
+TRAINING_ROWS = 100_000
 # Rows multiplied at a time, which bounds the score matrix.
 _SCORES_PER_BLOCK = 8_000_000
 _SCORE_DIGITS = 12
@@ -60,7 +64,7 @@ def top_k_chunks(
 def approximate_top_k(
     questions: DataFrame,
     cells: DataFrame,
-    planes: np.ndarray,
+    centres: np.ndarray,
     probes: int,
     k: int = fixed.TOP_K,
     min_score: float | None = None,
@@ -73,7 +77,7 @@ def approximate_top_k(
     Stored by cell, cells no question probes are not read. A cell is never
     gathered: the rows of a large one stay spread over the tasks that read them.
     """
-    per_part = max(question_bytes // (8 * planes.shape[1]), 1)
+    per_part = max(question_bytes // (8 * centres.shape[1]), 1)
     count, _ = _measure(questions)
     if count > per_part:
         # Half-full parts on average, so that each one is safely within the bound.
@@ -81,55 +85,68 @@ def approximate_top_k(
         found = [
             approximate_top_k(
                 questions.filter(_hash_part(["query_id"], parts) == part),
-                cells, planes, probes, k, min_score, carry, 2 * question_bytes,
+                cells, centres, probes, k, min_score, carry, 2 * question_bytes,
             )
             for part in range(parts)
         ]
         return functools.reduce(DataFrame.unionByName, found)
     ranker = _Ranker(questions, cells, k, min_score, None, carry)
     ids, matrix = _collect_questions(questions)
-    probed = nearest_cells(matrix, planes, probes)
+    probed = nearest_cells(matrix, centres, probes)
     wanted = [int(cell) for cell in np.unique(probed)]
     reachable = cells.filter(F.col("cell").isin(wanted))
     return ranker.ranked(ranker.broadcast_candidates((ids, matrix), probed, reachable))
 
 
-def hyperplanes(bits: int, width: int, seed: int = 7) -> np.ndarray:
-    """Random directions that split the space into ``2 ** bits`` cells."""
-    return np.random.default_rng(seed).standard_normal((bits, width))
+def train_cells(
+    chunks: DataFrame,
+    cells: int,
+    training_rows: int = TRAINING_ROWS,
+    iterations: int = 10,
+    seed: int = 7,
+) -> np.ndarray:
+    """Centres of ``cells`` cells, by k-means over the chunks' directions.
+
+    A sample serves for large tables: centres only steer where to look, they
+    decide on no chunk's score.
+    """
+    usable = chunks.select(array_to_vector("embedding").alias("features")).filter(
+        F.exists("embedding", lambda value: value != 0)
+    )
+    share = training_rows / max(usable.count(), 1)
+    if share < 1:
+        usable = usable.sample(share, seed)
+    model = KMeans(k=cells, distanceMeasure="cosine", maxIter=iterations, seed=seed).fit(usable)
+    return np.array(model.clusterCenters())
 
 
-def assign_cells(chunks: DataFrame, planes: np.ndarray) -> DataFrame:
-    """Add ``cell``: on which side of each plane the chunk's vector lies."""
+def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add ``cell``: the centre closest in direction to the chunk's vector.
+
+    Written with ``partitionBy("cell")``, this is the index for
+    :func:`approximate_top_k`. No shuffle.
+    """
     schema = T.StructType([*chunks.schema.fields, T.StructField("cell", T.IntegerType())])
-    weights = 1 << np.arange(planes.shape[0])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = as_matrix(batch.column("embedding"), planes.shape[1])
-            cells = ((vectors @ planes.T > 0) @ weights).astype(np.int32)
+            vectors = as_matrix(batch.column("embedding"), centres.shape[1])
+            cells = nearest_cells(vectors, centres, 1)[:, 0].astype(np.int32)
             names = [*batch.schema.names, "cell"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=names)
 
     return chunks.mapInArrow(locate, schema)
 
 
-def nearest_cells(vectors: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
-    """Per vector, the cells with the least crossing cost: the squared distances to
-    the planes that lie between the vector and the cell."""
-    bits = planes.shape[0]
-    signs = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
-    probes = min(probes, len(signs))
+def nearest_cells(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """Per vector, the cells whose centres are closest to it in direction."""
+    directions = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    probes = min(probes, len(directions))
     chosen = np.empty((len(vectors), probes), dtype=np.int64)
-    rows_at_once = max(_SCORES_PER_BLOCK // len(signs), 1)
+    rows_at_once = max(_SCORES_PER_BLOCK // len(directions), 1)
     for start in range(0, len(vectors), rows_at_once):
-        sides = vectors[start : start + rows_at_once] @ planes.T
-        own = (sides > 0).astype(float)
-        # A plane costs where the cell's sign differs: sign + own - 2 * sign * own.
-        squares = sides**2
-        cost = (squares * (1 - 2 * own)) @ signs.T + (squares * own).sum(axis=1, keepdims=True)
-        nearest = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-        chosen[start : start + rows_at_once] = nearest
+        closeness = vectors[start : start + rows_at_once] @ directions.T
+        chosen[start : start + rows_at_once] = np.argsort(-closeness, axis=1, kind="stable")[:, :probes]
     return chosen
 
 

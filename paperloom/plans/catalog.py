@@ -36,8 +36,8 @@ LANDING = naming.landing_folder("main", "default")
 SMALL_CAP = 5
 DOCUMENTS_PER_CONVERSATION = 4
 LOOKUP_KEY = 7
-CELL_BITS = 6
-CELL_PROBES = 16
+CELLS = 32
+CELL_PROBES = 8
 REGISTRY = [
     ("translate_text", 1, "Say in {target_language}: {text}"),
     ("translate_text", 2, "Put into {target_language}:\n{text}\n(from {target_language} only)"),
@@ -297,10 +297,9 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def vector_topk_approximate(spark: SparkSession, folder: str) -> DataFrame:
     questions, chunks = _vector_sides(spark, folder)
-    width = len(chunks.select("embedding").first()[0])
-    planes = retrieval.hyperplanes(CELL_BITS, width)
-    cells = retrieval.assign_cells(chunks, planes)
-    return _scored(retrieval.approximate_top_k(questions, cells, planes, CELL_PROBES))
+    centres = retrieval.train_cells(chunks, CELLS)
+    cells = retrieval.assign_cells(chunks, centres)
+    return _scored(retrieval.approximate_top_k(questions, cells, centres, CELL_PROBES))
 
 
 def _scored(ranked: DataFrame) -> DataFrame:

@@ -138,43 +138,50 @@ def clusters():
 
 def test_approximate_recall(spark, clusters):
     questions, chunks = clusters
-    planes = retrieval.hyperplanes(5, 32)
-    cells = retrieval.assign_cells(chunk_frame(spark, chunks), planes)
+    centres = retrieval.train_cells(chunk_frame(spark, chunks), 16)
+    assert centres.shape == (16, 32)
+    cells = retrieval.assign_cells(chunk_frame(spark, chunks), centres)
     exact = as_ranks(retrieval.top_k_chunks(question_frame(spark, questions), chunk_frame(spark, chunks)))
     pairs = {(key[0], *hit[:2]) for key, hit in exact.items()}
 
     def found(probes, **options):
         ranked = retrieval.approximate_top_k(
-            question_frame(spark, questions), cells, planes, probes, **options
+            question_frame(spark, questions), cells, centres, probes, **options
         )
         return as_ranks(ranked)
 
-    near = {(key[0], *hit[:2]) for key, hit in found(6).items()}
+    near = {(key[0], *hit[:2]) for key, hit in found(3).items()}
     assert len(pairs & near) / len(pairs) > 0.9
-    assert {(key[0], *hit[:2]) for key, hit in found(32).items()} == pairs
-    assert found(6, question_bytes=10 * 8 * 32) == found(6)
+    assert {(key[0], *hit[:2]) for key, hit in found(16).items()} == pairs
+    assert found(3, question_bytes=10 * 8 * 32) == found(3)
 
 
 def test_probed_cells_prune_stored_partitions(spark, clusters, plan, tmp_path):
     questions, chunks = clusters
-    planes = retrieval.hyperplanes(5, 32)
-    cells = retrieval.assign_cells(chunk_frame(spark, chunks), planes)
+    cells = retrieval.assign_cells(chunk_frame(spark, chunks), chunks[::100])
     cells.write.partitionBy("cell").parquet(str(tmp_path / "cells"))
     stored = spark.read.parquet(str(tmp_path / "cells"))
-    ranked = retrieval.approximate_top_k(question_frame(spark, questions[:1]), stored, planes, 2)
+    ranked = retrieval.approximate_top_k(question_frame(spark, questions[:1]), stored, chunks[::100], 2)
     scan = plan(ranked)
     assert "PartitionFilters: [cell" in scan.replace("isnotnull(cell", "cell")
     assert "chunk_text" not in scan.split("ReadSchema")[1].split("\n")[0]
     assert ranked.count() == 3
 
 
-def test_nearest_cells_start_with_the_own_cell():
-    planes = retrieval.hyperplanes(6, 16)
-    points = np.random.default_rng(0).standard_normal((20, 16))
-    own = (points @ planes.T > 0) @ (1 << np.arange(6))
-    nearest = retrieval.nearest_cells(points, planes, 64)
-    assert (nearest[:, 0] == own).all()
-    assert all(len(set(row)) == 64 for row in nearest)
+def test_nearest_cells(monkeypatch):
+    draw = np.random.default_rng(0)
+    points, centres = draw.standard_normal((20, 16)), draw.standard_normal((8, 16))
+    cosines = points @ centres.T / np.linalg.norm(centres, axis=1)
+    expected = np.argsort(-cosines, axis=1)
+    assert (retrieval.nearest_cells(points, centres, 3) == expected[:, :3]).all()
+    monkeypatch.setattr(retrieval, "_SCORES_PER_BLOCK", 24)
+    assert (retrieval.nearest_cells(points, centres, 99) == expected).all()
+
+
+def test_training_takes_a_sample_of_a_large_table(spark, clusters):
+    _, chunks = clusters
+    centres = retrieval.train_cells(chunk_frame(spark, chunks), 4, training_rows=100)
+    assert centres.shape == (4, 32)
 
 
 def test_hashed_embedder():
@@ -209,3 +216,17 @@ def test_texts_join_the_result(spark, vectors):
     joined = retrieval.with_chunk_text(ranked, frame).collect()
     assert len(joined) == ranked.count()
     assert all(row.chunk_text == f"text {row.document_id * 3 + row.chunk_index}" for row in joined)
+
+
+def test_stored_index(spark, clusters, plan, tmp_path):
+    from paperloom.plans import index_flow
+
+    questions, chunks = clusters
+    frame = chunk_frame(spark, chunks)
+    index_flow.build_index(frame, str(tmp_path), 16)
+    asked = question_frame(spark, questions)
+    exact = as_ranks(retrieval.top_k_chunks(asked, frame))
+    assert as_ranks(index_flow.search_index(asked, str(tmp_path), 16)) == exact
+    one = index_flow.search_index(asked.limit(1), str(tmp_path), 2)
+    assert "PartitionFilters: [cell" in plan(one).replace("isnotnull(cell", "cell")
+    assert one.count() == 3
