@@ -112,12 +112,9 @@ def agent_messages(
         F.concat(message("human", documents), message("ai", F.lit(fixed.DOCUMENTS_ACKNOWLEDGED))),
     ).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
     earlier = F.concat("_preamble", "history")
-    transcript = F.array_join(
-        F.transform(earlier, lambda one: F.concat(one["role"], F.lit(": "), one["text"])), "\n"
-    )
     system = render_fixed(
         template or prompt_texts.DEFAULT_TEMPLATES[agent],
-        {"chat_history": transcript, "input": F.col("text")},
+        {"chat_history": transcript(earlier), "input": F.col("text")},
     )
     return (
         history.join(contexts.select("conv_id", "numbered"), "conv_id", "left")
@@ -126,8 +123,15 @@ def agent_messages(
             "conv_id",
             "turn",
             "text",
+            F.col("numbered").isNotNull().alias("has_documents"),
             F.concat(
                 message("system", system), "_preamble", "history", message("human", F.col("text"))
             ).alias("messages"),
         )
     )
+
+
+def transcript(messages: Column) -> Column:
+    """Messages as one text, a line for each, for models that take text."""
+    lines = F.transform(messages, lambda one: F.concat(one["role"], F.lit(": "), one["text"]))
+    return F.array_join(lines, "\n")

@@ -40,7 +40,7 @@ def top_k_chunks(
 ) -> DataFrame:
     """Exact k best chunks per question by cosine.
 
-    ``questions``: ``query_id, embedding``. ``chunks``: ``document_id,
+    ``questions``: ``query_id`` (any type), ``embedding``. ``chunks``: ``document_id,
     chunk_index`` and either ``embedding`` or, with an ``embedder``,
     ``chunk_text`` to embed on the way. Returns ``query_id, rank, document_id,
     chunk_index, score`` and the ``carry`` columns. Scores have 12 digits; equal
@@ -169,7 +169,7 @@ class _Ranker:
         self.embedder = embedder
         self.carry = list(carry)
         fields = [
-            T.StructField("query_id", T.LongType()),
+            T.StructField("query_id", questions.schema["query_id"].dataType),
             T.StructField("document_id", T.LongType()),
             T.StructField("chunk_index", T.LongType()),
             T.StructField("score", T.DoubleType()),
@@ -197,7 +197,7 @@ class _Ranker:
 
     def broadcast_candidates(
         self,
-        collected: tuple[np.ndarray, np.ndarray] | None = None,
+        collected: tuple[pa.Array, np.ndarray] | None = None,
         probed: np.ndarray | None = None,
         chunks: DataFrame | None = None,
     ) -> DataFrame:
@@ -217,7 +217,7 @@ class _Ranker:
         columns = math.ceil(2 * question_count / questions_per_cell)
         rows = math.ceil(self.chunks.count() / CHUNKS_PER_CELL) or 1
         question_cells = self.questions.select(
-            F.col("query_id").cast("long"),
+            "query_id",
             "embedding",
             _hash_part(["query_id"], columns).alias("_column"),
             F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_row"),
@@ -231,12 +231,11 @@ class _Ranker:
         search = _Search(self.k, self.min_score, self.embedder, self.carry)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            right = right.combine_chunks()
-            empty = pa.Table.from_batches([], schema=search.schema_of(left.schema))
+            ids = _one_array(right.column("query_id"))
+            empty = pa.Table.from_batches([], schema=search.schema_of(ids.type, left.schema))
             if not left.num_rows or not right.num_rows:
                 return empty
-            ids = right.column("query_id").to_numpy()
-            matrix = as_matrix(right.column("embedding").combine_chunks()).astype(np.float64)
+            matrix = as_matrix(_one_array(right.column("embedding"))).astype(np.float64)
             found = list(search.task(ids, matrix, None, left.to_batches()))
             return pa.Table.from_batches(found) if found else empty
 
@@ -256,9 +255,9 @@ class _Search:
         self.embedder = embedder
         self.carry = carry
 
-    def schema_of(self, chunks: pa.Schema) -> pa.Schema:
+    def schema_of(self, ids: pa.DataType, chunks: pa.Schema) -> pa.Schema:
         fields = [
-            ("query_id", pa.int64()),
+            ("query_id", ids),
             ("document_id", pa.int64()),
             ("chunk_index", pa.int64()),
             ("score", pa.float64()),
@@ -267,7 +266,7 @@ class _Search:
 
     def task(
         self,
-        ids: np.ndarray,
+        ids: pa.Array,
         matrix: np.ndarray,
         probed: np.ndarray | None,
         batches: Iterator[pa.RecordBatch],
@@ -292,8 +291,8 @@ class _Search:
                 best, floor = self._best_of(best, floor)
         if best is None:
             return
-        at = best.column("_question").to_numpy()
-        best = best.drop_columns(["_question"]).add_column(0, "query_id", pa.array(ids[at]))
+        asked = ids.take(best.column("_question").combine_chunks())
+        best = best.drop_columns(["_question"]).add_column(0, "query_id", asked)
         yield from best.combine_chunks().to_batches()
 
     def _block(self, ids, matrix, squares, floor, probed, block) -> pa.Table | None:
@@ -376,19 +375,24 @@ def _measure(questions: DataFrame) -> tuple[int, int]:
     return row["count"], row["width"] or 0
 
 
-def _collect_questions(questions: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _collect_questions(questions: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """Ids and matrix of questions whose size has been checked."""
-    table = questions.select(F.col("query_id").cast("long"), "embedding").toArrow()
-    table = table.combine_chunks()
-    ids = table.column("query_id").to_numpy()
+    table = questions.select("query_id", "embedding").toArrow()
+    ids = _one_array(table.column("query_id"))
     if not len(ids):
         return ids, np.zeros((0, 1))
-    vectors = as_matrix(table.column("embedding").combine_chunks())
-    return ids, vectors.astype(np.float64)
+    return ids, as_matrix(_one_array(table.column("embedding"))).astype(np.float64)
+
+
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    if isinstance(whole, pa.ChunkedArray):
+        whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], column.type)
+    return whole
 
 
 def _hash_part(keys: list[str], parts: int) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(key).cast("long") for key in keys]), F.lit(parts)).cast("int")
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
 
 def with_chunk_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:

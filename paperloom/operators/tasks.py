@@ -88,11 +88,18 @@ def call_agents(
 
     Each step's output is the next one's input: passages are retrieved for the
     requests that ask for them, then summaries are made, then translations, and
-    requests without a step go to the model as they are. Steps run over all
-    requests at once. Adds ``steps``, ``response``, ``status`` and ``error``.
+    requests without a step go to the model with their ``messages``, if they have
+    that column, or as they are. Steps run over all requests at once. Adds
+    ``steps``, ``response``, ``status`` and ``error`` in place of the messages.
     """
+    kept = [name for name in requests.columns if name != "messages"]
     steps = request_steps(F.col("query"), has_documents)
-    routed = requests.withColumn("steps", steps)
+    whole = F.col("query")
+    if "messages" in requests.columns:
+        whole = prompting.transcript(F.col("messages"))
+    routed = requests.withColumn("steps", steps).select(
+        *kept, "steps", F.when(F.array_contains("steps", "answer"), whole).alias("_whole")
+    )
     searching = routed.filter(F.array_contains("steps", "retrieve")).select("query_id", "query")
     ranked = retrieval.top_k_chunks(
         embed(searching, "query", embedder),
@@ -110,13 +117,12 @@ def call_agents(
 
     for step, task in (("summarize", "summarize_text"), ("translate", "translate_text")):
         state = _model_step(state, F.array_contains("steps", step), task, make_model, registry)
-    plain = F.array_contains("steps", "answer")
     answered = generation.generate(
-        state.withColumn("prompt", F.col("text")), make_model, "call_agent", where=plain
+        state, make_model, "call_agent", "_whole", F.col("_whole").isNotNull()
     )
     failure = F.coalesce("_error", "error")
     return answered.select(
-        *requests.columns,
+        *kept,
         "steps",
         F.coalesce("response", "text").alias("response"),
         F.when(failure.isNull(), "ok").otherwise("error").alias("status"),

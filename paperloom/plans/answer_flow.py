@@ -1,4 +1,4 @@
-"""Answers for a table of questions."""
+"""Answers for tables of questions and of chat turns."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom import fixed_values as fixed
 from paperloom.functions import prompt_texts
-from paperloom.operators import generation, prompting, retrieval
+from paperloom.operators import conversations, generation, prompting, retrieval, tasks
 from paperloom.operators.embedding import Embedder, HashedEmbedder, embed
 
 
@@ -30,7 +30,7 @@ def answer_questions(
     """
     text = F.coalesce(F.col(questions.columns[0]).cast("string"), F.lit(""))
     asked = questions.select(text.alias("query")).distinct()
-    numbered = asked.select(F.xxhash64("query").alias("query_id"), "query")
+    numbered = asked.select(F.sha2("query", 256).alias("query_id"), "query")
     embedder = embedder or HashedEmbedder()
     stored = "embedding" in chunks.columns
     ranked = retrieval.top_k_chunks(
@@ -50,3 +50,37 @@ def answer_questions(
         .join(answers, F.col("_asked") == F.col("_query"))
         .drop("_asked", "_query")
     )
+
+
+def answer_turns(
+    turns: DataFrame,
+    documents: DataFrame,
+    chunks: DataFrame,
+    make_model: Callable[[], generation.Model],
+    registry: DataFrame,
+    cap: int = fixed.MESSAGE_CAP,
+    embedder: Embedder | None = None,
+) -> DataFrame:
+    """Answer every user turn that its conversation takes in.
+
+    The model sees the system prompt, the conversation's documents
+    (``conv_id, position, text``), the answered questions before the turn, and the
+    turn. Turns that name a task go through that task instead. Returns ``conv_id,
+    turn, steps, response, status, error``.
+    """
+    called = prompting.agent_messages(
+        conversations.paired_history(turns, cap), conversations.documents_context(documents)
+    )
+    requests = called.select(
+        F.concat_ws("/", "conv_id", "turn").alias("query_id"),
+        "conv_id",
+        "turn",
+        F.col("text").alias("query"),
+        F.lit(None).cast("string").alias("target_language"),
+        "messages",
+        "has_documents",
+    )
+    answered = tasks.call_agents(
+        requests, chunks, make_model, registry, embedder, F.col("has_documents")
+    )
+    return answered.select("conv_id", "turn", "steps", "response", "status", "error")

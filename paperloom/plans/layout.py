@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Input with this many splits per core is spread well enough as it is.
+_SPLITS_PER_CORE = 4
+
 
 def fill_cores(rows: DataFrame) -> DataFrame:
-    """Spread an input of few file splits over all cores.
+    """Spread an input of few splits, or of fewer files than cores, over all cores.
 
-    Input with at least as many splits as the cluster has cores, which is any
-    large one, is left as it is: no shuffle.
+    A file whose rows are stored as one group is read by one task, however many
+    splits it is planned as. Large input has many splits and is left as it is:
+    no shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
+    splits = rows.rdd.getNumPartitions()
+    if splits >= _SPLITS_PER_CORE * cores:
+        return rows
+    if splits >= cores and len(rows.inputFiles()) >= cores:
         return rows
     return rows.repartition(cores)

@@ -230,3 +230,12 @@ def test_stored_index(spark, clusters, plan, tmp_path):
     one = index_flow.search_index(asked.limit(1), str(tmp_path), 2)
     assert "PartitionFilters: [cell" in plan(one).replace("isnotnull(cell", "cell")
     assert one.count() == 3
+
+
+def test_question_ids_of_any_type(spark, vectors):
+    questions, chunks = vectors
+    named = question_frame(spark, questions).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    expected = {(f"q{q}", rank): hit for (q, rank), hit in brute_force(questions, chunks, 3).items()}
+    for limit in (10_000, 5 * 8 * WIDTH):
+        ranked = retrieval.top_k_chunks(named, chunk_frame(spark, chunks), question_bytes=limit)
+        assert as_ranks(ranked) == expected

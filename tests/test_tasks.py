@@ -204,3 +204,34 @@ def test_answer_questions_keeps_every_row(spark):
             4: (None, "No response generated", "ok"),
             5: ("Zzz?", "No response generated", "ok"),
         }
+
+
+def test_answer_turns(spark):
+    from paperloom.plans.answer_flow import answer_turns
+
+    turns = spark.createDataFrame(
+        [
+            (1, 0, "user", "hello"),
+            (1, 1, "assistant", "hi"),
+            (1, 2, "user", "what now?"),
+            (2, 0, "user", "Find soil texts"),
+            (2, 1, "assistant", "found"),
+            (2, 2, "user", "Summarize soil"),
+            (3, 0, "user", "Find soil in my paper"),
+        ],
+        "conv_id long, turn long, role string, text string",
+    )
+    documents = spark.createDataFrame([(3, 0, "my paper")], "conv_id long, position int, text string")
+    chunks = spark.createDataFrame([(5, 0, "soil facts")], "document_id long, chunk_index int, chunk_text string")
+    templates = registry(spark, ("summarize_text", 1, "S({text})"))
+
+    def make_model():
+        return lambda prompts: [f"{len(p.splitlines())} lines, last: {p.splitlines()[-1]}" for p in prompts]
+
+    rows = answer_turns(turns, documents, chunks, make_model, templates).collect()
+    found = {(row.conv_id, row.turn): row.response for row in rows}
+    assert found[1, 2].endswith("last: human: what now?")
+    assert found[2, 0] == "[5#0] soil facts"
+    assert found[2, 2] == "1 lines, last: S(Summarize soil)"
+    assert found[3, 0].endswith("last: human: Find soil in my paper")
+    assert all(row.status == "ok" for row in rows) and len(rows) == 5
