@@ -512,15 +512,16 @@ def extractive_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", tasks.summary_column(F.col("text")).alias("summary"))
 
 
-def _summary_model() -> generation.Model:
-    return lambda prompts: [tasks.summarize(prompt) for prompt in prompts]
+def _echo() -> generation.Model:
+    """Gives the prompts back, so that the answers show what each step was given."""
+    return lambda prompts: prompts
 
 
 def agent_answers(spark: SparkSession, folder: str) -> DataFrame:
     answered = tasks.call_agents(
         _requests(spark, folder),
         _fixed(spark, folder),
-        _summary_model,
+        _echo,
         _registry(spark),
         has_documents=F.col("has_documents"),
     )

@@ -66,7 +66,9 @@ chunk_buckets AS (
   GROUP BY ALL
 )"""
 
-RANKED = f"""{CHUNKS},
+def _ranked(questions: str) -> str:
+    """The three best chunks of each row of ``questions`` (query_id, query)."""
+    return f"""{CHUNKS},
 {CHUNK_BUCKETS},
 chunk_squares AS (
   SELECT document_id, chunk_index, sum(n * n) AS squares FROM chunk_buckets GROUP BY ALL
@@ -74,8 +76,8 @@ chunk_squares AS (
 question_buckets AS (
   SELECT query_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 256 AS bucket, count(*) AS n
   FROM (
-    SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS word
-    FROM benchmark)
+    SELECT query_id, unnest(regexp_extract_all(lower(query), '{_WORDS}')) AS word
+    FROM {questions})
   GROUP BY ALL
 ),
 question_squares AS (
@@ -100,6 +102,9 @@ ranked AS (
   WHERE rank <= 3
 )"""
 
+
+RANKED = _ranked("(SELECT item_id AS query_id, text AS query FROM benchmark)")
+
 CONTEXT = f"""{RANKED},
 context AS (
   SELECT item_id AS query_id, b.text AS query, coalesce(found.context, '') AS context
@@ -170,19 +175,24 @@ requests AS (
 )"""
 
 
-def _task_prompt_sql() -> str:
+def _templates_in_force() -> dict[str, str]:
     newest: dict[str, tuple[int, str]] = {}
     for name, version, template in catalog.REGISTRY:
         if name in fixed.PROMPT_NAMES and version >= newest.get(name, (0, ""))[0]:
             newest[name] = (version, template)
+    registered = {name: template for name, (_, template) in newest.items()}
+    return {**prompt_texts.DEFAULT_TEMPLATES, **registered}
+
+
+def _task_prompt_sql() -> str:
+    templates = _templates_in_force()
     slots = {
         "text": "query",
         "target_language": f"coalesce(target_language, {_quoted(prompt_texts.UNNAMED_LANGUAGE)})",
     }
     cases = []
     for number, task in enumerate(("translate_text", "summarize_text", "retrieve_document")):
-        template = newest.get(task, (0, prompt_texts.DEFAULT_TEMPLATES[task]))[1]
-        cases.append(f"WHEN {number} THEN {_template_sql(template, slots)}")
+        cases.append(f"WHEN {number} THEN {_template_sql(templates[task], slots)}")
     return f"""
 WITH {REQUESTS}
 SELECT query_id,
@@ -240,25 +250,69 @@ SELECT conv_id, turn, len(earlier) + 2 AS messages,
 FROM written"""
 
 
-def _steps_sql() -> str:
+def _found_steps() -> str:
+    """Steps per request: ``filled`` (query_id, steps)."""
     patterns = catalog.tasks.STEP_PATTERNS
     steps = ", ".join(
         f"CASE WHEN regexp_matches(lower(query), {_quoted(pattern)})"
         f"{' AND NOT has_documents' if step == 'retrieve' else ''} THEN '{step}' END"
         for step, pattern in patterns.items()
     )
-    return f"""
-WITH {REQUESTS},
+    return f"""{REQUESTS},
 found AS (
   SELECT query_id, list_filter([{steps}], lambda s: s IS NOT NULL) AS steps FROM requests
 ),
 filled AS (
   SELECT query_id, CASE WHEN len(steps) = 0 THEN ['answer'] ELSE steps END AS steps FROM found
-)
+)"""
+
+
+def _steps_sql() -> str:
+    return f"""
+WITH {_found_steps()}
 SELECT query_id, unnest(generate_series(1, len(steps))) AS step_no, unnest(steps) AS step
 FROM filled"""
 
 
+def _agent_answers_sql() -> str:
+    templates = _templates_in_force()
+    language = f"coalesce(target_language, {_quoted(prompt_texts.UNNAMED_LANGUAGE)})"
+    slots = {"text": "given", "target_language": language}
+    summarize = _cleaned(f"({_template_sql(templates['summarize_text'], slots)})")
+    translate = _cleaned(f"({_template_sql(templates['translate_text'], slots)})")
+    return f"""
+WITH {_found_steps()},
+searching AS (
+  SELECT query_id, query FROM requests JOIN filled USING (query_id)
+  WHERE list_contains(steps, 'retrieve')
+),
+{_ranked("searching")},
+excerpts AS (
+  SELECT query_id, string_agg('[' || document_id || '#' || chunk_index || '] ' || chunk_text,
+    chr(10) || chr(10) ORDER BY rank) AS excerpts
+  FROM ranked JOIN chunks USING (document_id, chunk_index) GROUP BY query_id
+),
+retrieved AS (
+  SELECT requests.query_id, query, target_language, steps,
+    CASE WHEN list_contains(steps, 'retrieve')
+      THEN coalesce(excerpts, {_quoted(prompt_texts.NO_EXCERPTS)}) ELSE query END AS given
+  FROM requests JOIN filled USING (query_id) LEFT JOIN excerpts USING (query_id)
+),
+summarized AS (
+  SELECT * EXCLUDE (given),
+    CASE WHEN list_contains(steps, 'summarize') THEN {summarize} ELSE given END AS given
+  FROM retrieved
+),
+translated AS (
+  SELECT * EXCLUDE (given),
+    CASE WHEN list_contains(steps, 'translate') THEN {translate} ELSE given END AS given
+  FROM summarized
+)
+SELECT query_id, array_to_string(steps, ',') AS steps,
+  CASE WHEN steps = ['answer'] THEN {_cleaned("query")} ELSE given END AS response, 'ok' AS status
+FROM translated"""
+
+
 SENTENCE = "[^.!?]+[.!?]*"
 
 ANSWER = f"""
@@ -565,4 +619,5 @@ GROUP BY text, rating""",
     "task_prompts": _task_prompt_sql(),
     "agent_messages": _agent_messages_sql(),
     "extractive_summary": SUMMARY,
+    "agent_answers": _agent_answers_sql(),
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +17,10 @@ def table_path(store: str, name: str) -> str:
 def read_table(spark: SparkSession, store: str, name: str, schema: T.StructType) -> DataFrame:
     """A table's rows with their ``batch_id``; empty when nothing was written yet."""
     stored = schemas.with_batch(schema)
-    try:
-        return spark.read.schema(stored).parquet(table_path(store, name))
-    except AnalysisException as failure:
-        if failure.getCondition() != "PATH_NOT_FOUND":
-            raise
+    path = table_path(store, name)
+    if not _exists(spark, path):
         return spark.createDataFrame([], stored)
+    return spark.read.schema(stored).parquet(path)
 
 
 def read_batch(
@@ -74,3 +71,8 @@ def submit_feedback(
         },
     )
 
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists in the file system its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -164,6 +164,15 @@ def test_dispositions_do_not_clash(spark, tmp_path):
     assert {row.outcome for row in rows if row.archived_path.startswith("errors")} == {"error"}
 
 
+def test_empty_batch_is_finished_with_nothing(spark, tmp_path):
+    store = tmp_path / "store"
+    ingest_batch(spark.createDataFrame([], schemas.LANDING_FILES), str(store), 0, NOW)
+    finished = spark.createDataFrame([], ingest_flow.FINISHED).schema
+    report = table(spark, store, ingest_flow.BATCH_TABLE, finished).collect()
+    assert [(r.files, r.documents, r.chunks, r.errors) for r in report] == [(0, 0, 0, 0)]
+    assert snapshot(spark, store) == ([], [], [])
+
+
 def test_unfinished_batch_is_not_seen(spark, landing, tmp_path):
     store = tmp_path / "store"
     ingest_batch(landing_files(spark, str(landing)), str(store), 0, NOW)

@@ -5,13 +5,14 @@ from pathlib import Path
 
 import oracle
 import pytest
+from test_chunking import SEPARATORS, chunks_by_lists
 
 import __spark_entry__ as entry
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not here")
 
-WITHOUT_SQL = {"chunk_recursive", "vector_topk_approximate", "agent_answers"}
+WITHOUT_SQL = {"chunk_recursive", "vector_topk_approximate"}
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,26 @@ def test_query_runs(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_recursive_chunks_follow_the_rules_on_whole_documents(spark):
+    table = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    expected = {
+        (row.doc_id, i): chunk
+        for row in table
+        for i, chunk in enumerate(chunks_by_lists(row.text, 1000, 200, SEPARATORS))
+    }
+    rows = entry.queries()["chunk_recursive"](spark, FOLDER).collect()
+    assert {(row.document_id, row.chunk_index): row.chunk_text for row in rows} == expected
+
+
+def test_approximate_search_finds_most_of_the_exact_hits(spark):
+    def hits(name):
+        rows = entry.queries()[name](spark, FOLDER).collect()
+        return {(row.query_id, row.document_id) for row in rows}
+
+    exact, near = hits("vector_topk"), hits("vector_topk_approximate")
+    assert len(exact & near) / len(exact) > 0.7
+
+
 def test_entry(spark):
     result = entry.entry(spark)
     assert result.columns == ["query_id", "query", "context", "prompt"]
