@@ -17,14 +17,16 @@ from pyspark.sql import types as T
 from paperloom import fixed_values as fixed
 from paperloom.operators.embedding import Embedder, as_matrix
 
-# Largest question matrix that is sent to every task.
-QUESTION_BYTES = 64 * 1024 * 1024
-# Chunks in one cell of the grid used beyond that.
+# Largest question matrix that is sent to every task. A cell of the grid used
+# beyond that holds twice as much on average.
+QUESTION_BYTES = 32 * 1024 * 1024
+# Chunks in one cell of that grid.
 CHUNKS_PER_CELL = 100_000
 # Chunks that cell centres are learned from.
 TRAINING_ROWS = 100_000
-# Rows multiplied at a time, which bounds the score matrix.
-_SCORES_PER_BLOCK = 8_000_000
+# Pairs scored at a time, which bounds the score matrix, and questions among them.
+_SCORES_PER_BLOCK = 2_000_000
+_QUESTIONS_PER_BLOCK = 4096
 _SCORE_DIGITS = 12
 
 
@@ -58,7 +60,7 @@ def top_k_chunks(
     row_bytes = 8 * max(width, 1)
     if count * row_bytes <= question_bytes:
         return ranker.ranked(ranker.broadcast_candidates())
-    return ranker.ranked(ranker.grid_candidates(count, max(question_bytes // row_bytes, 1)))
+    return ranker.ranked(ranker.grid_candidates(math.ceil(count * row_bytes / question_bytes / 2)))
 
 
 def approximate_top_k(
@@ -213,8 +215,7 @@ class _Ranker:
         inputs = self._inputs(self.chunks if chunks is None else chunks, *extra)
         return inputs.mapInArrow(run, self.schema)
 
-    def grid_candidates(self, question_count: int, questions_per_cell: int) -> DataFrame:
-        columns = math.ceil(2 * question_count / questions_per_cell)
+    def grid_candidates(self, columns: int) -> DataFrame:
         rows = math.ceil(self.chunks.count() / CHUNKS_PER_CELL) or 1
         question_cells = self.questions.select(
             "query_id",
@@ -279,52 +280,60 @@ class _Search:
             return
         squares = (matrix * matrix).sum(axis=1)
         floor = np.full(len(ids), self.min_score)
-        best: pa.Table | None = None
-        rows_at_once = max(_SCORES_PER_BLOCK // max(len(ids), 1), 1)
+        rows_at_once = max(_SCORES_PER_BLOCK // min(len(ids), _QUESTIONS_PER_BLOCK), 1)
+        parts: list[pa.Table] = []
+        unsorted = 0
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
                 block = batch.slice(start, rows_at_once)
-                found = self._block(ids, matrix, squares, floor, probed, block)
-                if found is None:
-                    continue
-                best = found if best is None else pa.concat_tables([best, found])
-                best, floor = self._best_of(best, floor)
-        if best is None:
+                found = self._block(matrix, squares, floor, probed, block)
+                parts += found
+                unsorted += sum(part.num_rows for part in found)
+                if unsorted > 2 * self.k * len(ids):
+                    best, floor = self._best_of(pa.concat_tables(parts), floor)
+                    parts, unsorted = [best], 0
+        if not parts:
             return
-        asked = ids.take(best.column("_question").combine_chunks())
+        best, _ = self._best_of(pa.concat_tables(parts), floor)
+        asked = ids.take(_one_array(best.column("_question")))
         best = best.drop_columns(["_question"]).add_column(0, "query_id", asked)
         yield from best.combine_chunks().to_batches()
 
-    def _block(self, ids, matrix, squares, floor, probed, block) -> pa.Table | None:
+    def _block(self, matrix, squares, floor, probed, block) -> list[pa.Table]:
+        """Candidates among a block of chunks, for one tile of questions after another."""
         if self.embedder:
             vectors = np.asarray(self.embedder(block.column("chunk_text").to_pylist()))
         else:
             vectors = as_matrix(block.column("embedding"))
+        if len(vectors) and vectors.shape[1] != matrix.shape[1]:
+            raise ValueError(f"vectors must all have {matrix.shape[1]} values")
         vectors = vectors.astype(np.float64)
         if probed is None:
-            where = [(np.arange(len(vectors)), np.arange(len(ids)))]
+            where = [(np.arange(len(vectors)), np.arange(len(matrix)))]
         else:
             cells = block.column("cell").to_numpy()
             where = [
                 (np.flatnonzero(cells == cell), np.flatnonzero((probed == cell).any(axis=1)))
                 for cell in np.unique(cells)
             ]
-        hits = [
-            self._scores(vectors[rows], rows, matrix[asked], squares[asked], floor[asked], asked)
-            for rows, asked in where
-            if len(rows) and len(asked)
-        ]
-        if not hits:
-            return None
-        row, question, score = (np.concatenate(part) for part in zip(*hits))
-        if not len(row):
-            return None
-        kept = ["document_id", "chunk_index"]
-        taken = block.select([*kept, *self.carry]).take(pa.array(row))
-        columns = {name: taken.column(name) for name in kept}
+        found = []
+        for rows, questions in where:
+            for start in range(0, len(questions), _QUESTIONS_PER_BLOCK):
+                asked = questions[start : start + _QUESTIONS_PER_BLOCK]
+                row, question, score = self._scores(
+                    vectors[rows], rows, matrix[asked], squares[asked], floor[asked], asked
+                )
+                if len(row):
+                    found.append(self._candidates(block, row, question, score))
+        return found
+
+    def _candidates(self, block, row, question, score) -> pa.Table:
+        taken = block.select(["document_id", "chunk_index", *self.carry]).take(pa.array(row))
+        columns = {"_question": pa.array(question)}
+        columns.update({name: taken.column(name) for name in ("document_id", "chunk_index")})
         columns["score"] = pa.array(score)
         columns.update({name: taken.column(name) for name in self.carry})
-        return pa.table({"_question": pa.array(question), **columns})
+        return pa.table(columns)
 
     def _scores(self, vectors, rows, matrix, squares, floor, asked):
         """(row, question, score) of the pairs that can be among the best.

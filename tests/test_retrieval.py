@@ -61,6 +61,7 @@ def test_exact_top_k(spark, vectors, k, min_score):
 
 def test_small_blocks_give_the_same(spark, vectors, monkeypatch):
     monkeypatch.setattr(retrieval, "_SCORES_PER_BLOCK", 200)
+    monkeypatch.setattr(retrieval, "_QUESTIONS_PER_BLOCK", 7)
     questions, chunks = vectors
     ranked = retrieval.top_k_chunks(question_frame(spark, questions), chunk_frame(spark, chunks))
     assert as_ranks(ranked) == brute_force(questions, chunks, 3)
