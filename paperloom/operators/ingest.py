@@ -125,17 +125,17 @@ def error_rows(decoded: DataFrame, error_timestamp) -> DataFrame:
     )
 
 
-def chunk_error_rows(failed: DataFrame, documents: DataFrame, error_timestamp) -> DataFrame:
-    """Error rows for documents (``document_id, error``) that could not be chunked."""
-    origin = documents.select(F.col("id").alias("document_id"), "file_name", "file_path")
-    return failed.filter(F.col("error").isNotNull()).join(origin, "document_id").select(
+def chunk_error_rows(chunked: DataFrame, error_timestamp) -> DataFrame:
+    """Error rows for documents that could not be chunked, from the chunker's output
+    (``document_id, file_path, error``)."""
+    return chunked.filter(F.col("error").isNotNull()).select(
         F.xxhash64("document_id", "error").alias("id"),
         as_timestamp(error_timestamp).alias("error_timestamp"),
-        "file_name",
+        file_name(F.col("file_path")).alias("file_name"),
         "file_path",
-        F.concat(F.lit("Failed to chunk document: "), F.substring_index("error", "\n", 1)).alias(
-            "error_message"
-        ),
+        F.concat(
+            F.lit("Failed to chunk document: "), F.substring_index("error", "\n", 1)
+        ).alias("error_message"),
         F.col("error").alias("stack_trace"),
     )
 

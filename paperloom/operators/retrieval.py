@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,6 @@ _QUESTIONS_PER_BLOCK = 4096
 _SCORE_DIGITS = 12
 
 
-
 def top_k_chunks(
     questions: DataFrame,
     chunks: DataFrame,
@@ -46,8 +45,8 @@ def top_k_chunks(
     chunk_index`` and either ``embedding`` or, with an ``embedder``,
     ``chunk_text`` to embed on the way. Returns ``query_id, rank, document_id,
     chunk_index, score`` and the ``carry`` columns. Scores have 12 digits; equal
-    ones go by document and index. Only scores above ``min_score`` count; vectors of length zero
-    match nothing.
+    ones go by document and index. Only scores above ``min_score`` count; vectors
+    of length zero match nothing.
 
     The questions' matrix is measured. Up to ``question_bytes`` it is sent to
     every task, which multiplies it with its blocks of chunks and keeps k per

@@ -66,8 +66,11 @@ def _uploads(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("scan_"), identity, F.lit(".pdf")))
         .otherwise(F.concat(F.lit("note."), F.col("lang"), F.lit(".txt")))
     )
-    path = F.concat(F.lit("landing/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("file_name"))
-    return _table(spark, folder, "documents").withColumn("file_name", name).withColumn("path", path)
+    path = F.concat_ws(
+        "/", F.lit("landing"), "source", F.col("doc_id").cast("string"), "file_name"
+    )
+    table = _table(spark, folder, "documents").withColumn("file_name", name)
+    return table.withColumn("path", path)
 
 
 def landing_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,8 +129,9 @@ def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest_errors(spark: SparkSession, folder: str) -> DataFrame:
     rows = ingest.error_rows(_decoded(spark, folder), BATCH_TIME)
+    stamp = _stamp(F.col("error_timestamp"))
     return rows.select(
-        "file_path", "file_name", "error_message", _stamp(F.col("error_timestamp")).alias("error_timestamp")
+        "file_path", "file_name", "error_message", stamp.alias("error_timestamp")
     )
 
 
@@ -148,13 +152,17 @@ def archive_names(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == 2, F.concat("source", F.lit(".v2.pdf")))
         .otherwise(F.col("source"))
     )
-    origin = F.concat(F.lit("landing/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("file_name"))
+    origin = F.concat_ws("/", F.lit("landing"), F.col("doc_id").cast("string"), "file_name")
     uploads = _table(spark, folder, "documents").withColumn("file_name", name)
     labelled = _table(spark, folder, "labels").select("doc_id")
     taken = (
         _table(spark, folder, "documents")
         .join(labelled, "doc_id", "left_semi")
-        .select(F.concat("lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"))
+        .select(
+            F.concat("lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias(
+                "file_name"
+            )
+        )
     )
     files = uploads.select(origin.alias("src_path"), "file_name")
     return naming.archive_names(files, taken)
@@ -163,9 +171,18 @@ def archive_names(spark: SparkSession, folder: str) -> DataFrame:
 # ---- look-ups and checks ----
 
 
-def _fixed(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
-    rows = fill_cores(_table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text", *keep))
-    return chunking.fixed_chunks(rows)
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    table = _table(spark, folder, "documents")
+    return fill_cores(table.select(F.col("doc_id").alias("document_id"), "text"))
+
+
+def _fixed(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.fixed_chunks(_texts(spark, folder))
+
+
+def _chunk_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    size = F.length("chunk_text").alias("chunk_size")
+    return _fixed(spark, folder).select("document_id", "chunk_index", size)
 
 
 def latest_document(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,7 +223,7 @@ def chunk_document_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orphan_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _fixed(spark, folder).select("document_id", "chunk_index", F.length("chunk_text").alias("chunk_size"))
+    chunks = _chunk_sizes(spark, folder)
     found = documents.orphan_chunks(chunks, _table(spark, folder, "labels"), "doc_id")
     return _long(found, "chunk_index", "chunk_size")
 
@@ -223,8 +240,8 @@ def pending_chunks(spark: SparkSession, folder: str) -> DataFrame:
     done = _table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("document_id"), F.pmod("label", F.lit(3)).alias("chunk_index")
     )
-    chunks = _fixed(spark, folder).select("document_id", "chunk_index", F.length("chunk_text").alias("chunk_size"))
-    return _long(documents.pending_chunks(chunks, done), "chunk_index", "chunk_size")
+    pending = documents.pending_chunks(_chunk_sizes(spark, folder), done)
+    return _long(pending, "chunk_index", "chunk_size")
 
 
 def _long(rows: DataFrame, *names: str) -> DataFrame:
@@ -244,7 +261,7 @@ def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _recursive(spark: SparkSession, folder: str, splitter=None) -> DataFrame:
-    rows = fill_cores(_table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    rows = _texts(spark, folder)
     return chunking.recursive_chunks(rows, ["document_id"], splitter=splitter)
 
 
@@ -256,7 +273,12 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("landing/"), F.col("document_id").cast("string")),
     )
     return _long(rows, "chunk_index", "chunk_size").select(
-        "document_id", "chunk_index", "chunk_text", "chunk_size", "processed_for_embedding", "document_uri"
+        "document_id",
+        "chunk_index",
+        "chunk_text",
+        "chunk_size",
+        "processed_for_embedding",
+        "document_uri",
     )
 
 
@@ -422,7 +444,9 @@ def feedback_text(spark: SparkSession, folder: str) -> DataFrame:
 def feedback_rows(spark: SparkSession, folder: str) -> DataFrame:
     rating = F.when(F.col("event_type") != "view", F.floor(F.col("value") / 70))
     submitted = _table(spark, folder, "events").select(
-        "event_id", F.col("event_type").alias("text"), rating.alias("rating"), F.col("props").alias("comments")
+        F.col("event_type").alias("text"),
+        rating.alias("rating"),
+        F.col("props").alias("comments"),
     )
     return feedback.feedback_rows(submitted, BATCH_TIME).groupBy("text", "rating", "accepted").agg(
         F.count(F.lit(1)).alias("submitted"),
@@ -439,9 +463,16 @@ def clean_response(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("role") == "system", F.lit(None).cast("string"))
         .when(kind == 0, F.concat(F.lit("<think>"), body, F.lit("</think>\n "), body, F.lit("\t\n")))
         .when(kind == 1, F.concat(F.lit("Thought: "), body, F.lit("\nObservation: "), body))
-        .when(kind == 2, F.concat(
-            body, F.lit(" Action: find\nAction Input: "), body, F.lit("\nObservation:"), F.lit("<think>a</think>"), body
-        ))
+        .when(
+            kind == 2,
+            F.concat(
+                body,
+                F.lit(" Action: find\nAction Input: "),
+                body,
+                F.lit("\nObservation:<think>a</think>"),
+                body,
+            ),
+        )
         .otherwise(F.concat(F.lit("<think>open "), body))
     )
     return _turns(spark, folder).select("conv_id", "turn", texts.clean_response(output).alias("response"))

@@ -14,7 +14,6 @@ from paperloom import fixed_values as fixed
 from paperloom import schemas
 from paperloom.functions.text import as_timestamp
 from paperloom.operators import chunking, ingest, naming
-from paperloom.operators.documents import unchunked_documents
 from paperloom.sources import tables
 
 DECODED_TABLE = "decoded_files"
@@ -23,8 +22,13 @@ BATCH_TABLE = "finished_batch"
 
 DECODED = ingest.DECODED_SCHEMA
 COUNTED = ("files", "documents", "chunks", "errors")
-FINISHED = "files long, documents long, chunks long, errors long, seconds double, created_at timestamp"
-DISPOSITION = "src_path string, file_name string, outcome string, target_folder string, archived_path string"
+FINISHED = (
+    "files long, documents long, chunks long, errors long, seconds double, created_at timestamp"
+)
+DISPOSITION = (
+    "src_path string, file_name string, outcome string, target_folder string, "
+    "archived_path string"
+)
 
 
 def ingest_batch(
@@ -71,11 +75,10 @@ def ingest_batch(
     )
     documents = stored(fixed.DOCUMENT_TABLE, schemas.DOCUMENT)
 
-    def chunks_of(rows: DataFrame) -> DataFrame:
-        keyed = rows.select(F.col("id").alias("document_id"), F.col("file_path"), "text")
-        return chunking.recursive_chunks(keyed, ["document_id", "file_path"], splitter=splitter)
-
-    good = chunks_of(documents).filter(F.col("error").isNull())
+    keyed = documents.select(F.col("id").alias("document_id"), "file_path", "text")
+    chunked = chunking.recursive_chunks(keyed, ["document_id", "file_path"], splitter=splitter)
+    failures = Observation(f"failures-{batch_id}-{uuid.uuid4()}")
+    good = chunked.observe(failures, F.count("error").alias("rows")).filter(F.col("error").isNull())
     tables.write_batch(
         counted(
             "chunks", chunking.chunk_rows(good, created_at, "document_id", F.col("file_path"))
@@ -85,12 +88,10 @@ def ingest_batch(
         batch_id,
     )
 
-    # Few documents end up without chunks; only these are looked at again for why.
-    chunks = stored(fixed.CHUNK_TABLE, schemas.CHUNK)
-    unchunked = chunks_of(unchunked_documents(documents, chunks)).select("document_id", "error")
-    errors = ingest.error_rows(decoded, created_at).unionByName(
-        ingest.chunk_error_rows(unchunked, documents, created_at)
-    )
+    errors = ingest.error_rows(decoded, created_at)
+    if failures.get["rows"]:
+        # Rare, so the texts are only then gone through again for the messages.
+        errors = errors.unionByName(ingest.chunk_error_rows(chunked, created_at))
     tables.write_batch(counted("errors", errors), store, fixed.ERROR_TABLE, batch_id)
     tables.write_batch(
         disposed_files(spark, store, decoded, batch_id, processed_folder, error_folder),

@@ -15,8 +15,6 @@ from paperloom.sources import tables
 
 EMBEDDING_TABLE = "document_chunk_embedding"
 _SOURCE = "source_batch"
-
-
 EMBEDDED = T.StructType([*schemas.CHUNK_EMBEDDING.fields, T.StructField(_SOURCE, T.LongType())])
 
 
