@@ -32,7 +32,8 @@ def generate(
     error text as response. Responses are cleaned. Rows keep their identity by
     their own columns; no order of rows is relied on.
     """
-    asked = prompts.withColumn("_asked", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    wanted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    asked = prompts.withColumn("_asked", wanted)
     schema = T.StructType(
         [
             *asked.schema.fields,

@@ -66,6 +66,17 @@ def latest_templates(registry: DataFrame) -> DataFrame:
     )
 
 
+def templates_in_force(registry: DataFrame) -> dict[str, str]:
+    """The same as a dictionary, for jobs whose prompts are known beforehand."""
+    return {row["name"]: row["template"] for row in latest_templates(registry).collect()}
+
+
+def task_prompt(template: str, text: Column, target_language: Column) -> Column:
+    """Prompt of one task from its template."""
+    language = F.coalesce(target_language, F.lit(prompt_texts.UNNAMED_LANGUAGE))
+    return render_fixed(template, {"text": text, "target_language": language})
+
+
 def task_prompts(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Add ``prompt`` to requests (``task, text, target_language``).
 

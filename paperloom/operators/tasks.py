@@ -115,8 +115,11 @@ def call_agents(
         F.lit(None).cast("string").alias("_error"),
     )
 
+    templates = prompting.templates_in_force(registry)
     for step, task in (("summarize", "summarize_text"), ("translate", "translate_text")):
-        state = _model_step(state, F.array_contains("steps", step), task, make_model, registry)
+        state = _model_step(
+            state, F.array_contains("steps", step), task, make_model, templates[task]
+        )
     answered = generation.generate(
         state, make_model, "call_agent", "_whole", F.col("_whole").isNotNull()
     )
@@ -135,13 +138,13 @@ def _model_step(
     wanted: Column,
     task: str,
     make_model: Callable[[], generation.Model],
-    registry: DataFrame,
+    template: str,
 ) -> DataFrame:
     """Run one task for the rows that want it and have not failed before."""
-    prompted = prompting.task_prompts(state.withColumn("task", F.lit(task)), registry)
-    answered = generation.generate(
-        prompted, make_model, task, where=wanted & F.col("_error").isNull()
-    )
+    prompt = prompting.task_prompt(template, F.col("text"), F.col("target_language"))
+    due = wanted & F.col("_error").isNull()
+    prompted = state.withColumn("_prompt", F.when(due, prompt))
+    answered = generation.generate(prompted, make_model, task, "_prompt", due)
     return answered.select(
         *[name for name in state.columns if name not in ("text", "_error")],
         F.coalesce("response", "text").alias("text"),

@@ -81,17 +81,33 @@ def with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", LONG, True)])
 
 
-def create_tables(spark: SparkSession, database: str | None = None) -> None:
+def create_tables(
+    spark: SparkSession, database: str | None = None, store: str | None = None
+) -> None:
     """Create the contract tables in the session's catalog where they are missing.
 
     Ingested tables are partitioned by batch, so that a replayed batch replaces
-    its own rows and readers can prune to the batches they want.
+    its own rows and readers can prune to the batches they want. With ``store``
+    they are the ones ingest jobs write there.
     """
     prefix = f"{database}." if database else ""
     for name, schema in CONTRACTS.items():
-        stored = schema if name == fixed.FEEDBACK_TABLE else with_batch(schema)
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored)
-        layout = "" if stored is schema else " PARTITIONED BY (batch_id)"
+        ingested = name != fixed.FEEDBACK_TABLE
+        columns = ", ".join(
+            f"`{f.name}` {f.dataType.simpleString()}"
+            for f in (with_batch(schema) if ingested else schema)
+        )
+        layout = " PARTITIONED BY (batch_id)" if ingested else ""
+        place = f" LOCATION '{store.rstrip('/')}/{name}'" if ingested and store else ""
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {prefix}`{name}` ({columns}) USING parquet{layout}"
+            f"CREATE TABLE IF NOT EXISTS {prefix}`{name}` ({columns}) USING parquet{layout}{place}"
         )
+
+
+def refresh_tables(spark: SparkSession, database: str | None = None) -> None:
+    """Make batches written since known to the catalog."""
+    prefix = f"{database}." if database else ""
+    for name in CONTRACTS:
+        if name != fixed.FEEDBACK_TABLE:
+            spark.sql(f"ALTER TABLE {prefix}`{name}` RECOVER PARTITIONS")
+            spark.catalog.refreshTable(f"{prefix}{name}")

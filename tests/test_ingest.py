@@ -123,6 +123,23 @@ def test_batch_and_its_replay(spark, landing, tmp_path):
     assert report[0].seconds > 0
 
 
+def test_stored_tables_are_there_for_sql(spark, landing, tmp_path):
+    store = str(tmp_path / "store")
+    spark.sql("CREATE DATABASE IF NOT EXISTS ingested")
+    schemas.create_tables(spark, "ingested", store)
+    for batch in range(2):
+        ingest_batch(landing_files(spark, str(landing)), store, batch, NOW)
+        schemas.refresh_tables(spark, "ingested")
+        assert spark.table("ingested.document").count() == 4 * (batch + 1)
+    latest = spark.sql(
+        "SELECT id FROM ingested.document WHERE document_uuid = :uuid ORDER BY created_at DESC LIMIT 1",
+        args={"uuid": UUID},
+    ).collect()
+    chunks = spark.table("ingested.document_chunks_staging").filter("batch_id = 1")
+    assert chunks.filter(F.col("document_id") == latest[0].id).count() > 1
+    assert spark.table("ingested.document_processing_error").count() == 2
+
+
 def test_replay_that_goes_better_leaves_no_error_behind(spark, landing, tmp_path):
     store = tmp_path / "store"
     files = landing_files(spark, str(landing))
