@@ -41,6 +41,8 @@ ERROR_PREFIXES = {
     "translate_text": "Error translating text: ",
     "call_agent": "An error occurred while processing your request: ",
 }
+EXTRACTION_FAILED = "Failed to extract text from PDF: "
+CHUNKING_FAILED = "Failed to chunk document "
 DOCUMENT_LABEL = "Document "
 DOCUMENTS_PREAMBLE = "Answer questions based on these Context documents:\n"
 DOCUMENTS_ACKNOWLEDGED = "Context Documents Acknowledged."

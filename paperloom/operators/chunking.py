@@ -192,7 +192,9 @@ def recursive_chunks(
 
 
 def register_chunker(
-    spark: SparkSession, name: str = "recursive_chunks", splitter: Callable[[str], list[str]] | None = None
+    spark: SparkSession,
+    name: str = "recursive_chunks",
+    splitter: Callable[[str], list[str]] | None = None,
 ) -> None:
     """Make the chunker a table function for SQL:
     ``SELECT ... FROM documents, LATERAL recursive_chunks(text)``."""

@@ -19,7 +19,7 @@ def latest_ids(
     return (
         documents.groupBy(key)
         .agg(F.max(F.struct(created, id_column)).alias("_newest"))
-        .select(key, F.col("_newest")[created].alias(created), F.col("_newest")[id_column].alias(id_column))
+        .select(key, *[F.col("_newest")[name].alias(name) for name in (created, id_column)])
     )
 
 

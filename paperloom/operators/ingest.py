@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom import fixed_values as fixed
 from paperloom.functions.text import (
     as_timestamp,
     document_uuid,
@@ -45,7 +46,7 @@ def decode_files(files: DataFrame, decoder: Decoder = utf8_pages) -> DataFrame:
             return decoder(content), None, None
         except Exception as failure:
             message = str(failure) or type(failure).__name__
-            return None, f"Failed to extract text: {message}", traceback.format_exc()
+            return None, fixed.EXTRACTION_FAILED + message, traceback.format_exc()
 
     def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,7 +70,8 @@ def assemble_pages(pages: DataFrame, key: str = "path") -> DataFrame:
     A group ends up in one cell, the file's text; no plan can spread that. The
     ingest jobs keep a file's pages in one row and need no shuffle at all.
     """
-    items = F.collect_list(F.struct(F.col("page_no").alias("position"), F.col("page_text").alias("text")))
+    page = F.struct(F.col("page_no").alias("position"), F.col("page_text").alias("text"))
+    items = F.collect_list(page)
     return pages.groupBy(key).agg(
         F.count(F.lit(1)).cast("int").alias("page_count"),
         ordered_text(items, "").alias("text"),
@@ -134,7 +136,10 @@ def chunk_error_rows(chunked: DataFrame, error_timestamp) -> DataFrame:
         file_name(F.col("file_path")).alias("file_name"),
         "file_path",
         F.concat(
-            F.lit("Failed to chunk document: "), F.substring_index("error", "\n", 1)
+            F.lit(fixed.CHUNKING_FAILED),
+            F.col("document_id").cast("string"),
+            F.lit(": "),
+            F.substring_index("error", "\n", 1),
         ).alias("error_message"),
         F.col("error").alias("stack_trace"),
     )

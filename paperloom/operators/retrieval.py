@@ -147,7 +147,8 @@ def nearest_cells(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.n
     rows_at_once = max(_SCORES_PER_BLOCK // len(directions), 1)
     for start in range(0, len(vectors), rows_at_once):
         closeness = vectors[start : start + rows_at_once] @ directions.T
-        chosen[start : start + rows_at_once] = np.argsort(-closeness, axis=1, kind="stable")[:, :probes]
+        nearest = np.argsort(-closeness, axis=1, kind="stable")[:, :probes]
+        chosen[start : start + rows_at_once] = nearest
     return chosen
 
 
@@ -189,12 +190,12 @@ class _Ranker:
 
     def _inputs(self, chunks: DataFrame, *extra: str) -> DataFrame:
         vector = "chunk_text" if self.embedder else "embedding"
-        columns = ["document_id", "chunk_index", vector, *self.carry, *extra]
         usable = chunks if self.embedder else chunks.filter(F.col("embedding").isNotNull())
-        return usable.select(*[
-            F.col(name).cast("long").alias(name) if name in ("document_id", "chunk_index") else F.col(name)
-            for name in dict.fromkeys(columns)
-        ])
+        return usable.select(
+            F.col("document_id").cast("long").alias("document_id"),
+            F.col("chunk_index").cast("long").alias("chunk_index"),
+            *dict.fromkeys([vector, *self.carry, *extra]),
+        )
 
     def broadcast_candidates(
         self,
@@ -249,7 +250,9 @@ class _Ranker:
 class _Search:
     """The k best chunks per question among the Arrow batches of one task."""
 
-    def __init__(self, k: int, min_score: float, embedder: Embedder | None, carry: list[str]) -> None:
+    def __init__(
+        self, k: int, min_score: float, embedder: Embedder | None, carry: list[str]
+    ) -> None:
         self.k = k
         self.min_score = min_score
         self.embedder = embedder

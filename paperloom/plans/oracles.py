@@ -468,7 +468,7 @@ FROM decoded WHERE NOT broken""",
     "ingest_errors": f"""
 WITH {DECODED}
 SELECT path AS file_path, file_name,
-  'Failed to extract text: ''utf-8'' codec can''t decode byte 0xff in position '
+  '{fixed.EXTRACTION_FAILED}''utf-8'' codec can''t decode byte 0xff in position '
     || strlen(text) || ': invalid start byte' AS error_message,
   '2024-05-01 12:00:00' AS error_timestamp
 FROM decoded WHERE broken""",
