@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import traceback
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -98,15 +99,25 @@ class RecursiveSplitter:
             yield from self._windows(start, end)
             return
 
-        run = [start]  # cut positions of short pieces that follow each other
+        # Cut positions of the short pieces that make up the chunk being packed.
+        cuts = deque([start])
         for piece_end in self._cuts(text, separator, start, end):
-            if piece_end - run[-1] < self.size:
-                run.append(piece_end)
+            piece_start = cuts[-1]
+            fits = piece_end - cuts[0] <= self.size
+            long = piece_end - piece_start >= self.size
+            if (long or not fits) and piece_start > cuts[0]:
+                yield cuts[0], piece_start
+            if long:
+                yield from self.spans(text, piece_start, piece_end, level + 1)
+                cuts = deque([piece_end])
                 continue
-            yield from self._pack(run)
-            yield from self.spans(text, run[-1], piece_end, level + 1)
-            run = [piece_end]
-        yield from self._pack(run)
+            while not fits and len(cuts) > 1:
+                if piece_start - cuts[0] <= self.overlap and piece_end - cuts[0] <= self.size:
+                    break
+                cuts.popleft()
+            cuts.append(piece_end)
+        if cuts[-1] > cuts[0]:
+            yield cuts[0], cuts[-1]
 
     def _windows(self, start: int, end: int) -> Iterator[tuple[int, int]]:
         """Single characters packed: windows at a fixed stride."""
@@ -130,23 +141,6 @@ class RecursiveSplitter:
         if end > start:
             yield end
 
-    def _pack(self, cuts: list[int]) -> Iterator[tuple[int, int]]:
-        """Chunks of the consecutive pieces between the given cut positions."""
-        first = 0
-        for last in range(1, len(cuts)):
-            piece_end = cuts[last]
-            if piece_end - cuts[first] <= self.size:
-                continue
-            held = cuts[last - 1]
-            if held > cuts[first]:
-                yield cuts[first], held
-            while first < last - 1 and (
-                held - cuts[first] > self.overlap or piece_end - cuts[first] > self.size
-            ):
-                first += 1
-        if cuts[-1] > cuts[first]:
-            yield cuts[first], cuts[-1]
-
 
 def recursive_chunks(
     documents: DataFrame,
