@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.plans.spread import salted_join
+
 
 def latest_ids(
     documents: DataFrame,
@@ -41,15 +43,22 @@ def latest_one(
 def attach_document_ids(
     chunks: DataFrame, documents: DataFrame, key: str = "document_uuid"
 ) -> DataFrame:
-    """Chunks with the id of the newest document of their key; others drop out."""
+    """Chunks with the id of the newest document of their key; others drop out.
+
+    A document may have most of the chunks, so they are dealt over partitions.
+    """
     newest = latest_ids(documents, key).select(key, F.col("id").alias("document_id"))
-    return chunks.join(newest, key)
+    return salted_join(chunks, newest, [key], F.col("chunk_index"))
 
 
 def orphan_chunks(
     chunks: DataFrame, documents: DataFrame, document_key: str = "id"
 ) -> DataFrame:
-    """Chunks whose document does not exist."""
+    """Chunks whose document does not exist.
+
+    Both sides are shuffled as they are, so adaptive execution can split a
+    document that has most of the chunks.
+    """
     known = documents.select(F.col(document_key).alias("document_id"))
     return chunks.join(known, "document_id", "left_anti")
 

@@ -51,11 +51,14 @@ def archive_names(files: DataFrame, taken: DataFrame) -> DataFrame:
         "_served",
     ).select("src_path", "file_name", (F.col("_served") - 1).alias("_position"))
 
-    used = (
+    occupied = (
         taken.select("file_name", F.lit(0).cast("long").alias("_counter"))
         .unionByName(_as_counted(taken))
         .unionByName(_as_counted(files))
-        .join(files.select("file_name").distinct(), "file_name", "left_semi")
+    )
+    asked_for = files.select("file_name").distinct()
+    used = (
+        spread.salted_join(occupied, asked_for, ["file_name"], F.col("_counter"), "left_semi")
         .repartition("file_name", "_counter")
         .distinct()
     )

@@ -1,4 +1,4 @@
-"""Running values per key that survive a hot key.
+"""Running values and joins that survive a hot key.
 
 A window partitioned by the key alone puts all rows of a key into one task. Here
 a key's rows are cut into segments along the order column. Windows run per
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SEGMENT = "_segment"
+SALTS = 8
 
 
 def by_number(position: Column, width: int) -> Column:
@@ -113,3 +114,18 @@ def next_row(
         .filter(F.col("_copy") == 0)
         .select(*rows.columns, out)
     )
+
+
+def salted_join(
+    rows: DataFrame, matches: DataFrame, keys: list[str], deal_by: Column, how: str = "inner"
+) -> DataFrame:
+    """Join rows, of which a key may have many, with ``matches``, of which it has few.
+
+    A key's rows are dealt over several partitions by ``deal_by``, each with a
+    copy of the key's matches. The copies also part the join from an aggregate
+    below ``matches``, next to which adaptive execution does not split a
+    partition that is still too large.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int"))
+    copies = matches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
