@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import fixed_values as fixed
+from paperloom import schemas
 from paperloom.functions.text import (
     as_timestamp,
     document_uuid,
@@ -19,6 +20,8 @@ from paperloom.functions.text import (
     word_count,
 )
 
+PROCESSED, FAILED = "processed", "error"
+
 Decoder = Callable[[bytes], list[str]]
 
 DECODED_SCHEMA = (
@@ -84,44 +87,57 @@ def document_id(path: Column, modified: Column) -> Column:
     return F.xxhash64(path, modified)
 
 
-def document_rows(decoded: DataFrame, created_at) -> DataFrame:
-    """Rows of the document table for the files that could be read."""
+def file_rows(decoded: DataFrame, created_at) -> DataFrame:
+    """One row per decoded file: the columns of its document, or its error, and
+    ``outcome``, processed or error. Both kinds can be written in one pass."""
     now = as_timestamp(created_at)
     path, modified = F.col("path"), F.col("modificationTime")
-    return (
-        decoded.filter(F.col("error_message").isNull())
-        .select(
-            document_id(path, modified).alias("id"),
-            document_uuid(path, modified).alias("document_uuid"),
-            now.alias("upload_timestamp"),
-            F.size("pages").cast("int").alias("page_count"),
-            F.array_join("pages", "").alias("text"),
-            file_name(path).alias("file_name"),
-            path.alias("file_path"),
-        )
-        .select(
-            "id",
-            "document_uuid",
-            "upload_timestamp",
-            "page_count",
-            word_count(F.col("text")).alias("word_count"),
-            now.alias("created_at"),
-            expiry(now).alias("expires_at"),
-            "text",
-            "file_name",
-            "file_path",
-        )
+    read = F.col("error_message").isNull()
+    return decoded.select(
+        document_id(path, modified).alias("id"),
+        document_uuid(path, modified).alias("document_uuid"),
+        F.when(read, F.size("pages")).cast("int").alias("page_count"),
+        F.array_join("pages", "").alias("text"),
+        file_name(path).alias("file_name"),
+        path.alias("file_path"),
+        "error_message",
+        "stack_trace",
+        F.when(read, PROCESSED).otherwise(FAILED).alias("outcome"),
+    ).select(
+        "id",
+        "document_uuid",
+        now.alias("upload_timestamp"),
+        "page_count",
+        F.when(F.col("text").isNotNull(), word_count(F.col("text"))).alias("word_count"),
+        now.alias("created_at"),
+        expiry(now).alias("expires_at"),
+        "text",
+        "file_name",
+        "file_path",
+        "error_message",
+        "stack_trace",
+        "outcome",
     )
 
 
+def document_rows(decoded: DataFrame, created_at) -> DataFrame:
+    """Rows of the document table for the files that could be read."""
+    rows = file_rows(decoded, created_at).filter(F.col("outcome") == PROCESSED)
+    return rows.select(*schemas.DOCUMENT.names)
+
+
 def error_rows(decoded: DataFrame, error_timestamp) -> DataFrame:
     """Rows of the error table for the files that could not be read."""
-    path = F.col("path")
-    return decoded.filter(F.col("error_message").isNotNull()).select(
-        F.xxhash64(path, "modificationTime", "error_message").alias("id"),
+    return failed_rows(file_rows(decoded, error_timestamp), error_timestamp)
+
+
+def failed_rows(files: DataFrame, error_timestamp) -> DataFrame:
+    """The same from file rows."""
+    return files.filter(F.col("outcome") == FAILED).select(
+        F.xxhash64("id", "error_message").alias("id"),
         as_timestamp(error_timestamp).alias("error_timestamp"),
-        file_name(path).alias("file_name"),
-        path.alias("file_path"),
+        "file_name",
+        "file_path",
         "error_message",
         F.coalesce("stack_trace", F.lit("")).alias("stack_trace"),
     )
@@ -145,16 +161,13 @@ def chunk_error_rows(chunked: DataFrame, error_timestamp) -> DataFrame:
     )
 
 
-def dispositions(decoded: DataFrame, processed_folder: str, error_folder: str) -> DataFrame:
-    """Where each handled file goes: its path, name, outcome and target folder.
+def dispositions(files: DataFrame, processed_folder: str, error_folder: str) -> DataFrame:
+    """Where each handled file (see ``file_rows``) goes: path, name, outcome, folder.
 
     The source path stays in the tables as lineage; this adds where the bytes are
     archived. Names within a folder come from ``naming.archive_names``.
     """
-    failed = F.col("error_message").isNotNull()
-    return decoded.select(
-        F.col("path").alias("src_path"),
-        file_name(F.col("path")).alias("file_name"),
-        F.when(failed, "error").otherwise("processed").alias("outcome"),
-        F.when(failed, error_folder).otherwise(processed_folder).alias("target_folder"),
+    folder = F.when(F.col("outcome") == FAILED, error_folder).otherwise(processed_folder)
+    return files.select(
+        F.col("file_path").alias("src_path"), "file_name", "outcome", folder.alias("target_folder")
     )

@@ -16,12 +16,10 @@ from paperloom.functions.text import as_timestamp
 from paperloom.operators import chunking, ingest, naming
 from paperloom.sources import tables
 
-DECODED_TABLE = "decoded_files"
 DISPOSITION_TABLE = "file_disposition"
 BATCH_TABLE = "finished_batch"
 
-DECODED = ingest.DECODED_SCHEMA
-COUNTED = ("files", "documents", "chunks", "errors")
+COUNTED = ("files", "chunks", "errors")
 FINISHED = (
     "files long, documents long, chunks long, errors long, seconds double, created_at timestamp"
 )
@@ -43,13 +41,12 @@ def ingest_batch(
 ) -> None:
     """Take a batch of landing files into the tables below ``store``.
 
-    Files are decoded once, into a stored table from which everything else is
-    read: a lost executor repeats its own part of one step, and the outcome of a
-    file is the same for its document and its error row. A batch is listed as
-    finished last, after all its tables are written; readers join on that list.
-    Running the batch again replaces its rows. The finished list also holds the
-    batch's report: files, documents, chunks, errors and seconds, counted while
-    the tables are written.
+    Files are decoded once and their rows, documents and errors alike, are written
+    in one pass; everything else is read from there. So a lost executor repeats its
+    own part of one step, and a file has one outcome. A batch is listed as finished
+    last, after all its tables are written; readers join on that list. Running the
+    batch again replaces its rows. The finished list also holds the batch's report:
+    files, documents, chunks, errors and seconds, counted while tables are written.
     """
     spark = files.sparkSession
     started = time.monotonic()
@@ -58,22 +55,15 @@ def ingest_batch(
     def counted(name: str, rows: DataFrame) -> DataFrame:
         return rows.observe(seen[name], F.count(F.lit(1)).alias("rows"))
 
-    def stored(name: str, schema) -> DataFrame:
-        return tables.read_batch(spark, store, name, schema, batch_id).drop("batch_id")
-
-    decoded_schema = spark.createDataFrame([], DECODED).schema
-    tables.write_batch(
-        counted("files", ingest.decode_files(files, decoder)), store, DECODED_TABLE, batch_id
-    )
-    decoded = stored(DECODED_TABLE, decoded_schema)
-
-    tables.write_batch(
-        counted("documents", ingest.document_rows(decoded, created_at)),
-        store,
-        fixed.DOCUMENT_TABLE,
-        batch_id,
+    decoded = ingest.file_rows(ingest.decode_files(files, decoder), created_at)
+    rows = decoded.observe(
+        seen["files"],
+        F.count(F.lit(1)).alias("rows"),
+        F.count("error_message").alias("unread"),
     )
-    documents = stored(fixed.DOCUMENT_TABLE, schemas.DOCUMENT)
+    tables.write_batch(rows, store, schemas.FILE_TABLE, batch_id, within=["outcome"])
+    stored = tables.read_batch(spark, store, schemas.FILE_TABLE, schemas.FILE, batch_id)
+    documents = stored.filter(F.col("outcome") == ingest.PROCESSED)
 
     keyed = documents.select(F.col("id").alias("document_id"), "file_path", "text")
     chunked = chunking.recursive_chunks(keyed, ["document_id", "file_path"], splitter=splitter)
@@ -88,21 +78,30 @@ def ingest_batch(
         batch_id,
     )
 
-    errors = ingest.error_rows(decoded, created_at)
+    errors = ingest.failed_rows(stored, created_at)
     if failures.get["rows"]:
         # Rare, so the texts are only then gone through again for the messages.
         errors = errors.unionByName(ingest.chunk_error_rows(chunked, created_at))
     tables.write_batch(counted("errors", errors), store, fixed.ERROR_TABLE, batch_id)
     tables.write_batch(
-        disposed_files(spark, store, decoded, batch_id, processed_folder, error_folder),
+        disposed_files(spark, store, stored, batch_id, processed_folder, error_folder),
         store,
         DISPOSITION_TABLE,
         batch_id,
     )
     report = {name: seen[name].get["rows"] for name in COUNTED}
+    unread = seen["files"].get["unread"]
     finished = spark.createDataFrame(
-        [(*report.values(), round(time.monotonic() - started, 3))],
-        f"{', '.join(f'{name} long' for name in COUNTED)}, seconds double",
+        [
+            (
+                report["files"],
+                report["files"] - unread,
+                report["chunks"],
+                report["errors"],
+                round(time.monotonic() - started, 3),
+            )
+        ],
+        "files long, documents long, chunks long, errors long, seconds double",
     ).withColumn("created_at", as_timestamp(created_at))
     tables.write_batch(finished, store, BATCH_TABLE, batch_id)
 
@@ -110,7 +109,7 @@ def ingest_batch(
 def disposed_files(
     spark: SparkSession,
     store: str,
-    decoded: DataFrame,
+    files: DataFrame,
     batch_id: int,
     processed_folder: str,
     error_folder: str,
@@ -122,7 +121,7 @@ def disposed_files(
     )
     # A name is taken within its folder, so folder and name are counted together.
     whole = F.concat("target_folder", F.lit("/"), "file_name")
-    disposed = ingest.dispositions(decoded, processed_folder, error_folder)
+    disposed = ingest.dispositions(files, processed_folder, error_folder)
     named = naming.archive_names(
         disposed.select("src_path", whole.alias("file_name")),
         earlier.select(F.col("archived_path").alias("file_name")),
@@ -132,9 +131,9 @@ def disposed_files(
     )
 
 
-def finished_rows(spark: SparkSession, store: str, name: str, schema) -> DataFrame:
-    """Rows of a table whose batch is finished, so that no half-written batch is seen."""
+def finished_rows(spark: SparkSession, store: str, rows: DataFrame) -> DataFrame:
+    """Stored rows whose batch is finished, so that no half-written batch is seen."""
     batches = tables.read_table(
         spark, store, BATCH_TABLE, spark.createDataFrame([], FINISHED).schema
     ).select("batch_id")
-    return tables.read_table(spark, store, name, schema).join(batches, "batch_id", "left_semi")
+    return rows.join(batches, "batch_id", "left_semi")

@@ -35,6 +35,17 @@ DOCUMENT = _struct(
     ("file_path", STRING),
 )
 
+# Stored form of a file: its document or its error, told apart by the partition
+# column ``outcome``.
+FILE = T.StructType(
+    [
+        *DOCUMENT.fields,
+        T.StructField("error_message", STRING, True),
+        T.StructField("stack_trace", STRING, True),
+        T.StructField("outcome", STRING, True),
+    ]
+)
+
 CHUNK = _struct(
     ("id", LONG),
     ("document_id", LONG),
@@ -68,6 +79,9 @@ CHUNK_EMBEDDING = _struct(
     ("embedding", T.ArrayType(T.FloatType())),
 )
 
+# Folder of the file rows, of which documents are the readable part.
+FILE_TABLE = "document_files"
+
 CONTRACTS = {
     fixed.DOCUMENT_TABLE: DOCUMENT,
     fixed.CHUNK_TABLE: CHUNK,
@@ -81,33 +95,47 @@ def with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", LONG, True)])
 
 
-def create_tables(
-    spark: SparkSession, database: str | None = None, store: str | None = None
-) -> None:
+def create_tables(spark: SparkSession, database: str | None = None) -> None:
     """Create the contract tables in the session's catalog where they are missing.
 
-    Ingested tables are partitioned by batch, so that a replayed batch replaces
-    its own rows and readers can prune to the batches they want. With ``store``
-    they are the ones ingest jobs write there.
+    Ingested tables are partitioned by batch, so that readers can prune to the
+    batches they want.
     """
     prefix = f"{database}." if database else ""
     for name, schema in CONTRACTS.items():
         ingested = name != fixed.FEEDBACK_TABLE
-        columns = ", ".join(
-            f"`{f.name}` {f.dataType.simpleString()}"
-            for f in (with_batch(schema) if ingested else schema)
-        )
+        columns = _columns(with_batch(schema) if ingested else schema)
         layout = " PARTITIONED BY (batch_id)" if ingested else ""
-        place = f" LOCATION '{store.rstrip('/')}/{name}'" if ingested and store else ""
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {prefix}`{name}` ({columns}) USING parquet{layout}{place}"
+            f"CREATE TABLE IF NOT EXISTS {prefix}`{name}` ({columns}) USING parquet{layout}"
         )
 
 
-def refresh_tables(spark: SparkSession, database: str | None = None) -> None:
-    """Make batches written since known to the catalog."""
-    prefix = f"{database}." if database else ""
-    for name in CONTRACTS:
-        if name != fixed.FEEDBACK_TABLE:
-            spark.sql(f"ALTER TABLE {prefix}`{name}` RECOVER PARTITIONS")
-            spark.catalog.refreshTable(f"{prefix}{name}")
+def open_store(spark: SparkSession, store: str, database: str) -> None:
+    """Show the tables that ingest jobs write below ``store`` in a database.
+
+    To be repeated after a batch, so that the catalog knows its partitions.
+    Documents are a view of the files that could be read.
+    """
+    stored = {
+        FILE_TABLE: (with_batch(FILE), "batch_id, outcome"),
+        fixed.CHUNK_TABLE: (with_batch(CHUNK), "batch_id"),
+        fixed.ERROR_TABLE: (with_batch(PROCESSING_ERROR), "batch_id"),
+    }
+    for name, (schema, parts) in stored.items():
+        table = f"{database}.`{name}`"
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({_columns(schema)}) USING parquet "
+            f"PARTITIONED BY ({parts}) LOCATION '{store.rstrip('/')}/{name}'"
+        )
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        spark.catalog.refreshTable(table)
+    names = ", ".join([*DOCUMENT.names, "batch_id"])
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {database}.`{fixed.DOCUMENT_TABLE}` AS "
+        f"SELECT {names} FROM {database}.`{FILE_TABLE}` WHERE outcome = 'processed'"
+    )
+
+
+def _columns(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

@@ -14,6 +14,9 @@ RECOMMENDED = {
     # would no longer meet. Operators here repartition unions before grouping them;
     # this covers what users add.
     "spark.sql.unionOutputPartitioning": "false",
+    # Documents and errors are written in one pass; without this, tasks would first
+    # sort the texts by outcome.
+    "spark.sql.maxConcurrentOutputFileWriters": "4",
     # Long texts: bound an Arrow batch by its bytes as well as by its rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from paperloom import fixed_values as fixed
 from paperloom import schemas
+from paperloom.operators.ingest import PROCESSED
 
 
 def table_path(store: str, name: str) -> str:
@@ -23,6 +24,12 @@ def read_table(spark: SparkSession, store: str, name: str, schema: T.StructType)
     return spark.read.schema(stored).parquet(path)
 
 
+def read_documents(spark: SparkSession, store: str) -> DataFrame:
+    """The document table: the stored files that could be read."""
+    files = read_table(spark, store, schemas.FILE_TABLE, schemas.FILE)
+    return files.filter(F.col("outcome") == PROCESSED).select(*schemas.DOCUMENT.names, "batch_id")
+
+
 def read_batch(
     spark: SparkSession, store: str, name: str, schema: T.StructType, batch_id: int
 ) -> DataFrame:

@@ -43,6 +43,8 @@ def landing(tmp_path):
 
 
 def table(spark, store, name, schema):
+    if name == "document":
+        return tables.read_documents(spark, str(store))
     return tables.read_table(spark, str(store), name, schema)
 
 
@@ -128,10 +130,9 @@ def test_batch_and_its_replay(spark, landing, tmp_path):
 def test_stored_tables_are_there_for_sql(spark, landing, tmp_path):
     store = str(tmp_path / "store")
     spark.sql("CREATE DATABASE IF NOT EXISTS ingested")
-    schemas.create_tables(spark, "ingested", store)
     for batch in range(2):
         ingest_batch(landing_files(spark, str(landing)), store, batch, NOW)
-        schemas.refresh_tables(spark, "ingested")
+        schemas.open_store(spark, store, "ingested")
         assert spark.table("ingested.document").count() == 4 * (batch + 1)
     latest = spark.sql(
         "SELECT id FROM ingested.document WHERE document_uuid = :uuid ORDER BY created_at DESC LIMIT 1",
@@ -196,12 +197,14 @@ def test_empty_batch_is_finished_with_nothing(spark, tmp_path):
 def test_unfinished_batch_is_not_seen(spark, landing, tmp_path):
     store = tmp_path / "store"
     ingest_batch(landing_files(spark, str(landing)), str(store), 0, NOW)
-    seen = ingest_flow.finished_rows(spark, str(store), "document", schemas.DOCUMENT)
-    assert seen.count() == 4
-    halfway = table(spark, store, "document", schemas.DOCUMENT).drop("batch_id")
-    tables.write_batch(halfway, str(store), "document", 1)
-    assert table(spark, store, "document", schemas.DOCUMENT).count() == 8
-    assert ingest_flow.finished_rows(spark, str(store), "document", schemas.DOCUMENT).count() == 4
+    def finished():
+        return ingest_flow.finished_rows(spark, str(store), table(spark, store, "document", None)).count()
+
+    assert finished() == 4
+    halfway = tables.read_table(spark, str(store), schemas.FILE_TABLE, schemas.FILE).drop("batch_id")
+    tables.write_batch(halfway, str(store), schemas.FILE_TABLE, 1, within=["outcome"])
+    assert table(spark, store, "document", None).count() == 8
+    assert finished() == 4
 
 
 def run(query):
