@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ EMBEDDING_DIMENSION = 256
 class _Buckets(dict):
     """Bucket per word, worked out when a word is first met."""
 
-    _remembered = 200_000
+    _remembered = 500_000
 
     def __init__(self, dimension: int) -> None:
         super().__init__()
@@ -52,10 +53,8 @@ class HashedEmbedder:
     def __call__(self, texts: list[str]) -> np.ndarray:
         words = [words_of(text or "") for text in texts]
         rows = np.repeat(np.arange(len(texts)), [len(own) for own in words])
-        bucket_of = self._buckets.__getitem__
-        buckets = np.fromiter(
-            (bucket for own in words for bucket in map(bucket_of, own)), np.int64, len(rows)
-        )
+        found = map(self._buckets.__getitem__, chain.from_iterable(words))
+        buckets = np.fromiter(found, np.int64, len(rows))
         counts = np.bincount(
             rows * self.dimension + buckets, minlength=len(texts) * self.dimension
         )
