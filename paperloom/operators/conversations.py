@@ -178,7 +178,8 @@ def seeded_turns(turns: DataFrame, contexts: DataFrame, seed: tuple[str, str]) -
         F.lit("system").alias("role"),
         F.concat(F.lit(before), F.col("plain"), F.lit(after)).alias("text"),
     )
-    return turns.select("conv_id", "turn", "role", "text").unionByName(opening)
+    given = turns.select("conv_id", "turn", "role", "text")
+    return given.unionByName(spread.without_partitioning(opening))
 
 
 def feedback_text(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from paperloom import fixed_values as fixed
 from paperloom.operators.embedding import Embedder, as_matrix
+from paperloom.plans.spread import without_partitioning
 
 # Largest question matrix that is sent to every task. A cell of the grid used
 # beyond that holds twice as much on average.
@@ -90,7 +91,7 @@ def approximate_top_k(
             )
             for part in range(parts)
         ]
-        return functools.reduce(DataFrame.unionByName, found)
+        return without_partitioning(functools.reduce(DataFrame.unionByName, found))
     ranker = _Ranker(questions, cells, k, min_score, None, carry)
     ids, matrix = _collect_questions(questions)
     probed = nearest_cells(matrix, centres, probes)

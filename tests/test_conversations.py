@@ -152,3 +152,26 @@ def test_contexts_seeds_and_feedback(spark):
     assert len(seeded) == 6
     texts = {r.conv_id: r.text for r in conversations.feedback_text(turns, contexts).collect()}
     assert texts == {1: "A\nB\n\nhi\nyes", 2: "only\n\n", 3: "x\n\nkept", 4: "\n\nalone"}
+
+
+def test_seeded_turns_can_be_used_further(spark, turns, plan):
+    """The union's sides share a partitioning here, which must not be relied on."""
+    documents = spark.createDataFrame(
+        [(conv, 0, f"doc {conv}") for conv in range(1, 30, 2)], "conv_id long, position int, text string"
+    )
+    contexts = conversations.documents_context(documents)
+    seeded = conversations.seeded_turns(conversations.admitted_turns(turns, CAP), contexts, ("<", ">"))
+    histories = conversations.turn_history(seeded, 100)
+    union = plan(seeded)
+    assert "Coalesce" in union and union.count("Exchange") == plan(histories).count("Exchange") - 2
+    with_system = {row[0] for row in TURNS if row[2] == "system"}
+    expected = {}
+    for conv, rows in by_conversation().items():
+        kept = admitted(rows, CAP)
+        if conv % 2 and conv < 30 and conv not in with_system:
+            kept = [(conv, -1, "system", f"<doc {conv}>"), *kept]
+        for i, row in enumerate(kept):
+            if row[2] == "user":
+                expected[conv, row[1]] = [(r[2], r[3]) for r in kept[:i]]
+    found = {(r.conv_id, r.turn): [tuple(m) for m in r.history] for r in histories.collect()}
+    assert found == expected

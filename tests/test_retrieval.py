@@ -156,6 +156,15 @@ def test_approximate_recall(spark, clusters):
     assert {(key[0], *hit[:2]) for key, hit in found(16).items()} == pairs
     assert found(3, question_bytes=10 * 8 * 32) == found(3)
 
+    named = question_frame(spark, questions).select("query_id", F.lit("q").alias("query"))
+    texts = [
+        {r.query_id: r.context for r in retrieval.contexts(named, retrieval.approximate_top_k(
+            question_frame(spark, questions), cells, centres, 3, carry=("chunk_text",), question_bytes=limit
+        )).collect()}
+        for limit in (10 * 8 * 32, 10_000_000)
+    ]
+    assert texts[0] == texts[1] and all(text.count("\n\n") == 2 for text in texts[0].values())
+
 
 def test_probed_cells_prune_stored_partitions(spark, clusters, plan, tmp_path):
     questions, chunks = clusters
