@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import line_dedup, url_filter
-from paperloom.llm.common import table
+from paperloom.llm import line_dedup, piece_encoding, token_store, url_filter
+from paperloom.llm.common import shared_folder, table
 
+TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 URL_RULES = (
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -17,6 +21,39 @@ URL_RULES = (
 )
 
 
+def tokenizer_file(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
+def op3_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = token_store.new_path(shared_folder(spark))
+    token_store.write_tokens(docs, path, tokenizer_file("byte_bpe_50k.json"))
+    return token_store.read_documents(spark, path).select(
+        "doc_id", "start", "n_tokens", token_store.ids_crc32(F.col("ids")).alias("ids_crc32")
+    )
+
+
+def _joined_by_commas(ids: Column) -> Column:
+    @F.pandas_udf("string")
+    def joined(lists: pd.Series) -> pd.Series:
+        return pd.Series([",".join(map(str, x.tolist())) for x in lists], dtype=object)
+
+    return joined(ids)
+
+
+def op4_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = docs.select("doc_id", piece_encoding.encode_pieces(F.col("text"), model).alias("ids"))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(_joined_by_commas(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(piece_encoding.decode_pieces(F.col("ids"), model), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.remove_repeated_lines(docs).select(
@@ -36,6 +73,8 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_store": op3_token_store,
+    "op4_piece_encoding": op4_piece_encoding,
     "op7_line_dedup": op7_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
