@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +67,16 @@ def free_names(frame: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def kept_in_worker(key: tuple, make: Callable[[], Any], most: int = 4) -> Any:
+    """``make()``, once for each key in the life of a worker process.
+
+    Functions reach workers by value, with new globals for each task; what is kept
+    lives in a module that is always there."""
+    kept = sys.__dict__.setdefault("_paperloom_kept", {})
+    if key not in kept:
+        if len(kept) >= most:
+            kept.clear()
+        kept[key] = make()
+    return kept[key]

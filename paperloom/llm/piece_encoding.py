@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,6 +21,8 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import kept_in_worker
+
 SPACE = "▁"
 #: Words and pairs that a worker remembers. Only speed depends on these.
 WORDS_KEPT = 600_000
@@ -152,10 +153,9 @@ class PieceTable:
         return np.frombuffer(ids, np.int32)
 
 
-@lru_cache(maxsize=2)
 def piece_table(model_file: str) -> PieceTable:
     """One table a worker and model."""
-    return PieceTable(model_file)
+    return kept_in_worker(("pieces", model_file), lambda: PieceTable(model_file))
 
 
 def encode_pieces(text: Column, model_file: str) -> Column:

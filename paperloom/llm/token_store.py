@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paperloom.llm.common import blocks_of
+from paperloom.llm.common import blocks_of, kept_in_worker
 
 SEGMENTS_KEPT = 600_000
 _WORDS_A_CALL = 2_000
@@ -86,9 +87,9 @@ class SegmentEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def segment_encoder(tokenizer_file: str) -> SegmentEncoder:
-    return SegmentEncoder(tokenizer_file)
+    """One encoder a worker and file."""
+    return kept_in_worker(("segments", tokenizer_file), lambda: SegmentEncoder(tokenizer_file))
 
 
 _SLICE_CHARS = 4_000_000
@@ -236,10 +237,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def ids_crc32(ids: Column) -> Column:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-    import zlib
-
-    import pandas as pd
-
     @F.pandas_udf("long")
     def crc(lists: pd.Series) -> pd.Series:
         return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in lists], dtype="int64")
