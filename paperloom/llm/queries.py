@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import line_dedup, piece_encoding, token_store, url_filter
+from paperloom.llm import line_dedup, near_dedup, piece_encoding, token_store, url_filter
 from paperloom.llm.common import shared_folder, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -65,6 +65,13 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, near_dedup.Plan(width=2)).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, rules=URL_RULES).select(
@@ -76,5 +83,6 @@ QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_piece_encoding": op4_piece_encoding,
     "op7_line_dedup": op7_line_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
