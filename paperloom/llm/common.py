@@ -80,3 +80,26 @@ def kept_in_worker(key: tuple, make: Callable[[], Any], most: int = 4) -> Any:
             kept.clear()
         kept[key] = make()
     return kept[key]
+
+
+class Memo:
+    """What a worker remembers of words, in two generations of bounded size. When the
+    new one is full it becomes the old one; words still in use move on."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def unknown(self, words: set) -> list:
+        """Those of the words that nothing is known of; the others are in ``new`` now."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        fresh = []
+        for word in words.difference(self.new):
+            found = self.old.get(word)
+            if found is None:
+                fresh.append(word)
+            else:
+                self.new[word] = found
+        return fresh

@@ -17,16 +17,19 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import kept_in_worker
+from paperloom.llm.common import Memo, kept_in_worker
+from paperloom.llm.words import text_slices
 
 SPACE = "▁"
 #: Words and pairs that a worker remembers. Only speed depends on these.
-WORDS_KEPT = 600_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 400_000
+SLICE_CHARS = 1_500_000
 
 
 class PieceTable:
@@ -57,7 +60,7 @@ class PieceTable:
         parted = not any(crossing.search(piece) for piece in self.scores)
         pattern = f"{SPACE}*[^{SPACE}]+|{SPACE}+" if parted else r"(?s:.+)"
         self.words_of = re.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(WORDS_KEPT)
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -140,10 +143,8 @@ class PieceTable:
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.words_of(self.library.normalize(text))
-        words = self.words
-        if len(words) > WORDS_KEPT:
-            words.clear()
-        fresh = set(parts).difference(words)
+        fresh = self.words.unknown(set(parts))
+        words = self.words.new
         for word in fresh:
             words[word] = self._word(word)
         ids = b"".join(map(words.__getitem__, parts))
@@ -158,20 +159,49 @@ def piece_table(model_file: str) -> PieceTable:
     return kept_in_worker(("pieces", model_file), lambda: PieceTable(model_file))
 
 
-def encode_pieces(text: Column, model_file: str) -> Column:
-    """Ids of a text as the model's library gives them, without begin and end ids.
-
-    Null and empty texts have an empty list. The model needs byte pieces for
-    characters outside its vocabulary, and its file must be on every executor.
+def encode_documents(
+    docs: DataFrame,
+    model_file: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str | None = "decoded",
+) -> DataFrame:
+    """The rows with two more columns: the ids of ``text`` as the model's library gives
+    them, without begin and end ids, and the text that these ids decode to.
+
+    Null and empty texts have no ids and decode to an empty text. Existing columns of
+    those names are replaced; repeated rows are encoded each; an empty table stays
+    empty; nothing is shuffled. The model needs byte pieces for characters outside
+    its vocabulary, and its file must be on every executor. Rows are handed on in
+    slices of bounded size, whatever the size of the batches that come in.
     """
+    docs = docs.drop(ids, *([decoded] if decoded else []))
+    fields = [F.lit(None).cast("array<int>").alias(ids)]
+    if decoded:
+        fields.append(F.lit("").alias(decoded))
+    schema = docs.select("*", *fields).schema
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model_file)
-        for texts in batches:
-            yield pd.Series([table.encode(t) for t in texts], dtype=object)
-
-    return encoded(F.coalesce(text, F.lit("")))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            for first, last in text_slices(texts, SLICE_CHARS):
+                found = [table.encode(t or "") for t in texts[first:last]]
+                offsets = np.zeros(len(found) + 1, np.int32)
+                np.cumsum([len(x) for x in found], out=offsets[1:])
+                lists = pa.ListArray.from_arrays(offsets, np.concatenate(found))
+                more = {ids: lists}
+                if decoded:
+                    more[decoded] = pa.array(
+                        [table.library.decode(x.tolist()) if len(x) else "" for x in found],
+                        pa.string(),
+                    )
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *more.values()], [*part.schema.names, *more]
+                )
+
+    return docs.mapInArrow(encode, schema)
 
 
 def decode_pieces(ids: Column, model_file: str) -> Column:

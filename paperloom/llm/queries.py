@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import line_dedup, near_dedup, piece_encoding, token_store, url_filter
+from paperloom.llm import line_dedup, lm_scoring, near_dedup, piece_encoding, token_store, url_filter
 from paperloom.llm.common import shared_folder, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -25,6 +24,11 @@ def tokenizer_file(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lm_scoring.score_documents(docs)
+
+
 def op3_token_store(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path = token_store.new_path(shared_folder(spark))
@@ -34,23 +38,14 @@ def op3_token_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _joined_by_commas(ids: Column) -> Column:
-    @F.pandas_udf("string")
-    def joined(lists: pd.Series) -> pd.Series:
-        return pd.Series([",".join(map(str, x.tolist())) for x in lists], dtype=object)
-
-    return joined(ids)
-
-
 def op4_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
-    model = tokenizer_file("piece_bpe_32k.model")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", piece_encoding.encode_pieces(F.col("text"), model).alias("ids"))
-    return ids.select(
+    model = tokenizer_file("piece_bpe_32k.model")
+    return piece_encoding.encode_documents(docs, model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(_joined_by_commas(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(piece_encoding.decode_pieces(F.col("ids"), model), 256).alias("decoded_sha256"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -80,6 +75,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_token_store": op3_token_store,
     "op4_piece_encoding": op4_piece_encoding,
     "op7_line_dedup": op7_line_dedup,

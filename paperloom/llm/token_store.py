@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paperloom.llm.common import blocks_of, kept_in_worker
+from paperloom.llm.common import Memo, blocks_of, kept_in_worker
+from paperloom.llm.words import text_slices
 
-SEGMENTS_KEPT = 600_000
+SEGMENTS_KEPT = 300_000
 _WORDS_A_CALL = 2_000
+_SLICE_CHARS = 2_000_000
 PART_CHARS = 16_000_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -35,6 +37,7 @@ ROWS_PER_PAGE = 2_000
 #: libraries differ in what they count as such.
 _SEGMENTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 _WORD = re.compile(r" ?\S+").fullmatch
+_LETTER_AND_STOP = re.compile(r" ?\S*[A-Za-zÀ-ÖØ-öø-ÿ][.,]").fullmatch
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 
 
@@ -47,7 +50,7 @@ class SegmentEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}
+        self.known = Memo(SEGMENTS_KEPT)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -72,14 +75,17 @@ class SegmentEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         parts = [[t] if _OTHER_SPACE(t) else _SEGMENTS(t) for t in texts]
-        if len(self.known) > SEGMENTS_KEPT:
-            self.known.clear()
-        known = self.known
-        fresh = set(chain.from_iterable(parts)).difference(known)
-        words = [s for s in fresh if _WORD(s)]
-        others = list(fresh.difference(words))
+        fresh = self.known.unknown(set(chain.from_iterable(parts)))
+        known = self.known.new
+        # A full stop or comma after a letter is never part of the letters' token.
+        ends = {s: s[:-1] for s in fresh if _LETTER_AND_STOP(s)}
+        stems = set(ends.values())
+        missing = self.known.unknown(stems.union(s for s in fresh if s not in ends).union(".,"))
+        words = [s for s in missing if _WORD(s)]
+        others = [s for s in missing if not _WORD(s)]
         known.update(zip(words, self._encode_words(words)))
         known.update(zip(others, self._encode(others)))
+        known.update((s, known[stem] + known[s[-1]]) for s, stem in ends.items())
         out = [b"".join(map(known.__getitem__, segments)) for segments in parts]
         for segment in fresh:
             if len(segment) > 64:
@@ -92,22 +98,6 @@ def segment_encoder(tokenizer_file: str) -> SegmentEncoder:
     return kept_in_worker(("segments", tokenizer_file), lambda: SegmentEncoder(tokenizer_file))
 
 
-_SLICE_CHARS = 4_000_000
-
-
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in slices of bounded size, so that what is remembered of one stays small."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size >= _SLICE_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -157,9 +147,9 @@ def write_tokens(
         encoder = segment_encoder(tokenizer_file)
         row, start = 0, 0
         for batch in batches:
-            at = 0
-            for texts in _slices(batch.column("text").to_pylist()):
-                found = [ids + end for ids in encoder.encode(texts)]
+            texts = batch.column("text").to_pylist()
+            for at, last in text_slices(texts, _SLICE_CHARS):
+                found = [ids + end for ids in encoder.encode(texts[at:last])]
                 sizes = np.array([len(ids) // 4 for ids in found], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 values = np.frombuffer(b"".join(found), "<i4")
@@ -177,7 +167,7 @@ def write_tokens(
                     ],
                     schema=schema,
                 )
-                at, row, start = at + rows, row + rows, start + int(offsets[-1])
+                row, start = row + rows, start + int(offsets[-1])
 
     rows = placed.mapInArrow(
         encode,
