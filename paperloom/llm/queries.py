@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import line_dedup, lm_scoring, near_dedup, piece_encoding, token_store, url_filter
+from paperloom.llm import ann, line_dedup, lm_scoring, near_dedup, piece_encoding, token_store, url_filter
 from paperloom.llm.common import shared_folder, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -29,6 +29,11 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.score_documents(docs)
 
 
+def op2_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_token_store(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path = token_store.new_path(shared_folder(spark))
@@ -76,6 +81,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_nearest_vectors": op2_nearest_vectors,
     "op3_token_store": op3_token_store,
     "op4_piece_encoding": op4_piece_encoding,
     "op7_line_dedup": op7_line_dedup,
