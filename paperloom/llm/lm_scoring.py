@@ -18,6 +18,7 @@ scores as the whole would. A frequent word is one key of each block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +41,7 @@ class Plan(NamedTuple):
     fall: tuple[float, ...] = (0.05, 0.0)
     added: float = 0.1
     key_bits: int = 56
-    block_chars: int = 6_000_000
+    block_chars: int = 4_000_000
     part_words: int = 1_500_000
 
 
@@ -162,70 +163,81 @@ def _answers(requests: DataFrame) -> DataFrame:
     )
 
 
+def _doubles(values: np.ndarray) -> array:
+    return array("d", np.ascontiguousarray(values, np.float64).tobytes())
+
+
+def _longs(values: np.ndarray) -> array:
+    return array("q", np.ascontiguousarray(values, np.int64).tobytes())
+
+
 class Automaton:
-    """States: 0 is the empty history, then the seen histories by order and index."""
+    """States: 0 is the empty history, then the histories of one word, of two and so on,
+    each by its index among the block's n-grams. Arcs are numbered the same way.
+    ``arc_at[n]`` has, for each place of the block's texts, the arc that leads there
+    from a state of n words, -1 if there is none; so no table of arcs is searched."""
 
     def __init__(
         self, grams: _Grams, counts: list[np.ndarray], tokens: int, types: int, plan: Plan
     ):
-        self.words = len(grams.keys[0])
-        known = counts[0] > 0
+        self.longest = plan.order - 1
+        words = np.arange(len(grams.keys[0]))
         share = (counts[0] + plan.added) / (tokens + plan.added * (types + 1))
         self.base = np.log10(share)
-        self.root_weight = self.base.tolist()
-        self.root_target = np.where(known & (plan.order > 1), np.arange(self.words) + 1, 0).tolist()
-        self.arcs: dict[int, int] = {}
-        self.weight: list[float] = []
-        self.target: list[int] = []
-        self.fail_weight = [0.0]
-        self.fail_target = [0]
-        lower_share, lower_first, lower_back = share, 1, np.zeros(self.words, np.int64)
+        weights, targets = [self.base], [np.where(counts[0] > 0, words + 1, 0)]
+        fail_weights, fail_targets = [np.zeros(1)], [np.zeros(1, np.int64)]
+        self.arc_at = [grams.index[0]]
+        arcs, first, back = len(words), 1, np.zeros(len(words), np.int64)
         for n in range(2, plan.order + 1):
             at, under = grams.index[n - 1], grams.index[n - 2]
-            # The n-grams' histories, suffixes and last words, each from one place.
+            # The n-grams' histories and suffixes, each from one place.
             place = np.zeros(len(grams.keys[n - 1]), np.int64)
             place[at[at >= 0]] = np.flatnonzero(at >= 0)
             history, suffix = under[place - 1], under[place]
-            word = grams.index[0][place]
-            seen = counts[n - 2]
+            seen, own = counts[n - 2], counts[n - 1]
             lent = plan.discount[n - 2] * np.maximum(seen, 1.0) ** -plan.fall[n - 2]
-            self.fail_weight += np.log10(lent).tolist()
-            self.fail_target += lower_back.tolist()
-            before = np.maximum(seen[history], 1)
+            fail_weights.append(np.log10(lent))
+            fail_targets.append(back)
+            part = (1 - lent[history]) * own / np.maximum(seen[history], 1)
             share = np.where(
-                seen[history] > 0,
-                (1 - lent[history]) * counts[n - 1] / before + lent[history] * lower_share[suffix],
-                lower_share[suffix],
+                seen[history] > 0, part + lent[history] * share[suffix], share[suffix]
+            )
+            weights.append(np.log10(share))
+            back = np.where(seen[suffix] > 0, first + suffix, 0)
+            if n < plan.order:
+                first += len(seen)
+                targets.append(first + np.arange(len(own)))
+            else:
+                targets.append(first + suffix)
+            self.arc_at.append(
+                np.where((at >= 0) & (own[np.maximum(at, 0)] > 0), arcs + at, -1)
+                if len(own)
+                else at
             )
-            there = np.flatnonzero(counts[n - 1] > 0)
-            first = lower_first + len(seen)
-            states = first + there if n < plan.order else lower_first + suffix[there]
-            keys = (lower_first + history[there]) * self.words + word[there]
-            arc = len(self.weight)
-            self.arcs.update(zip(keys.tolist(), range(arc, arc + len(there))))
-            self.weight += np.log10(share[there]).tolist()
-            self.target += states.tolist()
-            lower_back = np.where(seen[suffix] > 0, lower_first + suffix, 0)
-            lower_share, lower_first = share, first
-
-    def score(self, start: int, words: list[int]) -> float:
-        """Log10-probability of the words in a row, from the state after START."""
-        arcs, weight, target = self.arcs, self.weight, self.target
-        fail_weight, fail_target, size = self.fail_weight, self.fail_target, self.words
-        state, total = start, 0.0
-        for word in words:
-            while True:
-                arc = arcs.get(state * size + word)
-                if arc is not None:
-                    total += weight[arc]
-                    state = target[arc]
-                    break
-                if state == 0:
-                    total += self.root_weight[word]
-                    state = self.root_target[word]
-                    break
+            arcs += len(own)
+        if not self.longest:
+            targets = [np.zeros(len(words), np.int64)]
+        self.weight = _doubles(np.concatenate(weights))
+        self.target = _longs(np.concatenate(targets))
+        self.fail_weight = _doubles(np.concatenate(fail_weights))
+        self.fail_target = _longs(np.concatenate(fail_targets))
+
+    def score(self, start: int, first: int, last: int) -> float:
+        """Log10-probability of the words from place ``first`` to before ``last``, read from
+        left to right from the state ``start``."""
+        weight, target, longest = self.weight, self.target, self.longest
+        fail_weight, fail_target = self.fail_weight, self.fail_target
+        state, length, total = start, int(start > 0), 0.0
+        for arcs in zip(*[at[first:last].tolist() for at in self.arc_at]):
+            arc = arcs[length]
+            while arc < 0:
                 total += fail_weight[state]
                 state = fail_target[state]
+                length -= 1
+                arc = arcs[length]
+            total += weight[arc]
+            state = target[arc]
+            length = min(length + 1, longest) if state else 0
         return total
 
 
@@ -278,7 +290,7 @@ def score_documents(
         is_known = grams.word_at & (counts[0][words] > 0)
         known = np.add.reduceat(is_known, starts, dtype=np.int64)
         scores = [
-            automaton.score(begin, words[a + 1 : b].tolist()) for a, b in zip(starts, cuts)
+            automaton.score(begin, a + 1, b) for a, b in zip(starts.tolist(), cuts.tolist())
         ]
         return pd.DataFrame(
             {

@@ -10,7 +10,7 @@ import xxhash
 
 from paperloom.llm.common import kept_in_worker
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 SLICE_CHARS = 4_000_000
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
