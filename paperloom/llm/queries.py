@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, line_dedup, lm_scoring, near_dedup, piece_encoding, token_store, url_filter
+from paperloom.llm import ann, decontamination, line_dedup, lm_scoring, near_dedup, piece_encoding, token_store, url_filter
 from paperloom.llm.common import shared_folder, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -54,6 +54,12 @@ def op4_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), "leaks")
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.remove_repeated_lines(docs).select(
@@ -84,6 +90,7 @@ QUERIES = {
     "op2_nearest_vectors": op2_nearest_vectors,
     "op3_token_store": op3_token_store,
     "op4_piece_encoding": op4_piece_encoding,
+    "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op10_url_filter": op10_url_filter,
