@@ -7,7 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, decontamination, line_dedup, lm_scoring, near_dedup, piece_encoding, token_store, url_filter
+from paperloom.llm import (
+    ann,
+    decontamination,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    piece_encoding,
+    quality,
+    token_store,
+    url_filter,
+)
 from paperloom.llm.common import shared_folder, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -54,6 +65,11 @@ def op4_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return language_id.identify(docs).drop("text_key")
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.find_leaks(docs, table(spark, folder, "benchmark"))
@@ -78,6 +94,16 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """As many documents are sampled as the labels let expect good ones."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels")
+    share = quality.labelled_share(labels, F.col("quality") == 1)
+    target = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0))
+    k = round(share * docs.count())
+    return quality.resample(docs, target, k).drop("text_key")
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, rules=URL_RULES).select(
@@ -90,8 +116,10 @@ QUERIES = {
     "op2_nearest_vectors": op2_nearest_vectors,
     "op3_token_store": op3_token_store,
     "op4_piece_encoding": op4_piece_encoding,
+    "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_quality_resampling": op9_quality_resampling,
     "op10_url_filter": op10_url_filter,
 }
