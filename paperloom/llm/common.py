@@ -82,24 +82,23 @@ def kept_in_worker(key: tuple, make: Callable[[], Any], most: int = 4) -> Any:
     return kept[key]
 
 
-class Memo:
-    """What a worker remembers of words, in two generations of bounded size. When the
-    new one is full it becomes the old one; words still in use move on."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.new: dict = {}
+class Memo(dict):
+    """What a worker remembers of words: ``memo[word]`` is ``make(word)``, computed once
+    while the word stays in use. Words are held in two generations of at most
+    ``limit``; when the new one is full it becomes the old one. Long ones are not held."""
+
+    def __init__(self, make: Callable, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest = make, limit, longest
         self.old: dict = {}
 
-    def unknown(self, words: set) -> list:
-        """Those of the words that nothing is known of; the others are in ``new`` now."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        fresh = []
-        for word in words.difference(self.new):
-            found = self.old.get(word)
-            if found is None:
-                fresh.append(word)
-            else:
-                self.new[word] = found
-        return fresh
+    def __missing__(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found

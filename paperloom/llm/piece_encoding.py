@@ -60,7 +60,7 @@ class PieceTable:
         parted = not any(crossing.search(piece) for piece in self.scores)
         pattern = f"{SPACE}*[^{SPACE}]+|{SPACE}+" if parted else r"(?s:.+)"
         self.words_of = re.compile(pattern).findall
-        self.words = Memo(WORDS_KEPT)
+        self.words = Memo(self._word, WORDS_KEPT)
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -143,15 +143,7 @@ class PieceTable:
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.words_of(self.library.normalize(text))
-        fresh = self.words.unknown(set(parts))
-        words = self.words.new
-        for word in fresh:
-            words[word] = self._word(word)
-        ids = b"".join(map(words.__getitem__, parts))
-        for word in fresh:
-            if len(word) > 64:
-                del words[word]
-        return np.frombuffer(ids, np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, parts)), np.int32)
 
 
 def piece_table(model_file: str) -> PieceTable:

@@ -12,7 +12,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,6 @@ from paperloom.llm.common import Memo, blocks_of, kept_in_worker
 from paperloom.llm.words import text_slices
 
 SEGMENTS_KEPT = 300_000
-_WORDS_A_CALL = 2_000
 _SLICE_CHARS = 2_000_000
 PART_CHARS = 16_000_000
 ROW_GROUP_BYTES = 16 << 20
@@ -36,61 +34,31 @@ ROWS_PER_PAGE = 2_000
 #: feed, so a text may be cut there. Other white space makes a text one segment:
 #: libraries differ in what they count as such.
 _SEGMENTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-_WORD = re.compile(r" ?\S+").fullmatch
 _LETTER_AND_STOP = re.compile(r" ?\S*[A-Za-zÀ-ÖØ-öø-ÿ][.,]").fullmatch
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 
 
 class SegmentEncoder:
-    """Encodes texts by the library, each distinct segment once."""
+    """Encodes texts by the library, each distinct segment once while it stays in use."""
 
     def __init__(self, tokenizer_file: str):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known = Memo(SEGMENTS_KEPT)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Many words in one call, parted by line feeds, each of which is one id here."""
-        out: list[bytes] = []
-        for k in range(0, len(words), _WORDS_A_CALL):
-            some = words[k : k + _WORDS_A_CALL]
-            ids = np.frombuffer(self._encode(["\n".join(some)])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.line_feed).tolist()
-            if len(cuts) == len(some) - 1:
-                data = ids.tobytes()
-                ends = [*cuts, len(ids)]
-                starts = [0, *(c + 1 for c in cuts)]
-                out += [data[4 * a : 4 * b] for a, b in zip(starts, ends)]
-            else:
-                out += self._encode(some)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        parts = [[t] if _OTHER_SPACE(t) else _SEGMENTS(t) for t in texts]
-        fresh = self.known.unknown(set(chain.from_iterable(parts)))
-        known = self.known.new
-        # A full stop or comma after a letter is never part of the letters' token.
-        ends = {s: s[:-1] for s in fresh if _LETTER_AND_STOP(s)}
-        stems = set(ends.values())
-        missing = self.known.unknown(stems.union(s for s in fresh if s not in ends).union(".,"))
-        words = [s for s in missing if _WORD(s)]
-        others = [s for s in missing if not _WORD(s)]
-        known.update(zip(words, self._encode_words(words)))
-        known.update(zip(others, self._encode(others)))
-        known.update((s, known[stem] + known[s[-1]]) for s, stem in ends.items())
-        out = [b"".join(map(known.__getitem__, segments)) for segments in parts]
-        for segment in fresh:
-            if len(segment) > 64:
-                del known[segment]
-        return out
+        self.known = Memo(self._encode, SEGMENTS_KEPT)
+
+    def _encode(self, segment: str) -> bytes:
+        if _LETTER_AND_STOP(segment):
+            # A full stop or comma after a letter is never part of the letters' token.
+            return self.known[segment[:-1]] + self.known[segment[-1]]
+        found = self.tokenizer.encode(segment, add_special_tokens=False)
+        return np.array(found.ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as little-endian unsigned 32-bit integers."""
+        segments = [text] if _OTHER_SPACE(text) else _SEGMENTS(text)
+        return b"".join(map(self.known.__getitem__, segments))
 
 
 def segment_encoder(tokenizer_file: str) -> SegmentEncoder:
@@ -149,7 +117,7 @@ def write_tokens(
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at, last in text_slices(texts, _SLICE_CHARS):
-                found = [ids + end for ids in encoder.encode(texts[at:last])]
+                found = [encoder.encode(t) + end for t in texts[at:last]]
                 sizes = np.array([len(ids) // 4 for ids in found], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 values = np.frombuffer(b"".join(found), "<i4")

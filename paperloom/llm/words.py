@@ -8,9 +8,9 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-from paperloom.llm.common import kept_in_worker
+from paperloom.llm.common import Memo, kept_in_worker
 
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 SLICE_CHARS = 4_000_000
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -42,11 +42,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     words = [(text or "").encode().lower().split() for text in texts]
     offsets = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(x) for x in words], out=offsets[1:])
-    known = kept_in_worker(("word hashes",), dict)
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    fresh = set(chain.from_iterable(words)).difference(known)
-    known.update((word, xxhash.xxh3_64_intdigest(word)) for word in fresh)
+    known = kept_in_worker(("words",), lambda: Memo(xxhash.xxh3_64_intdigest, WORDS_KEPT))
     flat = map(known.__getitem__, chain.from_iterable(words))
     return np.fromiter(flat, np.uint64, int(offsets[-1])), offsets
 
