@@ -104,23 +104,21 @@ def history_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def turn_history(turns: DataFrame, cap: int = fixed.MESSAGE_CAP) -> DataFrame:
-    """Each user turn with the messages before it, in order.
+def turn_history(turns: DataFrame) -> DataFrame:
+    """Each user turn with all messages before it, in order.
 
-    Only turns the conversation takes in can be asked about, so a history holds
-    at most ``cap`` messages.
+    Put :func:`admitted_turns` in front where conversations are limited.
     """
     message = F.struct("role", "text")
     return (
-        admitted_turns(turns, cap)
-        .withColumn("history", F.collect_list(message).over(_before()))
+        turns.withColumn("history", F.collect_list(message).over(_before()))
         .filter(F.col("role") == "user")
         .select("conv_id", "turn", "text", "history")
     )
 
 
-def paired_history(turns: DataFrame, cap: int = fixed.MESSAGE_CAP) -> DataFrame:
-    """Each user turn with the answered questions before it, as alternating
+def paired_history(turns: DataFrame) -> DataFrame:
+    """Each user turn with all answered questions before it, as alternating
     ``human`` and ``ai`` messages."""
     following = F.lead(F.struct("role", "text")).over(_by_turn())
 
@@ -132,7 +130,7 @@ def paired_history(turns: DataFrame, cap: int = fixed.MESSAGE_CAP) -> DataFrame:
         F.array(message("human", F.col("text")), message("ai", F.col("_next")["text"])),
     )
     return (
-        visible_turns(admitted_turns(turns, cap))
+        visible_turns(turns)
         .withColumn("_next", following)
         .withColumn("history", F.flatten(F.collect_list(pair).over(_before())))
         .filter(F.col("role") == "user")
@@ -182,14 +180,11 @@ def seeded_turns(turns: DataFrame, contexts: DataFrame, seed: tuple[str, str]) -
     return given.unionByName(spread.without_partitioning(opening))
 
 
-def feedback_text(
-    turns: DataFrame, contexts: DataFrame, cap: int = fixed.MESSAGE_CAP
-) -> DataFrame:
-    """Per conversation: its documents, a blank line, its messages, one per line."""
+def feedback_text(turns: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Per conversation: its documents, a blank line, all its messages, one per line."""
     items = F.collect_list(F.struct(F.col("turn").alias("position"), "text"))
     messages = (
-        admitted_turns(turns, cap)
-        .groupBy("conv_id")
+        turns.groupBy("conv_id")
         .agg(ordered_text(items, "\n").alias("_messages"))
     )
     return messages.join(contexts.select("conv_id", "lines"), "conv_id", "full_outer").select(

@@ -53,11 +53,11 @@ def default_templates(spark: SparkSession) -> DataFrame:
 
 def latest_templates(registry: DataFrame) -> DataFrame:
     """Template in force per known prompt name: the newest registered version
-    (``name, version, template``), else the default. At most one row per name."""
+    (``name, version, template``; of equal versions the last text), else the default. At most one row per name."""
     newest = (
         registry.filter(F.col("name").isin(fixed.PROMPT_NAMES))
         .groupBy("name")
-        .agg(F.max_by("template", "version").alias("_registered"))
+        .agg(F.max_by("template", F.struct("version", "template")).alias("_registered"))
     )
     return (
         default_templates(registry.sparkSession)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -16,15 +15,16 @@ from pyspark.sql import types as T
 
 from paperloom import fixed_values as fixed
 from paperloom.operators.embedding import Embedder, as_matrix
-from paperloom.plans.spread import without_partitioning
 
 # Largest question matrix that is sent to every task. A cell of the grid used
 # beyond that holds twice as much on average.
 QUESTION_BYTES = 32 * 1024 * 1024
 # Chunks in one cell of that grid.
 CHUNKS_PER_CELL = 100_000
-# Chunks that cell centres are learned from.
-TRAINING_ROWS = 100_000
+# Largest matrix of cell centres that is sent to every task.
+CENTRE_BYTES = 64 * 1024 * 1024
+# Steps in which the candidates of a question are merged: parts of it, then it.
+_MERGE_PARTS = 32
 # Pairs scored at a time, which bounds the score matrix, and questions among them.
 _SCORES_PER_BLOCK = 2_000_000
 _QUESTIONS_PER_BLOCK = 4096
@@ -70,54 +70,69 @@ def approximate_top_k(
     probes: int,
     k: int = fixed.TOP_K,
     min_score: float | None = None,
-    carry: tuple[str, ...] = (),
+    chunks_per_block: int = CHUNKS_PER_CELL,
     question_bytes: int = QUESTION_BYTES,
 ) -> DataFrame:
     """Like :func:`top_k_chunks`, comparing each question with the chunks of its
     ``probes`` nearest cells only. ``cells`` are chunks from :func:`assign_cells`.
 
-    Stored by cell, cells no question probes are not read. A cell is never
-    gathered: the rows of a large one stay spread over the tasks that read them.
+    Tasks find the cells of their questions. Questions and chunks of a cell meet in
+    blocks of bounded size, so neither a cell nor the questions that probe it are
+    ever gathered. Stored by cell, cells no question probes are not read. What the
+    driver sees are two counts a cell; the centres are checked before they are sent.
     """
-    per_part = max(question_bytes // (8 * centres.shape[1]), 1)
-    count, _ = _measure(questions)
-    if count > per_part:
-        # Half-full parts on average, so that each one is safely within the bound.
-        parts = 2 * math.ceil(count / per_part)
-        found = [
-            approximate_top_k(
-                questions.filter(_hash_part(["query_id"], parts) == part),
-                cells, centres, probes, k, min_score, carry, 2 * question_bytes,
-            )
-            for part in range(parts)
-        ]
-        return without_partitioning(functools.reduce(DataFrame.unionByName, found))
-    ranker = _Ranker(questions, cells, k, min_score, None, carry)
-    ids, matrix = _collect_questions(questions)
-    probed = nearest_cells(matrix, centres, probes)
-    wanted = [int(cell) for cell in np.unique(probed)]
-    reachable = cells.filter(F.col("cell").isin(wanted))
-    return ranker.ranked(ranker.broadcast_candidates((ids, matrix), probed, reachable))
+    ranker = _Ranker(questions, cells, k, min_score, None, ())
+    asked = probed_cells(questions.select("query_id", "embedding"), centres, probes)
+    asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
+    wanted = {row["cell"]: row["count"] for row in asked.groupBy("cell").count().collect()}
+    reachable = cells.filter(F.col("cell").isin(list(wanted)))
+    held = {row["cell"]: row["count"] for row in reachable.groupBy("cell").count().collect()}
+    per_block = max(question_bytes // (8 * centres.shape[1]), 1)
+    grid = [
+        (cell, math.ceil(count / chunks_per_block), math.ceil(wanted[cell] / per_block))
+        for cell, count in held.items()
+    ]
+    sizes = F.broadcast(
+        questions.sparkSession.createDataFrame(grid, "cell int, _rows int, _columns int")
+    )
+
+    def dealt(rows: DataFrame, keys: list[str], own: str, own_parts: str, other: str, others: str):
+        every = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        placed = rows.join(sizes, "cell").withColumn(
+            own, F.pmod(F.xxhash64(*keys), F.col(own_parts)).cast("int")
+        )
+        return placed.withColumn(other, every).drop("_rows", "_columns")
+
+    keys = ["document_id", "chunk_index"]
+    left = dealt(ranker.inputs(reachable, "cell"), keys, "_row", "_rows", "_column", "_columns")
+    right = dealt(asked, ["query_id"], "_column", "_columns", "_row", "_rows")
+    return ranker.ranked(ranker.cell_candidates(left, right, ["cell", "_row", "_column"]))
+
+
+def probed_cells(questions: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """Add ``cells``: the numbers of the ``probes`` centres nearest to the vector."""
+    return _with_cells(questions.filter(F.col("embedding").isNotNull()), centres, probes, "cells")
+
+
+def mean_centres(chunks: DataFrame, group: str) -> np.ndarray:
+    """One centre for each value of ``group``, in its order: the mean of its vectors.
+
+    Means are sums by (group, place), combined before they are shuffled."""
+    entries = chunks.filter("embedding is not null").select(
+        group, F.posexplode("embedding").alias("_at", "_value")
+    )
+    means = entries.groupBy(group, "_at").agg(F.avg(F.col("_value").cast("double")).alias("_mean"))
+    rows = means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_at", "_mean"))).alias("m"))
+    return np.array([[x["_mean"] for x in row["m"]] for row in rows.orderBy(group).collect()])
 
 
 def train_cells(
-    chunks: DataFrame,
-    cells: int,
-    training_rows: int = TRAINING_ROWS,
-    iterations: int = 10,
-    seed: int = 7,
+    chunks: DataFrame, cells: int, iterations: int = 10, seed: int = 7
 ) -> np.ndarray:
-    """Centres of ``cells`` cells, by k-means over the chunks' directions.
-
-    A sample serves for large tables: centres only steer where to look, they
-    decide on no chunk's score.
-    """
+    """Centres of ``cells`` cells, by k-means over the directions of all chunks."""
     usable = chunks.select(array_to_vector("embedding").alias("features")).filter(
         F.exists("embedding", lambda value: value != 0)
     )
-    share = training_rows / max(usable.count(), 1)
-    if share < 1:
-        usable = usable.sample(share, seed)
     model = KMeans(k=cells, distanceMeasure="cosine", maxIter=iterations, seed=seed).fit(usable)
     return np.array(model.clusterCenters())
 
@@ -128,16 +143,27 @@ def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     Written with ``partitionBy("cell")``, this is the index for
     :func:`approximate_top_k`. No shuffle.
     """
-    schema = T.StructType([*chunks.schema.fields, T.StructField("cell", T.IntegerType())])
+    found = _with_cells(chunks, centres, 1, "_cells")
+    return found.withColumn("cell", F.col("_cells")[0]).drop("_cells")
+
+
+def _with_cells(rows: DataFrame, centres: np.ndarray, probes: int, name: str) -> DataFrame:
+    if centres.nbytes > CENTRE_BYTES:
+        raise ValueError(f"centres take {centres.nbytes} bytes; {CENTRE_BYTES} may be sent")
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+    kind = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, kind)])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = as_matrix(batch.column("embedding"), centres.shape[1])
-            cells = nearest_cells(vectors, centres, 1)[:, 0].astype(np.int32)
-            names = [*batch.schema.names, "cell"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=names)
+            vectors = as_matrix(batch.column("embedding"), shared.value.shape[1])
+            found = nearest_cells(vectors, shared.value, probes).astype(np.int32)
+            lists = pa.FixedSizeListArray.from_arrays(found.reshape(-1), found.shape[1])
+            names = [*batch.schema.names, name]
+            columns = [*batch.columns, lists.cast(pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return chunks.mapInArrow(locate, schema)
+    return rows.mapInArrow(locate, schema)
 
 
 def nearest_cells(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
@@ -147,7 +173,9 @@ def nearest_cells(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.n
     chosen = np.empty((len(vectors), probes), dtype=np.int64)
     rows_at_once = max(_SCORES_PER_BLOCK // len(directions), 1)
     for start in range(0, len(vectors), rows_at_once):
-        closeness = vectors[start : start + rows_at_once] @ directions.T
+        block = vectors[start : start + rows_at_once]
+        lengths = np.linalg.norm(block, axis=1, keepdims=True)
+        closeness = np.round(block @ directions.T / np.maximum(lengths, 1e-300), _SCORE_DIGITS)
         nearest = np.argsort(-closeness, axis=1, kind="stable")[:, :probes]
         chosen[start : start + rows_at_once] = nearest
     return chosen
@@ -183,13 +211,20 @@ class _Ranker:
         best_first = Window.partitionBy("query_id").orderBy(
             F.col("score").desc(), "document_id", "chunk_index"
         )
+        part = _hash_part(["document_id", "chunk_index"], _MERGE_PARTS)
+        of_part = Window.partitionBy("query_id", "_part").orderBy(
+            F.col("score").desc(), "document_id", "chunk_index"
+        )
         return (
-            candidates.withColumn("rank", F.row_number().over(best_first))
+            candidates.withColumn("_part", part)
+            .withColumn("_rank", F.row_number().over(of_part))
+            .filter(F.col("_rank") <= self.k)
+            .withColumn("rank", F.row_number().over(best_first))
             .filter(F.col("rank") <= self.k)
             .select("query_id", "rank", "document_id", "chunk_index", "score", *self.carry)
         )
 
-    def _inputs(self, chunks: DataFrame, *extra: str) -> DataFrame:
+    def inputs(self, chunks: DataFrame, *extra: str) -> DataFrame:
         vector = "chunk_text" if self.embedder else "embedding"
         usable = chunks if self.embedder else chunks.filter(F.col("embedding").isNotNull())
         return usable.select(
@@ -198,23 +233,16 @@ class _Ranker:
             *dict.fromkeys([vector, *self.carry, *extra]),
         )
 
-    def broadcast_candidates(
-        self,
-        collected: tuple[pa.Array, np.ndarray] | None = None,
-        probed: np.ndarray | None = None,
-        chunks: DataFrame | None = None,
-    ) -> DataFrame:
-        ids, matrix = collected or _collect_questions(self.questions)
-        shared = self.questions.sparkSession.sparkContext.broadcast((ids, matrix, probed))
+    def broadcast_candidates(self) -> DataFrame:
+        shared = self.questions.sparkSession.sparkContext.broadcast(
+            _collect_questions(self.questions)
+        )
         search = _Search(self.k, self.min_score, self.embedder, self.carry)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, probed = shared.value
-            yield from search.task(ids, matrix, probed, batches)
+            yield from search.task(*shared.value, batches)
 
-        extra = () if probed is None else ("cell",)
-        inputs = self._inputs(self.chunks if chunks is None else chunks, *extra)
-        return inputs.mapInArrow(run, self.schema)
+        return self.inputs(self.chunks).mapInArrow(run, self.schema)
 
     def grid_candidates(self, columns: int) -> DataFrame:
         rows = math.ceil(self.chunks.count() / CHUNKS_PER_CELL) or 1
@@ -224,12 +252,16 @@ class _Ranker:
             _hash_part(["query_id"], columns).alias("_column"),
             F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_row"),
         )
-        inputs = self._inputs(self.chunks)
+        inputs = self.inputs(self.chunks)
         chunk_cells = inputs.select(
             "*",
             _hash_part(["document_id", "chunk_index"], rows).alias("_row"),
             F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_column"),
         )
+        return self.cell_candidates(chunk_cells, question_cells, ["_row", "_column"])
+
+    def cell_candidates(self, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        """Candidates of chunks and questions that meet in cells of bounded size."""
         search = _Search(self.k, self.min_score, self.embedder, self.carry)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,14 +270,11 @@ class _Ranker:
             if not left.num_rows or not right.num_rows:
                 return empty
             matrix = as_matrix(_one_array(right.column("embedding"))).astype(np.float64)
-            found = list(search.task(ids, matrix, None, left.to_batches()))
+            found = list(search.task(ids, matrix, left.to_batches()))
             return pa.Table.from_batches(found) if found else empty
 
-        return (
-            chunk_cells.groupBy("_row", "_column")
-            .cogroup(question_cells.groupBy("_row", "_column"))
-            .applyInArrow(run, self.schema)
-        )
+        cogrouped = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+        return cogrouped.applyInArrow(run, self.schema)
 
 
 class _Search:
@@ -272,7 +301,6 @@ class _Search:
         self,
         ids: pa.Array,
         matrix: np.ndarray,
-        probed: np.ndarray | None,
         batches: Iterator[pa.RecordBatch],
     ) -> Iterator[pa.RecordBatch]:
         """Candidates of the whole task, given out once at its end.
@@ -289,7 +317,7 @@ class _Search:
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
                 block = batch.slice(start, rows_at_once)
-                found = self._block(matrix, squares, floor, probed, block)
+                found = self._block(matrix, squares, floor, block)
                 parts += found
                 unsorted += sum(part.num_rows for part in found)
                 if unsorted > 2 * self.k * len(ids):
@@ -302,7 +330,7 @@ class _Search:
         best = best.drop_columns(["_question"]).add_column(0, "query_id", asked)
         yield from best.combine_chunks().to_batches()
 
-    def _block(self, matrix, squares, floor, probed, block) -> list[pa.Table]:
+    def _block(self, matrix, squares, floor, block) -> list[pa.Table]:
         """Candidates among a block of chunks, for one tile of questions after another."""
         if self.embedder:
             vectors = np.asarray(self.embedder(block.column("chunk_text").to_pylist()))
@@ -311,23 +339,15 @@ class _Search:
         if len(vectors) and vectors.shape[1] != matrix.shape[1]:
             raise ValueError(f"vectors must all have {matrix.shape[1]} values")
         vectors = vectors.astype(np.float64)
-        if probed is None:
-            where = [(np.arange(len(vectors)), np.arange(len(matrix)))]
-        else:
-            cells = block.column("cell").to_numpy()
-            where = [
-                (np.flatnonzero(cells == cell), np.flatnonzero((probed == cell).any(axis=1)))
-                for cell in np.unique(cells)
-            ]
         found = []
-        for rows, questions in where:
-            for start in range(0, len(questions), _QUESTIONS_PER_BLOCK):
-                asked = questions[start : start + _QUESTIONS_PER_BLOCK]
-                row, question, score = self._scores(
-                    vectors[rows], rows, matrix[asked], squares[asked], floor[asked], asked
-                )
-                if len(row):
-                    found.append(self._candidates(block, row, question, score))
+        rows = np.arange(len(vectors))
+        for start in range(0, len(matrix), _QUESTIONS_PER_BLOCK):
+            asked = np.arange(start, min(start + _QUESTIONS_PER_BLOCK, len(matrix)))
+            row, question, score = self._scores(
+                vectors, rows, matrix[asked], squares[asked], floor[asked], asked
+            )
+            if len(row):
+                found.append(self._candidates(block, row, question, score))
         return found
 
     def _candidates(self, block, row, question, score) -> pa.Table:
@@ -381,10 +401,9 @@ class _Search:
 
 def _measure(questions: DataFrame) -> tuple[int, int]:
     """Number of questions and width of their vectors."""
-    row = questions.agg(
-        F.count(F.lit(1)).alias("count"), F.max(F.size("embedding")).alias("width")
-    ).first()
-    return row["count"], row["width"] or 0
+    count = questions.count()
+    first = questions.select(F.size("embedding").alias("width")).head()
+    return count, max(first["width"], 0) if first else 0
 
 
 def _collect_questions(questions: DataFrame) -> tuple[pa.Array, np.ndarray]:

@@ -19,10 +19,8 @@ STEP_PATTERNS = {
     "summarize": r"\b(summari[sz]e|summary|shorten|tl;dr)",
     "translate": r"\b(translate|translation|translated)\b",
 }
-# Sentences kept in a summary; texts with more sentences than LONG_TEXT get the longer one.
-SHORT_SUMMARY = 5
-LONG_SUMMARY = 8
-LONG_TEXT = 40
+# Sentences kept in a summary.
+SUMMARY_SENTENCES = 5
 
 
 def route_requests(
@@ -39,6 +37,13 @@ def route_requests(
     ).select(*requests.columns, (F.col("_at") + 1).alias("step_no"), "step")
 
 
+def named_language(text: Column) -> Column:
+    """The language that a request wants its text in, null if it names none: the word
+    with a capital letter after "to", "into" or "in"."""
+    found = F.regexp_extract(text, r"\b(?:to|into|in)\s+([A-Z][a-z]+)\b", 1)
+    return F.when(found != "", found)
+
+
 def request_steps(text: Column, has_documents: Column | None = None) -> Column:
     supplied = F.lit(False) if has_documents is None else F.coalesce(has_documents, F.lit(False))
     lowered = F.lower(text)
@@ -50,8 +55,9 @@ def request_steps(text: Column, has_documents: Column | None = None) -> Column:
     return F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("answer")))
 
 
-def summarize(text: str | None) -> str | None:
-    """Sentences of a text with the most frequent words on average, in their order.
+def summarize(text: str | None, kept: int = SUMMARY_SENTENCES) -> str | None:
+    """The ``kept`` sentences of a text with the most frequent words on average, in
+    their order.
 
     Of equal sentences the earlier one is taken.
     """
@@ -60,17 +66,16 @@ def summarize(text: str | None) -> str | None:
     sentences = [(s, words) for s in generation.sentences_of(text) if (words := words_of(s))]
     frequency = Counter(word for _, words in sentences for word in words)
     weights = [sum(frequency[word] for word in words) / len(words) for _, words in sentences]
-    kept = SHORT_SUMMARY if len(sentences) <= LONG_TEXT else LONG_SUMMARY
     chosen = sorted(range(len(sentences)), key=lambda i: (-weights[i], i))[:kept]
     return " ".join(sentences[i][0] for i in sorted(chosen))
 
 
-def summary_column(text: Column) -> Column:
+def summary_column(text: Column, kept: int = SUMMARY_SENTENCES) -> Column:
     """Extractive summary of each text. A text is one row, so nothing is shuffled."""
 
     @F.pandas_udf("string")
     def summaries(texts: pd.Series) -> pd.Series:
-        return texts.map(summarize, na_action="ignore")
+        return pd.Series([summarize(text, kept) for text in texts], dtype=object)
 
     return summaries(text)
 
@@ -82,23 +87,32 @@ def call_agents(
     registry: DataFrame,
     embedder: Embedder | None = None,
     has_documents: Column | None = None,
-    min_score: float | None = 0.0,
+    min_score: float | None = None,
 ) -> DataFrame:
     """Answer requests (``query_id, query, target_language``) step by step.
 
     Each step's output is the next one's input: passages are retrieved for the
-    requests that ask for them, then summaries are made, then translations, and
-    requests without a step go to the model with their ``messages``, if they have
+    requests that ask for them, then summaries are made, then translations. The
+    first step is given what was retrieved, else the request's documents (column
+    ``documents``, if there is one) followed by the request, else the request.
+    Requests without a step go to the model with their ``messages``, if they have
     that column, or as they are. Steps run over all requests at once. Adds
     ``steps``, ``response``, ``status`` and ``error`` in place of the messages.
     """
-    kept = [name for name in requests.columns if name != "messages"]
+    kept = [name for name in requests.columns if name not in ("messages", "documents")]
     steps = request_steps(F.col("query"), has_documents)
     whole = F.col("query")
     if "messages" in requests.columns:
         whole = prompting.transcript(F.col("messages"))
+    material = F.col("query")
+    if "documents" in requests.columns:
+        both = F.concat("documents", F.lit("\n\n"), "query")
+        material = F.coalesce(both, F.col("query"))
     routed = requests.withColumn("steps", steps).select(
-        *kept, "steps", F.when(F.array_contains("steps", "answer"), whole).alias("_whole")
+        *kept,
+        "steps",
+        material.alias("_material"),
+        F.when(F.array_contains("steps", "answer"), whole).alias("_whole"),
     )
     searching = routed.filter(F.array_contains("steps", "retrieve")).select("query_id", "query")
     ranked = retrieval.top_k_chunks(
@@ -106,12 +120,12 @@ def call_agents(
         chunks,
         min_score=min_score,
         embedder=None if "embedding" in chunks.columns else embedder or HashedEmbedder(),
-        carry=("chunk_text",),
     )
-    found = retrieval.excerpts(searching, ranked, prompt_texts.NO_EXCERPTS)
+    texts = retrieval.with_chunk_text(ranked, chunks)
+    found = retrieval.excerpts(searching, texts, prompt_texts.NO_EXCERPTS)
     state = routed.join(found.select("query_id", "excerpts"), "query_id", "left").select(
-        *routed.columns,
-        F.coalesce("excerpts", "query").alias("text"),
+        *[name for name in routed.columns if name != "_material"],
+        F.coalesce("excerpts", "_material").alias("text"),
         F.lit(None).cast("string").alias("_error"),
     )
 

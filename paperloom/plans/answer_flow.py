@@ -39,9 +39,9 @@ def answer_questions(
         k,
         min_score,
         embedder=None if stored else embedder,
-        carry=("chunk_text",),
     )
-    prompts = prompting.rag_prompts(retrieval.contexts(numbered, ranked), template)
+    texts = retrieval.with_chunk_text(ranked, chunks)
+    prompts = prompting.rag_prompts(retrieval.contexts(numbered, texts), template)
     answers = generation.generate(prompts, make_model).select(
         F.col("query").alias("_query"), "response", "status", "error"
     )
@@ -63,24 +63,43 @@ def answer_turns(
 ) -> DataFrame:
     """Answer every user turn that its conversation takes in.
 
-    The model sees the system prompt, the conversation's documents
+    The model sees the system prompt in force, the conversation's documents
     (``conv_id, position, text``), the answered questions before the turn, and the
-    turn. Turns that name a task go through that task instead. Returns ``conv_id,
-    turn, steps, response, status, error``.
+    turn. Turns that name a task go through that task instead, on the documents;
+    the language to translate into is the one the turn names. Returns ``conv_id,
+    turn, steps, response, status, error``; see :func:`assistant_turns` for the
+    answers as turns.
     """
+    contexts = conversations.documents_context(documents)
     called = prompting.agent_messages(
-        conversations.paired_history(turns, cap), conversations.documents_context(documents)
-    )
+        conversations.paired_history(conversations.admitted_turns(turns, cap)),
+        contexts,
+        template=prompting.templates_in_force(registry)["orchestrator_agent_prompt"],
+    ).join(contexts.select("conv_id", F.col("numbered").alias("documents")), "conv_id", "left")
     requests = called.select(
         F.concat_ws("/", "conv_id", "turn").alias("query_id"),
         "conv_id",
         "turn",
         F.col("text").alias("query"),
-        F.lit(None).cast("string").alias("target_language"),
+        tasks.named_language(F.col("text")).alias("target_language"),
         "messages",
         "has_documents",
+        "documents",
     )
     answered = tasks.call_agents(
         requests, chunks, make_model, registry, embedder, F.col("has_documents")
     )
     return answered.select("conv_id", "turn", "steps", "response", "status", "error")
+
+
+def assistant_turns(answered: DataFrame) -> DataFrame:
+    """Answers of :func:`answer_turns` as turns (``conv_id, turn, role, text``), each after
+    the user turn it answers. A conversation ends with its first failed answer."""
+    turns = answered.select(
+        "conv_id",
+        (F.col("turn") + 1).alias("turn"),
+        F.lit("assistant").alias("role"),
+        F.col("response").alias("text"),
+        (F.col("status") == "error").alias("_failed"),
+    )
+    return conversations.closed_conversations(turns, F.col("_failed")).drop("_failed")

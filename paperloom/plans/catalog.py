@@ -27,6 +27,7 @@ from paperloom.operators import (
     retrieval,
     tasks,
 )
+from paperloom.plans import answer_flow
 from paperloom.plans.layout import fill_cores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +37,12 @@ LANDING = naming.landing_folder("main", "default")
 SMALL_CAP = 5
 DOCUMENTS_PER_CONVERSATION = 4
 LOOKUP_KEY = 7
-CELLS = 32
-CELL_PROBES = 8
+CELL_PROBES = 3
 REGISTRY = [
     ("translate_text", 1, "Say in {target_language}: {text}"),
     ("translate_text", 2, "Put into {target_language}:\n{text}\n(from {target_language} only)"),
     ("summarize_text", 3, "Shorten: {text}"),
+    ("orchestrator_agent_prompt", 1, "Plan this: {input}\nSo far:\n{chat_history}"),
     ("unknown_prompt", 1, "Never used {text}"),
 ]
 
@@ -319,7 +320,7 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def vector_topk_approximate(spark: SparkSession, folder: str) -> DataFrame:
     questions, chunks = _vector_sides(spark, folder)
-    centres = retrieval.train_cells(chunks, CELLS)
+    centres = retrieval.mean_centres(chunks, "chunk_index")
     cells = retrieval.assign_cells(chunks, centres)
     return _scored(retrieval.approximate_top_k(questions, cells, centres, CELL_PROBES))
 
@@ -339,20 +340,22 @@ def _ranked(spark: SparkSession, folder: str, questions: DataFrame) -> DataFrame
     return retrieval.top_k_chunks(
         embedding.embed(questions, "query"),
         _fixed(spark, folder),
-        min_score=0.0,
         embedder=embedding.HashedEmbedder(),
-        carry=("chunk_text",),
     )
 
 
+def _ranked_texts(spark: SparkSession, folder: str, questions: DataFrame) -> DataFrame:
+    return retrieval.with_chunk_text(_ranked(spark, folder, questions), _fixed(spark, folder))
+
+
 def rag_topk(spark: SparkSession, folder: str) -> DataFrame:
     ranked = _ranked(spark, folder, _questions(spark, folder))
-    return _scored(ranked).drop("chunk_text")
+    return _scored(ranked)
 
 
 def rag_context(spark: SparkSession, folder: str) -> DataFrame:
     questions = _questions(spark, folder)
-    return retrieval.contexts(questions, _ranked(spark, folder, questions))
+    return retrieval.contexts(questions, _ranked_texts(spark, folder, questions))
 
 
 def rag_prompt(spark: SparkSession, folder: str) -> DataFrame:
@@ -366,7 +369,7 @@ def rag_answer(spark: SparkSession, folder: str) -> DataFrame:
 
 def retrieve_excerpts(spark: SparkSession, folder: str) -> DataFrame:
     questions = _questions(spark, folder)
-    ranked = _ranked(spark, folder, questions)
+    ranked = _ranked_texts(spark, folder, questions)
     return retrieval.excerpts(questions, ranked, prompt_texts.NO_EXCERPTS)
 
 
@@ -377,14 +380,17 @@ def _turns(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
 
 
-def _contexts(spark: SparkSession, folder: str) -> DataFrame:
+def _uploaded(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation has up to four of the documents."""
-    uploaded = _table(spark, folder, "documents").select(
+    return _table(spark, folder, "documents").select(
         F.call_function("div", "doc_id", F.lit(DOCUMENTS_PER_CONVERSATION)).alias("conv_id"),
         F.col("doc_id").alias("position"),
         "text",
     )
-    return conversations.documents_context(uploaded)
+
+
+def _contexts(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.documents_context(_uploaded(spark, folder))
 
 
 def visible_turns(spark: SparkSession, folder: str) -> DataFrame:
@@ -442,17 +448,22 @@ def feedback_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feedback_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rating = F.when(F.col("event_type") != "view", F.floor(F.col("value") / 70))
+    """Ratings as users might send them: missing, whole, with a fraction, as a word."""
+    points = F.floor(F.col("value") / 70).cast("string")
+    rating = (
+        F.when(F.col("event_type") == "view", F.lit(None).cast("string"))
+        .when(F.col("event_id") % 7 == 0, F.concat(points, F.lit(".5")))
+        .when(F.col("event_id") % 7 == 1, F.lit("good"))
+        .otherwise(points)
+    )
     submitted = _table(spark, folder, "events").select(
+        "event_id",
         F.col("event_type").alias("text"),
         rating.alias("rating"),
         F.col("props").alias("comments"),
     )
-    return feedback.feedback_rows(submitted, BATCH_TIME).groupBy("text", "rating", "accepted").agg(
-        F.count(F.lit(1)).alias("submitted"),
-        F.max("comments").alias("last_comment"),
-        _stamp(F.max("created_at")).alias("created_at"),
-    ).withColumn("rating", F.col("rating").cast("long"))
+    rows = _long(feedback.feedback_rows(submitted, BATCH_TIME), "rating")
+    return rows.withColumn("created_at", _stamp(F.col("created_at")))
 
 
 def clean_response(spark: SparkSession, folder: str) -> DataFrame:
@@ -561,6 +572,37 @@ def agent_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _opened_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns whose user's texts name tasks, by conversation."""
+    kind = F.col("conv_id") % 4
+    opening = (
+        F.when(kind == 0, "Summarize this: ")
+        .when(kind == 1, "Translate it to French: ")
+        .when(kind == 2, "Summarise and translate it into German: ")
+        .otherwise("")
+    )
+    asked = F.when(F.col("role") == "user", F.concat(opening, F.col("text")))
+    return _turns(spark, folder).withColumn("text", F.coalesce(asked, "text"))
+
+
+def answer_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The model gives its prompt back, which shows what each turn was given."""
+    answered = answer_flow.answer_turns(
+        _opened_turns(spark, folder),
+        _uploaded(spark, folder),
+        _fixed(spark, folder),
+        _echo,
+        _registry(spark),
+    )
+    return answered.select(
+        "conv_id",
+        "turn",
+        F.array_join("steps", ",").alias("steps"),
+        F.md5("response").alias("digest"),
+        "status",
+    )
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -608,5 +650,6 @@ QUERIES: dict[str, Query] = {
         agent_messages,
         extractive_summary,
         agent_answers,
+        answer_turns,
     )
 }

@@ -90,9 +90,9 @@ dots AS (
 ),
 scored AS (
   SELECT query_id, document_id, chunk_index,
-    dot::DOUBLE / sqrt((q.squares * c.squares)::DOUBLE) AS score
-  FROM dots JOIN question_squares q USING (query_id)
-    JOIN chunk_squares c USING (document_id, chunk_index)
+    coalesce(dot, 0)::DOUBLE / sqrt((q.squares * c.squares)::DOUBLE) AS score
+  FROM question_squares q CROSS JOIN chunk_squares c
+    LEFT JOIN dots USING (query_id, document_id, chunk_index)
 ),
 ranked AS (
   SELECT * FROM (
@@ -150,6 +150,9 @@ contexts AS (
 )"""
 
 
+ALL_TURNS = "admitted AS (SELECT conv_id, turn, role, text FROM conversations)"
+
+
 def _admitted(cap: int) -> str:
     return f"""
 placed AS (
@@ -202,15 +205,12 @@ SELECT query_id,
 FROM requests"""
 
 
-def _agent_messages_sql() -> str:
-    system = _template_sql(
-        prompt_texts.DEFAULT_TEMPLATES["orchestrator_agent_prompt"],
-        {"chat_history": "transcript", "input": "text"},
-    )
+def _written_sql(turns: str) -> str:
+    """``written``: per user turn of ``turns`` (CTE ``admitted``), what was said before."""
     preamble = f"{_quoted(fixed.DOCUMENTS_PREAMBLE)} || numbered || chr(10)"
     acknowledged = _quoted(fixed.DOCUMENTS_ACKNOWLEDGED)
     return f"""
-WITH {_admitted(fixed.MESSAGE_CAP)}, {DOCUMENT_CONTEXT},
+{turns}, {DOCUMENT_CONTEXT},
 shown AS (
   SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
   FROM admitted WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
@@ -230,7 +230,7 @@ history AS (
   GROUP BY ALL
 ),
 called AS (
-  SELECT h.conv_id, h.turn, h.text,
+  SELECT h.conv_id, h.turn, h.text, numbered,
     list_concat(
       CASE WHEN numbered IS NULL THEN [] ELSE
         ['human' || chr(0) || {preamble}, 'ai' || chr(0) || {acknowledged}] END,
@@ -241,7 +241,16 @@ written AS (
   SELECT *, array_to_string(
     list_transform(earlier, lambda m: replace(m, chr(0), ': ')), chr(10)) AS transcript
   FROM called
-)
+)"""
+
+
+def _agent_messages_sql() -> str:
+    system = _template_sql(
+        prompt_texts.DEFAULT_TEMPLATES["orchestrator_agent_prompt"],
+        {"chat_history": "transcript", "input": "text"},
+    )
+    return f"""
+WITH {_written_sql(ALL_TURNS)}
 SELECT conv_id, turn, len(earlier) + 2 AS messages,
   md5(array_to_string(list_concat(
     ['system> ' || {system}],
@@ -250,6 +259,42 @@ SELECT conv_id, turn, len(earlier) + 2 AS messages,
 FROM written"""
 
 
+def _answer_turns_sql() -> str:
+    templates = _templates_in_force()
+    system = _template_sql(
+        templates["orchestrator_agent_prompt"], {"chat_history": "transcript", "input": "text"}
+    )
+    spoken = """CASE WHEN role = 'user' THEN CASE conv_id % 4 WHEN 0 THEN 'Summarize this: '
+      WHEN 1 THEN 'Translate it to French: ' WHEN 2 THEN 'Summarise and translate it into German: '
+      ELSE '' END || text ELSE text END"""
+    turns = f"""
+turns AS (SELECT conv_id, turn, role, {spoken} AS text FROM conversations),
+{_admitted(fixed.MESSAGE_CAP).replace("FROM conversations", "FROM turns")}"""
+    language = "CASE conv_id % 4 WHEN 1 THEN 'French' ELSE 'German' END"
+    slots = {"text": "given", "target_language": language}
+    summarize = _cleaned(f"({_template_sql(templates['summarize_text'], slots)})")
+    translate = _cleaned(f"({_template_sql(templates['translate_text'], slots)})")
+    whole = f"""array_to_string(list_concat(['system: ' || {system}],
+      list_transform(earlier, lambda m: replace(m, chr(0), ': ')), ['human: ' || text]), chr(10))"""
+    return f"""
+WITH {_written_sql(turns)},
+given AS (
+  SELECT *, coalesce(numbered || chr(10) || chr(10) || text, text) AS given FROM written
+),
+summarized AS (
+  SELECT * EXCLUDE (given), CASE WHEN conv_id % 4 IN (0, 2) THEN {summarize} ELSE given END AS given
+  FROM given
+),
+translated AS (
+  SELECT * EXCLUDE (given), CASE WHEN conv_id % 4 IN (1, 2) THEN {translate} ELSE given END AS given
+  FROM summarized
+)
+SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'summarize' WHEN 1 THEN 'translate'
+    WHEN 2 THEN 'summarize,translate' ELSE 'answer' END AS steps,
+  md5(CASE WHEN conv_id % 4 = 3 THEN {_cleaned(whole)} ELSE given END) AS digest, 'ok' AS status
+FROM translated"""
+
+
 def _found_steps() -> str:
     """Steps per request: ``filled`` (query_id, steps)."""
     patterns = catalog.tasks.STEP_PATTERNS
@@ -356,15 +401,13 @@ weights AS (
 ),
 ordered AS (
   SELECT doc_id, place, sentence,
-    row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, place) AS rank,
-    count(*) OVER (PARTITION BY doc_id) AS total
+    row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, place) AS rank
   FROM sentences JOIN weights USING (doc_id, place)
 ),
 summaries AS (
   SELECT doc_id, string_agg(sentence, ' ' ORDER BY place) AS summary
   FROM ordered
-  WHERE rank <= CASE WHEN total <= {catalog.tasks.LONG_TEXT} THEN {catalog.tasks.SHORT_SUMMARY}
-    ELSE {catalog.tasks.LONG_SUMMARY} END
+  WHERE rank <= {catalog.tasks.SUMMARY_SENTENCES}
   GROUP BY doc_id
 )
 SELECT doc_id, coalesce(summary, '') AS summary
@@ -539,6 +582,35 @@ scored AS (
   FROM vectors q, vectors c
 )
 SELECT query_id, rank, document_id, chunk_index::BIGINT AS chunk_index, round(score, 4) AS score
+FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY query_id ORDER BY round(score, 12) DESC, document_id, chunk_index) AS rank
+  FROM scored)
+WHERE rank <= 3""",
+    "vector_topk_approximate": f"""
+WITH vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v,
+    list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS squares
+  FROM embeddings
+),
+entries AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM vectors),
+means AS (SELECT label, place, avg(x) AS x FROM entries GROUP BY ALL),
+centres AS (SELECT label AS cell, list(x ORDER BY place) AS centre FROM means GROUP BY label),
+placed AS (
+  SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(
+    list_dot_product(v, centre) / sqrt(squares * list_dot_product(centre, centre)), 12) DESC,
+    cell) AS nearness
+  FROM vectors, centres
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS document_id, c.label AS chunk_index,
+    list_dot_product(q.v, c.v) / sqrt(q.squares * c.squares) AS score
+  FROM vectors q
+    JOIN placed p ON p.vec_id = q.vec_id AND p.nearness <= {catalog.CELL_PROBES}
+    JOIN placed o ON o.cell = p.cell AND o.nearness = 1
+    JOIN vectors c ON c.vec_id = o.vec_id
+)
+SELECT query_id, rank, document_id, chunk_index::BIGINT AS chunk_index, round(score, 4) AS score
 FROM (
   SELECT *, row_number() OVER (
     PARTITION BY query_id ORDER BY round(score, 12) DESC, document_id, chunk_index) AS rank
@@ -572,7 +644,7 @@ FROM (
   FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 WHERE role = 'user' AND next_role = 'assistant'""",
     "turn_history": f"""
-WITH {_admitted(fixed.MESSAGE_CAP)}
+WITH {ALL_TURNS}
 SELECT u.conv_id, u.turn, count(b.turn) AS messages,
   coalesce(string_agg(b.role || ': ' || b.text, chr(10) ORDER BY b.turn), '') AS history
 FROM admitted u LEFT JOIN admitted b ON b.conv_id = u.conv_id AND b.turn < u.turn
@@ -599,7 +671,7 @@ SELECT conv_id, -1, 'system',
 FROM contexts
 WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""",
     "feedback_text": f"""
-WITH {_admitted(fixed.MESSAGE_CAP)}, {DOCUMENT_CONTEXT},
+WITH {ALL_TURNS}, {DOCUMENT_CONTEXT},
 messages AS (
   SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS messages FROM admitted GROUP BY conv_id
 )
@@ -607,17 +679,16 @@ SELECT conv_id,
   coalesce(lines, '') || chr(10) || chr(10) || coalesce(messages, '') AS text
 FROM messages FULL JOIN contexts USING (conv_id)""",
     "feedback_rows": """
-SELECT text, rating, rating BETWEEN 1 AND 5 AS accepted, count(*) AS submitted,
-  max(props) AS last_comment, '2024-05-01 12:00:00' AS created_at
-FROM (
-  SELECT event_type AS text, props,
-    coalesce(CASE WHEN event_type <> 'view' THEN floor(value / 70)::BIGINT END, 3) AS rating
-  FROM events)
-GROUP BY text, rating""",
+SELECT event_id, event_type AS text, props AS comments,
+  CASE WHEN event_type = 'view' THEN 3 WHEN event_id % 7 IN (0, 1) THEN NULL
+    ELSE floor(value / 70)::BIGINT END AS rating,
+  coalesce(rating BETWEEN 1 AND 5, false) AS accepted, '2024-05-01 12:00:00' AS created_at
+FROM events""",
     "clean_response": f"SELECT conv_id, turn, {_cleaned(OUTPUT)} AS response FROM conversations",
     "route_requests": _steps_sql(),
     "task_prompts": _task_prompt_sql(),
     "agent_messages": _agent_messages_sql(),
     "extractive_summary": SUMMARY,
     "agent_answers": _agent_answers_sql(),
+    "answer_turns": _answer_turns_sql(),
 }

@@ -98,7 +98,7 @@ def test_history_pairs(turns):
 def test_turn_and_paired_history(turns):
     before, paired = {}, {}
     for conv, rows in by_conversation().items():
-        kept = admitted(rows, CAP)
+        kept = sorted(rows, key=lambda row: row[1])
         shown = [row for row in kept if row[2] != "system"]
         for i, row in enumerate(kept):
             if row[2] == "user":
@@ -108,12 +108,22 @@ def test_turn_and_paired_history(turns):
                 pairs = [(a, b) for a, b in zip(shown[:i], shown[1:]) if (a[2], b[2]) == ("user", "assistant")]
                 paired[conv, row[1]] = [m for a, b in pairs for m in (("human", a[3]), ("ai", b[3]))]
     for found, expected in (
-        (conversations.turn_history(turns, CAP), before),
-        (conversations.paired_history(turns, CAP), paired),
+        (conversations.turn_history(turns), before),
+        (conversations.paired_history(turns), paired),
     ):
         assert {(r.conv_id, r.turn): [tuple(m) for m in r.history] for r in found.collect()} == expected
 
 
+def test_long_conversations_lose_nothing(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"m{t}") for t in range(50)]
+    turns = spark.createDataFrame(rows, SCHEMA)
+    none = spark.createDataFrame([], "conv_id long, position int, text string")
+    assert [len(r.history) for r in conversations.turn_history(turns).orderBy("turn").collect()] == list(range(0, 50, 2))
+    assert [len(r.history) for r in conversations.paired_history(turns).orderBy("turn").collect()] == list(range(0, 50, 2))
+    text = conversations.feedback_text(turns, conversations.documents_context(none)).first().text
+    assert text == "\n\n" + "\n".join(f"m{t}" for t in range(50))
+
+
 def test_closed_conversations(turns):
     failed = F.col("turn") % 11 == 9
     expected = []
@@ -161,7 +171,7 @@ def test_seeded_turns_can_be_used_further(spark, turns, plan):
     )
     contexts = conversations.documents_context(documents)
     seeded = conversations.seeded_turns(conversations.admitted_turns(turns, CAP), contexts, ("<", ">"))
-    histories = conversations.turn_history(seeded, 100)
+    histories = conversations.turn_history(seeded)
     union = plan(seeded)
     assert "Coalesce" in union and union.count("Exchange") == plan(histories).count("Exchange") - 2
     with_system = {row[0] for row in TURNS if row[2] == "system"}

@@ -154,16 +154,7 @@ def test_approximate_recall(spark, clusters):
     near = {(key[0], *hit[:2]) for key, hit in found(3).items()}
     assert len(pairs & near) / len(pairs) > 0.9
     assert {(key[0], *hit[:2]) for key, hit in found(16).items()} == pairs
-    assert found(3, question_bytes=10 * 8 * 32) == found(3)
-
-    named = question_frame(spark, questions).select("query_id", F.lit("q").alias("query"))
-    texts = [
-        {r.query_id: r.context for r in retrieval.contexts(named, retrieval.approximate_top_k(
-            question_frame(spark, questions), cells, centres, 3, carry=("chunk_text",), question_bytes=limit
-        )).collect()}
-        for limit in (10 * 8 * 32, 10_000_000)
-    ]
-    assert texts[0] == texts[1] and all(text.count("\n\n") == 2 for text in texts[0].values())
+    assert found(3, question_bytes=10 * 8 * 32, chunks_per_block=25) == found(3)
 
 
 def test_probed_cells_prune_stored_partitions(spark, clusters, plan, tmp_path):
@@ -188,10 +179,20 @@ def test_nearest_cells(monkeypatch):
     assert (retrieval.nearest_cells(points, centres, 99) == expected).all()
 
 
-def test_training_takes_a_sample_of_a_large_table(spark, clusters):
+def test_centres_are_checked_before_they_are_sent(spark, clusters, monkeypatch):
     _, chunks = clusters
-    centres = retrieval.train_cells(chunk_frame(spark, chunks), 4, training_rows=100)
-    assert centres.shape == (4, 32)
+    monkeypatch.setattr(retrieval, "CENTRE_BYTES", 1000)
+    with pytest.raises(ValueError, match="centres take"):
+        retrieval.assign_cells(chunk_frame(spark, chunks), chunks[:10])
+
+
+def test_no_text_in_the_ranking(spark, vectors, plan, tmp_path):
+    questions, chunks = vectors
+    chunk_frame(spark, chunks).write.parquet(str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    for limit in (10_000_000, 5 * 8 * WIDTH):
+        ranked = retrieval.top_k_chunks(question_frame(spark, questions), stored, question_bytes=limit)
+        assert "Exchange" in plan(ranked) and "chunk_text" not in plan(ranked)
 
 
 def test_hashed_embedder():

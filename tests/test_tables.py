@@ -22,6 +22,11 @@ def test_feedback(spark):
     frame = spark.createDataFrame(given, "text string, rating int, comments string")
     accepted = feedback.accepted_feedback(frame, "2024-05-01 12:00:00")
     assert sorted((row.rating, row.comments) for row in accepted.collect()) == [(1, ""), (3, "it's"), (5, "")]
+    odd = spark.createDataFrame(
+        [(1, "abc"), (2, "4.7"), (3, " 4 "), (4, "5.0"), (5, None), (6, "99999999999")], "id long, rating string"
+    ).withColumns({"text": F.lit("t"), "comments": F.lit("")})
+    judged = {r.id: (r.rating, r.accepted) for r in feedback.feedback_rows(odd, "2024-05-01").collect()}
+    assert judged == {1: (None, False), 2: (None, False), 3: (4, True), 4: (5, True), 5: (3, True), 6: (None, False)}
     rejected = feedback.rejected_feedback(frame, "2024-05-01 12:00:00")
     assert sorted(row.rating for row in rejected.collect()) == [0, 6]
     tables.append_feedback(accepted)

@@ -152,7 +152,8 @@ def test_summary():
     assert tasks.summarize("") == "" and tasks.summarize(None) is None
     assert tasks.summarize("no end") == "no end"
     many = " ".join(f"s{i}." for i in range(41))
-    assert len(tasks.summarize(many).split()) == 8
+    assert len(tasks.summarize(many).split()) == 5
+    assert len(tasks.summarize(many, 8).split()) == 8
 
 
 def test_call_agents_runs_steps_in_turn(spark):
@@ -171,7 +172,7 @@ def test_call_agents_runs_steps_in_turn(spark):
     )
     chunks = spark.createDataFrame([(5, 0, "soil facts"), (6, 1, "sea")], "document_id long, chunk_index int, chunk_text string")
     templates = registry(spark, ("summarize_text", 1, "S({text})"), ("translate_text", 1, "T[{target_language}]({text})"))
-    answered = tasks.call_agents(requests, chunks, flaky_model, templates, has_documents=F.col("own"))
+    answered = tasks.call_agents(requests, chunks, flaky_model, templates, has_documents=F.col("own"), min_score=0.0)
     found = {row.query_id: (row.response, row.status) for row in answered.collect()}
     assert found == {
         1: ("[5#0] soil facts", "ok"),
@@ -207,7 +208,7 @@ def test_answer_questions_keeps_every_row(spark):
 
 
 def test_answer_turns(spark):
-    from paperloom.plans.answer_flow import answer_turns
+    from paperloom.plans.answer_flow import answer_turns, assistant_turns
 
     turns = spark.createDataFrame(
         [
@@ -218,20 +219,43 @@ def test_answer_turns(spark):
             (2, 1, "assistant", "found"),
             (2, 2, "user", "Summarize soil"),
             (3, 0, "user", "Find soil in my paper"),
+            (3, 1, "assistant", "here"),
+            (3, 2, "user", "Summarize it and translate it into German"),
+            (4, 0, "user", "break"),
+            (4, 1, "assistant", "x"),
+            (4, 2, "user", "more"),
         ],
         "conv_id long, turn long, role string, text string",
     )
     documents = spark.createDataFrame([(3, 0, "my paper")], "conv_id long, position int, text string")
     chunks = spark.createDataFrame([(5, 0, "soil facts")], "document_id long, chunk_index int, chunk_text string")
-    templates = registry(spark, ("summarize_text", 1, "S({text})"))
+    templates = registry(
+        spark,
+        ("summarize_text", 1, "S({text})"),
+        ("translate_text", 1, "{target_language}[{text}]"),
+        ("orchestrator_agent_prompt", 1, "Registered {input}"),
+    )
 
     def make_model():
-        return lambda prompts: [f"{len(p.splitlines())} lines, last: {p.splitlines()[-1]}" for p in prompts]
+        def model(prompts):
+            if any("human: break" in p and "more" not in p for p in prompts):
+                raise ValueError("broken")
+            return [p if "[" in p or "S(Document" in p else f"{len(p.splitlines())} lines, first: {p.splitlines()[0]}, last: {p.splitlines()[-1]}" for p in prompts]
+
+        return model
 
-    rows = answer_turns(turns, documents, chunks, make_model, templates).collect()
+    answered = answer_turns(turns, documents, chunks, make_model, templates)
+    rows = answered.collect()
     found = {(row.conv_id, row.turn): row.response for row in rows}
     assert found[1, 2].endswith("last: human: what now?")
     assert found[2, 0] == "[5#0] soil facts"
-    assert found[2, 2] == "1 lines, last: S(Summarize soil)"
+    assert "first: system: Registered what now?" in found[1, 2]
+    assert found[2, 2] == "1 lines, first: S(Summarize soil), last: S(Summarize soil)"
+    assert found[3, 2] == (
+        "German[S(Document 1:\nmy paper\n\nSummarize it and translate it into German)]"
+    )
     assert found[3, 0].endswith("last: human: Find soil in my paper")
-    assert all(row.status == "ok" for row in rows) and len(rows) == 5
+    failed = {(row.conv_id, row.turn) for row in rows if row.status == "error"}
+    assert failed == {(4, 0)} and len(rows) == 8
+    given = {(r.conv_id, r.turn, r.role): r.text for r in assistant_turns(answered).collect()}
+    assert (4, 1, "assistant") in given and (4, 3, "assistant") not in given and len(given) == 7
