@@ -1,15 +1,16 @@
 """Near-duplicates by b-bit MinHash, confirmed on full shingle sets.
 
 Every text gets minima of many hash functions over its word shingles. Bands of
-minima make buckets, in which candidates meet. Of the minima themselves only the
-low bits are kept, packed; equal lanes are counted by bit operations and corrected
-for chance, and pairs that this estimate leaves open are confirmed on the full sets.
+them make buckets, in which candidates meet. For the estimate, the minima of the
+parts of one hash's range are kept, of each only the low bits, packed; equal lanes
+are counted by bit operations and corrected for chance. Pairs that the estimate
+leaves open are confirmed on the full sets.
 
 Texts with the same set are one class and take part once. In a bucket, first every
 class is compared with one hub only. Where a bucket then still has members of
-several components, each member is compared with its most similar one of every
-other component, and at last all remaining plausible pairs of different components
-are. So no link that could join two components is left out, while pairs inside a
+several components, each member is compared with the most similar ones of other
+components, and at last all remaining plausible pairs of different components are.
+So no link that could join two components is left out, while pairs inside a
 component, of which there may be very many, are never made.
 """
 
@@ -20,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import stored
@@ -30,14 +31,17 @@ from paperloom.llm.words import mixed, shingles, text_slices, word_hashes
 
 class Plan(NamedTuple):
     """Parameters. With 32 bands of 5 a pair of similarity 0.8 is missed 3 times in a
-    million; ``slack`` is five deviations of the estimate."""
+    million; ``slack`` is four and a half deviations of the estimate from 512 lanes.
+    ``nearest``: partners a member is compared with before all others are."""
 
     width: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
+    lanes: int = 512
     bits: int = 4
-    slack: float = 0.18
+    slack: float = 0.085
+    nearest: int = 2
     cell: int = 1_000
     seed: int = 11
 
@@ -45,38 +49,50 @@ class Plan(NamedTuple):
 def _functions(plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(plan.seed)
     count = plan.bands * plan.rows
-    factors = draw.integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return factors, draw.integers(0, 1 << 63, count, dtype=np.uint64)
+    factors = draw.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return factors, draw.integers(0, 1 << 32, count, dtype=np.uint32)
 
 
 def minima(items: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """Minimum of each hash function over the items, in blocks of bounded size."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(items), 2048):
-        hashed = np.multiply.outer(factors, items[k : k + 2048])
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    short = (items >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(short), 2048):
+        hashed = np.multiply.outer(factors, short[k : k + 2048])
         hashed += shifts[:, None]
         np.minimum(least, hashed.min(axis=1), out=least)
-    return mixed(least)
+    return mixed(least.astype(np.uint64))
 
 
-def packed(least: np.ndarray, bits: int) -> bytes:
-    """The low bits of minima, packed, filled up to whole 64-bit words."""
-    lanes = (least & np.uint64((1 << bits) - 1)).astype(np.uint8)
-    wide = np.unpackbits(lanes[:, None], axis=1)[:, 8 - bits :].reshape(-1)
-    return np.packbits(np.pad(wide, (0, -len(wide) % 64))).tobytes()
+def packed(items: np.ndarray, lanes: int, bits: int) -> bytes:
+    """The low bits, from 1 up, of the least item of each of ``lanes`` equal parts of the
+    range, 0 where a part has none, packed into whole 64-bit words. Items are sorted,
+    so a part's first one is its least."""
+    part = (items >> np.uint64(64 - lanes.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    kept = np.zeros(lanes, np.uint8)
+    kept[part[first]] = 1 + mixed(items[first]) % np.uint64((1 << bits) - 1)
+    wide = np.unpackbits(kept[:, None], axis=1)[:, 8 - bits :].reshape(-1)
+    return np.packbits(wide).tobytes()
 
 
-def similarity(left: np.ndarray, right: np.ndarray, count: int, bits: int) -> np.ndarray:
+def similarity(left: np.ndarray, right: np.ndarray, lanes: int, bits: int) -> np.ndarray:
     """Estimated similarity of packed signatures (last axis: 64-bit words): the share of
-    equal lanes, corrected for lanes that are equal by chance."""
-    differ = left ^ right
-    folded = differ.copy()
-    for k in range(1, bits):
-        folded |= differ >> np.uint64(k)
-    lanes = np.uint64(sum(1 << (k * bits) for k in range(64 // bits)))
-    unequal = np.bitwise_count(folded & lanes).sum(axis=-1, dtype=np.int64)
-    chance = 2.0**-bits
-    return (1 - unequal / count - chance) / (1 - chance)
+    equal lanes among those that are not empty on both sides, less what lanes filled
+    on both sides agree in by chance."""
+    ones = np.uint64(sum(1 << (k * bits) for k in range(64 // bits)))
+
+    def count(words: np.ndarray) -> np.ndarray:
+        folded = words.copy()
+        for k in range(1, bits):
+            folded |= words >> np.uint64(k)
+        return np.bitwise_count(folded & ones).sum(axis=-1, dtype=np.int64)
+
+    filled = np.maximum(count(left | right), 1)
+    in_both = count(left) + count(right) - filled
+    equal = filled - count(left ^ right)
+    chance = 1 / ((1 << bits) - 1)  # of two lanes with different items
+    return (equal - in_both * chance) / (1 - chance) / filled
 
 
 def _words_of(signatures: pd.Series) -> np.ndarray:
@@ -112,7 +128,7 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
                         (
                             len(items),
                             hashlib.blake2b(items.tobytes(), digest_size=16).digest(),
-                            packed(least, plan.bits),
+                            packed(items, plan.lanes, plan.bits),
                             mixed_keys.view(np.int64),
                         )
                     )
@@ -159,12 +175,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
 
 def _plausible(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """Those pairs that sizes and estimated similarity leave open."""
-    count = plan.bands * plan.rows
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             close = similarity(
-                _words_of(batch["sa"]), _words_of(batch["sb"]), count, plan.bits
+                _words_of(batch["sa"]), _words_of(batch["sb"]), plan.lanes, plan.bits
             )
             yield batch.loc[close >= plan.percent / 100 - plan.slack, ["a", "b"]]
 
@@ -179,10 +194,9 @@ def _across(members: DataFrame, roots: DataFrame, plan: Plan, best: bool) -> Dat
     """Plausible pairs of different components that share a bucket.
 
     A bucket of n members is cut into a triangle of cells of bounded size; a cell is
-    compared as arrays. ``best``: for each member and other component, the most
-    similar pair of the cell only.
+    compared as arrays. ``best``: of each member only the pairs with its ``nearest``
+    most similar ones of other components.
     """
-    count = plan.bands * plan.rows
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     buckets = (
         placed.groupBy("bucket")
@@ -213,27 +227,33 @@ def _across(members: DataFrame, roots: DataFrame, plan: Plan, best: bool) -> Dat
         sizes = rows["n_shingles"].to_numpy()
         roots_of = pd.factorize(rows["root"])[0]
         found: list[tuple[int, int, float]] = []
-        for i in left.tolist():
-            j = right[right > i] if x == y else right
-            j = j[roots_of[j] != roots_of[i]]
-            low = 100 * np.minimum(sizes[j], sizes[i])
-            j = j[low >= plan.percent * np.maximum(sizes[j], sizes[i])]
-            if not len(j):
-                continue
-            close = similarity(words[j], words[i], count, plan.bits)
-            ok = close >= plan.percent / 100 - plan.slack
-            j, close = j[ok], close[ok]
-            if best and len(j):
-                order = np.argsort(-close, kind="stable")
-                j, close = j[order], close[order]
-                firsts = np.unique(roots_of[j], return_index=True)[1]
-                j, close = j[firsts], close[firsts]
-            found += [(i, k, c) for k, c in zip(j.tolist(), close.tolist())]
+        sides = [(left, right)] if x == y or not best else [(left, right), (right, left)]
+        for own, others in sides:
+            for i in own.tolist():
+                j = others if best or x != y else others[others > i]
+                j = j[roots_of[j] != roots_of[i]]
+                low = 100 * np.minimum(sizes[j], sizes[i])
+                j = j[low >= plan.percent * np.maximum(sizes[j], sizes[i])]
+                if not len(j):
+                    continue
+                close = similarity(words[j], words[i], plan.lanes, plan.bits)
+                ok = close >= plan.percent / 100 - plan.slack
+                if best and ok.any():
+                    ok = [int(np.argmax(close))]
+                found += [(i, k, c) for k, c in zip(j[ok].tolist(), close[ok].tolist())]
         nodes = rows["node"].tolist()
-        pairs = [sorted((nodes[i], nodes[k])) for i, k, _ in found]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
+        pairs = [(nodes[i], nodes[k], c) for i, k, c in found]
+        return pd.DataFrame(pairs, columns=["a", "b", "close"])
 
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(cell, "a binary, b binary").distinct()
+    pairs = dealt.groupBy("bucket", "x", "y").applyInPandas(
+        cell, "a binary, b binary, close double"
+    )
+    if best:  # a member has at most a pair for each of its buckets and their cells
+        pairs = pairs.distinct()
+        order = Window.partitionBy("a").orderBy(F.col("close").desc(), "b")
+        pairs = pairs.withColumn("place", F.row_number().over(order))
+        pairs = pairs.filter(F.col("place") <= plan.nearest)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(
