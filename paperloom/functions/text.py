@@ -47,8 +47,13 @@ def document_uuid(path: Column, version: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    words = F.filter(F.split(text, fixed.WHITESPACE + "+"), lambda word: word != "")
-    return F.size(words).cast("int")
+    """Runs of other characters than white space: the pieces between runs of it, less
+    the empty ones that white space at either end makes."""
+    pieces = F.size(F.split(text, fixed.WHITESPACE + "+"))
+    ends = text.rlike("^" + fixed.WHITESPACE).cast("int") + text.rlike(
+        fixed.WHITESPACE + "\\z"
+    ).cast("int")
+    return F.when(text == "", 0).otherwise(pieces - ends).cast("int")
 
 
 def strip(text: Column) -> Column:

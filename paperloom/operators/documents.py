@@ -43,12 +43,28 @@ def latest_one(
 def attach_document_ids(
     chunks: DataFrame, documents: DataFrame, key: str = "document_uuid"
 ) -> DataFrame:
-    """Chunks with the id of the newest document of their key; others drop out.
+    """Chunks with the id of the newest document of their key. Those without one are
+    given out by :func:`rejected_chunks`."""
+    return matched_chunks(chunks, documents, key).filter(F.col("document_id").isNotNull())
+
+
+def rejected_chunks(
+    chunks: DataFrame, documents: DataFrame, key: str = "document_uuid"
+) -> DataFrame:
+    """Chunks without a document of their key, which have a null ``document_id``."""
+    return matched_chunks(chunks, documents, key).filter(F.col("document_id").isNull())
+
+
+def matched_chunks(
+    chunks: DataFrame, documents: DataFrame, key: str = "document_uuid"
+) -> DataFrame:
+    """All chunks, with the id of the newest document of their key or null: one pass to
+    be split into good and rejected ones.
 
     A document may have most of the chunks, so they are dealt over partitions.
     """
     newest = latest_ids(documents, key).select(key, F.col("id").alias("document_id"))
-    return salted_join(chunks, newest, [key], F.col("chunk_index"))
+    return salted_join(chunks, newest, [key], F.col("chunk_index"), "left")
 
 
 def orphan_chunks(

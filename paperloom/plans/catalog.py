@@ -205,7 +205,18 @@ def duplicate_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_document_join(spark: SparkSession, folder: str) -> DataFrame:
     """A text uploaded again has the same key: its chunks go to the newest upload."""
-    table = _table(spark, folder, "documents").select(
+    return _keyed_chunks(spark, folder, documents.attach_document_ids, F.lit(True))
+
+
+def chunk_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Two thirds of the documents are stored; chunks of other texts are rejected."""
+    stored = F.col("doc_id") % 3 > 0
+    found = _keyed_chunks(spark, folder, documents.rejected_chunks, stored)
+    return found.drop("document_id")
+
+
+def _keyed_chunks(spark: SparkSession, folder: str, match, stored: Column) -> DataFrame:
+    table = _table(spark, folder, "documents").filter(stored).select(
         F.col("doc_id").alias("id"),
         texts.uuid_from(F.col("text")).alias("document_uuid"),
         (F.col("doc_id") * 7919 % 1000).alias("created_at"),
@@ -213,7 +224,7 @@ def chunk_document_join(spark: SparkSession, folder: str) -> DataFrame:
     keyed = fill_cores(_table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", texts.uuid_from(F.col("text")).alias("document_uuid"), "text"
     )
-    joined = documents.attach_document_ids(chunking.fixed_chunks(keyed), table)
+    joined = match(chunking.fixed_chunks(keyed), table)
     return joined.select(
         "doc_id",
         "document_uuid",
@@ -618,6 +629,7 @@ QUERIES: dict[str, Query] = {
         latest_one,
         duplicate_keys,
         chunk_document_join,
+        chunk_rejects,
         orphan_chunks,
         unchunked_documents,
         pending_chunks,

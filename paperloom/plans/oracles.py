@@ -540,6 +540,13 @@ newest AS (
 SELECT doc_id, {_uuid("text")} AS document_uuid, chunk_index,
   length(chunk_text) AS chunk_size, newest.document_id
 FROM chunks JOIN documents ON doc_id = chunks.document_id JOIN newest USING (text)""",
+    "chunk_rejects": f"""
+WITH {CHUNKS},
+keyed AS (SELECT doc_id, {_uuid("text")} AS document_uuid FROM documents)
+SELECT doc_id, document_uuid, chunk_index::BIGINT AS chunk_index,
+  length(chunk_text) AS chunk_size
+FROM chunks JOIN keyed ON doc_id = document_id
+WHERE document_uuid NOT IN (SELECT document_uuid FROM keyed WHERE doc_id % 3 > 0)""",
     "orphan_chunks": f"""
 WITH {CHUNKS}
 SELECT document_id, chunk_index, length(chunk_text) AS chunk_size FROM chunks

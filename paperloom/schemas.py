@@ -95,20 +95,22 @@ def with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", LONG, True)])
 
 
-def create_tables(spark: SparkSession, database: str | None = None) -> None:
+def create_tables(
+    spark: SparkSession, database: str | None = None, store: str | None = None
+) -> None:
     """Create the contract tables in the session's catalog where they are missing.
 
-    Ingested tables are partitioned by batch, so that readers can prune to the
-    batches they want.
+    Feedback is a table of the catalog. The ingested tables are the folders that
+    ingest jobs write below ``store``; with it, they are opened in the database,
+    partitioned by batch, so that readers can prune to the batches they want.
     """
     prefix = f"{database}." if database else ""
-    for name, schema in CONTRACTS.items():
-        ingested = name != fixed.FEEDBACK_TABLE
-        columns = _columns(with_batch(schema) if ingested else schema)
-        layout = " PARTITIONED BY (batch_id)" if ingested else ""
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {prefix}`{name}` ({columns}) USING parquet{layout}"
-        )
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {prefix}`{fixed.FEEDBACK_TABLE}` "
+        f"({_columns(FEEDBACK)}) USING parquet"
+    )
+    if store is not None:
+        open_store(spark, store, database or spark.catalog.currentDatabase())
 
 
 def open_store(spark: SparkSession, store: str, database: str) -> None:

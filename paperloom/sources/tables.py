@@ -34,7 +34,12 @@ def read_batch(
     spark: SparkSession, store: str, name: str, schema: T.StructType, batch_id: int
 ) -> DataFrame:
     """The rows of one batch, read from its partition alone."""
-    return read_table(spark, store, name, schema).filter(F.col("batch_id") == batch_id)
+    stored = schemas.with_batch(schema)
+    table = table_path(store, name)
+    path = f"{table}/batch_id={batch_id}"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], stored)
+    return spark.read.schema(stored).option("basePath", table).parquet(path)
 
 
 def write_batch(

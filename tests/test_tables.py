@@ -5,10 +5,21 @@ from paperloom.operators import documents, feedback
 from paperloom.sources import tables
 
 
-def test_contracts_are_created_once(spark):
+def test_contracts_are_created_once(spark, tmp_path):
+    from paperloom.plans.ingest_flow import ingest_batch
+
     spark.sql("CREATE DATABASE IF NOT EXISTS contracts")
+    schemas.create_tables(spark, "contracts")
+    files = spark.createDataFrame(
+        [("landing/a.pdf", "2024-05-01 12:00:00", bytearray(b"one page"))],
+        "path string, modificationTime string, content binary",
+    ).withColumn("modificationTime", F.col("modificationTime").cast("timestamp"))
+    ingest_batch(files, str(tmp_path), 1, "2024-05-01 12:00:00")
+    schemas.open_store(spark, str(tmp_path), "contracts")
     for _ in range(2):
-        schemas.create_tables(spark, "contracts")
+        schemas.create_tables(spark, "contracts", str(tmp_path))
+    assert spark.table("contracts.document").count() == 1
+    assert spark.table("contracts.document_chunks_staging").count() == 1
     for name, schema in schemas.CONTRACTS.items():
         columns = [(f.name, f.dataType) for f in spark.table(f"contracts.{name}").schema]
         expected = [(f.name, f.dataType) for f in schema]
