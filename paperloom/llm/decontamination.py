@@ -8,7 +8,9 @@ with an item is a candidate. Several walks with several samples each reach the
 target recall. Candidates are verified by their exact edit distance.
 
 A run within e edits of an item of n words has at least n - e words of the items'
-vocabulary, so only such runs are embedded; nothing within reach is lost by that.
+vocabulary, and holds some n / (e + 1) words of the item in a row as they are: three
+at least, where a fifth of eight words or more is edited. Only runs with both are
+embedded; nothing within reach is lost by that.
 """
 
 from __future__ import annotations
@@ -135,22 +137,39 @@ class Items:
         for i, item in enumerate(self.items):
             by_length[len(item.words)].append(i)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.unedited: dict[int, np.ndarray] = {}
         for n, members in by_length.items():
-            symbols = [[self.vocabulary[w] for w in self.items[i].words] for i in members]
-            keys = keys_of(np.array(symbols, np.uint64), plan)
+            symbols = np.array(
+                [[self.vocabulary[w] for w in self.items[i].words] for i in members], np.uint64
+            )
+            if n // (int(plan.share * n) + 1) < 3:
+                raise ValueError("more edits than leave three words in a row")
+            self.unedited[n] = np.unique(np.concatenate([self._rows(x) for x in symbols]))
+            keys = keys_of(symbols, plan)
             owner = np.repeat(members, keys.shape[1])
             order = np.argsort(keys.reshape(-1), kind="stable")
             self.tables[n] = keys.reshape(-1)[order], owner[order]
         self.longest = max(by_length, default=0)
 
+    def _rows(self, symbols: np.ndarray) -> np.ndarray:
+        """Numbers of three symbols in a row, from each place; equal rows have equal ones."""
+        base = np.uint64(len(self.vocabulary) + 1)
+        return (symbols[:-2] * base + symbols[1:-1]) * base + symbols[2:]
+
     def _candidates(self, symbols: np.ndarray) -> Iterator[tuple[int, int]]:
         """(place, item) of runs that share a sample with an item."""
-        within = np.concatenate([[0], np.cumsum(symbols > 0)])
+        known = symbols > 0
+        within = np.concatenate([[0], np.cumsum(known)])
+        place = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+        rows = self._rows(symbols)[place]
         for n, (keys, owner) in self.tables.items():
             if len(symbols) < n:
                 continue
-            inside = within[n:] - within[:-n]
-            starts = np.flatnonzero(inside >= n - int(self.plan.share * n))
+            same = place[np.isin(rows, self.unedited[n])]
+            starts = np.unique(same[:, None] - np.arange(n - 2))
+            starts = starts[(starts >= 0) & (starts + n <= len(symbols))]
+            inside = within[starts + n] - within[starts]
+            starts = starts[inside >= n - int(self.plan.share * n)]
             for k in range(0, len(starts), _RUNS_AT_ONCE):
                 some = starts[k : k + _RUNS_AT_ONCE]
                 asked = keys_of(symbols[some[:, None] + np.arange(n)], self.plan)
