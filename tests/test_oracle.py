@@ -59,7 +59,16 @@ def test_approximate_search_finds_most_of_the_exact_hits(spark):
         return {(row.query_id, row.document_id) for row in rows}
 
     exact, near = hits("vector_topk"), hits("vector_topk_approximate")
-    assert len(exact & near) / len(exact) > 0.4
+    assert len(exact & near) / len(exact) > 0.7
+
+
+def test_approximate_search_finds_the_true_neighbours_besides_the_question_itself(spark):
+    def others(name):
+        rows = entry.queries()[name](spark, FOLDER).collect()
+        return {(r.query_id, r.document_id) for r in rows if r.query_id != r.document_id}
+
+    exact, near = others("vector_topk"), others("vector_topk_approximate")
+    assert len(exact & near) >= 0.9 * len(exact)
 
 
 def test_entry(spark):
