@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import (
     ann,
     decontamination,
+    html_text,
     language_id,
     line_dedup,
     lm_scoring,
@@ -70,6 +71,22 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs).drop("text_key")
 
 
+def op5_page_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Web pages: the language their markup declares, their host and its last label."""
+    host = url_filter.host_and_path(F.col("url"))[0]
+    host = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:\d*)?$", "")
+    last = F.regexp_extract("host", r"(?:^|\.)([^.]*[^.\d][^.]*)$", 1)
+    pages = table(spark, folder, "pages").select(
+        "page_id",
+        html_text.text_of(F.col("html")).alias("text"),
+        html_text.declared_language(F.col("html")).alias("lang"),
+        F.nullif(host, F.lit("")).alias("host"),
+    )
+    pages = pages.withColumn("suffix", F.nullif(last, F.lit("")))
+    found = language_id.identify(pages, doc_id="page_id", host="host", suffix=F.col("suffix"))
+    return found.withColumnRenamed("doc_id", "page_id").drop("text_key")
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.find_leaks(docs, table(spark, folder, "benchmark"))
@@ -123,3 +140,6 @@ QUERIES = {
     "op9_quality_resampling": op9_quality_resampling,
     "op10_url_filter": op10_url_filter,
 }
+
+#: Operators over further tables.
+MORE_QUERIES = {"op5_page_language": op5_page_language}

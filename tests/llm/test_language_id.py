@@ -5,7 +5,8 @@ import random
 import numpy as np
 
 from paperloom.llm.language_id import Plan, identify, trigrams
-from paperloom.llm.queries import op5_language_id
+from paperloom.llm.html_text import language_tag, visible_text
+from paperloom.llm.queries import op5_language_id, op5_page_language
 
 FOLDER = "/root/testdata/sf0.01"
 SYLLABLES = {
@@ -91,3 +92,38 @@ def test_trigrams_stay_within_their_text():
     alone = [trigrams([t], 15)[0].tolist() for t in ("ab", None, "cd É")]
     assert [whole[owner == k].tolist() for k in range(3)] == alone
     assert isinstance(Plan(), tuple) and whole.dtype == np.int64
+
+
+def test_every_page_is_identified(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    rows = op5_page_language(spark, FOLDER).collect()
+    assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in pages.collect())
+    declared = [r for r in rows if r.declared]
+    assert len(declared) >= 0.9 * len(rows)
+    assert sum(r.language == r.declared for r in declared) >= 0.97 * len(declared)
+
+
+def test_pages_take_language_from_host_and_suffix(spark, tmp_path):
+    draw = random.Random(4)
+    page = "<html%s><script>the thing and the thing</script><p>%s</p></html>"
+    rows = []
+    for i in range(300):
+        language = "de" if i % 2 else "es"
+        site = "a.b.haus.de" if language == "de" else "a.b.casa.es"
+        text = text_in(language, draw)
+        rows.append((i, f"http://w{i % 6}.{site}/x", page % (f' lang="{language}-XX"', text)))
+    rows += [(1000, "https://u@New.b.Haus.de:80/?x", page % ("", "x qq"))]
+    rows += [(1001, "http://new.casa.es./", page % ("", "x qq")), (1002, "http://other.es", page % ("", "x qq"))]
+    rows += [(1003, None, None), (1004, "http://1.2.3.4/", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frame.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in op5_page_language(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[1].declared == "de" and got[1000].declared is None
+    assert [got[i].language for i in (1000, 1001, 1002)] == ["de", "es", "es"]
+    assert got[1003].language is None and got[1004].language is None
+
+
+def test_text_and_language_of_markup():
+    page = '<!-- <html lang="xx"> --><HTML class=a LANG=fr-CA><style>p</style><a t=">">d&eacute;j&agrave;</a> 1 < 2<script>x'
+    assert language_tag(page) == "fr" and visible_text(page).split() == ["déjà", "1", "<", "2"]
+    assert language_tag('<html hreflang="de">') is None and language_tag("lang=de") is None
