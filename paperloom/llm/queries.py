@@ -115,10 +115,9 @@ def op9_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """As many documents are sampled as the labels let expect good ones."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels")
-    share = quality.labelled_share(labels, F.col("quality") == 1)
-    target = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0))
-    k = round(share * docs.count())
-    return quality.resample(docs, target, k).drop("text_key")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    k = round(quality.labelled_share(labels, good) * docs.count())
+    return quality.resample(docs, labels.filter(good), k).drop("text_key")
 
 
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:

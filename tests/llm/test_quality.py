@@ -16,6 +16,16 @@ def test_query_keeps_good_and_drops_bad(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_toxic_documents_get_no_room_and_clean_ones_stay(spark):
+    rows = {r.doc_id: r.kept for r in op9_quality_resampling(spark, FOLDER).collect()}
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").collect()
+    clean = [rows[r.doc_id] for r in labels if r.quality == 1 and r.toxic == 0]
+    toxic = [rows[r.doc_id] for r in labels if r.quality == 1 and r.toxic == 1]
+    assert sum(rows.values()) == round(len(clean) / len(labels) * len(rows))
+    assert sum(clean) >= 0.98 * len(clean)
+    assert sum(toxic) <= 0.9 * len(toxic)
+
+
 def test_held_out_labels(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
