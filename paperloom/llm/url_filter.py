@@ -18,15 +18,35 @@ from paperloom.llm.common import lower_ascii
 
 # Terms and weights: parameters with these defaults.
 STRICT = (
-    "porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirls", "nsfw",
-    "milf", "bdsm", "hardcore-sex", "sexcam", "warez", "keygen", "crackz", "viagra",
-    "cialis", "darkmarket", "carding", "malware-download",
+    "porn", "porno", "pornos", "porns", "xxx", "hentai", "escort", "escorts", "camgirl",
+    "camgirls", "nsfw", "milf", "milfs", "bdsm", "hardcore-sex", "sexcam", "sexcams",
+    "sexchat", "sexshop", "blowjob", "blowjobs", "bukkake", "gangbang", "creampie",
+    "x-rated", "warez", "keygen", "keygens", "crackz", "viagra", "cialis", "levitra",
+    "sildenafil", "tadalafil", "darkmarket", "carding", "malware-download",
 )
+# A term of weight 2 blocks alone: words that addresses of other matters hardly hold.
 SOFT = {
-    "sex": 1, "adult": 1, "casino": 1, "poker": 1, "betting": 1, "slots": 1, "jackpot": 1,
-    "nude": 1, "erotic": 1, "fetish": 1, "dating": 1, "webcam": 1, "torrent": 1,
-    "cracked": 1, "serial-key": 1, "pills": 1, "payday": 1, "loans": 1, "replica": 1,
-    "hookup": 1, "gamble": 1, "lottery": 1, "cheap": 1, "download-free": 1,
+    # adult
+    "sex": 1, "sexy": 1, "adult": 2, "adults": 1, "adult-only": 2, "nude": 1, "nudes": 2,
+    "naked": 1, "erotic": 1, "erotica": 2, "erotik": 2, "fetish": 1, "fetishes": 1, "dating": 1,
+    "webcam": 1, "webcams": 1, "hookup": 1, "hookups": 2, "swingers": 2, "stripper": 2,
+    "strippers": 2, "lingerie": 1,
+    # gambling
+    "casino": 1, "casinos": 2, "poker": 1, "bet": 1, "bets": 2, "betting": 1, "bookie": 2,
+    "bookies": 2, "bookmaker": 2, "bookmakers": 2, "sportsbook": 2, "sportsbooks": 2,
+    "slot": 1, "slots": 1, "jackpot": 1, "jackpots": 2, "roulette": 1, "blackjack": 1,
+    "baccarat": 1, "bingo": 1, "keno": 1, "lotto": 1, "lottery": 1, "lotteries": 1,
+    "gamble": 1, "gambling": 1, "gambler": 1, "wager": 1, "wagers": 1, "wagering": 2,
+    "odds": 1, "win": 1, "winnings": 1,
+    "bonus": 1, "bonuses": 1, "spins": 1,
+    # pharmacy
+    "pill": 1, "pills": 1, "pharmacy": 1, "pharmacies": 1, "meds": 1,
+    "drugstore": 1, "no-prescription": 2, "tramadol": 2, "xanax": 2,
+    "valium": 2, "ambien": 2, "phentermine": 2, "steroids": 1, "generic": 1,
+    # money, goods, programs
+    "payday": 1, "loan": 1, "loans": 1, "replica": 1, "replicas": 1, "cheap": 1,
+    "torrent": 1, "torrents": 1, "cracked": 1, "serial-key": 1, "serial-keys": 1,
+    "download-free": 1,
 }
 SOFT_THRESHOLD = 2
 

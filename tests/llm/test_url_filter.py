@@ -56,6 +56,24 @@ def test_vocabulary_with_boundaries(spark):
     assert [r.verdict for r in judged(spark, ["a/b", "a/c"], **heavy)] == ["block", "allow"]
 
 
+def test_bad_hosts_of_whole_pages(spark):
+    bad = ("casino-win", "free-bets", "adult-x", "cheap-pills")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    rows = judge_urls(pages).collect()
+    blocked = {r.page_id for r in rows if r.verdict == "block"}
+    assert blocked == {r.page_id for r in rows if any(name in r.host for name in bad)}
+    assert blocked
+
+
+def test_plurals_and_strong_terms(spark):
+    cases = {
+        "http://a.net/bets": "block", "http://a.net/casinos": "block", "http://a.net/win": "allow",
+        "http://a.net/poker/bonus": "block", "http://online-pharmacy.net/generic": "block",
+        "http://a.net/adults": "allow", "http://a.net/better": "allow", "http://a.net/odds": "allow",
+    }
+    assert [r.verdict for r in judged(spark, list(cases))] == list(cases.values())
+
+
 def test_edge_cases(spark):
     long = "http://h.net/" + "a/" * 100_000 + "porn"
     rows = [(1, None), (2, long), (3, "http://x"), (3, "http://x"), (None, "http://x")]
