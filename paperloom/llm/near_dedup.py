@@ -318,6 +318,8 @@ def near_duplicates(
         fresh = _across(signed_members, roots, plan, best).join(checked, ["a", "b"], "left_anti")
         fresh = stored(fresh, "pairs")
         if fresh.isEmpty():
+            if best:
+                continue
             break
         found = stored(_confirmed(fresh, texts, plan), "confirmed")
         links, checked = links.unionByName(found), checked.unionByName(fresh)

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from paperloom.llm import near_dedup
 from paperloom.llm.near_dedup import Plan, near_duplicates, one_of_each
 from paperloom.llm.queries import op8_near_dedup
 
@@ -104,3 +105,19 @@ def test_edge_cases(spark):
 def test_only_null_ids(spark):
     frame = spark.createDataFrame([(None, "a b c"), (None, "a b c")], SCHEMA)
     assert [tuple(r)[2:] for r in near_duplicates(frame).collect()] == [(1, None, True)] * 2
+
+
+def test_remaining_pairs_are_compared_where_the_best_are_none(spark, monkeypatch):
+    across, turns = near_dedup._across, []
+
+    def without_best(members, roots, plan, best):
+        turns.append(best)
+        found = across(members, roots, plan, best)
+        return found.limit(0) if best else found
+
+    monkeypatch.setattr(near_dedup, "_across", without_best)
+    draw = random.Random(5)
+    base = " ".join("w%d" % draw.randrange(10**6) for _ in range(100))
+    rows = [(i, edited(base, 0.03, draw)) for i in range(6)]
+    got = found(near_duplicates(spark.createDataFrame(rows, SCHEMA), Plan(width=2)))
+    assert turns == [True, False] and got == by_brute_force(rows, 2)
