@@ -40,7 +40,7 @@ class Plan(NamedTuple):
     discount: tuple[float, ...] = (0.95, 0.5)
     fall: tuple[float, ...] = (0.05, 0.0)
     added: float = 0.1
-    key_bits: int = 50
+    key_bits: int = 56
     block_chars: int = 4_000_000
     part_words: int = 1_500_000
 
