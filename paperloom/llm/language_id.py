@@ -19,16 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import stored
-from paperloom.llm.words import text_slices
 
 
 class Plan(NamedTuple):
-    """``weight``: share of a trigram's log-likelihood that counts. ``pull``: documents a
-    parent's mix is worth to its child. ``least``: posterior below which a document is
-    rejected as undecided. ``margin``: how much likelier than chance, in nats a
-    trigram, a text must be in its language; below, it is in none of them."""
-
-    languages: tuple[str, ...] = ("en", "de", "fr", "es")
+    """``languages``: those to tell apart; None takes the languages that at least
+    ``declared`` rows declare, and one in 1 / ``share`` of those that declare any:
+    declarations that are slips are not learned. ``weight``: share of a trigram's log-likelihood that
+    counts. ``pull``: documents a parent's mix is worth to its child. ``least``:
+    posterior below which a document is rejected as undecided. ``margin``: how much
+    likelier than chance, in nats a trigram, a text must be in its language; below, it
+    is in none of them."""
+
+    languages: tuple[str, ...] | None = None
+    declared: int = 10
+    share: float = 1e-4
     bits: int = 15
     weight: float = 0.3
     added: float = 0.5
@@ -37,37 +41,91 @@ class Plan(NamedTuple):
     margin: float = 0.5
 
 
-def trigrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, text numbers) of the trigrams with at least two letters, A-Z and other
-    letters lower-cased. Digits and marks count as spaces."""
-    joined = "  \n".join((t or "").lower() for t in texts) + "  \n"
+#: Characters that are looked at together; each takes some 60 bytes meanwhile.
+_SLICE_CHARS = 500_000
+
+
+def _hashes(joined: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places of the middle characters) of trigrams with at least two letters."""
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    lengths = np.array([len((t or "").lower()) + 3 for t in texts])
-    owner = np.repeat(np.arange(len(texts)), lengths)
     letter = (codes >= 0xC0) | ((codes >= 0x61) & (codes <= 0x7A))
-    plain = np.where(letter, codes, 0x20).astype(np.uint64)
-    three = (plain[:-2] << np.uint64(42)) ^ (plain[1:-1] << np.uint64(21)) ^ plain[2:]
     count = letter[:-2].astype(np.int8) + letter[1:-1] + letter[2:]
-    use = np.flatnonzero(count >= 2)
-    hashed = (three[use] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    return hashed.astype(np.int64), owner[use]
+    middle = np.flatnonzero(count >= 2) + 1
+    plain = np.where(letter, codes, np.uint32(0x20))
+    hashed = plain[middle - 1].astype(np.uint64) << np.uint64(42)
+    hashed ^= plain[middle].astype(np.uint64) << np.uint64(21)
+    hashed ^= plain[middle + 1]
+    hashed *= np.uint64(0x9E3779B97F4A7C15)
+    hashed >>= np.uint64(64 - bits)
+    return hashed.astype(np.int64), middle
 
 
-def _counts(rows: DataFrame, plan: Plan) -> DataFrame:
+def trigrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, text numbers) of the trigrams with at least two letters, A-Z and other
+    letters lower-cased. Digits and marks count as spaces.
+
+    Texts are parted by two spaces, so of a trigram with two letters the middle
+    character always lies in the text that the letters are from."""
+    lowered = [(t or "").lower() for t in texts]
+    ends = np.cumsum([len(t) + 2 for t in lowered])
+    hashed, middle = _hashes("  " + "  ".join(lowered) + "  ", bits)
+    return hashed, np.searchsorted(ends, middle - 2, "right")
+
+
+Part = tuple[np.ndarray, np.ndarray]
+
+
+def trigram_runs(
+    texts: list[str | None], bits: int, chars: int = _SLICE_CHARS
+) -> Iterator[tuple[int, int, Iterator[Part]]]:
+    """(first, last, parts): runs of texts of about ``chars`` characters in one part
+    each. A longer text is a run by itself, its parts cut where they would be cut alone,
+    so what is summed up for a text does not depend on its neighbours."""
+
+    def of_long(text: str) -> Iterator[Part]:
+        padded = f" {text.lower()} "
+        for at in range(0, len(padded) - 2, chars):
+            hashed, middle = _hashes(padded[at : at + chars + 2], bits)
+            yield hashed, np.zeros(len(middle), np.int64)
+
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        length = len(text or "")
+        if first < i and size + length > chars:
+            yield first, i, iter([trigrams(texts[first:i], bits)])
+            first, size = i, 0
+        if length > chars:
+            yield i, i + 1, of_long(text or "")
+            first = i + 1
+        else:
+            size += length
+    if first < len(texts):
+        yield first, len(texts), iter([trigrams(texts[first:], bits)])
+
+
+def declared_languages(rows: DataFrame, plan: Plan) -> tuple[str, ...]:
+    """The languages that enough rows declare, in order of their codes. Codes have two
+    or three letters, so there are never many."""
+    code = F.col("declared").rlike("^[a-z]{2,3}$")
+    counted = rows.filter(code).groupBy("declared").count().collect()
+    least = max(plan.declared, plan.share * sum(row["count"] for row in counted))
+    return tuple(sorted(row["declared"] for row in counted if row["count"] >= least))
+
+
+def _counts(rows: DataFrame, names: list[str], bits: int) -> DataFrame:
     """(language, bucket, n): trigrams by declared language, summed in each task first."""
-    size, names = 1 << plan.bits, list(plan.languages)
+    size = 1 << bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(names), size), np.int64)
         for batch in batches:
             texts = batch["text"].tolist()
             declared = pd.Categorical(batch["declared"], names).codes
-            for first, last in text_slices(texts):
-                hashed, owner = trigrams(texts[first:last], plan.bits)
-                language = declared[first:last][owner].astype(np.int64)
-                known = language >= 0
-                flat = language[known] * size + hashed[known]
-                total += np.bincount(flat, minlength=total.size).reshape(total.shape)
+            for first, last, parts in trigram_runs(texts, bits):
+                for hashed, owner in parts:
+                    language = declared[first:last][owner]
+                    for code in np.unique(language[language >= 0]):
+                        total[code] += np.bincount(hashed[language == code], minlength=size)
         language, bucket = np.nonzero(total)
         yield pd.DataFrame({"language": language, "bucket": bucket, "n": total[language, bucket]})
 
@@ -75,11 +133,11 @@ def _counts(rows: DataFrame, plan: Plan) -> DataFrame:
     return counted.groupBy("language", "bucket").agg(F.sum("n").alias("n"))
 
 
-def learn(rows: DataFrame, plan: Plan) -> np.ndarray:
-    """Log-probabilities (language, bucket). Their number is fixed by the plan, so they
-    may be collected and sent to all tasks."""
-    counts = np.zeros((len(plan.languages), 1 << plan.bits))
-    for language, bucket, n in _counts(rows, plan).collect():
+def learn(rows: DataFrame, languages: list[str], plan: Plan) -> np.ndarray:
+    """Log-probabilities (language, bucket). Their number is fixed by the plan and the
+    languages there are, so they may be collected and sent to all tasks."""
+    counts = np.zeros((len(languages), 1 << plan.bits))
+    for language, bucket, n in _counts(rows, languages, plan.bits).collect():
         counts[language, bucket] = n
     return np.log((counts + plan.added) / (counts + plan.added).sum(axis=1, keepdims=True))
 
@@ -96,15 +154,15 @@ def _text_evidence(rows: DataFrame, table: np.ndarray, plan: Plan) -> DataFrame:
         logs = sent.value
         for batch in batches:
             texts = batch["text"].tolist()
-            for first, last in text_slices(texts):
-                hashed, owner = trigrams(texts[first:last], plan.bits)
-                sums = np.stack(
-                    [np.bincount(owner, row[hashed], minlength=last - first) for row in logs], 1
-                )
+            for first, last, parts in trigram_runs(texts, plan.bits):
+                sums = np.zeros((last - first, len(logs)))
+                seen = np.zeros(last - first, np.int64)
+                for hashed, owner in parts:
+                    seen += np.bincount(owner, minlength=last - first)
+                    for k, row in enumerate(logs):
+                        sums[:, k] += np.bincount(owner, row[hashed], minlength=last - first)
                 part = batch.iloc[first:last][keep].reset_index(drop=True)
-                yield part.assign(
-                    likely=list(sums), trigrams=np.bincount(owner, minlength=last - first)
-                )
+                yield part.assign(likely=list(sums), trigrams=seen)
 
     return rows.mapInPandas(weigh, schema)
 
@@ -144,17 +202,16 @@ def identify(
     both are null, and the document is not kept, where the text has no trigram of
     letters (so for null and empty texts). A document is kept if the posterior
     reaches ``least`` and the text fits its language. Ties go to the language that
-    comes first in the plan. Null or unknown declarations, hosts and suffixes count
+    comes first in the plan, else by code. Where nothing is declared there is nothing
+    to learn from: no text fits, and none is kept. Null or unknown declarations, hosts and suffixes count
     as no evidence. ``suffix``: the end of an address, such as a country's domain.
     Repeated rows count as often as they occur; an empty table gives an empty table;
     texts are read whole. text_key (xxhash64 of the text) tells rows of one id apart.
 
-    Scale: what is collected has the size of the plan, not of the data: trigram
-    tables and the counts of declarations; suffixes and hosts stay distributed. A
+    Scale: what is collected has the size of the plan and of the languages there are,
+    not of the data: trigram tables and the counts of declarations; suffixes and hosts stay distributed. A
     host's mix is joined by host and salt.
     """
-    languages = list(plan.languages)
-    names = F.array(*[F.lit(x) for x in languages])
     empty = F.lit(None).cast("string")
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -164,7 +221,10 @@ def identify(
         (F.lower(suffix) if suffix is not None else empty).alias("suffix"),
         F.col(text).alias("text"),
     )
-    table = learn(rows, plan)
+    found = plan.languages or declared_languages(rows, plan) or ("en",)
+    languages = list(found)
+    names = F.array(*[F.lit(x) for x in languages])
+    table = learn(rows, languages, plan)
     weighed = stored(_text_evidence(rows, table, plan), "evidence")
 
     best = F.array_position("likely", F.array_max("likely")).cast("int") - 1

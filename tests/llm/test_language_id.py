@@ -1,10 +1,11 @@
 """Language identification: held-out accuracy, evidence, edge cases."""
 
+import math
 import random
 
 import numpy as np
 
-from paperloom.llm.language_id import Plan, identify, trigrams
+from paperloom.llm.language_id import Plan, identify, trigram_runs, trigrams
 from paperloom.llm.html_text import language_tag, visible_text
 from paperloom.llm.queries import op5_language_id, op5_page_language
 
@@ -15,10 +16,11 @@ SYLLABLES = {
     "fr": "eau eux oi que ment tion le les".split(),
     "es": "ción ado os la que ie rr los".split(),
 }
+FIVE = {**SYLLABLES, "it": "zza gli che ono sce ucci".split()}
 
 
 def text_in(language, draw, words=40):
-    some = SYLLABLES[language]
+    some = FIVE[language]
     return " ".join("".join(draw.choices(some, k=draw.randrange(1, 4))) for _ in range(words))
 
 
@@ -94,6 +96,99 @@ def test_trigrams_stay_within_their_text():
     assert isinstance(Plan(), tuple) and whole.dtype == np.int64
 
 
+def test_long_texts_are_counted_in_parts():
+    texts = ["ab cd", "the thing İ " * 40, None, "", "xyz" * 30]
+    for chars in (7, 50, 10_000):
+        got = [[] for _ in texts]
+        for first, last, parts in trigram_runs(texts, 15, chars):
+            for hashed, owner in parts:
+                for h, o in zip(hashed.tolist(), owner.tolist()):
+                    assert first + o < last
+                    got[first + o].append(h)
+        assert got == [trigrams([t], 15)[0].tolist() for t in texts]
+
+
+def posterior_by_hand(rows, plan):
+    """[(language, probability)] of (text, declared, host) rows, hosts of one label."""
+
+    def threes(text):
+        plain = [c if c >= "\u00c0" or "a" <= c <= "z" else " " for c in f" {(text or '').lower()} "]
+        for a, b, c in zip(plain, plain[1:], plain[2:]):
+            if sum(x != " " for x in (a, b, c)) >= 2:
+                word = ord(a) << 42 ^ ord(b) << 21 ^ ord(c)
+                yield (word * 0x9E3779B97F4A7C15 % 2**64) >> (64 - plan.bits)
+
+    def logs(counts, added):
+        total = sum(counts) + added * len(counts)
+        return [math.log((n + added) / total) for n in counts]
+
+    names = plan.languages
+    counts = {x: [0] * 2**plan.bits for x in names}
+    for text, declared, _ in rows:
+        for bucket in threes(text) if declared in names else ():
+            counts[declared][bucket] += 1
+    table = {x: logs(counts[x], plan.added) for x in names}
+    likely = [[sum(table[x][b] for b in threes(text)) for x in names] for text, _, _ in rows]
+    best = [
+        max(range(len(names)), key=lambda k: sums[k]) if any(threes(text)) else None
+        for sums, (text, _, _) in zip(likely, rows)
+    ]
+    told = [(b, d, h) for b, (_, d, h) in zip(best, rows) if b is not None]
+    prior = [sum(b == k for b, _, _ in told) + 1 for k in range(len(names))]
+    prior = [n / sum(prior) for n in prior]
+    given = [logs([sum((b, d) == (k, x) for b, d, _ in told) for x in names], 1) for k in range(len(names))]
+    out = []
+    for sums, b, (text, declared, host) in zip(likely, best, rows):
+        if b is None:
+            out.append((None, None))
+            continue
+        at_host = [sum((k, host) == (x, h) for x, _, h in told) for k in range(len(names))]
+        score = [
+            plan.weight * sums[k]
+            + (given[k][names.index(declared)] if declared in names else 0)
+            + math.log((at_host[k] + plan.pull * prior[k]) / (sum(at_host) + plan.pull))
+            for k in range(len(names))
+        ]
+        top = max(score)
+        out.append((names[score.index(top)], 1 / sum(math.exp(x - top) for x in score)))
+    return out
+
+
+def test_posterior_equals_the_plain_computation_in_any_order(spark):
+    draw = random.Random(9)
+    plan = Plan(languages=("de", "en"), bits=10)
+    rows = [("", None, "a"), ("12 34", None, "b"), (None, "de", "a"), ("th", "xx", "a"), ("é", None, None)]
+    rows += [("The thing. und", None, "b"), ("x qq", None, "c"), ("the " * 400, "de", "a")]
+    for i in range(60):
+        language = draw.choice(["de", "en"])
+        rows.append((text_in(language, draw, 3), language if i % 3 else None, draw.choice("abc")))
+    want = posterior_by_hand(rows, plan)
+    for seed in range(3):
+        order = list(range(len(rows)))
+        random.Random(seed).shuffle(order)
+        frame = spark.createDataFrame(
+            [(i, *rows[i]) for i in order], "doc_id long, text string, lang string, source string"
+        )
+        got = {r.doc_id: r for r in identify(frame.coalesce(1), plan).collect()}
+        for i, (language, probability) in enumerate(want):
+            assert got[i].language == language
+            if language:
+                assert abs(got[i].probability - probability) < 1e-9
+        assert not any(got[i].kept for i in (0, 1, 2))
+
+
+def test_languages_are_those_declared(spark):
+    draw = random.Random(6)
+    rows = [(i, text_in(x, draw), x, "h") for i in range(60) for x in FIVE]
+    rows += [(900 + i, text_in("it", draw), None, "h") for i in range(10)] + [(999, "the thing", "qq", "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = identify(frame).collect()
+    assert {r.language for r in got} == set(FIVE)
+    assert all(r.language == "it" and r.kept for r in got if 900 <= r.doc_id < 910)
+    nothing = identify(frame.withColumn("lang", frame["lang"].substr(9, 1))).collect()
+    assert len(nothing) == len(rows) and not any(r.kept for r in nothing)
+
+
 def test_every_page_is_identified(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     rows = op5_page_language(spark, FOLDER).collect()
