@@ -57,4 +57,32 @@ SELECT page_id, host, path, rule,
 FROM b LEFT JOIN c USING (page_id)
 """
 
-ORACLES = {"op7_line_dedup": _LINE_DEDUP, "op10_url_filter": _URL_FILTER}
+_FILL_MIDDLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+e AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a,
+         ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+f AS (
+  SELECT *, substr(t, 1, least(a, b)) AS p, substr(t, greatest(a, b) + 1) AS s,
+         substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m
+  FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE WHEN form = 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM f
+"""
+
+ORACLES = {
+    "op7_line_dedup": _LINE_DEDUP,
+    "op10_url_filter": _URL_FILTER,
+    "op13_fill_in_middle": _FILL_MIDDLE,
+}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import (
     ann,
     decontamination,
+    fill_middle,
     html_text,
     language_id,
     line_dedup,
@@ -20,7 +21,7 @@ from paperloom.llm import (
     token_store,
     url_filter,
 )
-from paperloom.llm.common import shared_folder, table
+from paperloom.llm.common import shared_folder, stored, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 URL_RULES = (
@@ -127,6 +128,12 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    frames = stored(fill_middle.store_frames(docs), "frames", compression="uncompressed")
+    return fill_middle.transform(frames, texts=False, digests=True)
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_nearest_vectors": op2_nearest_vectors,
@@ -138,6 +145,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_url_filter": op10_url_filter,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: Operators over further tables.
