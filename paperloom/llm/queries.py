@@ -19,6 +19,7 @@ from paperloom.llm import (
     piece_encoding,
     quality,
     token_store,
+    toxicity,
     url_filter,
 )
 from paperloom.llm.common import shared_folder, stored, table
@@ -128,6 +129,19 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    remainder = toxicity.remainder(F.col("doc_id"), 4)
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter(remainder != 2)
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, labels))
+    return scored.select(
+        "doc_id",
+        (remainder == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     frames = stored(fill_middle.store_frames(docs), "frames", compression="uncompressed")
@@ -145,6 +159,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_url_filter": op10_url_filter,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
