@@ -11,6 +11,7 @@ from paperloom.llm import (
     ann,
     decontamination,
     fill_middle,
+    hard_negatives,
     html_text,
     language_id,
     line_dedup,
@@ -129,6 +130,15 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of every seventh row are shifted, as if they were wrong."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
+    return hard_negatives.mine(
+        vectors, F.col("vec_id") % 100 == 0, label=shifted.otherwise(F.col("label"))
+    )
+
+
 def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     remainder = toxicity.remainder(F.col("doc_id"), 4)
@@ -159,6 +169,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
