@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import Memo, kept_in_worker, stored
+from paperloom.llm.words import text_slices
 
 
 class Plan(NamedTuple):
@@ -49,7 +50,9 @@ class Plan(NamedTuple):
 _WORDS = re.compile(r"\w+").findall
 _WORD = re.compile(r"\w+").finditer
 _ENDS = (4, 5, 6)
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 60_000
+# Characters of texts whose terms are held together.
+_SLICE_CHARS = 1_000_000
 _WHOLE_CHARS = 2_000_000
 
 
@@ -183,15 +186,17 @@ def _sample_terms(docs: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(plan.bits)
         for batch in batches:
-            found = [sorted(buckets(one.as_py(), known)) for one in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("toxic"),
-                    pa.array(found, pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "toxic", "terms"],
-            )
+            texts = batch.column("text").to_pylist()
+            for first, last in text_slices(texts, _SLICE_CHARS):
+                found = [_sorted(buckets(text, known), np.int32) for text in texts[first:last]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(first, last - first),
+                        batch.column("toxic").slice(first, last - first),
+                        pa.array(found, pa.list_(pa.int32())),
+                    ],
+                    names=["doc_id", "toxic", "terms"],
+                )
 
     found = rows.select("doc_id", "toxic", "text").mapInArrow(
         find, "doc_id long, toxic int, terms array<int>"
@@ -331,19 +336,21 @@ def score_documents(
 
         known = kept_in_worker(key, lambda: Memo(slots, _WORDS_KEPT))
         for batch in batches:
-            found = [_sorted(buckets(one.as_py(), known)) for one in batch.column(text)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *found])
-            columns = [batch.column(name) for name in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(model.scores(flat, offsets))], names=[*keep, score]
-            )
+            texts = batch.column(text).to_pylist()
+            for first, last in text_slices(texts, _SLICE_CHARS):
+                found = [_sorted(buckets(text, known)) for text in texts[first:last]]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+                flat = np.concatenate([np.zeros(0, np.int64), *found])
+                columns = [batch.column(name).slice(first, last - first) for name in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(model.scores(flat, offsets))], names=[*keep, score]
+                )
 
     return docs.mapInArrow(run, schema)
 
 
-def _sorted(numbers: Iterable[int]) -> np.ndarray:
-    return np.array(sorted(numbers), np.int64)
+def _sorted(numbers: Iterable[int], kind: type = np.int64) -> np.ndarray:
+    return np.array(sorted(numbers), kind)
 
 
 def remainder(doc_id: Column, parts: int) -> Column:
