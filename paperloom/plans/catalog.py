@@ -27,8 +27,9 @@ from paperloom.operators import (
     retrieval,
     tasks,
 )
-from paperloom.plans import answer_flow
+from paperloom.plans import answer_flow, index_flow
 from paperloom.plans.layout import fill_cores
+from paperloom.sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,9 @@ DOCUMENTS_PER_CONVERSATION = 4
 LOOKUP_KEY = 7
 # Of the ten cells: as many as find 0.9 of the true neighbours (README).
 CELL_PROBES = 8
+# Of the quantised index; probes as above.
+QUANTISED_CELLS = 32
+QUANTISED_PROBES = 20
 REGISTRY = [
     ("translate_text", 1, "Say in {target_language}: {text}"),
     ("translate_text", 2, "Put into {target_language}:\n{text}\n(from {target_language} only)"),
@@ -337,6 +341,24 @@ def vector_topk_approximate(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(retrieval.approximate_top_k(questions, cells, centres, CELL_PROBES))
 
 
+def _indexed(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """Questions, and a store with the quantised index of all vectors."""
+    questions, chunks = _vector_sides(spark, folder)
+    store = new_folder(spark, "vectors")
+    index_flow.build_quantised_index(chunks, store, QUANTISED_CELLS)
+    return questions, store
+
+
+def vector_topk_quantised(spark: SparkSession, folder: str) -> DataFrame:
+    questions, store = _indexed(spark, folder)
+    return _scored(index_flow.search_quantised(questions, store, QUANTISED_PROBES))
+
+
+def vector_topk_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    questions, store = _indexed(spark, folder)
+    return _scored(index_flow.search_by_bounds(questions, store))
+
+
 def _scored(ranked: DataFrame) -> DataFrame:
     return _long(ranked, "rank").withColumn("score", F.round("score", 4))
 
@@ -641,6 +663,8 @@ QUERIES: dict[str, Query] = {
         hashed_embedding,
         vector_topk,
         vector_topk_approximate,
+        vector_topk_quantised,
+        vector_topk_bounds,
         rag_topk,
         rag_context,
         rag_prompt,

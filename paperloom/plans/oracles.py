@@ -699,3 +699,6 @@ FROM events""",
     "agent_answers": _agent_answers_sql(),
     "answer_turns": _answer_turns_sql(),
 }
+
+# The search by bounds gives the rows of the search that compares everything.
+ORACLES["vector_topk_bounds"] = ORACLES["vector_topk"]

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not here")
 
-WITHOUT_SQL = {"chunk_recursive"}
+WITHOUT_SQL = {"chunk_recursive", "vector_topk_quantised"}
 OF_LLM = re.compile(r"op\d+_|pipeline$").match
 
 
