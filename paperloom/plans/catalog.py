@@ -363,6 +363,13 @@ def _scored(ranked: DataFrame) -> DataFrame:
     return _long(ranked, "rank").withColumn("score", F.round("score", 4))
 
 
+def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
+    store = new_folder(spark, "postings")
+    index_flow.build_postings(_fixed(spark, folder), store)
+    ranked = index_flow.search_postings(_questions(spark, folder), store)
+    return _long(ranked, "rank").withColumn("score", F.round("score", 6))
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
@@ -665,6 +672,7 @@ QUERIES: dict[str, Query] = {
         vector_topk_approximate,
         vector_topk_quantised,
         vector_topk_bounds,
+        lexical_topk,
         rag_topk,
         rag_context,
         rag_prompt,

@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom import fixed_values as fixed
-from paperloom.operators import quantised, retrieval
+from paperloom.operators import postings, quantised, retrieval
 from paperloom.sources.tables import table_path
 
 INDEX_TABLE = "chunk_index_cells"
 CENTRE_TABLE = "chunk_index_centres"
 CODE_TABLE = "chunk_index_codes"
 BOOK_TABLE = "chunk_index_books"
+COUNT_TABLE = "chunk_word_counts"
+POSTING_TABLE = "chunk_postings"
 
 
 def build_index(embeddings: DataFrame, store: str, cells: int) -> None:
@@ -110,3 +112,27 @@ def search_by_bounds(questions: DataFrame, store: str, k: int = fixed.TOP_K) ->
     """The k best of all vectors, leaving out what bounds show cannot be among them."""
     index, fitted = quantised_index(questions.sparkSession, store)
     return quantised.exact_top_k(questions, index, fitted, k)
+
+
+def build_postings(
+    chunks: DataFrame, store: str, per_shard: int = postings.CHUNKS_PER_SHARD
+) -> None:
+    """Write the inverted index of the chunks' words (``document_id, chunk_index,
+    chunk_text``), by buckets of words, with the rows of a file in the words' order."""
+    spark = chunks.sparkSession
+    counts = table_path(store, COUNT_TABLE)
+    counted = postings.shard_counts(chunks, per_shard)
+    counted.write.mode("overwrite").parquet(counts)
+    made = postings.weighted_postings(spark.read.schema(counted.schema).parquet(counts))
+    made.repartition("bucket", "shard").sortWithinPartitions("bucket", "term").write.mode(
+        "overwrite"
+    ).partitionBy("bucket").parquet(table_path(store, POSTING_TABLE))
+
+
+def stored_postings(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(postings.POSTING_SCHEMA).parquet(table_path(store, POSTING_TABLE))
+
+
+def search_postings(questions: DataFrame, store: str, k: int = fixed.TOP_K) -> DataFrame:
+    """The k chunks of the most similar words to each question (``query_id, query``)."""
+    return postings.search(questions, stored_postings(questions.sparkSession, store), k)

@@ -638,6 +638,42 @@ FROM benchmark b LEFT JOIN (
     chr(10) || chr(10) ORDER BY rank) AS excerpts
   FROM ranked JOIN chunks USING (document_id, chunk_index)
   GROUP BY query_id) found ON found.query_id = b.item_id""",
+    "lexical_topk": f"""
+WITH {CHUNKS},
+held AS (
+  SELECT document_id, chunk_index, word, count(*) AS n
+  FROM (
+    SELECT document_id, chunk_index, unnest(regexp_extract_all(lower(chunk_text), '{_WORDS}')) AS word
+    FROM chunks)
+  GROUP BY ALL
+),
+rarity AS (
+  SELECT word, ln(1 + (SELECT count(*) FROM chunks) / count(*)) AS idf FROM held GROUP BY word
+),
+weights AS (
+  SELECT document_id, chunk_index, word,
+    n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY document_id, chunk_index)) AS weight
+  FROM held JOIN rarity USING (word)
+),
+asked AS (
+  SELECT item_id, word, count(*) AS n
+  FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS word FROM benchmark)
+  GROUP BY ALL
+),
+question_weights AS (
+  SELECT item_id, word, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY item_id)) AS weight
+  FROM asked JOIN rarity USING (word)
+),
+scored AS (
+  SELECT item_id AS query_id, document_id, chunk_index, round(sum(q.weight * w.weight), 10) AS score
+  FROM question_weights q JOIN weights w USING (word) GROUP BY ALL
+)
+SELECT query_id, rank, document_id, chunk_index, round(score, 6) AS score
+FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS rank
+  FROM scored)
+WHERE rank <= 3""",
     "visible_turns": "SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'",
     "conversation_cap": f"""
 SELECT conv_id, count(*) AS messages, count(*) >= {catalog.SMALL_CAP} AS at_cap
