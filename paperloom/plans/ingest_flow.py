@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from paperloom import fixed_values as fixed
 from paperloom import schemas
 from paperloom.functions.text import as_timestamp
-from paperloom.operators import chunking, ingest, naming
+from paperloom.operators import chunking, ingest, name_registry, naming
 from paperloom.sources import tables
 
 DISPOSITION_TABLE = "file_disposition"
+REQUEST_TABLE = "name_request"
+TAKE_TABLE = "name_take"
+GRANT_TABLE = "name_grant"
+MOVE_TABLE = "file_move"
 BATCH_TABLE = "finished_batch"
 
 COUNTED = ("files", "chunks", "errors")
@@ -38,6 +42,7 @@ def ingest_batch(
     splitter: Callable[[str], list[str]] | None = None,
     processed_folder: str = "processed",
     error_folder: str = "errors",
+    named: bool = True,
 ) -> None:
     """Take a batch of landing files into the tables below ``store``.
 
@@ -47,6 +52,10 @@ def ingest_batch(
     last, after all its tables are written; readers join on that list. Running the
     batch again replaces its rows. The finished list also holds the batch's report:
     files, documents, chunks, errors and seconds, counted while tables are written.
+
+    With ``named`` the files' archive names are found here, which reads those of all
+    earlier batches. Without, :func:`request_names` asks for them, and
+    ``streaming.archive_stream`` gives them from its state and moves the files.
     """
     spark = files.sparkSession
     started = time.monotonic()
@@ -83,12 +92,9 @@ def ingest_batch(
         # Rare, so the texts are only then gone through again for the messages.
         errors = errors.unionByName(ingest.chunk_error_rows(chunked, created_at))
     tables.write_batch(counted("errors", errors), store, fixed.ERROR_TABLE, batch_id)
-    tables.write_batch(
-        disposed_files(spark, store, stored, batch_id, processed_folder, error_folder),
-        store,
-        DISPOSITION_TABLE,
-        batch_id,
-    )
+    if named:
+        disposed = disposed_files(spark, store, stored, batch_id, processed_folder, error_folder)
+        tables.write_batch(disposed, store, DISPOSITION_TABLE, batch_id)
     report = {name: seen[name].get["rows"] for name in COUNTED}
     unread = seen["files"].get["unread"]
     finished = spark.createDataFrame(
@@ -131,6 +137,33 @@ def disposed_files(
     )
 
 
+def request_names(
+    spark: SparkSession,
+    store: str,
+    batch_id: int,
+    processed_folder: str = "processed",
+    error_folder: str = "errors",
+) -> None:
+    """Ask for archive names of a finished batch's files. Files are moved once they have
+    names, so this comes after the batch is finished and never needs them again."""
+    stored = tables.read_batch(spark, store, schemas.FILE_TABLE, schemas.FILE, batch_id)
+    asked = name_registry.requests(ingest.dispositions(stored, processed_folder, error_folder))
+    tables.write_batch(asked, store, REQUEST_TABLE, batch_id)
+    schema = spark.createDataFrame([], name_registry.REQUESTED).schema
+    asked = tables.read_batch(spark, store, REQUEST_TABLE, schema, batch_id)
+    tables.write_batch(name_registry.takes(asked), store, TAKE_TABLE, batch_id)
+
+
+def is_taken_in(spark: SparkSession, store: str, files: DataFrame, batch_id: int) -> bool:
+    """Whether a batch is finished and held all of these files (``path``)."""
+    schema = spark.createDataFrame([], FINISHED).schema
+    if tables.read_batch(spark, store, BATCH_TABLE, schema, batch_id).isEmpty():
+        return False
+    stored = tables.read_batch(spark, store, schemas.FILE_TABLE, schemas.FILE, batch_id)
+    known = stored.select(F.col("file_path").alias("path"))
+    return files.select("path").join(known, "path", "left_anti").isEmpty()
+
+
 def finished_rows(spark: SparkSession, store: str, rows: DataFrame) -> DataFrame:
     """Stored rows whose batch is finished, so that no half-written batch is seen."""
     batches = tables.read_table(

@@ -23,27 +23,20 @@ def landing_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def landing_stream(
-    spark: SparkSession,
-    folder: str,
-    files_per_batch: int | None = None,
-    archive_folder: str | None = None,
+    spark: SparkSession, folder: str, files_per_batch: int | None = None
 ) -> DataFrame:
     """Files that appear below a folder, each once per checkpoint.
 
-    With ``archive_folder``, Spark moves handled files there, keeping their
-    folders, when a later batch runs. A file still in the landing folder is
-    therefore not a sign that it is new: the checkpoint decides.
+    A file that is gone when its batch is read, because it was archived before the batch
+    is replayed, is passed over.
     """
     reader = (
         spark.readStream.format("binaryFile")
         .schema(schemas.LANDING_FILES)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", SUFFIX_GLOB)
+        .option("ignoreMissingFiles", "true")
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if archive_folder:
-        reader = reader.option("cleanSource", "archive").option(
-            "sourceArchiveDir", archive_folder
-        )
     return reader.load(folder)

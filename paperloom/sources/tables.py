@@ -84,6 +84,11 @@ def submit_feedback(
     )
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder exists in the file system its path names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -249,12 +249,3 @@ def test_embedding_stream_follows_chunks(spark, landing, tmp_path):
     # So does a replayed embedding batch.
     embed_batch(chunks.filter("batch_id = 0"), str(store), 0, HashedEmbedder())
     assert table(spark, store, EMBEDDING_TABLE, EMBEDDED).count() == chunks.count()
-
-
-def test_archiving_moves_handled_files(spark, landing, tmp_path):
-    store, checkpoint, archive = tmp_path / "store", str(tmp_path / "cp"), tmp_path / "archive"
-    for step in range(3):
-        put(landing, f"more/{step}.pdf", f"text {step}")
-        run(start_ingest(spark, str(landing), str(store), checkpoint, archive_folder=str(archive), clock=lambda: NOW))
-    assert table(spark, store, "document", schemas.DOCUMENT).count() == 7
-    assert {p.name for p in archive.rglob("*.pdf")} >= {"plain.pdf", "blank.pdf"}
