@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import xxhash
 
-from paperloom.llm.common import Memo, kept_in_worker
-
-WORDS_KEPT = 150_000
 SLICE_CHARS = 4_000_000
+# Bytes that are looked at together; each takes some 40 bytes meanwhile.
+_PIECE = 1 << 19
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -36,15 +33,62 @@ def text_slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[t
         yield first, len(texts)
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte, A-Z as a-z, and one for each place in a word."""
+    draw = np.random.default_rng(20_240_501)
+    values = draw.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    values[65:91] = values[97:123]
+    return values, _powers(64)
+
+
+def _powers(count: int) -> np.ndarray:
+    base = np.full(count, 0x9E6C63D0876A9A35, np.uint64)
+    base[0] = 1
+    return np.cumprod(base)
+
+
+_VALUES, _POWERS = _tables()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places of the first bytes) of the words in some bytes: the sum of the bytes'
+    values times odd factors by place, scrambled with the length."""
+    letters = np.flatnonzero(~_SPACE[data])
+    if not len(letters):
+        return np.zeros(0, np.uint64), letters
+    first = np.flatnonzero(np.diff(letters, prepend=-2) != 1)
+    size = np.diff(first, append=len(letters))
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    longest = int(size.max())
+    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
+    sums = np.add.reduceat(_VALUES[data[letters]] * powers[place], first)
+    return mixed(sums ^ mixed(size.astype(np.uint64))), letters[first]
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, offsets of texts): A-Z lower-cased, words are what ASCII
     white space parts, which is also what bytes are split by. Null is empty."""
-    words = [(text or "").encode().lower().split() for text in texts]
-    offsets = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(x) for x in words], out=offsets[1:])
-    known = kept_in_worker(("words",), lambda: Memo(xxhash.xxh3_64_intdigest, WORDS_KEPT))
-    flat = map(known.__getitem__, chain.from_iterable(words))
-    return np.fromiter(flat, np.uint64, int(offsets[-1])), offsets
+    plain = [(text or "").encode("utf-8", "replace") for text in texts]
+    data = np.frombuffer(b" ".join(plain), np.uint8)
+    begins = np.cumsum([0, *(len(x) + 1 for x in plain)])
+    found, places, at = [], [], 0
+    while at < len(data):
+        end = at + _PIECE
+        if end < len(data):  # a piece ends where a word does
+            gap = np.flatnonzero(_SPACE[data[end : end + _PIECE]])
+            while not len(gap) and end < len(data):
+                end += _PIECE
+                gap = np.flatnonzero(_SPACE[data[end : end + _PIECE]])
+            end += int(gap[0]) if len(gap) else 0
+        hashes, first = _hashes(data[at:end])
+        found.append(hashes)
+        places.append(first + at)
+        at = end
+    whole = np.concatenate([np.zeros(0, np.uint64), *found])
+    where = np.concatenate([np.zeros(0, np.int64), *places])
+    return whole, np.searchsorted(where, begins)
 
 
 def chained(hashes: np.ndarray, width: int) -> np.ndarray:
