@@ -8,10 +8,12 @@ leaves open are confirmed on the full sets.
 
 Texts with the same set are one class and take part once. In a bucket, first every
 class is compared with one hub only. Where a bucket then still has members of
-several components, each member is compared with the most similar ones of other
-components, and at last all remaining plausible pairs of different components are.
-So no link that could join two components is left out, while pairs inside a
-component, of which there may be very many, are never made.
+several components, all plausible pairs of different components are compared on their
+sets, in the first bucket that a pair shares. Pairs live in a task's arrays only: a cell
+of a bucket hands on links that join components within it, fewer than it has members.
+So no link that could join two components is left out, while neither pairs inside a
+component nor pairs that come close to the threshold, of which there may be very
+many, are ever rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import stored
@@ -32,7 +34,7 @@ from paperloom.llm.words import mixed, shingles, text_slices, word_hashes
 class Plan(NamedTuple):
     """Parameters. With 32 bands of 5 a pair of similarity 0.8 is missed 3 times in a
     million; ``slack`` is four and a half deviations of the estimate from 512 lanes.
-    ``nearest``: partners a member is compared with before all others are."""
+    A cell holds at most about ``cell`` members, or members of ``items`` shingles, a side."""
 
     width: int = 5
     percent: int = 80
@@ -41,25 +43,24 @@ class Plan(NamedTuple):
     lanes: int = 512
     bits: int = 4
     slack: float = 0.085
-    nearest: int = 2
     cell: int = 1_000
+    items: int = 2_000_000
     seed: int = 11
 
 
-def _functions(plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def _functions(plan: Plan) -> np.ndarray:
     draw = np.random.default_rng(plan.seed)
     count = plan.bands * plan.rows
-    factors = draw.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    return factors, draw.integers(0, 1 << 32, count, dtype=np.uint32)
+    return draw.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def minima(items: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """Minimum of each hash function over the items, in blocks of bounded size."""
+def minima(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Minimum of each hash function over the items, in blocks of bounded size. A function
+    multiplies by an odd factor, which permutes the values of well mixed items."""
     least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
     short = (items >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(short), 2048):
-        hashed = np.multiply.outer(factors, short[k : k + 2048])
-        hashed += shifts[:, None]
+    for k in range(0, len(short), 1024):
+        hashed = np.multiply.outer(factors, short[k : k + 1024])
         np.minimum(least, hashed.min(axis=1), out=least)
     return mixed(least.astype(np.uint64))
 
@@ -106,7 +107,7 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
     null without words."""
     import hashlib
 
-    factors, shifts = _functions(plan)
+    factors = _functions(plan)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,7 +120,7 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
                     if not len(items):
                         rows.append((0, None, None, None))
                         continue
-                    least = minima(items, factors, shifts)
+                    least = minima(items, factors)
                     keys = least.reshape(plan.bands, plan.rows)
                     mixed_keys = np.arange(plan.bands, dtype=np.uint64)
                     for k in range(plan.rows):
@@ -151,25 +152,51 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. Rows of a pair come sorted
-    by ``a`` out of the join, so its set is made once for many pairs."""
+def _shingle_sets(texts: DataFrame, plan: Plan) -> DataFrame:
+    """(node, items) of (node, text): sorted hashes of the shingles."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = batch["text"].tolist()
+            for first, last in text_slices(found):
+                hashes, offsets = word_hashes(found[first:last])
+                sets = [
+                    shingles(hashes[a:b], plan.width).tobytes()
+                    for a, b in zip(offsets[:-1], offsets[1:])
+                ]
+                yield pd.DataFrame({"node": batch["node"].iloc[first:last].to_numpy(), "items": sets})
+
+    return texts.mapInPandas(cut, "node binary, items binary")
+
+
+def _shared(items: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many items each of the other sets has in common with one."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    at = np.searchsorted(items, flat)
+    at[at == len(items)] = 0
+    return np.add.reduceat(items[at] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
+def _linked(items: np.ndarray, others: list[np.ndarray], plan: Plan) -> np.ndarray:
+    """Which of the other sets are similar enough; no set is empty."""
+    shared = _shared(items, others)
+    total = len(items) + np.array([len(x) for x in others]) - shared
+    return 100 * shared >= plan.percent * total
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[bytes | None, np.ndarray | None] = (None, None)
         for batch in batches:
-            keep = []
-            for a, left, right in zip(batch["a"], batch["left"], batch["right"]):
-                if a != seen[0]:
-                    seen = (a, shingles(word_hashes([left])[0], plan.width))
-                items = shingles(word_hashes([right])[0], plan.width)
-                shared = len(np.intersect1d(seen[1], items, assume_unique=True))
-                total = len(seen[1]) + len(items) - shared
-                keep.append(100 * shared >= plan.percent * total)
+            keep = [
+                bool(_linked(np.frombuffer(left, np.uint64), [np.frombuffer(right, np.uint64)], plan)[0])
+                for left, right in zip(batch["left"], batch["right"])
+            ]
             yield batch.loc[keep, ["a", "b"]]
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
     return pairs.join(right, "b").join(left, "a").mapInPandas(confirm, "a binary, b binary")
 
 
@@ -190,70 +217,174 @@ def _plausible(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(sized).mapInPandas(judge, "a binary, b binary")
 
 
-def _across(members: DataFrame, roots: DataFrame, plan: Plan, best: bool) -> DataFrame:
-    """Plausible pairs of different components that share a bucket.
+_CELL = ["bucket", "x", "y"]
+_CELL_ROWS = (
+    "bucket long, x int, y int, cut int, band int, node binary, root binary, n_shingles long, "
+    "signature binary, marks binary"
+)
+_PAIRS_AT_ONCE = 40_000
 
-    A bucket of n members is cut into a triangle of cells of bounded size; a cell is
-    compared as arrays. ``best``: of each member only the pairs with its ``nearest``
-    most similar ones of other components.
-    """
+
+def _dealt(members: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
+    """The members of buckets that hold several components, in cells: a bucket is cut into
+    parts of bounded size, and a cell is one of the pairs of parts."""
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     buckets = (
         placed.groupBy("bucket")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.min("root").alias("lo"),
+            F.max("root").alias("hi"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("n_shingles").alias("all"),
+        )
         .filter("lo <> hi")
-        .select("bucket", F.ceil(F.col("n") / plan.cell).cast("int").alias("cuts"))
+        .select(
+            "bucket",
+            F.greatest(F.ceil(F.col("n") / plan.cell), F.ceil(F.col("all") / plan.items))
+            .cast("int")
+            .alias("cuts"),
+        )
     )
     cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     dealt = placed.join(buckets, "bucket").withColumn("cut", cut)
     other = F.sequence(F.lit(0), F.col("cuts") - 1)
-    dealt = dealt.withColumn("other", F.explode(other)).select(
+    return dealt.withColumn("other", F.explode(other)).select(
         "bucket",
         F.least("cut", "other").alias("x"),
         F.greatest("cut", "other").alias("y"),
         "cut",
+        "band",
         "node",
         "root",
         "n_shingles",
         "signature",
+        "marks",
     )
 
-    def cell(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node").reset_index(drop=True)
-        x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
-        left = np.flatnonzero(rows["cut"].to_numpy() == x)
-        right = np.flatnonzero(rows["cut"].to_numpy() == y)
-        words = _words_of(rows["signature"])
-        sizes = rows["n_shingles"].to_numpy()
-        roots_of = pd.factorize(rows["root"])[0]
-        found: list[tuple[int, int, float]] = []
-        sides = [(left, right)] if x == y or not best else [(left, right), (right, left)]
-        for own, others in sides:
-            for i in own.tolist():
-                j = others if best or x != y else others[others > i]
-                j = j[roots_of[j] != roots_of[i]]
-                low = 100 * np.minimum(sizes[j], sizes[i])
-                j = j[low >= plan.percent * np.maximum(sizes[j], sizes[i])]
-                if not len(j):
-                    continue
-                close = similarity(words[j], words[i], plan.lanes, plan.bits)
-                ok = close >= plan.percent / 100 - plan.slack
-                if best and ok.any():
-                    ok = [int(np.argmax(close))]
-                found += [(i, k, c) for k, c in zip(j[ok].tolist(), close[ok].tolist())]
-        nodes = rows["node"].tolist()
-        pairs = [(nodes[i], nodes[k], c) for i, k, c in found]
-        return pd.DataFrame(pairs, columns=["a", "b", "close"])
-
-    pairs = dealt.groupBy("bucket", "x", "y").applyInPandas(
-        cell, "a binary, b binary, close double"
-    )
-    if best:  # a member has at most a pair for each of its buckets and their cells
-        pairs = pairs.distinct()
-        order = Window.partitionBy("a").orderBy(F.col("close").desc(), "b")
-        pairs = pairs.withColumn("place", F.row_number().over(order))
-        pairs = pairs.filter(F.col("place") <= plan.nearest)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, bounds of the cells in them) of rows that come sorted by cell. A cell's rows
+    come together, whatever batches they lie in."""
+    left: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
+        bounds = _bounds(rows)
+        left = rows.iloc[bounds[-2] :].reset_index(drop=True) if len(bounds) > 1 else rows
+        if len(bounds) > 2:
+            yield rows.iloc[: bounds[-2]], bounds[:-1]
+    if left is not None and len(left):
+        yield left, _bounds(left)
+
+
+def _bounds(rows: pd.DataFrame) -> np.ndarray:
+    if not len(rows):
+        return np.zeros(1, np.int64)
+    keys = rows[_CELL].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(rows)]])
+
+
+def _pairs(rows: pd.DataFrame, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of each cell's two sides, small cells of equal size together."""
+    sizes = np.diff(bounds)
+    cut, x, y = (rows[name].to_numpy() for name in ("cut", "x", "y"))
+    whole = x[bounds[:-1]] == y[bounds[:-1]]
+    for size in np.unique(sizes[whole & (sizes <= 128)]):
+        i, j = np.triu_indices(int(size), 1)
+        starts = bounds[:-1][whole & (sizes == size)]
+        step = max(_PAIRS_AT_ONCE // max(len(i), 1), 1)
+        for k in range(0, len(starts), step):
+            some = starts[k : k + step, None]
+            yield (some + i).ravel(), (some + j).ravel()
+    for k in np.flatnonzero(~whole | (sizes > 128)):
+        places = np.arange(bounds[k], bounds[k + 1])
+        left, right = places[cut[places] == x[places]], places[cut[places] == y[places]]
+        step = max(_PAIRS_AT_ONCE // max(len(right), 1), 1)
+        for at in range(0, len(left), step):
+            i, j = (a.ravel() for a in np.meshgrid(left[at : at + step], right, indexing="ij"))
+            yield (i[i < j], j[i < j]) if whole[k] else (i, j)
+
+
+def _open_pairs(rows: pd.DataFrame, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that sizes and estimate leave open, each in the first
+    of the buckets that it shares."""
+    words = _words_of(rows["signature"])
+    marks = np.frombuffer(b"".join(rows["marks"]), np.uint32).reshape(len(rows), -1)
+    sizes, band = rows["n_shingles"].to_numpy(), rows["band"].to_numpy()
+    roots = pd.factorize(rows["root"])[0]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in _pairs(rows, bounds):
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        ok = (roots[i] != roots[j]) & (100 * small >= plan.percent * large)
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), _PAIRS_AT_ONCE):
+            a, b = i[k : k + _PAIRS_AT_ONCE], j[k : k + _PAIRS_AT_ONCE]
+            first = (marks[a] == marks[b]).argmax(axis=1) == band[a]
+            a, b = a[first], b[first]
+            close = similarity(words[a], words[b], plan.lanes, plan.bits)
+            ok = close >= plan.percent / 100 - plan.slack
+            found.append((a[ok], b[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _undecided(dealt: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of cells that take part in a pair still open."""
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, bounds in _cells(batches):
+            i, j = _open_pairs(rows, bounds, plan)
+            yield rows.iloc[np.unique(np.concatenate([i, j]))]
+
+    return dealt.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInPandas(judge, _CELL_ROWS)
+
+
+def _joining(undecided: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): links of cells that join components, compared on full sets. A pair is not
+    compared once links found before have joined its components."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, bounds in _cells(batches):
+            i, j = _open_pairs(rows, bounds, plan)
+            yield pd.DataFrame(_forest(rows, i, j, plan), columns=["a", "b"])
+
+    met = undecided.join(sets, "node").select(*undecided.columns, "items")
+    sorted_ = met.repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
+    return sorted_.mapInPandas(link, "a binary, b binary").distinct()
+
+
+def _forest(
+    rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, plan: Plan
+) -> list[tuple[bytes, bytes]]:
+    nodes, items = rows["node"].tolist(), rows["items"].tolist()
+    roots = pd.factorize(rows["root"])[0]
+    above = list(range(int(roots.max(initial=-1)) + 1))
+
+    def top(root: int) -> int:
+        while above[root] != root:
+            above[root] = above[above[root]]
+            root = above[root]
+        return root
+
+    # Members with most open pairs first: one that is linked with many joins them all.
+    both = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.argsort(both[0], kind="stable")
+    own, partner = both[0][order], both[1][order]
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    groups = np.split(partner, starts[1:]) if len(own) else []
+    out = []
+    for k in sorted(range(len(groups)), key=lambda k: -len(groups[k])):
+        at = int(own[starts[k]])
+        mine = np.frombuffer(items[at], np.uint64)
+        apart = [p for p in groups[k].tolist() if top(roots[p]) != top(roots[at])]
+        for first in range(0, len(apart), 256):
+            some = [p for p in apart[first : first + 256] if top(roots[p]) != top(roots[at])]
+            if not some:
+                continue
+            linked = _linked(mine, [np.frombuffer(items[p], np.uint64) for p in some], plan)
+            for p in np.array(some)[linked].tolist():
+                if top(roots[p]) != top(roots[at]):
+                    above[top(roots[p])] = top(roots[at])
+                    out.append((min(nodes[at], nodes[p]), max(nodes[at], nodes[p])))
+    return out
 
 
 def near_duplicates(
@@ -284,7 +415,7 @@ def near_duplicates(
         F.min("buckets").alias("buckets"),
     )
     classes = stored(classes, "classes")
-    dealt = classes.select("node", F.explode("buckets").alias("bucket"))
+    dealt = classes.select("node", F.posexplode("buckets").alias("band", "bucket"))
     hubs = (
         dealt.groupBy("bucket")
         .agg(F.min("node").alias("hub"), F.max("node").alias("_top"))
@@ -305,27 +436,19 @@ def near_duplicates(
         .select("node", "text")
         .dropDuplicates(["node"])
     )
-    texts = stored(texts, "texts")
+    sets = stored(_shingle_sets(texts, plan), "sets")
 
-    signed_members = members.select("bucket", "node").join(
-        classes.select("node", "n_shingles", "signature"), "node"
-    )
     pairs = stored(_plausible(stars.distinct(), classes, plan), "pairs")
-    links = stored(_confirmed(pairs, texts, plan), "confirmed")
-    checked = pairs
-    for best in (True, False):
-        roots = connected(links)
-        fresh = _across(signed_members, roots, plan, best).join(checked, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "pairs")
-        if fresh.isEmpty():
-            if best:
-                continue
-            break
-        found = stored(_confirmed(fresh, texts, plan), "confirmed")
-        links, checked = links.unionByName(found), checked.unionByName(fresh)
-    else:
-        roots = connected(links)
-
+    links = stored(_confirmed(pairs, sets, plan), "confirmed")
+    # Four bytes of each bucket tell which of them two members share.
+    low = F.transform("buckets", lambda one: F.right(F.lpad(F.hex(one), 16, "0"), F.lit(8)))
+    marked = classes.select(
+        "node", "n_shingles", "signature", F.unhex(F.array_join(low, "")).alias("marks")
+    )
+    signed_members = members.select("bucket", "band", "node").join(marked, "node")
+    undecided = stored(_undecided(_dealt(signed_members, connected(links), plan), plan), "undecided")
+    links = links.unionByName(stored(_joining(undecided, sets, plan), "joining"))
+    roots = connected(links)
     rooted = classes.select("node", "first_id").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from paperloom.llm import near_dedup
@@ -107,17 +109,34 @@ def test_only_null_ids(spark):
     assert [tuple(r)[2:] for r in near_duplicates(frame).collect()] == [(1, None, True)] * 2
 
 
-def test_remaining_pairs_are_compared_where_the_best_are_none(spark, monkeypatch):
-    across, turns = near_dedup._across, []
-
-    def without_best(members, roots, plan, best):
-        turns.append(best)
-        found = across(members, roots, plan, best)
-        return found.limit(0) if best else found
-
-    monkeypatch.setattr(near_dedup, "_across", without_best)
+def test_members_that_miss_their_hub_meet_each_other(spark, monkeypatch):
+    """Without any link to a hub, the pairs of different components find all links."""
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, sets, plan: pairs.limit(0))
     draw = random.Random(5)
-    base = " ".join("w%d" % draw.randrange(10**6) for _ in range(100))
-    rows = [(i, edited(base, 0.03, draw)) for i in range(6)]
-    got = found(near_duplicates(spark.createDataFrame(rows, SCHEMA), Plan(width=2)))
-    assert turns == [True, False] and got == by_brute_force(rows, 2)
+    rows = []
+    for _ in range(4):
+        base = " ".join("w%d" % draw.randrange(10**6) for _ in range(100))
+        rows += [(100 * len(rows) + i, edited(base, draw.choice([0.02, 0.04, 0.2]), draw)) for i in range(9)]
+    for plan in (Plan(width=2), Plan(width=2, cell=3), Plan(width=2, items=250)):
+        got = found(near_duplicates(spark.createDataFrame(rows, SCHEMA), plan))
+        assert got == by_brute_force(rows, 2)
+
+
+def test_cells_hand_on_fewer_links_than_members(spark):
+    """A large group about the threshold: its links are as many as its pairs."""
+    draw = random.Random(6)
+    base = " ".join("w%d" % draw.randrange(10**6) for _ in range(120))
+    texts = [edited(base, 0.045, draw) for _ in range(150)]
+    sets = [sorted(shingle_set(t, 2)) for t in texts]
+    joined = near_dedup.word_hashes(texts)
+    items = [near_dedup.shingles(joined[0][a:b], 2) for a, b in zip(joined[1][:-1], joined[1][1:])]
+    assert [len(x) for x in items] == [len(x) for x in sets]
+    rows = pd.DataFrame(
+        {"node": [b"%03d" % i for i in range(150)], "root": [b"%03d" % i for i in range(150)],
+         "items": [x.tobytes() for x in items]}
+    )
+    i, j = np.triu_indices(150, 1)
+    links = near_dedup._forest(rows, i, j, Plan(width=2))
+    assert 0 < len(links) < 150
+    want = by_brute_force(list(enumerate(texts)), 2)
+    assert len({c for _, _, c in want}) == 150 - len(links)
