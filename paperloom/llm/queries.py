@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from paperloom.llm import (
 )
 from paperloom.llm.common import shared_folder, stored, table
 
-TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
+#: A folder with the public vocabulary files, where it is not the installed package's.
+TOKENIZERS = os.environ.get("TOKENIZER_FOLDER")
 URL_RULES = (
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -36,7 +38,7 @@ URL_RULES = (
 
 
 def tokenizer_file(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    return f"{TOKENIZERS}/{name}" if TOKENIZERS else str(public_tokenizers.path(name))
 
 
 def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,6 +48,9 @@ def _powers(count: int) -> np.ndarray:
 
 
 _VALUES, _POWERS = _tables()
+_BYTES = np.random.default_rng(20_240_502).integers(0, 1 << 63, 256, np.uint64) * np.uint64(
+    2
+) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -91,6 +94,26 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return whole, np.searchsorted(where, begins)
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes that begin at ``starts``, the first at 0; each byte
+    counts as it is. No run is empty."""
+    ends = np.append(starts[1:], len(data))
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(int(np.searchsorted(ends, starts[first] + _PIECE, "right")), first + 1)
+        size = ends[first:last] - starts[first:last]
+        begins = starts[first:last] - starts[first]
+        part = data[starts[first] : ends[last - 1]]
+        place = np.arange(len(part)) - np.repeat(begins, size)
+        longest = int(size.max())
+        powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
+        sums = np.add.reduceat(_BYTES[part] * powers[place], begins)
+        out[first:last] = mixed(sums ^ mixed(size.astype(np.uint64)))
+        first = last
+    return out
+
+
 def chained(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of every ``width`` values in a row; shorter than the input by width - 1."""
     n = len(hashes) - width + 1

@@ -20,18 +20,27 @@ SCHEMA = "doc_id long, text string"
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def test_segments_encode_as_the_whole(library):
+def test_segments_encode_as_the_whole(library, monkeypatch):
     draw = random.Random(2)
     parts = list("aBé漢1.,!'_-") + ["  ", " ", "\n", "\t", "\u00a0", "\x1c", "\x85", "'s", "😀",
                                    "<|endoftext|>", " word.", "Été,", "\r\n", "\x00"]
     encoder = SegmentEncoder(FILE)
-    for _ in range(3000):
-        text = "".join(draw.choices(parts, k=draw.randrange(25)))
+    texts = ["".join(draw.choices(parts, k=draw.randrange(25))) for _ in range(3000)]
+    texts += ["", "été.", "×. ÷, A.", "a.b. c,d", "Ö,\n", "x" * 300 + ". " + "y, " * 50, "."]
+    for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library(text)
+    for kept in (1_000_000, 20):
+        monkeypatch.setattr(token_store, "SEGMENTS_KEPT", kept)
+        encoder = SegmentEncoder(FILE)
+        for at in range(0, len(texts), 37):
+            ids, sizes = encoder.encode_all(texts[at : at + 37])
+            want = [library(text) for text in texts[at : at + 37]]
+            assert sizes.tolist() == [len(x) for x in want]
+            assert ids.tolist() == [i for x in want for i in x]
+    assert library("<|endoftext|>") == [50256]
 
 
 def test_query(spark, library):
