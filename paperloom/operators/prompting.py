@@ -142,6 +142,13 @@ def agent_messages(
     )
 
 
+def agent_call(template: str, request: Column, prompt: Column) -> Column:
+    """What a specialist's model is given, as one text: the agent's system prompt with the
+    request and an empty history, then the prompt of its task."""
+    system = render_fixed(template, {"chat_history": F.lit(""), "input": request})
+    return F.concat(F.lit("system: "), system, F.lit("\nhuman: "), prompt)
+
+
 def transcript(messages: Column) -> Column:
     """Messages as one text, a line for each, for models that take text."""
     lines = F.transform(messages, lambda one: F.concat(one["role"], F.lit(": "), one["text"]))

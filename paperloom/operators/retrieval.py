@@ -21,6 +21,8 @@ from paperloom.operators.embedding import Embedder, as_matrix
 QUESTION_BYTES = 32 * 1024 * 1024
 # Chunks in one cell of that grid.
 CHUNKS_PER_CELL = 100_000
+# Ranked rows (ids, a rank and a score) that are sent to every task.
+RANKED_SENT = 200_000
 # Largest matrix of cell centres that is sent to every task.
 CENTRE_BYTES = 64 * 1024 * 1024
 # Steps in which the candidates of a question are merged: parts of it, then it.
@@ -437,6 +439,26 @@ def with_chunk_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.join(texts, ["document_id", "chunk_index"])
 
 
+def with_window_text(
+    ranked: DataFrame,
+    documents: DataFrame,
+    most: int | None = None,
+    size: int = fixed.CHUNK_SIZE,
+    overlap: int = fixed.CHUNK_OVERLAP,
+) -> DataFrame:
+    """Add the text of ranked fixed windows from the documents (``document_id, text``) they
+    were cut from: a window's place follows from its index, so nothing is cut again.
+
+    ``most``: how many ranked rows there can be, k for each question. While they may be
+    sent to every task, documents stay where they are.
+    """
+    winners = F.broadcast(ranked) if most is not None and most <= RANKED_SENT else ranked
+    start = F.col("chunk_index") * (size - overlap) + 1
+    texts = documents.select(F.col("document_id").cast("long").alias("document_id"), "text")
+    found = F.substr("text", start.cast("int"), F.lit(size))
+    return winners.join(texts, "document_id").select(*ranked.columns, found.alias("chunk_text"))
+
+
 def contexts(questions: DataFrame, ranked: DataFrame) -> DataFrame:
     """Per question (``query_id, query``), its chunk texts in rank order joined by
     blank lines; empty when there are none. A group holds k rows."""

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom import fixed_values as fixed
 from paperloom.functions import prompt_texts
 from paperloom.operators import generation, prompting, retrieval
 from paperloom.operators.embedding import Embedder, HashedEmbedder, embed, words_of
@@ -19,8 +20,16 @@ STEP_PATTERNS = {
     "summarize": r"\b(summari[sz]e|summary|shorten|tl;dr)",
     "translate": r"\b(translate|translation|translated)\b",
 }
-# Sentences kept in a summary.
+# Sentences kept in a summary, and in that of a text of more than so many sentences.
 SUMMARY_SENTENCES = 5
+COMPLEX_SENTENCES = 50
+COMPLEX_SUMMARY_SENTENCES = 8
+# The agent whose system prompt goes with a task.
+AGENTS = {
+    "retrieve_document": "document_retrieval_agent_prompt",
+    "summarize_text": "summarization_agent_prompt",
+    "translate_text": "translation_agent_prompt",
+}
 
 
 def route_requests(
@@ -55,22 +64,25 @@ def request_steps(text: Column, has_documents: Column | None = None) -> Column:
     return F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("answer")))
 
 
-def summarize(text: str | None, kept: int = SUMMARY_SENTENCES) -> str | None:
+def summarize(text: str | None, kept: int | None = None) -> str | None:
     """The ``kept`` sentences of a text with the most frequent words on average, in
-    their order.
+    their order: five, and eight of a text of more than 50, if it is not given.
 
     Of equal sentences the earlier one is taken.
     """
     if text is None:
         return None
     sentences = [(s, words) for s in generation.sentences_of(text) if (words := words_of(s))]
+    if kept is None:
+        many = len(sentences) > COMPLEX_SENTENCES
+        kept = COMPLEX_SUMMARY_SENTENCES if many else SUMMARY_SENTENCES
     frequency = Counter(word for _, words in sentences for word in words)
     weights = [sum(frequency[word] for word in words) / len(words) for _, words in sentences]
     chosen = sorted(range(len(sentences)), key=lambda i: (-weights[i], i))[:kept]
     return " ".join(sentences[i][0] for i in sorted(chosen))
 
 
-def summary_column(text: Column, kept: int = SUMMARY_SENTENCES) -> Column:
+def summary_column(text: Column, kept: int | None = None) -> Column:
     """Extractive summary of each text. A text is one row, so nothing is shuffled."""
 
     @F.pandas_udf("string")
@@ -88,6 +100,8 @@ def call_agents(
     embedder: Embedder | None = None,
     has_documents: Column | None = None,
     min_score: float | None = None,
+    sources: DataFrame | None = None,
+    with_agents: bool = True,
 ) -> DataFrame:
     """Answer requests (``query_id, query, target_language``) step by step.
 
@@ -98,6 +112,12 @@ def call_agents(
     Requests without a step go to the model with their ``messages``, if they have
     that column, or as they are. Steps run over all requests at once. Adds
     ``steps``, ``response``, ``status`` and ``error`` in place of the messages.
+
+    With agents, each step's prompt follows its agent's system prompt, which holds the
+    request and no history, and passages go to the model too, as the context in which
+    it is asked to retrieve; without, they are the step's output as they are. After a
+    failed step its error text is the answer. ``sources`` (``document_id, text``): the
+    documents whose fixed windows the chunks are, which then give the passages' texts.
     """
     kept = [name for name in requests.columns if name not in ("messages", "documents")]
     steps = request_steps(F.col("query"), has_documents)
@@ -121,7 +141,10 @@ def call_agents(
         min_score=min_score,
         embedder=None if "embedding" in chunks.columns else embedder or HashedEmbedder(),
     )
-    texts = retrieval.with_chunk_text(ranked, chunks)
+    if sources is None:
+        texts = retrieval.with_chunk_text(ranked, chunks)
+    else:
+        texts = retrieval.with_window_text(ranked, sources, searching.count() * fixed.TOP_K)
     found = retrieval.excerpts(searching, texts, prompt_texts.NO_EXCERPTS)
     state = routed.join(found.select("query_id", "excerpts"), "query_id", "left").select(
         *[name for name in routed.columns if name != "_material"],
@@ -130,10 +153,17 @@ def call_agents(
     )
 
     templates = prompting.templates_in_force(registry)
-    for step, task in (("summarize", "summarize_text"), ("translate", "translate_text")):
-        state = _model_step(
-            state, F.array_contains("steps", step), task, make_model, templates[task]
-        )
+    asked = [("retrieve", "retrieve_document")] if with_agents else []
+    for step, task in [*asked, ("summarize", "summarize_text"), ("translate", "translate_text")]:
+        text = F.col("query") if step == "retrieve" else F.col("text")
+        prompt = prompting.task_prompt(templates[task], text, F.col("target_language"))
+        if step == "retrieve":
+            slots = {"context": F.col("text"), "question": prompt}
+            prompt = prompting.render_fixed(prompt_texts.RAG_PROMPT, slots)
+        if with_agents:
+            prompt = prompting.agent_call(templates[AGENTS[task]], F.col("query"), prompt)
+        wanted = F.array_contains("steps", step)
+        state = _model_step(state, wanted, task, make_model, prompt)
     answered = generation.generate(
         state, make_model, "call_agent", "_whole", F.col("_whole").isNotNull()
     )
@@ -152,10 +182,9 @@ def _model_step(
     wanted: Column,
     task: str,
     make_model: Callable[[], generation.Model],
-    template: str,
+    prompt: Column,
 ) -> DataFrame:
     """Run one task for the rows that want it and have not failed before."""
-    prompt = prompting.task_prompt(template, F.col("text"), F.col("target_language"))
     due = wanted & F.col("_error").isNull()
     prompted = state.withColumn("_prompt", F.when(due, prompt))
     answered = generation.generate(prompted, make_model, task, "_prompt", due)

@@ -60,13 +60,16 @@ def answer_turns(
     registry: DataFrame,
     cap: int = fixed.MESSAGE_CAP,
     embedder: Embedder | None = None,
+    sources: DataFrame | None = None,
+    with_agents: bool = True,
 ) -> DataFrame:
     """Answer every user turn that its conversation takes in.
 
     The model sees the system prompt in force, the conversation's documents
     (``conv_id, position, text``), the answered questions before the turn, and the
     turn. Turns that name a task go through that task instead, on the documents;
-    the language to translate into is the one the turn names. Returns ``conv_id,
+    the language to translate into is the one the turn names. ``sources`` and
+    ``with_agents`` are those of :func:`tasks.call_agents`. Returns ``conv_id,
     turn, steps, response, status, error``; see :func:`assistant_turns` for the
     answers as turns.
     """
@@ -87,7 +90,14 @@ def answer_turns(
         "documents",
     )
     answered = tasks.call_agents(
-        requests, chunks, make_model, registry, embedder, F.col("has_documents")
+        requests,
+        chunks,
+        make_model,
+        registry,
+        embedder,
+        F.col("has_documents"),
+        sources=sources,
+        with_agents=with_agents,
     )
     return answered.select("conv_id", "turn", "steps", "response", "status", "error")
 

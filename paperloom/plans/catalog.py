@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom import fixed_values as fixed
 from paperloom.functions import prompt_texts
 from paperloom.functions import text as texts
 from paperloom.operators import (
@@ -386,7 +387,9 @@ def _ranked(spark: SparkSession, folder: str, questions: DataFrame) -> DataFrame
 
 
 def _ranked_texts(spark: SparkSession, folder: str, questions: DataFrame) -> DataFrame:
-    return retrieval.with_chunk_text(_ranked(spark, folder, questions), _fixed(spark, folder))
+    most = questions.count() * fixed.TOP_K
+    ranked = _ranked(spark, folder, questions)
+    return retrieval.with_window_text(ranked, _texts(spark, folder), most)
 
 
 def rag_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -607,12 +610,40 @@ def agent_answers(spark: SparkSession, folder: str) -> DataFrame:
         _echo,
         _registry(spark),
         has_documents=F.col("has_documents"),
+        sources=_texts(spark, folder),
     )
     return answered.select(
         "query_id", F.array_join("steps", ",").alias("steps"), "response", "status"
     )
 
 
+def _picky() -> generation.Model:
+    """Refuses prompts by their length, so that each step's errors occur."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        for prompt in prompts:
+            if len(prompt) % 3 == 0:
+                raise ValueError(f"prompt of {len(prompt)} characters refused")
+        return prompts
+
+    return answer
+
+
+def agent_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """What is answered where the model fails: the step's error text, and no later step."""
+    answered = tasks.call_agents(
+        _requests(spark, folder),
+        _fixed(spark, folder),
+        _picky,
+        _registry(spark),
+        has_documents=F.col("has_documents"),
+        sources=_texts(spark, folder),
+    )
+    return answered.filter(F.col("status") == "error").select(
+        "query_id", F.array_join("steps", ",").alias("steps"), "response", "error"
+    )
+
+
 def _opened_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Turns whose user's texts name tasks, by conversation."""
     kind = F.col("conv_id") % 4
@@ -634,6 +665,7 @@ def answer_turns(spark: SparkSession, folder: str) -> DataFrame:
         _fixed(spark, folder),
         _echo,
         _registry(spark),
+        sources=_texts(spark, folder),
     )
     return answered.select(
         "conv_id",
@@ -695,6 +727,7 @@ QUERIES: dict[str, Query] = {
         agent_messages,
         extractive_summary,
         agent_answers,
+        agent_errors,
         answer_turns,
     )
 }

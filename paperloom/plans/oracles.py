@@ -271,9 +271,8 @@ def _answer_turns_sql() -> str:
 turns AS (SELECT conv_id, turn, role, {spoken} AS text FROM conversations),
 {_admitted(fixed.MESSAGE_CAP).replace("FROM conversations", "FROM turns")}"""
     language = "CASE conv_id % 4 WHEN 1 THEN 'French' ELSE 'German' END"
-    slots = {"text": "given", "target_language": language}
-    summarize = _cleaned(f"({_template_sql(templates['summarize_text'], slots)})")
-    translate = _cleaned(f"({_template_sql(templates['translate_text'], slots)})")
+    summarize = _cleaned(f"({_agent_call('summarize_text', 'text', language)})")
+    translate = _cleaned(f"({_agent_call('translate_text', 'text', language)})")
     whole = f"""array_to_string(list_concat(['system: ' || {system}],
       list_transform(earlier, lambda m: replace(m, chr(0), ': ')), ['human: ' || text]), chr(10))"""
     return f"""
@@ -319,14 +318,47 @@ SELECT query_id, unnest(generate_series(1, len(steps))) AS step_no, unnest(steps
 FROM filled"""
 
 
-def _agent_answers_sql() -> str:
+def _agent_call(task: str, request: str, language: str) -> str:
+    """What a task's model is given: its agent's system prompt, then the prompt."""
     templates = _templates_in_force()
+    agent = templates[catalog.tasks.AGENTS[task]]
+    system = _template_sql(agent, {"chat_history": "''", "input": request})
+    given = request if task == "retrieve_document" else "given"
+    prompt = _template_sql(templates[task], {"text": given, "target_language": language})
+    if task == "retrieve_document":
+        slots = {"context": "given", "question": f"({prompt})"}
+        prompt = _template_sql(prompt_texts.RAG_PROMPT, slots)
+    return f"'system: ' || {system} || chr(10) || 'human: ' || {prompt}"
+
+
+def _agents_sql(fails: str) -> str:
+    """``done``: text and error of each request after its steps. ``fails``: when a model
+    refuses its ``prompt``; it gives back others."""
     language = f"coalesce(target_language, {_quoted(prompt_texts.UNNAMED_LANGUAGE)})"
-    slots = {"text": "given", "target_language": language}
-    summarize = _cleaned(f"({_template_sql(templates['summarize_text'], slots)})")
-    translate = _cleaned(f"({_template_sql(templates['translate_text'], slots)})")
-    return f"""
-WITH {_found_steps()},
+    parts = []
+    tasks = [
+        ("retrieve", "retrieve_document", _agent_call("retrieve_document", "query", language)),
+        ("summarize", "summarize_text", _agent_call("summarize_text", "query", language)),
+        ("translate", "translate_text", _agent_call("translate_text", "query", language)),
+        ("answer", "call_agent", "query"),
+    ]
+    before = "retrieved"
+    for step, task, prompt in tasks:
+        message = "'prompt of ' || length(prompt) || ' characters refused'"
+        parts.append(f"""
+{step}_prompt AS (
+  SELECT *, CASE WHEN error IS NULL AND list_contains(steps, '{step}') THEN {prompt} END AS prompt
+  FROM {before}
+),
+{step}_done AS (
+  SELECT query_id, query, target_language, steps,
+    CASE WHEN prompt IS NULL THEN given WHEN {fails}
+      THEN {_quoted(fixed.ERROR_PREFIXES[task])} || {message} ELSE {_cleaned("prompt")} END AS given,
+    CASE WHEN prompt IS NOT NULL AND {fails} THEN {message} ELSE error END AS error
+  FROM {step}_prompt
+)""")
+        before = f"{step}_done"
+    return f"""{_found_steps()},
 searching AS (
   SELECT query_id, query FROM requests JOIN filled USING (query_id)
   WHERE list_contains(steps, 'retrieve')
@@ -338,24 +370,25 @@ excerpts AS (
   FROM ranked JOIN chunks USING (document_id, chunk_index) GROUP BY query_id
 ),
 retrieved AS (
-  SELECT requests.query_id, query, target_language, steps,
+  SELECT requests.query_id, query, target_language, steps, NULL::VARCHAR AS error,
     CASE WHEN list_contains(steps, 'retrieve')
       THEN coalesce(excerpts, {_quoted(prompt_texts.NO_EXCERPTS)}) ELSE query END AS given
   FROM requests JOIN filled USING (query_id) LEFT JOIN excerpts USING (query_id)
-),
-summarized AS (
-  SELECT * EXCLUDE (given),
-    CASE WHEN list_contains(steps, 'summarize') THEN {summarize} ELSE given END AS given
-  FROM retrieved
-),
-translated AS (
-  SELECT * EXCLUDE (given),
-    CASE WHEN list_contains(steps, 'translate') THEN {translate} ELSE given END AS given
-  FROM summarized
-)
-SELECT query_id, array_to_string(steps, ',') AS steps,
-  CASE WHEN steps = ['answer'] THEN {_cleaned("query")} ELSE given END AS response, 'ok' AS status
-FROM translated"""
+),{",".join(parts)},
+done AS (SELECT * FROM {before})"""
+
+
+def _agent_answers_sql() -> str:
+    return f"""
+WITH {_agents_sql("false")}
+SELECT query_id, array_to_string(steps, ',') AS steps, given AS response, 'ok' AS status FROM done"""
+
+
+def _agent_errors_sql() -> str:
+    return f"""
+WITH {_agents_sql("length(prompt) % 3 = 0")}
+SELECT query_id, array_to_string(steps, ',') AS steps, given AS response, error
+FROM done WHERE error IS NOT NULL"""
 
 
 SENTENCE = "[^.!?]+[.!?]*"
@@ -401,13 +434,15 @@ weights AS (
 ),
 ordered AS (
   SELECT doc_id, place, sentence,
-    row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, place) AS rank
+    row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, place) AS rank,
+    count(*) OVER (PARTITION BY doc_id) AS size
   FROM sentences JOIN weights USING (doc_id, place)
 ),
 summaries AS (
   SELECT doc_id, string_agg(sentence, ' ' ORDER BY place) AS summary
   FROM ordered
-  WHERE rank <= {catalog.tasks.SUMMARY_SENTENCES}
+  WHERE rank <= CASE WHEN size > {catalog.tasks.COMPLEX_SENTENCES}
+    THEN {catalog.tasks.COMPLEX_SUMMARY_SENTENCES} ELSE {catalog.tasks.SUMMARY_SENTENCES} END
   GROUP BY doc_id
 )
 SELECT doc_id, coalesce(summary, '') AS summary
@@ -733,6 +768,7 @@ FROM events""",
     "agent_messages": _agent_messages_sql(),
     "extractive_summary": SUMMARY,
     "agent_answers": _agent_answers_sql(),
+    "agent_errors": _agent_errors_sql(),
     "answer_turns": _answer_turns_sql(),
 }
 

@@ -75,3 +75,11 @@ def test_entry(spark):
     result = entry.entry(spark)
     assert result.columns == ["query_id", "query", "context", "prompt"]
     assert result.count() == 40
+
+
+def test_every_tasks_error_text_occurs(spark):
+    from paperloom.fixed_values import ERROR_PREFIXES
+
+    responses = [r.response for r in entry.queries()["agent_errors"](spark, FOLDER).collect()]
+    for prefix in ERROR_PREFIXES.values():
+        assert any(response.startswith(prefix) for response in responses)

@@ -154,6 +154,7 @@ def test_summary():
     many = " ".join(f"s{i}." for i in range(41))
     assert len(tasks.summarize(many).split()) == 5
     assert len(tasks.summarize(many, 8).split()) == 8
+    assert len(tasks.summarize(many + " " + " ".join(f"t{i}." for i in range(10))).split()) == 8
 
 
 def test_call_agents_runs_steps_in_turn(spark):
@@ -172,7 +173,7 @@ def test_call_agents_runs_steps_in_turn(spark):
     )
     chunks = spark.createDataFrame([(5, 0, "soil facts"), (6, 1, "sea")], "document_id long, chunk_index int, chunk_text string")
     templates = registry(spark, ("summarize_text", 1, "S({text})"), ("translate_text", 1, "T[{target_language}]({text})"))
-    answered = tasks.call_agents(requests, chunks, flaky_model, templates, has_documents=F.col("own"), min_score=0.0)
+    answered = tasks.call_agents(requests, chunks, flaky_model, templates, has_documents=F.col("own"), min_score=0.0, with_agents=False)
     found = {row.query_id: (row.response, row.status) for row in answered.collect()}
     assert found == {
         1: ("[5#0] soil facts", "ok"),
@@ -186,6 +187,59 @@ def test_call_agents_runs_steps_in_turn(spark):
     }
 
 
+def test_steps_carry_their_agents_prompts(spark):
+    requests = spark.createDataFrame(
+        [
+            (1, "Find soil texts", None),
+            (2, "Summarize: soil", None),
+            (3, "Translate: soil", "German"),
+            (4, "Find sand, translate", "Greek"),
+            (5, "plain", None),
+        ],
+        "query_id long, query string, target_language string",
+    )
+    documents = spark.createDataFrame([(5, "soil facts"), (6, "sand facts")], "document_id long, text string")
+    chunks = spark.createDataFrame([(5, 0, "soil facts"), (6, 0, "sand facts")], "document_id long, chunk_index int, chunk_text string")
+    templates = registry(
+        spark,
+        ("document_retrieval_agent_prompt", 1, "Finder<{chat_history}|{input}>"),
+        ("summarization_agent_prompt", 1, "Shortener<{input}>"),
+        ("translation_agent_prompt", 1, "Translator<{input}>"),
+        ("retrieve_document", 1, "R({text})"),
+        ("summarize_text", 1, "S({text})"),
+        ("translate_text", 1, "T[{target_language}]({text})"),
+    )
+
+    def run(make_model):
+        rows = tasks.call_agents(requests, chunks, make_model, templates, min_score=0.0, sources=documents)
+        return {row.query_id: (row.response, row.status) for row in rows.collect()}
+
+    found = run(lambda: lambda prompts: prompts)
+    context = prompt_texts.RAG_PROMPT.format
+    first = f"system: Finder<|Find soil texts>\nhuman: {context(context='[5#0] soil facts', question='R(Find soil texts)')}".strip()
+    assert found[1] == (first, "ok")
+    assert found[2] == ("system: Shortener<Summarize: soil>\nhuman: S(Summarize: soil)", "ok")
+    assert found[3] == ("system: Translator<Translate: soil>\nhuman: T[German](Translate: soil)", "ok")
+    assert found[4][0].startswith("system: Translator<Find sand, translate>\nhuman: T[Greek](system: Finder<|")
+    assert "[6#0] sand facts" in found[4][0] and found[5] == ("plain", "ok")
+
+    def refusing():
+        def model(prompts):
+            if any("Finder" in p or "Shortener" in p or "Translator" in p for p in prompts):
+                raise ValueError("no")
+            return prompts
+
+        return model
+
+    assert run(refusing) == {
+        1: ("Error retrieving documents: no", "error"),
+        2: ("Error generating summary: no", "error"),
+        3: ("Error translating text: no", "error"),
+        4: ("Error retrieving documents: no", "error"),
+        5: ("plain", "ok"),
+    }
+
+
 def test_answer_questions_keeps_every_row(spark):
     from paperloom.operators.embedding import embed
     from paperloom.plans.answer_flow import answer_questions
@@ -244,7 +298,7 @@ def test_answer_turns(spark):
 
         return model
 
-    answered = answer_turns(turns, documents, chunks, make_model, templates)
+    answered = answer_turns(turns, documents, chunks, make_model, templates, with_agents=False)
     rows = answered.collect()
     found = {(row.conv_id, row.turn): row.response for row in rows}
     assert found[1, 2].endswith("last: human: what now?")
