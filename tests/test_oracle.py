@@ -80,6 +80,6 @@ def test_entry(spark):
 def test_every_tasks_error_text_occurs(spark):
     from paperloom.fixed_values import ERROR_PREFIXES
 
-    responses = [r.response for r in entry.queries()["agent_errors"](spark, FOLDER).collect()]
+    responses = [r.response for r in entry.queries()["agent_errors"](spark, "/root/testdata/sf0.01").collect()]
     for prefix in ERROR_PREFIXES.values():
         assert any(response.startswith(prefix) for response in responses)
