@@ -11,6 +11,9 @@ A run within e edits of an item of n words has at least n - e words of the items
 vocabulary, and holds some n / (e + 1) words of the item in a row as they are: three
 at least, where a fifth of eight words or more is edited. Only runs with both are
 embedded; nothing within reach is lost by that.
+
+Items of fewer words would match by chance within a text; they count where they are,
+word for word, one or more whole lines or sentences.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import blocks_of
+from paperloom.llm.common import blocks_of, stored
 from paperloom.llm.words import mixed, text_slices
 
 
 class Plan(NamedTuple):
     """Edits up to ``share`` of an item's words count as the item. Items of fewer than
-    ``fewest`` words are not looked for: they would match by chance. With 12 walks of
+    ``fewest`` words are looked for as whole lines or sentences only. With 12 walks of
     8 samples of 4 places, runs with the most edits allowed are found in more than 95
     of 100 cases, those with fewer more surely, and exact ones always."""
 
@@ -45,6 +48,7 @@ class Plan(NamedTuple):
 
 
 _WORDS = re.compile(r"\w+").findall
+_STOPS = re.compile(r"[\n.!?]+").split
 _RUNS_AT_ONCE = 4_096
 
 
@@ -124,9 +128,12 @@ class Items:
         self.plan = plan
         self.items: list[_Item] = []
         self.vocabulary: dict[str, int] = {}
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for item_id, text in rows:
             words = words_of(text)
             if len(words) < plan.fewest:
+                if words:
+                    self.short[tuple(words)].append(item_id)
                 continue
             masks: dict[str, int] = {}
             for i, word in enumerate(words):
@@ -181,6 +188,19 @@ class Items:
                         pairs.add((int(some[row]), i))
                 yield from pairs
 
+    def _whole(self, text: str | None) -> set[int]:
+        """Short items that are one or more whole lines or sentences of a text."""
+        found: set[int] = set()
+        parts = [words for one in _STOPS(text or "") if (words := words_of(one))]
+        for first in range(len(parts)):
+            row: list[str] = []
+            for words in parts[first:]:
+                row += words
+                if len(row) >= self.plan.fewest:
+                    break
+                found.update(self.short.get(tuple(row), ()))
+        return found
+
     def found(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
         """(item_id, distance) of the items in each text."""
         words = [words_of(text) for text in texts]
@@ -191,21 +211,37 @@ class Items:
         get = self.vocabulary.get
         for start, row in zip(starts, words):
             symbols[start : start + len(row)] = [get(w, 0) for w in row]
-        nearest: list[dict[int, int]] = [{} for _ in texts]
+        # Runs about an item lie next to each other: their surroundings are looked at once.
+        around: dict[tuple[int, int], list[int]] = defaultdict(list)
         for place, i in self._candidates(symbols):
-            item = self.items[i]
-            n, slack = len(item.words), item.edits
             first = int(np.searchsorted(starts, place, "right")) - 1
             # A run may begin before a text, in the gap, and reach into it.
             for t in {max(first, 0), min(first + 1, len(texts) - 1)}:
-                if nearest[t].get(i) == 0:
-                    continue
-                a = place - int(starts[t]) - slack
-                b = place - int(starts[t]) + n + slack
+                around[t, i].append(place - int(starts[t]))
+        nearest: list[dict[int, int]] = [{} for _ in texts]
+        for (t, i), places in around.items():
+            item = self.items[i]
+            n, slack = len(item.words), item.edits
+            for a, b in _merged([(p - slack, p + n + slack) for p in sorted(places)]):
                 distance = distance_within(item, words[t][max(a, 0) : max(b, 0)])
                 if distance <= item.edits and distance < nearest[t].get(i, n):
                     nearest[t][i] = distance
-        return [sorted((self.items[i].item_id, d) for i, d in x.items()) for x in nearest]
+        out = [{(self.items[i].item_id, d) for i, d in x.items()} for x in nearest]
+        if self.short:
+            for text, found in zip(texts, out):
+                found.update((item_id, 0) for item_id in self._whole(text))
+        return [sorted(found) for found in out]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def find_leaks(
@@ -221,11 +257,11 @@ def find_leaks(
     each holds within the edits allowed, distance in words (an existing column of the
     name is replaced).
 
-    Null and empty texts hold nothing; null or short items and items of a null id are
-    not looked for; an item that occurs several times counts with its least distance,
+    Null and empty texts hold nothing; null items, those without words and items of a
+    null id are not looked for; items of few words count as whole lines or sentences; an item that occurs several times counts with its least distance,
     repeated items once each id. Empty tables give empty lists. Texts are read whole,
-    nothing is shuffled. Items are sent to the tasks in parts of bounded size; the
-    documents pass through one step for each part.
+    nothing is shuffled. Items are sent to the tasks in parts of bounded size; for more
+    than one part the documents are stored in between, so a task holds one part.
     """
     named = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     named = named.filter("i is not null and t is not null").distinct()
@@ -235,6 +271,8 @@ def find_leaks(
     for part in range(parts):
         rows = named.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()
         found = _with_leaks(found, [tuple(r) for r in rows], plan, text, leaks)
+        if part + 1 < parts:
+            found = stored(found, "leaks")
     return found
 
 

@@ -98,10 +98,20 @@ def test_edge_cases(spark):
     got = [(r.doc_id, [tuple(x) for x in r.leaks]) for r in out.collect()]
     assert len(got) == len(docs)
     for doc_id, leaks in got:
-        assert leaks == {3: [(1, 0)], 4: [(1, 0)], None: [(1, 0)], 5: [(1, 0)], 8: [(1, 2)]}.get(
-            doc_id, []
-        )
+        want = {3: [(1, 0)], 4: [(1, 0)], None: [(1, 0)], 5: [(1, 0)], 7: [(4, 0)], 8: [(1, 2)]}
+        assert leaks == want.get(doc_id, [])
     parts = find_leaks(frame, items, Plan(item_chars=20))
     assert sorted(map(str, parts.collect())) == sorted(map(str, out.collect()))
     assert find_leaks(frame.limit(0), items).count() == 0
     assert all(not r.leaks for r in find_leaks(frame, items.limit(0)).collect())
+
+
+def test_short_items_are_whole_lines_or_sentences():
+    rows = [(1, "Who is it?"), (2, "Yes. It is!"), (3, "no"), (4, ""), (5, "one two three four five six seven")]
+    items = Items(rows, Plan())
+    texts = [
+        "well\nWHO is it\nnever", "I know who is it now.", "Ah. Yes! It is. So", "yes it is", "no way", "", None,
+        "a. no? b", "one two three. four five six seven", "one two three four five six seven eight",
+    ]
+    got = [[i for i, d in found if d == 0] for found in items.found(texts)]
+    assert got == [[1], [], [2], [2], [], [], [], [3], [5], []]
