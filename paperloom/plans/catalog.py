@@ -28,7 +28,7 @@ from paperloom.operators import (
     retrieval,
     tasks,
 )
-from paperloom.plans import answer_flow, index_flow
+from paperloom.plans import answer_flow, history_flow, index_flow
 from paperloom.plans.layout import fill_cores
 from paperloom.sources.shared import new_folder
 
@@ -39,6 +39,8 @@ LANDING = naming.landing_folder("main", "default")
 SMALL_CAP = 5
 DOCUMENTS_PER_CONVERSATION = 4
 LOOKUP_KEY = 7
+# Conversations here have up to eight turns; some have more than one block.
+MESSAGES_PER_BLOCK = 3
 # Of the ten cells: as many as find 0.9 of the true neighbours (README).
 CELL_PROBES = 8
 # Of the quantised index; probes as above.
@@ -453,9 +455,9 @@ def history_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.history_pairs(_turns(spark, folder))
 
 
-def turn_history(spark: SparkSession, folder: str) -> DataFrame:
+def _histories(rows: DataFrame) -> DataFrame:
     messages = F.transform("history", lambda one: F.concat(one["role"], F.lit(": "), one["text"]))
-    return conversations.turn_history(_turns(spark, folder)).select(
+    return rows.select(
         "conv_id",
         "turn",
         F.size("history").cast("long").alias("messages"),
@@ -463,6 +465,17 @@ def turn_history(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def turn_history(spark: SparkSession, folder: str) -> DataFrame:
+    return _histories(conversations.turn_history(_turns(spark, folder)))
+
+
+def turn_history_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from stored blocks, which turns of a conversation share."""
+    store = new_folder(spark, "history")
+    history_flow.store_conversations(_turns(spark, folder), store, MESSAGES_PER_BLOCK)
+    return _histories(history_flow.stored_histories(spark, store))
+
+
 def closed_conversations(spark: SparkSession, folder: str) -> DataFrame:
     steps = _table(spark, folder, "events").select(
         F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "event_type"
@@ -715,6 +728,7 @@ QUERIES: dict[str, Query] = {
         admitted_turns,
         history_pairs,
         turn_history,
+        turn_history_blocks,
         closed_conversations,
         chat_segments,
         documents_context,

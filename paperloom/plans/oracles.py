@@ -774,3 +774,5 @@ FROM events""",
 
 # The search by bounds gives the rows of the search that compares everything.
 ORACLES["vector_topk_bounds"] = ORACLES["vector_topk"]
+# Histories from shared blocks are those from the turns.
+ORACLES["turn_history_blocks"] = ORACLES["turn_history"]
