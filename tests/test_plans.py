@@ -42,7 +42,8 @@ def exchanges(text):
         ("admitted_turns", 1),
         ("turn_history", 1),
         ("latest_document", 1),
-        ("vector_topk", 2),
+        # Spreading the files, and two steps in which candidates are merged.
+        ("vector_topk", 3),
     ],
 )
 def test_number_of_shuffles(spark, plan, name, count):
