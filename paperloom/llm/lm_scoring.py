@@ -332,7 +332,7 @@ def score_documents(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     size = F.length("text") + _CHARS_A_WORD
-    blocks = blocks_of(plain, size, plan.block_chars)
+    blocks = max(blocks_of(plain, size, plan.block_chars), 2)
     parts = -(-blocks * plan.block_chars // (_CHARS_A_WORD * plan.part_words))
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
