@@ -48,6 +48,10 @@ class Plan(NamedTuple):
     seed: int = 11
 
 
+# Characters of texts that are hashed together.
+_SLICE_CHARS = 1_000_000
+
+
 def _functions(plan: Plan) -> np.ndarray:
     draw = np.random.default_rng(plan.seed)
     count = plan.bands * plan.rows
@@ -112,7 +116,7 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for first, last in text_slices(texts):
+            for first, last in text_slices(texts, _SLICE_CHARS):
                 hashes, offsets = word_hashes(texts[first:last])
                 rows = []
                 for a, b in zip(offsets[:-1], offsets[1:]):
@@ -158,7 +162,7 @@ def _shingle_sets(texts: DataFrame, plan: Plan) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = batch["text"].tolist()
-            for first, last in text_slices(found):
+            for first, last in text_slices(found, _SLICE_CHARS):
                 hashes, offsets = word_hashes(found[first:last])
                 sets = [
                     shingles(hashes[a:b], plan.width).tobytes()
@@ -222,7 +226,7 @@ _CELL_ROWS = (
     "bucket long, x int, y int, cut int, band int, node binary, root binary, n_shingles long, "
     "signature binary, marks binary"
 )
-_PAIRS_AT_ONCE = 40_000
+_PAIRS_AT_ONCE = 16_000
 
 
 def _dealt(members: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
