@@ -39,11 +39,13 @@ class Plan(NamedTuple):
 
 
 class Index:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors. Rows alike in id and vector are one of
+    them, with the number of its ``copies``."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, plan: Plan):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, plan: Plan, copies: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.plan = ids[order], np.ascontiguousarray(vectors[order]), plan
+        self.copies = copies[order]
         squares = (self.vectors**2).sum(axis=1)
         self.most = float(squares.max())
         draw = np.random.default_rng(plan.seed)
@@ -53,12 +55,13 @@ class Index:
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
 
-    def search(self, own_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
+    def search(self, own_id: int, query: np.ndarray, k: int) -> list[tuple[int, float, int]]:
+        """(id, score, copies) of the k nearest found; the query's own row does not count."""
         plan, n = self.plan, len(self.ids)
-        others = n - int(np.searchsorted(self.ids, own_id, "right")) + int(
-            np.searchsorted(self.ids, own_id)
-        )
-        k = min(k, others)
+        left = self.copies.copy()
+        same = np.arange(*np.searchsorted(self.ids, [own_id, own_id + 1]))
+        left[same[(self.vectors[same] == query).all(axis=1)]] -= 1
+        k = min(k, int((left > 0).sum()))
         if k == 0:
             return []
         at = query @ self.lines[:-1]
@@ -91,7 +94,7 @@ class Index:
             fresh = np.flatnonzero((counts >= asked) & ~done)
             if len(fresh):
                 done[fresh] = True
-                fresh = fresh[self.ids[fresh] != own_id]
+                fresh = fresh[left[fresh] > 0]
                 scores[fresh] = (self.vectors[fresh] * query).sum(axis=1)
                 pool = np.concatenate([best, fresh])
                 best = pool[np.lexsort((self.ids[pool], -scores[pool]))[:k]]
@@ -103,7 +106,7 @@ class Index:
             if done.all():
                 break
             radius *= plan.growth
-        return [(int(self.ids[i]), float(scores[i])) for i in best]
+        return [(int(self.ids[i]), float(scores[i]), int(left[i])) for i in best]
 
 
 def _usable(vector: Column) -> Column:
@@ -124,8 +127,9 @@ def nearest(
 
     ``is_query`` picks the queries among the rows. Vectors that are null, zero, empty
     or hold null or non-finite components take no part, nor do rows of a null id.
-    Rows of one id are one vector, the smallest of them. Vectors of different length
-    are not compared. Scores are computed in double precision. An empty table gives
+    Rows that share an id are rows of their own, as queries too; a query's own row alone
+    is left out. Rows alike in id and vector are searched once and counted as often as
+    they occur. Vectors of different length are not compared. Scores are computed in double precision. An empty table gives
     an empty table.
 
     Queries meet vectors in cells of bounded size (a block of one by a block of the
@@ -138,8 +142,8 @@ def nearest(
     )
     usable = (
         named.filter(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
-        .groupBy("vec_id")
-        .agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+        .groupBy("vec_id", "vector")
+        .agg(F.count(F.lit(1)).alias("copies"), F.count_if("asks").alias("asking"))
     )
     total, asking = named.agg(
         F.count(F.lit(1)), F.count(F.when(F.col("asks"), F.lit(1)))
@@ -148,19 +152,21 @@ def nearest(
     dealt = usable.select(
         "vec_id",
         "vector",
-        "asks",
+        "copies",
+        "asking",
         F.size("vector").alias("length"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int").alias("row"),
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(columns)).cast("int").alias("column"),
+        F.xxhash64("vector").alias("key"),
+        F.pmod(F.xxhash64("vec_id", "vector"), F.lit(rows)).cast("int").alias("row"),
+        F.pmod(F.xxhash64("vec_id", "vector", F.lit(1)), F.lit(columns)).cast("int").alias("column"),
     )
     every_row = F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
     every_column = F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
-    columns_of = ["length", "row", "column", "vec_id", "vector"]
+    columns_of = ["length", "row", "column", "vec_id", "key", "vector"]
     stored = dealt.withColumn("column", every_column).select(
-        *columns_of, F.lit(False).alias("asked")
+        *columns_of, "copies", F.lit(False).alias("asked")
     )
-    queries = dealt.filter("asks").withColumn("row", every_row).select(
-        *columns_of, F.lit(True).alias("asked")
+    queries = dealt.filter("asking > 0").withColumn("row", every_row).select(
+        *columns_of, F.col("asking").alias("copies"), F.lit(True).alias("asked")
     )
 
     def cell(members: pd.DataFrame) -> pd.DataFrame:
@@ -168,20 +174,34 @@ def nearest(
         asked = members["asked"].to_numpy(bool)
         own, queries = members[~asked], members[asked]
         if len(own) and len(queries):
-            index = Index(own["vec_id"].to_numpy(), np.stack(own["vector"].tolist()), plan)
-            for query_id, query in zip(queries["vec_id"], queries["vector"]):
-                found = index.search(query_id, np.asarray(query), k)
-                out += [(query_id, int(own["row"].iloc[0]), i, score) for i, score in found]
-        return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
+            vectors = np.stack(own["vector"].tolist())
+            index = Index(own["vec_id"].to_numpy(), vectors, plan, own["copies"].to_numpy())
+            block = int(own["row"].iloc[0])
+            for query in queries.itertuples():
+                found = index.search(query.vec_id, np.asarray(query.vector), k)
+                out += [
+                    (query.vec_id, query.key, query.copies, block, i, score, min(n, k))
+                    for i, score, n in found
+                ]
+        names = ["query_id", "key", "times", "row", "vec_id", "score", "copies"]
+        return pd.DataFrame(out, columns=names)
 
     found = (
         stored.unionByName(queries)
         .groupBy("length", "row", "column")
-        .applyInPandas(cell, "query_id long, row int, vec_id long, score double")
+        .applyInPandas(
+            cell,
+            "query_id long, key long, times long, row int, vec_id long, score double, copies int",
+        )
     )
+
+    def repeated(frame: DataFrame, count: str) -> DataFrame:
+        one = F.sequence(F.lit(1), F.col(count).cast("int"))
+        return frame.withColumn(count, F.explode(one))
+
     order = [F.col("score").desc(), F.col("vec_id")]
-    some = found.withColumn("part", F.col("row") % int(np.ceil(np.sqrt(rows))))
-    for by in (["query_id", "part"], ["query_id"]):
+    some = repeated(found, "copies").withColumn("part", F.col("row") % int(np.ceil(np.sqrt(rows))))
+    for by in (["query_id", "key", "part"], ["query_id", "key"]):
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         some = some.withColumn("rank", place).filter(F.col("rank") <= k)
-    return some.select("query_id", "rank", "vec_id", "score")
+    return repeated(some, "times").select("query_id", "rank", "vec_id", "score")

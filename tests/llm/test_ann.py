@@ -74,11 +74,22 @@ def test_edge_cases(spark):
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as row", "2 as score")
     asks = frame["vec_id"] % 20 == 0
     got = grouped(nearest(frame, asks))
-    assert got == {0: [(5, 5.0), (7, 5.0), (3, 3.0), (9, -5.0)]}
+    assert got == {0: [(5, 5.0), (5, 5.0), (7, 5.0), (3, 3.0), (9, -5.0)]}
     assert grouped(nearest(frame, asks, k=1)) == {0: [(5, 5.0)]}
     assert nearest(frame.limit(0), asks).count() == 0
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows * 30, SCHEMA)
+    got = sorted(tuple(r) for r in nearest(frame, frame["vec_id"] == 20, k=70, plan=Plan(vectors=2)).collect())
+    # Of 60 equal rows each finds the 59 others, then rows of id 3 (equal score, smaller id first).
+    first = [(20, r + 1, 3, 1.0) for r in range(30)] + [(20, r + 31, 20, 1.0) for r in range(40)]
+    second = [(20, r + 1, 20, 4.0) for r in range(29)] + [(20, r + 30, 3, 2.0) for r in range(30)]
+    second += [(20, r + 60, 20, 0.0) for r in range(11)]
+    assert got == sorted(first * 60 + second * 30)
+
+
 def test_a_third_of_all_vectors_alike(spark):
     draw = np.random.default_rng(4)
     rows = [(i, ([1.0] * 8 if i % 3 else draw.standard_normal(8).tolist())) for i in range(600)]
