@@ -10,9 +10,8 @@ from left to right carries the state and adds up the weights.
 The model grows with the corpus and is nowhere held whole. Texts are dealt into
 blocks. A block sends its distinct n-grams, as sorted hashes, to the parts of the
 key space; a part counts them over all blocks and answers each block in the
-block's own order, so an answer is little more than a byte an n-gram. It also tells which
-n-grams no other block asked for: they occur in this block alone, and so does every
-longer one that holds one of them, which is therefore not sent. A block then
+block's own order, so an answer is little more than a byte an n-gram. Texts go to their blocks
+in compressed packs, one for each block and batch. A block then
 builds the part of the automaton that its texts can reach, which gives the same
 scores as the whole would. A frequent word is one key of each block.
 """
@@ -29,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import blocks_of, stored
+from paperloom.llm.common import blocks_of
 from paperloom.llm.words import mixed, word_hashes
 
 
@@ -119,105 +118,81 @@ def _bounds(order: int, parts: int, plan: Plan) -> np.ndarray:
     return np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)
 
 
-def _own_counts(grams: _Grams, held_out: np.ndarray, n: int) -> np.ndarray:
-    """How often each n-gram occurs in the block's training texts."""
-    train = np.repeat(~held_out, grams.lengths)
-    keys, at = grams.keys[n - 1], grams.index[n - 1]
-    return np.bincount(at[train & (at >= 0)], minlength=len(keys))
-
-
-def _open(grams: _Grams, n: int, shared: np.ndarray) -> np.ndarray:
-    """Which n-grams may occur in other blocks: those whose two shorter ones both do."""
-    at, under = grams.index[n - 1], grams.index[n - 2]
-    place = np.zeros(len(grams.keys[n - 1]), np.int64)
-    place[at[at >= 0]] = np.flatnonzero(at >= 0)
-    return shared[under[place - 1]] & shared[under[place]]
-
-
-def _messages(n: int, keys: np.ndarray, counts: np.ndarray, parts: int, plan: Plan) -> list[tuple]:
-    """(n, part, keys, counts) for the parts of the key space."""
-    rows = []
-    cuts = [0, *np.searchsorted(keys, _bounds(n, parts, plan)), len(keys)]
-    for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if a < b or n == 1:  # parts of single words tell every block their totals
-            rows.append((n, part, _ascending(keys[a:b]), _bytes_of(counts[a:b])))
-    return rows
-
-
-_REQUEST = "n int, part int, keys binary, counts binary, block int"
+def _packed(rows: DataFrame) -> DataFrame:
+    """(block, texts, held_out, doc_id): for each batch and block the texts as one
+    compressed run with their lengths in bytes, and the other columns as lists."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=6)
+        for batch in batches:
+            out = []
+            for block, part in batch.groupby("block"):
+                texts = [text.encode("utf-8", "replace") for text in part["text"]]
+                out.append(
+                    (
+                        block,
+                        packer.compress(b"".join(texts)),
+                        [len(text) for text in texts],
+                        part["held_out"].tolist(),
+                        part["doc_id"].astype(object).where(part["doc_id"].notna(), None).tolist(),
+                    )
+                )
+            yield pd.DataFrame(out, columns=["block", "texts", "sizes", "held_out", "doc_id"])
+
+    return rows.mapInPandas(
+        pack,
+        "block int, texts binary, sizes array<int>, held_out array<boolean>, "
+        f"doc_id array<{kind}>",
+    )
 
 
-def _request_frame(rows: list[tuple], block: int) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["n", "part", "keys", "counts"])
-    out["block"] = block
-    return out
+def _unpacked(packs: pd.DataFrame) -> pd.DataFrame:
+    """The rows (doc_id, held_out, text) of a block's packs."""
+    opener = zstandard.ZstdDecompressor()
+    ids, held, texts = [], [], []
+    for blob, sizes, own, doc_ids in zip(
+        packs["texts"], packs["sizes"], packs["held_out"], packs["doc_id"]
+    ):
+        plain, at = opener.decompress(blob), 0
+        for size in sizes:
+            texts.append(plain[at : at + size].decode())
+            at += size
+        held.extend(bool(x) for x in own)
+        ids.extend(doc_ids)
+    return pd.DataFrame(
+        {"doc_id": pd.Series(ids, dtype=object), "held_out": held, "text": texts}
+    )
 
 
 def _requests(docs: DataFrame, parts: int, plan: Plan) -> DataFrame:
-    """All n-grams of one and two words."""
-
-    def request(block: pd.DataFrame) -> pd.DataFrame:
+    def request(packs: pd.DataFrame) -> pd.DataFrame:
+        block = _unpacked(packs)
         grams = _grams(block["text"].tolist(), plan)
-        held_out = block["held_out"].to_numpy(bool)
+        train = np.repeat(~block["held_out"].to_numpy(bool), grams.lengths)
         rows = []
-        for n in range(1, min(plan.order, 2) + 1):
-            counts = _own_counts(grams, held_out, n)
-            rows += _messages(n, grams.keys[n - 1], counts, parts, plan)
-        return _request_frame(rows, block["block"].iloc[0])
-
-    return docs.groupBy("block").applyInPandas(request, _REQUEST)
-
-
-def _more_requests(docs: DataFrame, answers: DataFrame, n: int, parts: int, plan: Plan) -> DataFrame:
-    """The n-grams that the answers to shorter ones leave open."""
-
-    def request(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(block):
-            return _request_frame([], 0)
-        grams = _grams(block["text"].tolist(), plan)
-        held_out = block["held_out"].to_numpy(bool)
-        open_ = _open(grams, n, _totals(grams, found, held_out, n - 1)[1])
-        counts = _own_counts(grams, held_out, n)[open_]
-        rows = _messages(n, grams.keys[n - 1][open_], counts, parts, plan)
-        return _request_frame(rows, block["block"].iloc[0])
-
-    return (
-        docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(request, _REQUEST)
+        for n in range(1, plan.order + 1):
+            keys, at = grams.keys[n - 1], grams.index[n - 1]
+            counts = np.bincount(at[train & (at >= 0)], minlength=len(keys))
+            cuts = [0, *np.searchsorted(keys, _bounds(n, parts, plan)), len(keys)]
+            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if a < b or n == 1:  # parts of single words tell every block their totals
+                    rows.append((n, part, _ascending(keys[a:b]), _bytes_of(counts[a:b])))
+        out = pd.DataFrame(rows, columns=["n", "part", "keys", "counts"])
+        out["block"] = packs["block"].iloc[0]
+        return out
+
+    return docs.groupBy("block").applyInPandas(
+        request, "n int, part int, keys binary, counts binary, block int"
     )
 
 
-def _totals(
-    grams: _Grams, found: pd.DataFrame, held_out: np.ndarray, longest: int
-) -> tuple[list[np.ndarray], np.ndarray]:
-    """(totals of the block's n-grams up to ``longest`` words, which of the longest occur in
-    other blocks too), from the answers."""
-    found = found.sort_values(["n", "part"])
-    out: list[np.ndarray] = []
-    shared = np.zeros(0, bool)
-    for n in range(1, longest + 1):
-        parts = [_values_of(data) for data in found.loc[found["n"] == n, "totals"]]
-        answered = np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.int64)
-        totals, elsewhere = answered >> 1, (answered & 1) > 0
-        if n > 2:
-            open_ = _open(grams, n, shared)
-            own, among = _own_counts(grams, held_out, n), np.zeros(len(open_), bool)
-            own[open_], among[open_] = totals, elsewhere
-            totals, elsewhere = own, among
-        out.append(totals)
-        shared = elsewhere
-    return out, shared
-
-
 def _answers(requests: DataFrame) -> DataFrame:
-    """To each request the totals in its order, doubled, and one more where another block
-    asked for the same."""
-
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         asked = [np.cumsum(_values_of(data), dtype=np.uint64) for data in rows["keys"]]
         counts = np.concatenate([_values_of(data) for data in rows["counts"]])
         keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64)
-        coded = 2 * totals + (np.bincount(inverse, minlength=len(keys)) > 1)
         cuts = np.cumsum([len(x) for x in asked])[:-1]
         words = totals[keys != START]
         return pd.DataFrame(
@@ -225,7 +200,7 @@ def _answers(requests: DataFrame) -> DataFrame:
                 "block": rows["block"],
                 "n": rows["n"],
                 "part": rows["part"],
-                "totals": [_bytes_of(coded[i]) for i in np.split(inverse, cuts)],
+                "totals": [_bytes_of(totals[i]) for i in np.split(inverse, cuts)],
                 "part_tokens": int(words.sum()),
                 "part_types": int((words > 0).sum()),
             }
@@ -336,19 +311,24 @@ def score_documents(
     parts = -(-blocks * plan.block_chars // (_CHARS_A_WORD * plan.part_words))
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = plain.select(
+    placed = plain.select(
         "doc_id", "text", (crc % 10 == 0).alias("held_out"), block.alias("block")
-    ).repartition(blocks, "block")
+    )
+    dealt = _packed(placed).repartition(blocks, "block")
     answers = _answers(_requests(dealt, parts, plan))
-    for n in range(3, plan.order + 1):
-        # Both the next requests and the scores need them.
-        answers = stored(answers, "answers")
-        more = _answers(_more_requests(dealt, answers, n, parts, plan))
-        answers = answers.unionByName(more).repartition(blocks, "block")
 
-    def score(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def score(packs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        texts = _unpacked(packs)
         grams = _grams(texts["text"].tolist(), plan)
-        counts = _totals(grams, found, texts["held_out"].to_numpy(bool), plan.order)[0]
+        found = found.sort_values(["n", "part"])
+        counts = [
+            np.concatenate([_values_of(x) for x in found.loc[found["n"] == n, "totals"]]).astype(
+                np.int64
+            )
+            for n in range(1, plan.order + 1)
+            if len(grams.keys[n - 1]) or n == 1
+        ]
+        counts += [np.zeros(0, np.int64)] * (plan.order - len(counts))
         single = found[found["n"] == 1]
         tokens, types = int(single["part_tokens"].sum()), int(single["part_types"].sum())
         automaton = Automaton(grams, counts, tokens, types, plan)
