@@ -14,22 +14,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom import fixed_values as fixed
-from paperloom.operators.embedding import Embedder, as_matrix
+from paperloom.operators.embedding import Embedder, as_matrix, embed
 
 # Largest question matrix that is sent to every task. A cell of the grid used
 # beyond that holds twice as much on average.
 QUESTION_BYTES = 32 * 1024 * 1024
-# Chunks in one cell of that grid.
+# Chunks in one cell of that grid, and pairs that a cell compares on average.
 CHUNKS_PER_CELL = 100_000
+PAIRS_PER_CELL = 4_000_000_000
 # Ranked rows (ids, a rank and a score) that are sent to every task.
 RANKED_SENT = 200_000
 # Largest matrix of cell centres that is sent to every task.
 CENTRE_BYTES = 64 * 1024 * 1024
 # Steps in which the candidates of a question are merged: parts of it, then it.
 _MERGE_PARTS = 32
+# Candidates of a question that one step merges.
+_MERGED_AT_ONCE = 4096
+# Cells of a grid for each core, at least.
+_CELLS_PER_CORE = 4
+# Partitions of a grid for each of its cells, so that few cells share one, and at most.
+_SPREAD = 2
+_MOST_PARTITIONS = 4096
 # Pairs scored at a time, which bounds the score matrix, and questions among them.
-_SCORES_PER_BLOCK = 2_000_000
-_QUESTIONS_PER_BLOCK = 4096
+_SCORES_PER_BLOCK = 1_048_576
+_QUESTIONS_PER_BLOCK = 1024
+# Values of the vectors that are compared in double precision at a time.
+_EXACT_VALUES = 2_000_000
 _SCORE_DIGITS = 12
 
 
@@ -54,15 +64,18 @@ def top_k_chunks(
     The questions' matrix is measured. Up to ``question_bytes`` it is sent to
     every task, which multiplies it with its blocks of chunks and keeps k per
     question: chunks are not shuffled. Beyond, questions and chunks are hashed
-    into a grid of bounded cells. Either way pairs exist only as numbers within
-    a block, and each task or cell passes on k per question.
+    into a grid of bounded cells, with partitions enough for a task to have few.
+    Either way pairs exist only as numbers within a block, and each task or cell
+    passes on k per question. Pairs are compared in single precision; those that
+    can be among the best, with its error, are compared again in double precision.
     """
     ranker = _Ranker(questions, chunks, k, min_score, embedder, carry)
     count, width = _measure(questions)
     row_bytes = 8 * max(width, 1)
     if count * row_bytes <= question_bytes:
         return ranker.ranked(ranker.broadcast_candidates())
-    return ranker.ranked(ranker.grid_candidates(math.ceil(count * row_bytes / question_bytes / 2)))
+    columns = math.ceil(count * row_bytes / question_bytes / 2)
+    return ranker.grid_ranked(count, columns)
 
 
 def approximate_top_k(
@@ -108,7 +121,11 @@ def approximate_top_k(
     keys = ["document_id", "chunk_index"]
     left = dealt(ranker.inputs(reachable, "cell"), keys, "_row", "_rows", "_column", "_columns")
     right = dealt(asked, ["query_id"], "_column", "_columns", "_row", "_rows")
-    return ranker.ranked(ranker.cell_candidates(left, right, ["cell", "_row", "_column"]))
+    blocks = sum(rows * columns for _, rows, columns in grid)
+    met = ranker.cell_candidates(left, right, ["cell", "_row", "_column"], blocks)
+    # A question meets the blocks of one column in each cell that it probes.
+    most = probes * max((rows for _, rows, _ in grid), default=1)
+    return ranker.ranked(met, most * k)
 
 
 def probed_cells(questions: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
@@ -209,7 +226,8 @@ class _Ranker:
         ]
         self.schema = T.StructType([*fields, *[chunks.schema[name] for name in self.carry]])
 
-    def ranked(self, candidates: DataFrame) -> DataFrame:
+    def ranked(self, candidates: DataFrame, most: int | None = None) -> DataFrame:
+        """``most``: candidates that a question can have, if that is known."""
         best_first = Window.partitionBy("query_id").orderBy(
             F.col("score").desc(), "document_id", "chunk_index"
         )
@@ -217,11 +235,12 @@ class _Ranker:
         of_part = Window.partitionBy("query_id", "_part").orderBy(
             F.col("score").desc(), "document_id", "chunk_index"
         )
+        if most is None or most > _MERGED_AT_ONCE:
+            ranks = F.row_number().over(of_part)
+            candidates = candidates.withColumn("_part", part).withColumn("_rank", ranks)
+            candidates = candidates.filter(F.col("_rank") <= self.k)
         return (
-            candidates.withColumn("_part", part)
-            .withColumn("_rank", F.row_number().over(of_part))
-            .filter(F.col("_rank") <= self.k)
-            .withColumn("rank", F.row_number().over(best_first))
+            candidates.withColumn("rank", F.row_number().over(best_first))
             .filter(F.col("rank") <= self.k)
             .select("query_id", "rank", "document_id", "chunk_index", "score", *self.carry)
         )
@@ -246,8 +265,9 @@ class _Ranker:
 
         return self.inputs(self.chunks).mapInArrow(run, self.schema)
 
-    def grid_candidates(self, columns: int) -> DataFrame:
-        rows = math.ceil(self.chunks.count() / CHUNKS_PER_CELL) or 1
+    def grid_ranked(self, count: int, columns: int) -> DataFrame:
+        held = self.chunks.count()
+        rows, columns = self._grid(count, held, columns)
         question_cells = self.questions.select(
             "query_id",
             "embedding",
@@ -255,30 +275,78 @@ class _Ranker:
             F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_row"),
         )
         inputs = self.inputs(self.chunks)
+        if self.embedder:
+            # Once for each chunk; what meets the columns of questions are vectors.
+            inputs = embed(inputs, "chunk_text", self.embedder)
+            inputs = inputs.select("document_id", "chunk_index", "embedding", *self.carry)
         chunk_cells = inputs.select(
             "*",
             _hash_part(["document_id", "chunk_index"], rows).alias("_row"),
             F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_column"),
         )
-        return self.cell_candidates(chunk_cells, question_cells, ["_row", "_column"])
-
-    def cell_candidates(self, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        """Candidates of chunks and questions that meet in cells of bounded size."""
-        search = _Search(self.k, self.min_score, self.embedder, self.carry)
+        keys = ["_row", "_column"]
+        met = self.cell_candidates(chunk_cells, question_cells, keys, rows * columns)
+        return self.ranked(met, rows * self.k)
+
+    def _grid(self, count: int, held: int, columns: int) -> tuple[int, int]:
+        """Rows and columns: cells are bounded in chunks, questions and pairs, and enough
+        for all cores; of such grids, one that repeats few vectors."""
+        cores = self.questions.sparkSession.sparkContext.defaultParallelism
+        cells = max(count * held / PAIRS_PER_CELL, _CELLS_PER_CORE * cores)
+        columns = max(columns, math.ceil(math.sqrt(cells * count / max(held, 1))))
+        columns = max(min(columns, count), 1)
+        rows = max(math.ceil(held / CHUNKS_PER_CELL), math.ceil(cells / columns))
+        return max(min(rows, held), 1), columns
+
+    def cell_candidates(
+        self, left: DataFrame, right: DataFrame, keys: list[str], cells: int
+    ) -> DataFrame:
+        """Candidates of chunks and questions that meet in ``cells`` cells of bounded size.
+
+        Their number of partitions is given, so that small input, but long work, is not
+        put together into few tasks."""
+        search = _Search(self.k, self.min_score, None, self.carry)
+        partitions = max(min(_SPREAD * cells, _MOST_PARTITIONS), 1)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             ids = _one_array(right.column("query_id"))
             empty = pa.Table.from_batches([], schema=search.schema_of(ids.type, left.schema))
             if not left.num_rows or not right.num_rows:
                 return empty
-            matrix = as_matrix(_one_array(right.column("embedding"))).astype(np.float64)
+            matrix = as_matrix(_one_array(right.column("embedding")))
             found = list(search.task(ids, matrix, left.to_batches()))
             return pa.Table.from_batches(found) if found else empty
 
-        cogrouped = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+        sides = [side.repartition(partitions, *keys).groupBy(*keys) for side in (left, right)]
+        cogrouped = sides[0].cogroup(sides[1])
         return cogrouped.applyInArrow(run, self.schema)
 
 
+class _Vectors:
+    """Vectors with their squared lengths, and in single precision with length one."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        wide = values.astype(np.float64)
+        self.squares = np.einsum("ij,ij->i", wide, wide)
+        self.usable = (self.squares > 0) & np.isfinite(self.squares)
+        lengths = np.sqrt(np.where(self.usable, self.squares, np.inf))[:, None]
+        with np.errstate(invalid="ignore"):
+            self.units = (wide / lengths).astype(np.float32)
+
+
+def _cosines(asked: _Vectors, held: _Vectors, question, row) -> np.ndarray:
+    # The last bits depend on how a product is summed; equal vectors must come out
+    # equal wherever they lie.
+    products = np.einsum(
+        "ij,ij->i",
+        asked.values[question].astype(np.float64),
+        held.values[row].astype(np.float64),
+    )
+    lengths = np.sqrt(asked.squares[question] * held.squares[row])
+    return np.round(products / lengths, _SCORE_DIGITS)
+
+
 class _Search:
     """The k best chunks per question among the Arrow batches of one task."""
 
@@ -311,47 +379,75 @@ class _Search:
         """
         if not len(ids):
             return
-        squares = (matrix * matrix).sum(axis=1)
-        floor = np.full(len(ids), self.min_score)
+        asked = _Vectors(matrix)
+        floor = np.where(asked.usable, self.min_score, np.inf)
         rows_at_once = max(_SCORES_PER_BLOCK // min(len(ids), _QUESTIONS_PER_BLOCK), 1)
         parts: list[pa.Table] = []
-        unsorted = 0
+        unsorted, fresh = 0, True
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
                 block = batch.slice(start, rows_at_once)
-                found = self._block(matrix, squares, floor, block)
+                found = self._block(asked, floor, block, fresh)
                 parts += found
                 unsorted += sum(part.num_rows for part in found)
-                if unsorted > 2 * self.k * len(ids):
+                if parts and (fresh or unsorted > 2 * self.k * len(ids)):
                     best, floor = self._best_of(pa.concat_tables(parts), floor)
-                    parts, unsorted = [best], 0
+                    parts, unsorted, fresh = [best], 0, False
         if not parts:
             return
         best, _ = self._best_of(pa.concat_tables(parts), floor)
-        asked = ids.take(_one_array(best.column("_question")))
-        best = best.drop_columns(["_question"]).add_column(0, "query_id", asked)
+        named = ids.take(_one_array(best.column("_question")))
+        best = best.drop_columns(["_question"]).add_column(0, "query_id", named)
         yield from best.combine_chunks().to_batches()
 
-    def _block(self, matrix, squares, floor, block) -> list[pa.Table]:
+    def _block(self, asked: _Vectors, floor, block, fresh: bool) -> list[pa.Table]:
         """Candidates among a block of chunks, for one tile of questions after another."""
         if self.embedder:
-            vectors = np.asarray(self.embedder(block.column("chunk_text").to_pylist()))
+            made = np.asarray(self.embedder(block.column("chunk_text").to_pylist()))
+            # As `embed` stores them.
+            held = _Vectors(made.astype(np.float32))
         else:
-            vectors = as_matrix(block.column("embedding"))
-        if len(vectors) and vectors.shape[1] != matrix.shape[1]:
-            raise ValueError(f"vectors must all have {matrix.shape[1]} values")
-        vectors = vectors.astype(np.float64)
+            held = _Vectors(as_matrix(block.column("embedding")))
+        if len(held.values) and held.values.shape[1] != asked.values.shape[1]:
+            raise ValueError(f"vectors must all have {asked.values.shape[1]} values")
+        rows = np.flatnonzero(held.usable)
         found = []
-        rows = np.arange(len(vectors))
-        for start in range(0, len(matrix), _QUESTIONS_PER_BLOCK):
-            asked = np.arange(start, min(start + _QUESTIONS_PER_BLOCK, len(matrix)))
-            row, question, score = self._scores(
-                vectors, rows, matrix[asked], squares[asked], floor[asked], asked
-            )
-            if len(row):
-                found.append(self._candidates(block, row, question, score))
+        if not len(rows):
+            return found
+        units = held.units[rows]
+        for start in range(0, len(asked.values), _QUESTIONS_PER_BLOCK):
+            tile = slice(start, start + _QUESTIONS_PER_BLOCK)
+            question, row = self._reaching(asked.units[tile], floor[tile], units, fresh)
+            question, row = question + start, rows[row]
+            step = max(_EXACT_VALUES // asked.values.shape[1], 1)
+            for at in range(0, len(row), step):
+                pairs = question[at : at + step], row[at : at + step]
+                score = _cosines(asked, held, *pairs)
+                good = (score > self.min_score) & (score >= floor[pairs[0]])
+                if good.any():
+                    found.append(
+                        self._candidates(block, pairs[1][good], pairs[0][good], score[good])
+                    )
         return found
 
+    def _reaching(self, asked, floor, units, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(question, row) of the pairs that can be among the best.
+
+        A pair stays if it may reach the k-th best so far, or of the first block. The
+        slack is what a product of unit vectors in single precision can be off by, twice
+        for that k-th best, so equal scores stay until they are ordered by document.
+        """
+        slack = (asked.shape[1] + 16) * 2.0**-24
+        near = asked @ units.T
+        least = floor - slack
+        if fresh and len(units) > self.k:
+            kth = np.partition(near, len(units) - self.k, axis=1)[:, len(units) - self.k]
+            least = np.maximum(least, kth - 2 * slack)
+        question, row = np.divmod(
+            np.flatnonzero(near >= least[:, None].astype(np.float32)), max(len(units), 1)
+        )
+        return question, row
+
     def _candidates(self, block, row, question, score) -> pa.Table:
         taken = block.select(["document_id", "chunk_index", *self.carry]).take(pa.array(row))
         columns = {"_question": pa.array(question)}
@@ -360,25 +456,6 @@ class _Search:
         columns.update({name: taken.column(name) for name in self.carry})
         return pa.table(columns)
 
-    def _scores(self, vectors, rows, matrix, squares, floor, asked):
-        """(row, question, score) of the pairs that can be among the best.
-
-        A pair stays if it reaches the k-th best of this block and the k-th best
-        so far, so equal scores stay until they are ordered by document.
-        """
-        lengths = np.sqrt(np.outer((vectors * vectors).sum(axis=1), squares))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            # The last bits depend on how a product is blocked; equal vectors must
-            # come out equal wherever they lie.
-            scores = np.round((vectors @ matrix.T) / lengths, _SCORE_DIGITS)
-        valid = (lengths > 0) & (scores > self.min_score) & (scores >= floor)
-        scores = np.where(valid, scores, -np.inf)
-        if len(rows) > self.k:
-            kth = np.partition(scores, len(rows) - self.k, axis=0)[len(rows) - self.k]
-            valid &= scores >= kth
-        row, question = np.nonzero(valid)
-        return rows[row], asked[question], scores[row, question]
-
     def _best_of(self, table: pa.Table, floor: np.ndarray) -> tuple[pa.Table, np.ndarray]:
         question = table.column("_question").to_numpy()
         score = table.column("score").to_numpy()
@@ -414,7 +491,7 @@ def _collect_questions(questions: DataFrame) -> tuple[pa.Array, np.ndarray]:
     ids = _one_array(table.column("query_id"))
     if not len(ids):
         return ids, np.zeros((0, 1))
-    return ids, as_matrix(_one_array(table.column("embedding"))).astype(np.float64)
+    return ids, as_matrix(_one_array(table.column("embedding")))
 
 
 def _one_array(column: pa.ChunkedArray) -> pa.Array:

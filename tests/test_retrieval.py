@@ -250,3 +250,42 @@ def test_question_ids_of_any_type(spark, vectors):
     for limit in (10_000, 5 * 8 * WIDTH):
         ranked = retrieval.top_k_chunks(named, chunk_frame(spark, chunks), question_bytes=limit)
         assert as_ranks(ranked) == expected
+
+
+def test_grids_of_few_bytes_have_cells_for_all_cores(spark, vectors, monkeypatch):
+    """A task has few cells, and a cell bounded work: small vectors were one long task."""
+    questions, chunks = vectors
+    asked, held = question_frame(spark, questions), chunk_frame(spark, chunks)
+    monkeypatch.setattr(retrieval, "PAIRS_PER_CELL", 100)
+    ranked = retrieval.top_k_chunks(asked, held, question_bytes=len(questions) * 8 * WIDTH - 1)
+    assert as_ranks(ranked) == brute_force(questions, chunks, 3)
+    cores = spark.sparkContext.defaultParallelism
+    ranker = retrieval._Ranker(asked, held, 3, None, None, ())
+    for count, stored, columns in ((100_000, 100_000, 1), (600_000, 600_000, 5), (200_000, 6_000_000, 7)):
+        monkeypatch.setattr(retrieval, "PAIRS_PER_CELL", 4_000_000_000)
+        rows, wide = ranker._grid(count, stored, columns)
+        assert wide >= columns and rows * wide >= 4 * cores
+        assert count * stored / (rows * wide) <= retrieval.PAIRS_PER_CELL
+        assert stored / rows <= retrieval.CHUNKS_PER_CELL
+    rows = retrieval._Ranker(asked, held, 3, None, None, ()).cell_candidates(
+        held.select("document_id", "chunk_index", "embedding", F.lit(0).alias("_row")),
+        asked.select("query_id", "embedding", F.lit(0).alias("_row")),
+        ["_row"],
+        9,
+    )
+    assert rows.rdd.getNumPartitions() == 18
+
+
+def test_single_precision_loses_no_pair(spark):
+    """Scores that differ by less than single precision can tell keep their order."""
+    draw = np.random.default_rng(8)
+    base = draw.standard_normal(WIDTH).astype(np.float32).astype(float)
+    chunks = np.tile(base, (300, 1))
+    chunks[:, 0] *= 1 + np.arange(300) * 1e-6
+    chunks = chunks[draw.permutation(300)].astype(np.float32).astype(float)
+    questions = np.vstack([base, -base, base * 1e3])
+    for limit in (10_000, 3 * 8 * WIDTH - 1):
+        ranked = retrieval.top_k_chunks(
+            question_frame(spark, questions), chunk_frame(spark, chunks), question_bytes=limit
+        )
+        assert as_ranks(ranked) == brute_force(questions, chunks, 3)
