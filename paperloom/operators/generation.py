@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,9 @@ from paperloom.operators.embedding import words_of
 
 Model = Callable[[list[str]], list[str]]
 
+# Rows that are in Python as objects, and given to a model, at a time.
+ROWS_AT_ONCE = 256
+
 
 def generate(
     prompts: DataFrame,
@@ -27,7 +31,7 @@ def generate(
     """Add ``response``, ``status`` and ``error`` to rows that have a prompt.
 
     ``make_model`` is called once per task and gives a function from a list of
-    prompts to a list of outputs. When it fails for a batch, the prompts are tried
+    prompts, a few hundred at most, to a list of outputs. When it fails for a batch, the prompts are tried
     one by one, so only the failing ones get ``status = 'error'`` and the task's
     error text as response. Responses are cleaned. Rows keep their identity by
     their own columns; no order of rows is relied on.
@@ -53,26 +57,27 @@ def generate(
                 return [(None, str(failure) or type(failure).__name__)]
             return [one for text in texts for one in answer(model, [text])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = None
         for batch in batches:
-            chosen = batch["_asked"] & batch[prompt].notna()
-            results = pd.DataFrame(
-                {"_output": None, "error": None}, index=batch.index, dtype=object
-            )
-            if chosen.any():
-                model = model or make_model()
-                answers = answer(model, batch.loc[chosen, prompt].tolist())
-                results.loc[chosen, ["_output", "error"]] = pd.DataFrame(
-                    answers, index=batch.index[chosen], columns=["_output", "error"], dtype=object
-                )
-            yield batch.join(results)
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                chosen = pc.and_(part.column("_asked"), pc.is_valid(part.column(prompt)))
+                places = pc.indices_nonzero(chosen).to_pylist()
+                results: list[tuple] = [(None, None)] * part.num_rows
+                if places:
+                    model = model or make_model()
+                    texts = part.column(prompt).filter(chosen).to_pylist()
+                    for place, result in zip(places, answer(model, texts)):
+                        results[place] = result
+                made = [pa.array(column, pa.string()) for column in zip(*results)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
 
     failed = F.col("error").isNotNull()
     message = F.concat(F.lit(fixed.ERROR_PREFIXES[task]), F.col("error"))
     response = F.when(failed, message).otherwise(clean_response(F.col("_output")))
     return (
-        asked.mapInPandas(run, schema)
+        asked.mapInArrow(run, schema)
         .withColumn("response", F.when(F.col("_asked"), response))
         .withColumn("status", F.when(F.col("_asked"), F.when(failed, "error").otherwise("ok")))
         .drop("_asked", "_output")

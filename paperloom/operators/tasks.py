@@ -24,6 +24,9 @@ STEP_PATTERNS = {
 SUMMARY_SENTENCES = 5
 COMPLEX_SENTENCES = 50
 COMPLEX_SUMMARY_SENTENCES = 8
+# Requests of one task while models are asked: their prompts hold whole documents, and
+# each step's Python worker has a batch of them.
+REQUESTS_PER_TASK = 500
 # The agent whose system prompt goes with a task.
 AGENTS = {
     "retrieve_document": "document_retrieval_agent_prompt",
@@ -109,6 +112,7 @@ def call_agents(
     requests that ask for them, then summaries are made, then translations. The
     first step is given what was retrieved, else the request's documents (column
     ``documents``, if there is one) followed by the request, else the request.
+    Requests are dealt to tasks of some hundreds, which bounds what Python holds.
     Requests without a step go to the model with their ``messages``, if they have
     that column, or as they are. Steps run over all requests at once. Adds
     ``steps``, ``response``, ``status`` and ``error`` in place of the messages.
@@ -146,7 +150,9 @@ def call_agents(
     else:
         texts = retrieval.with_window_text(ranked, sources, searching.count() * fixed.TOP_K)
     found = retrieval.excerpts(searching, texts, prompt_texts.NO_EXCERPTS)
-    state = routed.join(found.select("query_id", "excerpts"), "query_id", "left").select(
+    tasks = max(-(-requests.count() // REQUESTS_PER_TASK), 1)
+    dealt = routed.repartition(tasks, "query_id")
+    state = dealt.join(found.select("query_id", "excerpts"), "query_id", "left").select(
         *[name for name in routed.columns if name != "_material"],
         F.coalesce("excerpts", "_material").alias("text"),
         F.lit(None).cast("string").alias("_error"),

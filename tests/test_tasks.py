@@ -1,3 +1,4 @@
+import re
 import sys
 
 import pytest
@@ -313,3 +314,33 @@ def test_answer_turns(spark):
     assert failed == {(4, 0)} and len(rows) == 8
     given = {(r.conv_id, r.turn, r.role): r.text for r in assistant_turns(answered).collect()}
     assert (4, 1, "assistant") in given and (4, 3, "assistant") not in given and len(given) == 7
+
+
+def test_models_are_given_few_prompts_at_a_time(spark):
+    """A batch of rows may hold thousands of long prompts."""
+    frame = spark.range(1000).select("id", F.concat(F.lit("p"), "id").alias("prompt")).coalesce(1)
+
+    def counting():
+        return lambda prompts: [f"{prompt} {len(prompts)}" for prompt in prompts]
+
+    rows = generation.generate(frame, counting, where=F.col("id") >= 100).collect()
+    found = {row.id: row.response for row in rows}
+    assert all(found[i] is None for i in range(100))
+    given = {i: found[i].split() for i in range(100, 1000)}
+    assert all(words[0] == f"p{i}" for i, words in given.items())
+    assert max(int(words[1]) for words in given.values()) <= 256
+
+
+def test_requests_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "REQUESTS_PER_TASK", 20)
+    asked = spark.range(100).select(
+        F.col("id").alias("query_id"),
+        F.concat(F.lit("Summarize this: text "), "id").alias("query"),
+        F.lit(None).cast("string").alias("target_language"),
+    )
+    chunks = spark.createDataFrame([(1, 0, "text")], "document_id long, chunk_index int, chunk_text string")
+    registry = spark.createDataFrame([], "name string, version int, template string")
+    answered = tasks.call_agents(asked, chunks, lambda: (lambda prompts: prompts), registry)
+    assert answered.count() == 100
+    text = answered._jdf.queryExecution().toString()
+    assert re.search(r"RepartitionByExpression \[query_id#\d+L?\], 5", text)
