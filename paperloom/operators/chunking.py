@@ -6,7 +6,7 @@ import traceback
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from paperloom import fixed_values as fixed
 from paperloom.functions.text import as_timestamp
 
-_ROWS_PER_OUTPUT = 8192
+# Characters of chunks that a task holds before it passes them on, and rows.
+_CHARACTERS_PER_OUTPUT = 1 << 20
+_ROWS_PER_OUTPUT = 4096
 
 
 def fixed_chunks(
@@ -154,35 +156,43 @@ def recursive_chunks(
     one row with a null chunk, its message in ``error``, and no chunks.
     """
     cut = splitter or RecursiveSplitter()
-    key_fields = [documents.schema[name] for name in keys]
     schema = T.StructType(
         [
-            *key_fields,
+            *[documents.schema[name] for name in keys],
             T.StructField("chunk_index", T.IntegerType()),
             T.StructField("chunk_text", T.StringType()),
             T.StructField("error", T.StringType()),
         ]
     )
 
-    def chunk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for row in batch.itertuples(index=False, name=None):
-                *key, body = row
-                try:
-                    chunks = cut(body)
-                except Exception as failure:
-                    message = f"{failure}\n{traceback.format_exc()}"
-                    rows.append((*key, None, None, message))
-                    continue
-                rows.extend((*key, i, chunk, None) for i, chunk in enumerate(chunks))
-                if len(rows) >= _ROWS_PER_OUTPUT:
-                    yield _frame(rows, schema)
-                    rows = []
-            if rows:
-                yield _frame(rows, schema)
-
-    return documents.select(*keys, text).mapInPandas(chunk_batches, schema)
+            yield from _chunks_of(batch, keys, text, cut, schema.names)
+
+    return documents.select(*keys, text).mapInArrow(chunk_batches, schema)
+
+
+def _chunks_of(
+    batch: pa.RecordBatch, keys: list[str], text: str, cut: Callable, names: list[str]
+) -> Iterator[pa.RecordBatch]:
+    """Chunks in batches of bounded size; one text at a time is a Python object."""
+    key = batch.select(keys)
+    rows: list[tuple] = []
+    held = 0
+    for at, body in enumerate(batch.column(text)):
+        try:
+            chunks = cut(body.as_py())
+        except Exception as failure:
+            rows.append((at, None, None, f"{failure}\n{traceback.format_exc()}"))
+            continue
+        for i, chunk in enumerate(chunks):
+            rows.append((at, i, chunk, None))
+            held += len(chunk)
+            if len(rows) >= _ROWS_PER_OUTPUT or held >= _CHARACTERS_PER_OUTPUT:
+                yield _chunk_batch(key, rows, names)
+                rows, held = [], 0
+    if rows:
+        yield _chunk_batch(key, rows, names)
 
 
 def register_chunker(
@@ -203,10 +213,15 @@ def register_chunker(
     spark.udtf.register(name, ChunkText)
 
 
-def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=schema.names)
-    frame["chunk_index"] = frame["chunk_index"].astype("Int32")
-    return frame
+def _chunk_batch(keys: pa.RecordBatch, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    place, index, chunk, error = zip(*rows)
+    columns = [
+        *keys.take(pa.array(place)).columns,
+        pa.array(index, pa.int32()),
+        pa.array(chunk, pa.string()),
+        pa.array(error, pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def chunk_rows(chunks: DataFrame, created_at, document_id: str, document_uri: Column) -> DataFrame:

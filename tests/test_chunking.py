@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,3 +162,20 @@ def test_chunker_in_sql(spark):
         "SELECT id, chunk_index, chunk_text FROM texts, LATERAL recursive_chunks(text) ORDER BY chunk_index"
     ).collect()
     assert [(row.id, row.chunk_text) for row in rows] == [(1, c) for c in RecursiveSplitter()(body)]
+
+
+def test_chunks_are_passed_on_in_bounded_batches():
+    """What a task holds does not grow with the texts of a batch."""
+    texts = ["word " * 400_000, None, "a b c", "tail"]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": texts})
+    names = ["id", "chunk_index", "chunk_text", "error"]
+    splitter = RecursiveSplitter(size=1000, overlap=0)
+    made = list(chunking._chunks_of(batch, ["id"], "text", splitter, names))
+    assert len(made) > 1
+    for one in made:
+        size = sum(len(chunk or "") for chunk in one.column("chunk_text").to_pylist())
+        assert size < chunking._CHARACTERS_PER_OUTPUT + 1000
+    rows = pa.Table.from_batches(made).to_pylist()
+    assert [row["chunk_text"] for row in rows if row["id"] == 1] == splitter(texts[0])
+    assert [row["id"] for row in rows if row["error"]] == [2]
+    assert [row["chunk_index"] for row in rows if row["id"] in (3, 4)] == [0, 0]
