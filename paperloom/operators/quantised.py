@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from paperloom import fixed_values as fixed
 from paperloom.operators.embedding import as_matrix
-from paperloom.operators.retrieval import QUESTION_BYTES, nearest_cells
+from paperloom.operators.retrieval import QUESTION_BYTES, nearest_cells, one_array
 
 # Vectors the quantiser is fitted on, drawn by a hash of their keys.
 TRAINED_ON = 16_384
@@ -39,6 +39,13 @@ _SCORE_DIGITS = 12
 # Similarities are first taken in single precision.
 _SLACK = 2e-6
 _MERGE_PARTS = 32
+# Candidates of all questions of a task or cell, as many as a question may keep.
+KEPT_ROWS = 500_000
+# Codes in one cell of the grid that many questions need, and cells for each core, at least.
+CODES_PER_CELL = 200_000
+_CELLS_PER_CORE = 4
+_SPREAD = 2
+_MOST_PARTITIONS = 4096
 
 
 class Quantiser(NamedTuple):
@@ -189,9 +196,7 @@ def approximate_top_k(
     are exact, rounded and ordered as in the search that compares everything.
     """
     keep = max(keep or 12 * k, k)
-    found = _union(
-        [_near_codes(some, index, quantiser, probes, keep) for some in _slices(questions, question_bytes)]
-    )
+    found = _near_codes(questions, index, quantiser, probes, keep, question_bytes)
     kept = _first(found, keep, "near")
     vectors = index.select("document_id", "chunk_index", F.col("embedding").alias("_vector"))
     asked = questions.select("query_id", F.col("embedding").alias("_question"))
@@ -218,8 +223,8 @@ def exact_top_k(
     The k-th best of a question's ``seeds`` nearest cells is a floor. Cells and then
     vectors whose bound lies below it are left out; the rest are compared exactly.
     """
-    steps = _bounded(questions, index, quantiser, k, seeds, question_bytes, counted=False)
-    return _first(_union(steps), k, "score")
+    found = _bounded(questions, index, quantiser, k, seeds, question_bytes, counted=False)
+    return _first(found, k, "score")
 
 
 def compared(
@@ -232,9 +237,9 @@ def compared(
 ) -> DataFrame:
     """(query_id, looked_up, compared): of how many vectors the exact search looks at the
     code and at the vector, after its floors are known."""
-    steps = _bounded(questions, index, quantiser, k, seeds, question_bytes, counted=True)
+    found = _bounded(questions, index, quantiser, k, seeds, question_bytes, counted=True)
     sums = [F.sum(name).alias(name) for name in ("looked_up", "compared")]
-    return _union(steps).groupBy("query_id").agg(*sums)
+    return found.groupBy("query_id").agg(*sums)
 
 
 def cell_angles(index: DataFrame) -> dict[int, float]:
@@ -253,72 +258,77 @@ class _Asked(NamedTuple):
         return _units(self.vectors)
 
 
-def _slices(questions: DataFrame, question_bytes: int) -> list[DataFrame]:
-    """The questions in slices whose vectors may be sent to every task."""
+def _usable_questions(questions: DataFrame, keep: int, question_bytes: int):
+    """Usable questions, how many, and the columns they are dealt into: none, while their
+    vectors and what they keep may be held by every task."""
     usable = questions.filter(_usable(F.col("embedding")))
     count, values = usable.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    slices = max(math.ceil(count * 8 * (values or 1) / question_bytes), 1)
-    if slices == 1:
-        return [usable]
-    place = F.pmod(F.xxhash64("query_id"), F.lit(2 * slices))
-    return [usable.filter(place == number) for number in range(2 * slices)]
-
-
-def _asked(rows: DataFrame, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    table = rows.toArrow().combine_chunks()
-    ids, floors = (
-        pa.concat_arrays([*table.column(name).chunks, pa.array([], table.schema.field(name).type)])
-        for name in ("query_id", "floor")
-    )
-    parts = [as_matrix(part, width) for part in table.column("embedding").chunks if len(part)]
-    vectors = np.vstack(parts) if parts else np.zeros((0, width))
-    return ids, vectors.astype(np.float64), floors.to_numpy(zero_copy_only=False)
+    parts = max(count * 8 * (values or 1) / question_bytes, count * keep / KEPT_ROWS)
+    return usable, count, math.ceil(parts) if parts > 1 else 0
+
+
+class _Near(NamedTuple):
+    """Each question looks at its ``probes`` nearest cells."""
+
+    probes: int
+
+    def __call__(self, vectors: np.ndarray, floors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        cells = np.zeros((len(vectors), len(centres)), bool)
+        near = nearest_cells(vectors, centres, self.probes)
+        cells[np.arange(len(vectors))[:, None], near] = True
+        return cells
+
+
+class _Reached(NamedTuple):
+    """Each question looks at the cells whose widest angle lets them reach its floor."""
+
+    widest: np.ndarray
+
+    def __call__(self, vectors: np.ndarray, floors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        apart = np.arccos(np.clip(_units(vectors.astype(float)) @ centres.T, -1, 1))
+        most = np.cos(np.maximum(apart - self.widest, 0))
+        return (self.widest >= 0) & (most >= floors[:, None] - _SLACK)
+
+
+def _asked(table: pa.Table, quantiser: Quantiser, choose: _Near | _Reached) -> _Asked:
+    width = quantiser.centres.shape[1]
+    ids, floors = (one_array(table.column(name)) for name in ("query_id", "floor"))
+    floors = floors.to_numpy(zero_copy_only=False).astype(np.float64)
+    vectors = as_matrix(one_array(table.column("embedding")), width).astype(np.float64)
+    return _Asked(ids, vectors, floors, choose(vectors, floors, quantiser.centres))
 
 
 def _near_codes(
-    questions: DataFrame, index: DataFrame, quantiser: Quantiser, probes: int, keep: int
+    questions: DataFrame,
+    index: DataFrame,
+    quantiser: Quantiser,
+    probes: int,
+    keep: int,
+    question_bytes: int = QUESTION_BYTES,
 ) -> DataFrame:
-    """(query_id, document_id, chunk_index, near): each task's ``keep`` best by code."""
-    width = quantiser.centres.shape[1]
-    rows = questions.select("query_id", "embedding", F.lit(-math.inf).alias("floor"))
-    ids, vectors, floors = _asked(rows, width)
-    near = nearest_cells(vectors, quantiser.centres, probes)
-    cells = np.zeros((len(vectors), len(quantiser.centres)), bool)
-    cells[np.arange(len(vectors))[:, None], near] = True
-    asked = _Asked(ids, vectors, floors, cells)
+    """(query_id, document_id, chunk_index, near): each task's or cell's ``keep`` best by code."""
+    usable, count, columns = _usable_questions(questions, keep, question_bytes)
+    rows = usable.select("query_id", "embedding", F.lit(-math.inf).alias("floor"))
     read = index.select("cell", "document_id", "chunk_index", "codes")
-    return _scanned(read, asked, quantiser, keep, "near", questions.schema["query_id"].dataType)
+    return _scanned(read, rows, quantiser, _Near(probes), keep, "near", count, columns)
 
 
-def _bounded(questions, index, quantiser, k, seeds, question_bytes, counted) -> list[DataFrame]:
-    kind = questions.schema["query_id"].dataType
-    angles = cell_angles(index)
+def _bounded(questions, index, quantiser, k, seeds, question_bytes, counted) -> DataFrame:
     widest = np.full(len(quantiser.centres), -1.0)
-    for cell, angle in angles.items():
+    for cell, angle in cell_angles(index).items():
         widest[cell] = angle
-    steps = []
-    for some in _slices(questions, question_bytes):
-        best = approximate_top_k(some, index, quantiser, seeds, k, 4 * k, question_bytes)
-        floors = best.groupBy("query_id").agg(
-            F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor")
-        )
-        rows = some.select("query_id", "embedding").join(floors, "query_id", "left")
-        rows = rows.withColumn("floor", F.coalesce("floor", F.lit(-math.inf)))
-        ids, vectors, low = _asked(rows, quantiser.centres.shape[1])
-        apart = np.arccos(np.clip(_units(vectors) @ quantiser.centres.T, -1, 1))
-        most = np.cos(np.maximum(apart - widest, 0))
-        cells = (widest >= 0) & (most >= low[:, None] - _SLACK)
-        asked = _Asked(ids, vectors, low, cells)
-        read = index.select("cell", "document_id", "chunk_index", "codes", "error", "embedding")
-        steps.append(_scanned(read, asked, quantiser, k, "count" if counted else "score", kind))
-    return steps
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    return whole
+    usable, count, columns = _usable_questions(questions, k, question_bytes)
+    best = approximate_top_k(usable, index, quantiser, seeds, k, 4 * k, question_bytes)
+    floors = best.groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor")
+    )
+    rows = usable.select("query_id", "embedding").join(floors, "query_id", "left")
+    # Spark and tasks may round a score to neighbouring last digits.
+    low = F.col("floor") - 10 * 10**-_SCORE_DIGITS
+    rows = rows.withColumn("floor", F.coalesce(low, F.lit(-math.inf)))
+    read = index.select("cell", "document_id", "chunk_index", "codes", "error", "embedding")
+    what = "count" if counted else "score"
+    return _scanned(read, rows, quantiser, _Reached(widest), k, what, count, columns)
 
 
 def _first(found: DataFrame, k: int, by: str) -> DataFrame:
@@ -341,27 +351,72 @@ def _cosine(left: Column, right: Column) -> Column:
 
 
 def _scanned(
-    index: DataFrame, asked: _Asked, quantiser: Quantiser, k: int, what: str, kind: T.DataType
+    index: DataFrame,
+    questions: DataFrame,
+    quantiser: Quantiser,
+    choose: _Near | _Reached,
+    k: int,
+    what: str,
+    count: int,
+    columns: int,
 ) -> DataFrame:
-    """One pass over the codes of the cells that any question looks at; other cells'
-    files are not read. ``what``: "near", the k best by code; "score", the k best by
-    vector among those whose bound reaches the floor; "count", how many these are."""
-    sent = index.sparkSession.sparkContext.broadcast((asked, quantiser))
-    wanted = np.flatnonzero(asked.cells.any(axis=0)).tolist()
-    fields = [T.StructField("query_id", kind)]
+    """The codes of the cells that any question looks at, each passed by every question.
+    ``what``: "near", the k best by code; "score", the k best by vector among those whose
+    bound reaches the floor; "count", how many these are.
+
+    Few questions are sent to every task, and the files of other cells are not read. Many
+    meet the codes in a grid of bounded cells and are never on the driver.
+    """
+    context = index.sparkSession.sparkContext
+    fields = [T.StructField("query_id", questions.schema["query_id"].dataType)]
     if what == "count":
         fields += [T.StructField(n, T.LongType()) for n in ("looked_up", "compared")]
     else:
         fields += [T.StructField(n, T.LongType()) for n in ("document_id", "chunk_index")]
         fields.append(T.StructField(what, T.DoubleType()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _Scan(*sent.value, k, what)
-        for batch in batches:
-            scan.add(batch)
-        yield from scan.done()
-
-    return index.filter(F.col("cell").isin(wanted)).mapInArrow(run, T.StructType(fields))
+    schema = T.StructType(fields)
+
+    if not columns:
+        asked = _asked(questions.toArrow(), quantiser, choose)
+        wanted = np.flatnonzero(asked.cells.any(axis=0)).tolist()
+        sent = context.broadcast((asked, quantiser))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scan = _Scan(*sent.value, k, what)
+            for batch in batches:
+                scan.add(batch)
+            yield from scan.done()
+
+        return index.filter(F.col("cell").isin(wanted)).mapInArrow(run, schema)
+
+    held = index.count()
+    cells = _CELLS_PER_CORE * context.defaultParallelism
+    columns = max(columns, min(math.ceil(math.sqrt(cells * count / max(held, 1))), count))
+    rows = max(math.ceil(held / CODES_PER_CELL), min(math.ceil(cells / columns), held), 1)
+    model = context.broadcast(quantiser)
+
+    def meet(codes: pa.Table, asking: pa.Table) -> pa.Table:
+        found = []
+        if codes.num_rows and asking.num_rows:
+            scan = _Scan(_asked(asking, model.value, choose), model.value, k, what)
+            for batch in codes.to_batches():
+                scan.add(batch)
+            found = list(scan.done())
+        ids = asking.schema.field("query_id").type
+        rest = [pa.float64() if field.name == what else pa.int64() for field in fields[1:]]
+        kinds = zip(schema.names, [ids, *rest])
+        return pa.Table.from_batches(found, schema=pa.schema(list(kinds)))
+
+    def dealt(side: DataFrame, keys: list[str], own: str, parts: int, other: str, others: int):
+        place = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        placed = side.select("*", place, every)
+        partitions = min(_SPREAD * rows * columns, _MOST_PARTITIONS)
+        return placed.repartition(partitions, "_row", "_column").groupBy("_row", "_column")
+
+    left = dealt(index, ["document_id", "chunk_index"], "_row", rows, "_column", columns)
+    right = dealt(questions, ["query_id"], "_column", columns, "_row", rows)
+    return left.cogroup(right).applyInArrow(meet, schema)
 
 
 class _Scan:
@@ -406,11 +461,12 @@ class _Scan:
                         self._exact(question[a : a + 200_000], row[a : a + 200_000], vectors, lengths, keys)
 
     def _near(self, active, rows, near, keys) -> None:
-        if len(rows) > self.k:
-            kth = np.partition(near, len(rows) - self.k, axis=1)[:, len(rows) - self.k]
-            least = np.maximum(kth, self.floors[active].astype(np.float32))
-        else:
-            least = self.floors[active].astype(np.float32)
+        least = self.floors[active].astype(np.float32)
+        # Of questions that have no floor yet, the k best of this block.
+        new = np.flatnonzero(np.isneginf(least))
+        if len(rows) > self.k and len(new):
+            kth = np.partition(near[new], len(rows) - self.k, axis=1)[:, len(rows) - self.k]
+            least[new] = kth
         question, row = np.nonzero(near >= least[:, None])
         self._keep(active[question], near[question, row].astype(float), [x[rows[row]] for x in keys])
 
@@ -424,7 +480,7 @@ class _Scan:
     def _keep(self, question, score, keys) -> None:
         self.kept.append((question, score, *keys))
         self.size += len(question)
-        if self.size > 4 * self.k * len(self.floors) + 100_000:
+        if self.size > 2 * self.k * len(self.floors) + 100_000:
             self._shrink()
 
     def _shrink(self) -> None:

@@ -309,11 +309,11 @@ class _Ranker:
         partitions = max(min(_SPREAD * cells, _MOST_PARTITIONS), 1)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            ids = _one_array(right.column("query_id"))
+            ids = one_array(right.column("query_id"))
             empty = pa.Table.from_batches([], schema=search.schema_of(ids.type, left.schema))
             if not left.num_rows or not right.num_rows:
                 return empty
-            matrix = as_matrix(_one_array(right.column("embedding")))
+            matrix = as_matrix(one_array(right.column("embedding")))
             found = list(search.task(ids, matrix, left.to_batches()))
             return pa.Table.from_batches(found) if found else empty
 
@@ -396,7 +396,7 @@ class _Search:
         if not parts:
             return
         best, _ = self._best_of(pa.concat_tables(parts), floor)
-        named = ids.take(_one_array(best.column("_question")))
+        named = ids.take(one_array(best.column("_question")))
         best = best.drop_columns(["_question"]).add_column(0, "query_id", named)
         yield from best.combine_chunks().to_batches()
 
@@ -488,13 +488,14 @@ def _measure(questions: DataFrame) -> tuple[int, int]:
 def _collect_questions(questions: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """Ids and matrix of questions whose size has been checked."""
     table = questions.select("query_id", "embedding").toArrow()
-    ids = _one_array(table.column("query_id"))
+    ids = one_array(table.column("query_id"))
     if not len(ids):
         return ids, np.zeros((0, 1))
-    return ids, as_matrix(_one_array(table.column("embedding")))
+    return ids, as_matrix(one_array(table.column("embedding")))
 
 
-def _one_array(column: pa.ChunkedArray) -> pa.Array:
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    """A column's values as one array."""
     whole = column.combine_chunks()
     if isinstance(whole, pa.ChunkedArray):
         whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], column.type)

@@ -137,3 +137,16 @@ def test_few_vectors_are_compared_on_the_given_ones(spark):
     share = quantised.compared(asked, index, fitted).agg(F.avg("compared")).first()[0] / total
     assert share <= 0.25
     assert retrieval.top_k_chunks(asked, chunks).count() == 3 * total
+
+
+def test_many_questions_are_not_on_the_driver(spark, vectors, stored, plan, monkeypatch):
+    questions, chunks = vectors
+    index, fitted = index_flow.quantised_index(spark, stored)
+    asked = question_frame(spark, questions)
+    monkeypatch.setattr(quantised, "CODES_PER_CELL", 300)
+    found = quantised.exact_top_k(asked, index, fitted, question_bytes=500)
+    # Once for the floors and once for the search; no questions sent by the driver.
+    assert plan(found).count("FlatMapCoGroupsInArrow (") >= 2 and "MapInArrow (" not in plan(found)
+    monkeypatch.setattr(quantised, "KEPT_ROWS", 40)
+    near = quantised._near_codes(asked, index, fitted, 3, 5)
+    assert "FlatMapCoGroupsInArrow" in plan(near)
