@@ -20,20 +20,27 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import fixed_values as fixed
 from paperloom.operators.embedding import words_of
+from paperloom.operators.retrieval import one_array
 
 CHUNKS_PER_SHARD = 20_000
-QUESTIONS_PER_SLICE = 2_000
+QUESTIONS_PER_SLICE = 8_000
 BUCKETS = 64
 #: Chunk numbers of a block: a number's distance from its start is one byte.
 BLOCK = 256
 # Blocks opened first, and how many times more in each further turn.
 _OPENED = 4
 _MORE = 4
+# Share of the blocks beyond which all are opened at once.
+_WHOLE = 0.6
+# Partitions for each cell of questions and shards, so that few cells share one, and at most.
+_SPREAD = 2
+_MOST_PARTITIONS = 4096
 _SCORE_DIGITS = 10
 _SLACK = 1e-9
 #: Marks the rows that hold a shard's keys in place of a word.
@@ -51,6 +58,29 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _cut(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes of consecutive runs of values, a cell for each run."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    buffers = [None, pa.py_buffer(bounds.astype("<i4")), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all cells of a binary column as one array, and where each cell begins."""
+    cells = one_array(column)
+    bounds = np.frombuffer(cells.buffers()[1], "<i4")[cells.offset : cells.offset + len(cells) + 1]
+    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)
+    start, stop = (int(bounds[0]), int(bounds[-1])) if len(bounds) else (0, 0)
+    values = data[start:stop].copy().view(kind)
+    return values, (bounds.astype(np.int64) - start) // values.itemsize
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of consecutive runs, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def shard_counts(chunks: DataFrame, per_shard: int = CHUNKS_PER_SHARD) -> DataFrame:
     """(shard, term, held, numbers, counts): for each shard and word, the chunks that hold
     it and how often. The row without a word has the keys of the shard's chunks, in order.
@@ -78,18 +108,18 @@ def shard_counts(chunks: DataFrame, per_shard: int = CHUNKS_PER_SHARD) -> DataFr
         pairs = words * rows.num_rows + np.repeat(np.arange(rows.num_rows), sizes)
         found, counts = np.unique(pairs, return_counts=True)
         word, number = np.divmod(found, max(rows.num_rows, 1))
-        bounds = np.searchsorted(word, np.arange(len(held) + 1))
+        sizes = np.bincount(word, minlength=len(held))
         shard = rows.column("shard")[0].as_py()
         ids = [np.asarray(rows.column(name).to_numpy(), "<i8").tobytes() for name in keys]
-        number, counts = number.astype("<i4"), counts.astype("<i4")
-        spans = list(zip(bounds[:-1], bounds[1:]))
+        first = pa.array(ids, pa.binary())
+        lists = [_cut(number.astype("<i4"), sizes), _cut(counts.astype("<i4"), sizes)]
         return pa.table(
             {
                 "shard": pa.array([shard] * (len(held) + 1), pa.int32()),
                 "term": pa.array([None, *held], pa.string()),
-                "held": pa.array([rows.num_rows, *(b - a for a, b in spans)], pa.int32()),
-                "numbers": pa.array([ids[0], *(number[a:b].tobytes() for a, b in spans)], pa.binary()),
-                "counts": pa.array([ids[1], *(counts[a:b].tobytes() for a, b in spans)], pa.binary()),
+                "held": pa.array(np.r_[rows.num_rows, sizes], pa.int32()),
+                "numbers": pa.concat_arrays([first[:1], lists[0]]),
+                "counts": pa.concat_arrays([first[1:], lists[1]]),
             }
         )
 
@@ -109,45 +139,39 @@ def weighted_postings(counted: DataFrame) -> DataFrame:
     )
 
     def weigh(rows: pa.Table) -> pa.Table:
-        terms = rows.column("term").to_pylist()
-        own = terms.index(None)
-        chunks = rows.column("held")[own].as_py()
-        idf = rows.column("idf").to_pylist()
-        numbers = [np.frombuffer(x.as_py(), "<i4") for x in rows.column("numbers")]
-        counts = [np.frombuffer(x.as_py(), "<i4") for x in rows.column("counts")]
-        squares = np.zeros(chunks)
-        for k, weight in enumerate(idf):
-            if k != own:
-                squares[numbers[k]] += (counts[k] * weight) ** 2
-        lengths = np.sqrt(squares)
-        out = []
-        for k, term in enumerate(terms):
-            if k == own:
-                ids = [rows.column(name)[own].as_py() for name in ("numbers", "counts")]
-                out.append((None, None, ids[0], ids[1], None, None, None))
-                continue
-            weights = counts[k] * idf[k] / lengths[numbers[k]]
-            block, starts = np.unique(numbers[k] // BLOCK, return_index=True)
-            ends = np.append(starts[1:], len(weights))
-            out.append(
-                (
-                    term,
-                    idf[k],
-                    block.astype("<i4").tobytes(),
-                    ends.astype("<i4").tobytes(),
-                    np.maximum.reduceat(weights, starts).astype("<f8").tobytes(),
-                    (numbers[k] % BLOCK).astype(np.uint8).tobytes(),
-                    weights.astype("<f8").tobytes(),
-                )
-            )
-        shard = rows.column("shard")[0].as_py()
-        names = ["term", "idf", "blocks", "ends", "most", "places", "weights"]
-        kinds = [pa.string(), pa.float64(), *[pa.binary()] * 5]
-        columns = {n: pa.array(x, t) for n, t, x in zip(names, kinds, zip(*out))}
-        whole = {"shard": pa.array([shard] * len(out), pa.int32()), **columns}
-        return pa.table({**whole, "bucket": pa.nulls(len(out), pa.int32())}).select(
-            ["shard", "term", "bucket", *names[1:]]
-        )
+        keys = rows.filter(pc.is_null(rows.column("term")))
+        rows = rows.filter(pc.is_valid(rows.column("term")))
+        chunks = keys.column("held")[0].as_py()
+        number, bounds = _joined(rows.column("numbers"), "<i4")
+        counts, _ = _joined(rows.column("counts"), "<i4")
+        sizes = np.diff(bounds)
+        weights = counts * np.repeat(rows.column("idf").to_numpy(), sizes)
+        lengths = np.sqrt(np.bincount(number, weights=weights**2, minlength=chunks))
+        weights = weights / lengths[number]
+        # A block opens where the word or the block's number changes.
+        word, block = np.repeat(np.arange(len(sizes)), sizes), number // BLOCK
+        opens = np.ones(len(number), bool)
+        opens[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+        starts = np.flatnonzero(opens)
+        stops = np.append(starts[1:], len(number))
+        owner = word[starts]
+        blocks = np.bincount(owner, minlength=len(sizes))
+        most = np.maximum.reduceat(weights, starts) if len(starts) else weights
+        made = {
+            "term": one_array(rows.column("term")),
+            "bucket": pa.nulls(len(sizes), pa.int32()),
+            "idf": one_array(rows.column("idf")),
+            "blocks": _cut(block[starts].astype("<i4"), blocks),
+            "ends": _cut((stops - bounds[owner]).astype("<i4"), blocks),
+            "most": _cut(most.astype("<f8"), blocks),
+            "places": _cut((number % BLOCK).astype(np.uint8), sizes),
+            "weights": _cut(weights.astype("<f8"), sizes),
+        }
+        own = {name: pa.nulls(1, values.type) for name, values in made.items()}
+        own["blocks"], own["ends"] = (one_array(keys.column(name)) for name in ("numbers", "counts"))
+        made = {name: pa.concat_arrays([own[name], values]) for name, values in made.items()}
+        shard = pa.array([keys.column("shard")[0].as_py()] * (len(sizes) + 1), pa.int32())
+        return pa.table({"shard": shard, **made})
 
     made = rows.repartition("shard").groupBy("shard").applyInArrow(weigh, _POSTINGS)
     keyed = F.when(F.col("term").isNull(), KEYS).otherwise(_bucket(F.col("term")))
@@ -234,10 +258,12 @@ def _cells(questions: DataFrame, index: DataFrame, k: int, text: str, per_slice:
 
     every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
     left = rows.unionByName(held.filter(F.col("bucket") == KEYS)).select("*", every)
-    right = asked.select(
+    # A row a question, not a word: these rows meet every shard.
+    own = F.collect_list(F.struct("term", "weight")).alias("own")
+    right = asked.groupBy("query_id").agg(own).select(
         "query_id",
-        "term",
-        "weight",
+        F.col("own.term").alias("terms"),
+        F.col("own.weight").alias("weights"),
         F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("slice"),
         F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"),
     )
@@ -258,8 +284,10 @@ def _cells(questions: DataFrame, index: DataFrame, k: int, text: str, per_slice:
         return _Shard(shard).answers(asked, k, schema)
 
     keys = ["shard", "slice"]
-    cells = left.repartition(*keys).groupBy(*keys).cogroup(right.groupBy(*keys))
-    return cells.applyInArrow(
+    # Partitions are given: cells of few bytes, but long work, stay in tasks of their own.
+    partitions = min(_SPREAD * slices * (last + 1), _MOST_PARTITIONS)
+    sides = [side.repartition(partitions, *keys).groupBy(*keys) for side in (left, right)]
+    return sides[0].cogroup(sides[1]).applyInArrow(
         run, f"query_id {kind}, document_id long, chunk_index long, score double"
     )
 
@@ -268,45 +296,37 @@ class _Shard:
     """One shard's rows of the words that are asked for."""
 
     def __init__(self, rows: pa.Table):
-        self.words: dict[str, tuple[np.ndarray, ...]] = {}
-        self.keys = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        names = ("term", "blocks", "ends", "most", "places", "weights")
-        for term, blocks, ends, most, places, weights in zip(
-            *(rows.column(name).to_pylist() for name in names)
-        ):
-            if term is None:
-                self.keys = (np.frombuffer(blocks, "<i8"), np.frombuffer(ends, "<i8"))
-            else:
-                stops = np.frombuffer(ends, "<i4").astype(np.int64)
-                self.words[term] = (
-                    np.frombuffer(blocks, "<i4").astype(np.int64),
-                    np.concatenate([[0], stops[:-1]]),
-                    stops,
-                    np.frombuffer(most, "<f8"),
-                    np.frombuffer(places, np.uint8),
-                    np.frombuffer(weights, "<f8"),
-                )
+        keys = rows.filter(pc.is_null(rows.column("term")))
+        rows = rows.filter(pc.is_valid(rows.column("term")))
+        self.words = {term: at for at, term in enumerate(rows.column("term").to_pylist())}
+        self.keys = tuple(_joined(keys.column(name), "<i8")[0] for name in ("blocks", "ends"))
+        self.block, self.first = _joined(rows.column("blocks"), "<i4")
+        self.most, _ = _joined(rows.column("most"), "<f8")
+        ends, _ = _joined(rows.column("ends"), "<i4")
+        places, bounds = _joined(rows.column("places"), np.uint8)
+        self.weights, _ = _joined(rows.column("weights"), "<f8")
+        self.bounds, self.postings = bounds, np.diff(bounds)
+        # Postings of each block of each word, in the words' order.
+        stops = ends + np.repeat(bounds[:-1], np.diff(self.first))
+        self.starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+        self.sizes = stops - self.starts
+        self.block = self.block.astype(np.int64)
+        self.numbers = np.repeat(self.block * BLOCK, self.sizes) + places
         self.blocks = -(-len(self.keys[0]) // BLOCK)
 
     def answers(self, asked: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
-        ids = asked.column("query_id").combine_chunks()
-        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-        terms, weights = (asked.column(name).to_pylist() for name in ("term", "weight"))
-        code = ids.dictionary_encode()
-        owner = code.indices.to_numpy()
-        order = np.argsort(owner, kind="stable")
-        cuts = np.flatnonzero(np.diff(owner[order])) + 1
+        ids = one_array(asked.column("query_id"))
+        lists = (asked.column(name).to_pylist() for name in ("terms", "weights"))
         question, document, chunk, score = [], [], [], []
-        for rows in np.split(order, cuts):
-            own = sorted((terms[i], weights[i]) for i in rows)
+        for who, (terms, weights) in enumerate(zip(*lists)):
+            own = sorted(zip(terms, weights))
             length = math.sqrt(sum(weight * weight for _, weight in own))
             found, scores, there, seen = self.best([(t, w / length) for t, w in own], k)
-            who = int(owner[rows[0]])
             question += [who] * (len(found) + 1)
             document += [*self.keys[0][found].tolist(), there]
             chunk += [*self.keys[1][found].tolist(), seen]
             score += [*scores.tolist(), None]
-        columns = [code.dictionary.take(pa.array(question, pa.int64())), document, chunk, score]
+        columns = [ids.take(pa.array(question, pa.int64())), document, chunk, score]
         return pa.Table.from_arrays(
             [pa.array(x, f.type) if isinstance(x, list) else x for x, f in zip(columns, schema)],
             schema=schema,
@@ -315,39 +335,50 @@ class _Shard:
     def best(self, asked: list[tuple[str, float]], k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         """(chunk numbers, scores, postings, postings opened)."""
         own = [(self.words[term], weight) for term, weight in asked if term in self.words]
-        there = sum(len(word[4]) for word, _ in own)
-        bound = np.zeros(self.blocks)
-        for (blocks, _, _, most, _, _), weight in own:
-            bound[blocks] += weight * most
+        found, top = np.zeros(0, np.int64), np.zeros(0)
+        if not own:
+            return found, top, 0, 0
+        words = np.array([word for word, _ in own])
+        there = int(self.postings[words].sum())
+        held = self.first[words + 1] - self.first[words]
+        entries = _runs(self.first[words], held)
+        weight = np.repeat([weight for _, weight in own], held)
+        block = self.block[entries]
+        bound = np.bincount(block, weights=weight * self.most[entries], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        scores = np.zeros(self.blocks * BLOCK)
-        touched = np.zeros(self.blocks * BLOCK, bool)
-        found = np.zeros(0, np.int64)
         floor, at, seen, turn = -math.inf, 0, 0, _OPENED
         while at < len(order) and bound[order[at]] >= floor - _SLACK:
-            chosen = order[at : at + turn]
-            chosen = chosen[bound[chosen] >= floor - _SLACK]
-            at, turn = at + turn, turn * _MORE
-            open_ = np.zeros(self.blocks, bool)
-            open_[chosen] = True
-            for (blocks, starts, stops, _, places, weights), weight in own:
-                use = np.flatnonzero(open_[blocks])
-                size = stops[use] - starts[use]
-                total = int(size.sum())
-                if not total:
-                    continue
-                ends = np.cumsum(size)
-                rows = np.repeat(starts[use] - ends + size, size) + np.arange(total)
-                numbers = np.repeat(blocks[use] * BLOCK, size) + places[rows]
-                scores[numbers] += weight * weights[rows]
-                touched[numbers] = True
-                seen += total
-            numbers = np.flatnonzero(touched)
-            rounded = np.round(scores[numbers], _SCORE_DIGITS)
+            reach = int(np.count_nonzero(bound[order] >= floor - _SLACK))
+            if at and reach > _WHOLE * len(order):
+                # Most blocks are opened: rows of words as they lie, without a choice.
+                spans = [slice(self.bounds[word], self.bounds[word + 1]) for word in words]
+                numbers = np.concatenate([self.numbers[span] for span in spans])
+                weights = np.concatenate([w * self.weights[x] for (_, w), x in zip(own, spans)])
+                found, top = found[:0], top[:0]
+                at, seen = len(order), there
+            else:
+                chosen = order[at : min(at + turn, reach)]
+                at, turn = at + turn, turn * _MORE
+                open_ = np.zeros(self.blocks, bool)
+                open_[chosen] = True
+                use = np.flatnonzero(open_[block])
+                sizes = self.sizes[entries[use]]
+                rows = _runs(self.starts[entries[use]], sizes)
+                numbers = self.numbers[rows]
+                weights = np.repeat(weight[use], sizes) * self.weights[rows]
+                seen += len(rows)
+            # Words are added in their order, so a sum is the same wherever it is made.
+            scores = np.bincount(numbers, weights=weights)
+            new = np.flatnonzero(scores > max(floor - _SLACK, 0.0))
+            if len(new) > k:
+                kth = np.partition(scores[new], len(new) - k)[len(new) - k]
+                new = new[scores[new] >= kth - _SLACK]
+            found = np.concatenate([found, new])
+            top = np.concatenate([top, np.round(scores[new], _SCORE_DIGITS)])
             # Chunk numbers are in the order of their keys.
-            first = np.lexsort((numbers, -rounded))[:k]
-            found = numbers[first]
+            first = np.lexsort((found, -top))[:k]
+            found, top = found[first], top[first]
             if len(found) == k:
-                floor = float(rounded[first[-1]])
-        return found, np.round(scores[found], _SCORE_DIGITS), there, seen
+                floor = float(top[-1])
+        return found, top, there, seen

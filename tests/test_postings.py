@@ -125,3 +125,15 @@ def test_empty_tables(spark, tables, tmp_path):
     assert index_flow.search_postings(question_frame(spark, questions), str(tmp_path / "a")).count() == 0
     index_flow.build_postings(spark.createDataFrame(chunks, SCHEMA), str(tmp_path / "b"))
     assert index_flow.search_postings(question_frame(spark, questions[:0]), str(tmp_path / "b")).count() == 0
+
+
+def test_cells_stay_in_tasks_of_their_own(spark, tables, tmp_path, plan):
+    """Few bytes, but long work: cells are not put together, and a question is one row."""
+    questions, chunks = tables
+    index_flow.build_postings(spark.createDataFrame(chunks, SCHEMA), str(tmp_path), 700)
+    index = index_flow.stored_postings(spark, str(tmp_path))
+    asked = question_frame(spark, questions)
+    cells = postings._cells(asked, index, 3, "query", 11)
+    shards, slices = -(-len(chunks) // 700), -(-len(questions) // 11)
+    assert cells.rdd.getNumPartitions() >= shards * slices
+    assert "collect_list" in plan(cells)
