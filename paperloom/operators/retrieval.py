@@ -92,8 +92,8 @@ def approximate_top_k(
     ``probes`` nearest cells only. ``cells`` are chunks from :func:`assign_cells`.
 
     Tasks find the cells of their questions. Questions and chunks of a cell meet in
-    blocks of bounded size, so neither a cell nor the questions that probe it are
-    ever gathered. Stored by cell, cells no question probes are not read. What the
+    blocks bounded in chunks, questions and bytes, so neither a cell nor the questions
+    that probe it are ever gathered. Stored by cell, cells no question probes are not read. What the
     driver sees are two counts a cell; the centres are checked before they are sent.
     """
     ranker = _Ranker(questions, cells, k, min_score, None, ())
@@ -103,6 +103,8 @@ def approximate_top_k(
     reachable = cells.filter(F.col("cell").isin(list(wanted)))
     held = {row["cell"]: row["count"] for row in reachable.groupBy("cell").count().collect()}
     per_block = max(question_bytes // (8 * centres.shape[1]), 1)
+    # Wide vectors: fewer chunks, as many bytes.
+    chunks_per_block = min(chunks_per_block, max(question_bytes // (4 * centres.shape[1]), 1))
     grid = [
         (cell, math.ceil(count / chunks_per_block), math.ceil(wanted[cell] / per_block))
         for cell, count in held.items()

@@ -157,6 +157,27 @@ def test_approximate_recall(spark, clusters):
     assert found(3, question_bytes=10 * 8 * 32, chunks_per_block=25) == found(3)
 
 
+def test_blocks_of_a_cell_are_bounded_in_bytes(spark, monkeypatch):
+    """Wide vectors: chunks and questions that meet stay within the bytes given."""
+    matrix = np.random.default_rng(3).normal(size=(600, 64))
+    questions, chunks = question_frame(spark, matrix[:90]), chunk_frame(spark, matrix)
+    centres = matrix[:2]
+    sizes = []
+    meet = retrieval._Ranker.cell_candidates
+
+    def recorded(self, left, right, keys, cells):
+        sizes.extend(left.groupBy(*keys).count().collect())
+        return meet(self, left, right, keys, cells)
+
+    monkeypatch.setattr(retrieval._Ranker, "cell_candidates", recorded)
+    cells = retrieval.assign_cells(chunks, centres)
+    found = retrieval.approximate_top_k(questions, cells, centres, 2, question_bytes=16 * 1024)
+    # 64 chunks take 16 KB; they are dealt by hash.
+    assert max(row["count"] for row in sizes) <= 2 * 64
+    exact = retrieval.top_k_chunks(questions, chunks)
+    assert as_ranks(found) == as_ranks(exact)
+
+
 def test_probed_cells_prune_stored_partitions(spark, clusters, plan, tmp_path):
     questions, chunks = clusters
     cells = retrieval.assign_cells(chunk_frame(spark, chunks), chunks[::100])
