@@ -54,6 +54,19 @@ def fixed_chunks(
     )
 
 
+def fixed_count(
+    documents: DataFrame,
+    size: int = fixed.CHUNK_SIZE,
+    overlap: int = fixed.CHUNK_OVERLAP,
+    text: str = "text",
+) -> int:
+    """How many windows :func:`fixed_chunks` makes, from the lengths of the texts."""
+    count = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(_stride(size, overlap))), F.lit(1))
+    # An empty text has no window.
+    total = documents.filter(F.length(text) > 0).agg(F.sum(count).alias("total")).head()
+    return int(total["total"] or 0)
+
+
 def _stride(size: int, overlap: int) -> int:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ _MOST_PARTITIONS = 4096
 _SCORES_PER_BLOCK = 1_048_576
 _QUESTIONS_PER_BLOCK = 1024
 # Values of the vectors that are compared in double precision at a time.
-_EXACT_VALUES = 2_000_000
+_EXACT_VALUES = 131_072
 _SCORE_DIGITS = 12
 
 
@@ -51,6 +51,7 @@ def top_k_chunks(
     embedder: Embedder | None = None,
     carry: tuple[str, ...] = (),
     question_bytes: int = QUESTION_BYTES,
+    held: Callable[[], int] | None = None,
 ) -> DataFrame:
     """Exact k best chunks per question by cosine.
 
@@ -68,6 +69,7 @@ def top_k_chunks(
     Either way pairs exist only as numbers within a block, and each task or cell
     passes on k per question. Pairs are compared in single precision; those that
     can be among the best, with its error, are compared again in double precision.
+    ``held`` gives the number of chunks where counting them means making them.
     """
     ranker = _Ranker(questions, chunks, k, min_score, embedder, carry)
     count, width = _measure(questions)
@@ -75,7 +77,7 @@ def top_k_chunks(
     if count * row_bytes <= question_bytes:
         return ranker.ranked(ranker.broadcast_candidates())
     columns = math.ceil(count * row_bytes / question_bytes / 2)
-    return ranker.grid_ranked(count, columns)
+    return ranker.grid_ranked(count, held() if held else chunks.count(), columns)
 
 
 def approximate_top_k(
@@ -267,8 +269,7 @@ class _Ranker:
 
         return self.inputs(self.chunks).mapInArrow(run, self.schema)
 
-    def grid_ranked(self, count: int, columns: int) -> DataFrame:
-        held = self.chunks.count()
+    def grid_ranked(self, count: int, held: int, columns: int) -> DataFrame:
         rows, columns = self._grid(count, held, columns)
         question_cells = self.questions.select(
             "query_id",
@@ -349,6 +350,15 @@ def _cosines(asked: _Vectors, held: _Vectors, question, row) -> np.ndarray:
     return np.round(products / lengths, _SCORE_DIGITS)
 
 
+def _places(hit: np.ndarray) -> np.ndarray:
+    """Places of the few true values of an array, looked for eight at a time."""
+    flat = hit.reshape(-1)
+    even = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:even].view(np.uint64))
+    places = (words[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.r_[places[flat[places]], even + np.flatnonzero(flat[even:])]
+
+
 class _Search:
     """The k best chunks per question among the Arrow batches of one task."""
 
@@ -359,6 +369,7 @@ class _Search:
         self.min_score = min_score
         self.embedder = embedder
         self.carry = carry
+        self.buffers: dict[str, np.ndarray] = {}
 
     def schema_of(self, ids: pa.DataType, chunks: pa.Schema) -> pa.Schema:
         fields = [
@@ -421,15 +432,14 @@ class _Search:
             tile = slice(start, start + _QUESTIONS_PER_BLOCK)
             question, row = self._reaching(asked.units[tile], floor[tile], units, fresh)
             question, row = question + start, rows[row]
+            score = np.empty(len(row))
             step = max(_EXACT_VALUES // asked.values.shape[1], 1)
             for at in range(0, len(row), step):
-                pairs = question[at : at + step], row[at : at + step]
-                score = _cosines(asked, held, *pairs)
-                good = (score > self.min_score) & (score >= floor[pairs[0]])
-                if good.any():
-                    found.append(
-                        self._candidates(block, pairs[1][good], pairs[0][good], score[good])
-                    )
+                part = slice(at, at + step)
+                score[part] = _cosines(asked, held, question[part], row[part])
+            good = (score > self.min_score) & (score >= floor[question])
+            if good.any():
+                found.append(self._candidates(block, row[good], question[good], score[good]))
         return found
 
     def _reaching(self, asked, floor, units, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -440,15 +450,22 @@ class _Search:
         for that k-th best, so equal scores stay until they are ordered by document.
         """
         slack = (asked.shape[1] + 16) * 2.0**-24
-        near = asked @ units.T
+        near = self._buffer("near", (len(asked), len(units)), np.float32)
+        np.matmul(asked, units.T, out=near)
         least = floor - slack
         if fresh and len(units) > self.k:
             kth = np.partition(near, len(units) - self.k, axis=1)[:, len(units) - self.k]
             least = np.maximum(least, kth - 2 * slack)
-        question, row = np.divmod(
-            np.flatnonzero(near >= least[:, None].astype(np.float32)), max(len(units), 1)
-        )
-        return question, row
+        hit = self._buffer("hit", near.shape, np.bool_)
+        np.greater_equal(near, least[:, None].astype(np.float32), out=hit)
+        return np.divmod(_places(hit), max(len(units), 1))
+
+    def _buffer(self, name: str, shape: tuple[int, int], kind) -> np.ndarray:
+        """Memory that a task uses again: to get it anew can take as long as to fill it."""
+        size = shape[0] * shape[1]
+        if name not in self.buffers or self.buffers[name].size < size:
+            self.buffers[name] = np.empty(size, kind)
+        return self.buffers[name][:size].reshape(shape)
 
     def _candidates(self, block, row, question, score) -> pa.Table:
         taken = block.select(["document_id", "chunk_index", *self.carry]).take(pa.array(row))

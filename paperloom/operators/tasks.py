@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom import fixed_values as fixed
 from paperloom.functions import prompt_texts
-from paperloom.operators import generation, prompting, retrieval
+from paperloom.operators import chunking, generation, prompting, retrieval
 from paperloom.operators.embedding import Embedder, HashedEmbedder, embed, words_of
 
 # Words that tell what a request asks for: a rule in place of a model's choice.
@@ -144,6 +144,7 @@ def call_agents(
         chunks,
         min_score=min_score,
         embedder=None if "embedding" in chunks.columns else embedder or HashedEmbedder(),
+        held=None if sources is None else lambda: chunking.fixed_count(sources),
     )
     if sources is None:
         texts = retrieval.with_chunk_text(ranked, chunks)

@@ -179,3 +179,11 @@ def test_chunks_are_passed_on_in_bounded_batches():
     assert [row["chunk_text"] for row in rows if row["id"] == 1] == splitter(texts[0])
     assert [row["id"] for row in rows if row["error"]] == [2]
     assert [row["chunk_index"] for row in rows if row["id"] in (3, 4)] == [0, 0]
+
+
+def test_windows_are_counted_by_length(spark):
+    texts = [None, "", "a", "\n", *["x" * n for n in (199, 200, 201, 999, 1000, 1001, 1800, 1801, 5003)], "\U0001f600" * 1801]
+    frame = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    assert chunking.fixed_count(frame) == chunking.fixed_chunks(frame).count()
+    assert chunking.fixed_count(frame, 7, 3) == chunking.fixed_chunks(frame, 7, 3).count()
+    assert chunking.fixed_count(frame.filter("false")) == 0

@@ -310,3 +310,29 @@ def test_single_precision_loses_no_pair(spark):
             question_frame(spark, questions), chunk_frame(spark, chunks), question_bytes=limit
         )
         assert as_ranks(ranked) == brute_force(questions, chunks, 3)
+
+
+def test_places_of_few_hits():
+    draw = np.random.default_rng(4)
+    for shape in ((1, 1), (3, 7), (5, 16), (9, 31)):
+        for share in (0, 0.05, 1):
+            hit = draw.random(shape) < share
+            assert retrieval._places(hit).tolist() == np.flatnonzero(hit).tolist()
+
+
+def test_chunks_are_not_made_to_be_counted(spark, vectors, monkeypatch):
+    """Where the number of chunks is given, the grid does not make them once more."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    questions, chunks = vectors
+    asked, held = question_frame(spark, questions), chunk_frame(spark, chunks)
+    counted = []
+    count = DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda own: counted.append(own.columns) or count(own))
+    limit = {"question_bytes": 5 * 8 * WIDTH}
+    given = retrieval.top_k_chunks(asked, held, held=lambda: len(chunks), **limit)
+    assert held.columns not in counted
+    assert as_ranks(given) == brute_force(questions, chunks, 3)
+    # A number that is far off gives other cells, and the same rows.
+    off = retrieval.top_k_chunks(asked, held, held=lambda: 3, **limit)
+    assert as_ranks(off) == as_ranks(given)

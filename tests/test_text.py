@@ -104,3 +104,13 @@ def test_clean_response(spark):
 def test_as_timestamp(spark, moment):
     row = spark.range(1).select(texts.as_timestamp(moment).cast("string").alias("t")).first()
     assert row.t == "2024-05-01 12:00:00"
+
+
+def test_words_are_runs_of_letters_and_digits():
+    """As the pattern says for every character, without a pattern."""
+    from paperloom.operators.embedding import words_of
+
+    pattern = re.compile(r"[^\W_]+")
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000), 0x1D7D8, 0x1F600, 0x20000]))
+    for text in ("", "_a_b", "\u0130stanbul \u00df\u2170", every, " ".join(f"{c}a" for c in every)):
+        assert words_of(text) == pattern.findall(text.lower())
