@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,23 @@ _MOST_PARTITIONS = 4096
 # Pairs scored at a time, which bounds the score matrix, and questions among them.
 _SCORES_PER_BLOCK = 1_048_576
 _QUESTIONS_PER_BLOCK = 1024
+# Products of counts that are worked out at once: how many share a number, the bound that they
+# stay below, the numbers' kinds, and the kind of a share, of which a number has one more.
+_SHARES = 3
+_SHARED = (
+    (1 << 8, np.float32, np.int32, np.uint8),
+    (1 << 16, np.float64, np.int64, np.uint16),
+)
+# Questions and numbers of such a product, numbers with one threshold, and values of a block.
+_COUNTED_QUESTIONS = 512
+_NUMBERS_PER_TILE = 512
+_NUMBERS_TOGETHER = 16
+_COUNTED_VALUES = 3_145_728
+# Chunks of the first block, and how many times those seen so far the next ones have at most.
+_FIRST_CHUNKS = 256
+_GROWTH = 3
+# More than rounding can change a score.
+_SCORE_SLACK = 1e-9
 # Values of the vectors that are compared in double precision at a time.
 _EXACT_VALUES = 131_072
 _SCORE_DIGITS = 12
@@ -333,9 +351,57 @@ class _Vectors:
         wide = values.astype(np.float64)
         self.squares = np.einsum("ij,ij->i", wide, wide)
         self.usable = (self.squares > 0) & np.isfinite(self.squares)
+
+    @cached_property
+    def units(self) -> np.ndarray:
         lengths = np.sqrt(np.where(self.usable, self.squares, np.inf))[:, None]
         with np.errstate(invalid="ignore"):
-            self.units = (wide / lengths).astype(np.float32)
+            return (self.values.astype(np.float64) / lengths).astype(np.float32)
+
+    @cached_property
+    def are_counts(self) -> bool:
+        """Whether the usable vectors hold whole numbers, none of them negative."""
+        used = self.values if self.usable.all() else self.values[self.usable]
+        return bool((used >= 0).all() and (used == np.rint(used)).all())
+
+
+class _Counts:
+    """Chunks whose vectors hold counts, shortest first, three to a row of numbers.
+
+    The product of two such vectors is a whole number, and not above that of their lengths.
+    Where that is below 2 ** 8, three of them fit side by side into the 24 digits of a number in
+    single precision, below 2 ** 16 into those of one in double precision: a product of
+    matrices then gives three exact ones at a time.
+    """
+
+    def __init__(self, held: _Vectors, rows: np.ndarray) -> None:
+        self.rows = rows[np.argsort(held.squares[rows], kind="stable")]
+        self.values = held.values[self.rows]
+        lengths = np.sqrt(held.squares[self.rows])
+        together = _NUMBERS_TOGETHER * _SHARES
+        #: Of the chunks with one threshold.
+        self.shortest = lengths[::together]
+        ends = np.arange(1, len(self.shortest) + 1) * together - 1
+        self.longest = lengths[np.minimum(ends, len(lengths) - 1)]
+        self._numbers: dict[int, tuple[int, np.ndarray]] = {}
+
+    def numbers(self, bound: int, kind: type, start: int, end: int) -> np.ndarray:
+        """Rows of numbers for the thresholds from ``start`` to ``end``."""
+        none = np.empty((0, self.values.shape[1]), kind)
+        first, made = self._numbers.get(bound, (len(self.shortest), none))
+        if start < first:
+            together = _NUMBERS_TOGETHER * _SHARES
+            # Zeros in place of chunks that the last threshold lacks; chunks too long for
+            # this form are not asked for.
+            whole = np.zeros(((first - start) * together, self.values.shape[1]), kind)
+            own = self.values[start * together : first * together]
+            np.minimum(own, bound, out=whole[: len(own)])
+            more = whole[::_SHARES]
+            for share in range(1, _SHARES):
+                more = more + whole[share::_SHARES] * kind(bound**share)
+            first, made = start, np.concatenate([more, made])
+            self._numbers[bound] = first, made
+        return made[(start - first) * _NUMBERS_TOGETHER : (end - first) * _NUMBERS_TOGETHER]
 
 
 def _cosines(asked: _Vectors, held: _Vectors, question, row) -> np.ndarray:
@@ -351,12 +417,14 @@ def _cosines(asked: _Vectors, held: _Vectors, question, row) -> np.ndarray:
 
 
 def _places(hit: np.ndarray) -> np.ndarray:
-    """Places of the few true values of an array, looked for eight at a time."""
+    """Places of the few true values of an array, looked for in 64 at a time, then eight."""
     flat = hit.reshape(-1)
-    even = len(flat) // 8 * 8
-    words = np.flatnonzero(flat[:even].view(np.uint64))
-    places = (words[:, None] * 8 + np.arange(8)).reshape(-1)
-    return np.r_[places[flat[places]], even + np.flatnonzero(flat[even:])]
+    even = len(flat) // 64 * 64
+    words = flat[:even].view(np.uint64).reshape(8, -1)
+    columns = np.flatnonzero(np.bitwise_or.reduce(words, axis=0))
+    at, column = np.nonzero(words[:, columns])
+    places = ((at * words.shape[1] + columns[column])[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.r_[np.sort(places[flat[places]]), even + np.flatnonzero(flat[even:])]
 
 
 class _Search:
@@ -369,7 +437,7 @@ class _Search:
         self.min_score = min_score
         self.embedder = embedder
         self.carry = carry
-        self.buffers: dict[str, np.ndarray] = {}
+        self.buffers: dict[tuple, np.ndarray] = {}
 
     def schema_of(self, ids: pa.DataType, chunks: pa.Schema) -> pa.Schema:
         fields = [
@@ -395,11 +463,24 @@ class _Search:
         asked = _Vectors(matrix)
         floor = np.where(asked.usable, self.min_score, np.inf)
         rows_at_once = max(_SCORES_PER_BLOCK // min(len(ids), _QUESTIONS_PER_BLOCK), 1)
+        seen, first = 0, rows_at_once
+        self.by_length = None
+        if asked.are_counts:
+            self.by_length = np.argsort(asked.squares, kind="stable")
+            first = min(rows_at_once, _FIRST_CHUNKS)
+            counted_at_once = max(rows_at_once, _COUNTED_VALUES // matrix.shape[1])
         parts: list[pa.Table] = []
         unsorted, fresh = 0, True
         for batch in batches:
-            for start in range(0, batch.num_rows, rows_at_once):
-                block = batch.slice(start, rows_at_once)
+            start = 0
+            while start < batch.num_rows:
+                most = rows_at_once
+                if self.by_length is not None and not fresh and floor.min() > _SCORE_SLACK:
+                    most = counted_at_once
+                # Few at first: a floor from few chunks lets many of the next ones pass.
+                block = batch.slice(start, min(max(_GROWTH * seen, first), most))
+                start += block.num_rows
+                seen += block.num_rows
                 found = self._block(asked, floor, block, fresh)
                 parts += found
                 unsorted += sum(part.num_rows for part in found)
@@ -424,23 +505,86 @@ class _Search:
         if len(held.values) and held.values.shape[1] != asked.values.shape[1]:
             raise ValueError(f"vectors must all have {asked.values.shape[1]} values")
         rows = np.flatnonzero(held.usable)
-        found = []
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if not len(rows):
-            return found
+            return []
+        if fresh or self.by_length is None or not held.are_counts:
+            pairs = self._compared(asked, np.arange(len(asked.values)), floor, held, rows, fresh)
+        else:
+            pairs = self._counted(asked, floor, held, rows)
+        for question, row, score in pairs:
+            good = (score > self.min_score) & (score >= floor[question])
+            found.append((question[good], row[good], score[good]))
+        question, row, score = (np.concatenate(part) for part in zip(*found))
+        return [self._candidates(block, row, question, score)] if len(row) else []
+
+    def _compared(self, asked, questions, floor, held, rows, fresh: bool) -> Iterator[tuple]:
+        """(question, row, score) of the pairs that can be among the best, by their cosines
+        in single precision."""
+        if not len(questions):
+            return
         units = held.units[rows]
-        for start in range(0, len(asked.values), _QUESTIONS_PER_BLOCK):
-            tile = slice(start, start + _QUESTIONS_PER_BLOCK)
+        at_once = max(min(_QUESTIONS_PER_BLOCK, _SCORES_PER_BLOCK // len(rows)), 1)
+        for start in range(0, len(questions), at_once):
+            tile = questions[start : start + at_once]
             question, row = self._reaching(asked.units[tile], floor[tile], units, fresh)
-            question, row = question + start, rows[row]
+            question, row = tile[question], rows[row]
             score = np.empty(len(row))
             step = max(_EXACT_VALUES // asked.values.shape[1], 1)
             for at in range(0, len(row), step):
                 part = slice(at, at + step)
                 score[part] = _cosines(asked, held, question[part], row[part])
-            good = (score > self.min_score) & (score >= floor[question])
-            if good.any():
-                found.append(self._candidates(block, row[good], question[good], score[good]))
-        return found
+            yield question, row, score
+
+    def _counted(self, asked, floor, held, rows) -> Iterator[tuple]:
+        """The same for vectors of counts, by their exact products.
+
+        Questions come by length, so that those of a tile take about the same chunks in the
+        same form. Pairs too long for any form are compared, and questions whose floor a
+        product of zero reaches."""
+        counts = _Counts(held, rows)
+        usable = self.by_length[asked.usable[self.by_length]]
+        low = floor[usable] <= _SCORE_SLACK
+        yield from self._compared(asked, usable[low], floor, held, rows, False)
+        usable = usable[~low]
+        for start in range(0, len(usable), _COUNTED_QUESTIONS):
+            tile = usable[start : start + _COUNTED_QUESTIONS]
+            lengths = np.sqrt(asked.squares[tile])
+            least = (floor[tile] - _SCORE_SLACK) * lengths
+            done = 0
+            for bound, kind, whole, share in _SHARED:
+                end = int(np.searchsorted(counts.longest * lengths[-1], bound - 1))
+                values = asked.values[tile].astype(kind)
+                while done < end:
+                    until = min(done + _NUMBERS_PER_TILE // _NUMBERS_TOGETHER, end)
+                    numbers = counts.numbers(bound, kind, done, until)
+                    needed = np.ceil(least[:, None] * counts.shortest[done:until])
+                    needed = np.minimum(needed, bound - 1).astype(share)
+                    question, number, product = self._products(values, numbers, needed, whole)
+                    row = counts.rows[done * _NUMBERS_TOGETHER * _SHARES + number]
+                    question = tile[question]
+                    length = np.sqrt(asked.squares[question] * held.squares[row])
+                    yield question, row, np.round(product / length, _SCORE_DIGITS)
+                    done = until
+            rest = counts.rows[done * _NUMBERS_TOGETHER * _SHARES :]
+            if len(rest):
+                yield from self._compared(asked, tile, floor, held, rest, False)
+
+    def _products(self, values, numbers, needed, whole) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question, place, product) where a share of the numbers' products reaches what is
+        needed, above zero, of the chunks with one threshold."""
+        near = self._buffer("near", (len(values), len(numbers)), values.dtype)
+        np.matmul(values, numbers.T, out=near)
+        products = self._buffer("products", near.shape, whole)
+        np.copyto(products, near, casting="unsafe")
+        shares = products.view(needed.dtype).reshape(*needed.shape, -1)
+        hit = self._buffer("hit", (len(values), shares[0].size), np.bool_)
+        np.greater_equal(shares, needed[:, :, None], out=hit.reshape(shares.shape))
+        places = _places(hit)
+        question, place = np.divmod(places, max(hit.shape[1], 1))
+        # The last share of a number is always zero.
+        number, at = np.divmod(place, _SHARES + 1)
+        return question, number * _SHARES + at, shares.reshape(-1)[places].astype(np.float64)
 
     def _reaching(self, asked, floor, units, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
         """(question, row) of the pairs that can be among the best.
@@ -463,9 +607,9 @@ class _Search:
     def _buffer(self, name: str, shape: tuple[int, int], kind) -> np.ndarray:
         """Memory that a task uses again: to get it anew can take as long as to fill it."""
         size = shape[0] * shape[1]
-        if name not in self.buffers or self.buffers[name].size < size:
-            self.buffers[name] = np.empty(size, kind)
-        return self.buffers[name][:size].reshape(shape)
+        if (name, kind) not in self.buffers or self.buffers[name, kind].size < size:
+            self.buffers[name, kind] = np.empty(size, kind)
+        return self.buffers[name, kind][:size].reshape(shape)
 
     def _candidates(self, block, row, question, score) -> pa.Table:
         taken = block.select(["document_id", "chunk_index", *self.carry]).take(pa.array(row))

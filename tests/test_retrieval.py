@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,3 +337,54 @@ def test_chunks_are_not_made_to_be_counted(spark, vectors, monkeypatch):
     # A number that is far off gives other cells, and the same rows.
     off = retrieval.top_k_chunks(asked, held, held=lambda: 3, **limit)
     assert as_ranks(off) == as_ranks(given)
+
+
+@pytest.mark.parametrize("k, min_score", [(1, None), (3, None), (3, 0.0), (3, 0.9), (40, None)])
+def test_counts_are_compared_several_at_a_time(spark, monkeypatch, k, min_score):
+    """Vectors of counts have whole products: three share a number where lengths allow it.
+    Copies, zeros, and products above 2 ** 8 and 2 ** 16 give the same rows."""
+    draw = np.random.default_rng(5)
+    chunks = draw.integers(0, 4, (900, 16)) * (draw.random((900, 16)) < 0.4)
+    chunks[100:160] = chunks[100]
+    chunks[200:205] = 0
+    chunks[300:340] *= 40
+    chunks[340:350] *= 30_000
+    questions = draw.integers(0, 3, (40, 16)) * (draw.random((40, 16)) < 0.4)
+    questions[:4], questions[4] = chunks[[100, 7, 345, 310]], 0
+    questions[5:9] *= 100
+    monkeypatch.setattr(retrieval, "_FIRST_CHUNKS", 10)
+    monkeypatch.setattr(retrieval, "_NUMBERS_TOGETHER", 2)
+    monkeypatch.setattr(retrieval, "_NUMBERS_PER_TILE", 6)
+    monkeypatch.setattr(retrieval, "_COUNTED_QUESTIONS", 7)
+    floor = -math.inf if min_score is None else min_score
+    rows = [(i // 3, i % 3) for i in range(len(chunks))]
+    batch = pa.RecordBatch.from_arrays(
+        [*(pa.array(ids) for ids in zip(*rows)), embedding.as_lists(chunks)],
+        names=["document_id", "chunk_index", "embedding"],
+    )
+    search = retrieval._Search(k, floor, None, [])
+    compared, reaching = [], search._reaching
+    monkeypatch.setattr(
+        search,
+        "_reaching",
+        lambda asked, *given: compared.append(len(asked) * len(given[1])) or reaching(asked, *given),
+    )
+    ids = pa.array(range(len(questions)))
+    batches = [batch.slice(at, 450) for at in (0, 450)]
+    found = pa.Table.from_batches(list(search.task(ids, questions.astype(np.float32), iter(batches))))
+    best = {}
+    for row in sorted(found.to_pylist(), key=lambda r: (-r["score"], r["document_id"], r["chunk_index"])):
+        own = best.setdefault(row["query_id"], [])
+        own.append((row["document_id"], row["chunk_index"], row["score"]))
+    got = {(q, rank): row for q, own in best.items() for rank, row in enumerate(own, 1)}
+    assert got == brute_force(questions.astype(float), chunks.astype(float), k, floor)
+    if k == 3 and min_score is None:
+        assert sum(compared) < len(questions) * len(chunks) / 3
+    ranked = retrieval.top_k_chunks(
+        question_frame(spark, questions.astype(float)),
+        chunk_frame(spark, chunks.astype(float)),
+        k,
+        min_score,
+        question_bytes=5 * 8 * 16,
+    )
+    assert as_ranks(ranked) == got
