@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import types as T
 Embedder = Callable[[list[str]], np.ndarray]
 
 EMBEDDING_DIMENSION = 256
+# Characters of texts that are cut into words at a time.
+_CHARACTERS_AT_ONCE = 1 << 22
 
 
 class _Buckets(dict):
@@ -50,14 +51,68 @@ class HashedEmbedder:
         self._buckets = _Buckets(dimension)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        words = [words_of(text or "") for text in texts]
-        rows = np.repeat(np.arange(len(texts)), [len(own) for own in words])
-        found = map(self._buckets.__getitem__, chain.from_iterable(words))
-        buckets = np.fromiter(found, np.int64, len(rows))
-        counts = np.bincount(
-            rows * self.dimension + buckets, minlength=len(texts) * self.dimension
-        )
-        return counts.reshape(len(texts), self.dimension).astype(np.float32)
+        lowered = [(text or "").lower() for text in texts]
+        ends = np.cumsum([len(text) for text in lowered])
+        vectors = np.zeros((len(texts), self.dimension), dtype=np.float32)
+        start = 0
+        while start < len(texts):
+            least = (ends[start - 1] if start else 0) + _CHARACTERS_AT_ONCE
+            end = max(int(np.searchsorted(ends, least, side="right")), start + 1)
+            rows, numbers, words = _numbered_words(lowered[start:end])
+            own = np.fromiter(map(self._buckets.__getitem__, words), np.int64, len(words))
+            counts = np.bincount(
+                rows * self.dimension + own[numbers], minlength=(end - start) * self.dimension
+            )
+            vectors[start:end] = counts.reshape(end - start, self.dimension)
+            start = end
+        return vectors
+
+
+class _LettersAndDigits:
+    """Which characters, by their codes, are letters or digits, as far as they are met."""
+
+    def __init__(self) -> None:
+        self.known = np.zeros(0, np.bool_)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        most = int(codes.max(initial=0))
+        if most >= len(self.known):
+            size = min(max(1 << most.bit_length(), 4096), 0x110000)
+            self.known = np.fromiter((chr(code).isalnum() for code in range(size)), np.bool_, size)
+        return self.known[codes]
+
+    def __reduce__(self):
+        return _LettersAndDigits, ()
+
+
+_LETTERS_AND_DIGITS = _LettersAndDigits()
+
+
+def _numbered_words(lowered: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of lower-case texts, as :func:`words_of` finds them: the row of each, its
+    number, and the different words in the order of their numbers.
+
+    Words are cut and told apart as whole arrays; what becomes a Python string is one of each."""
+    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le"), np.uint32)
+    inside = np.concatenate([[False], _LETTERS_AND_DIGITS(codes), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts = edges[::2]
+    of_words = codes[inside[1:-1]]
+    written = of_words.tobytes().decode("utf-32-le").encode("utf-8")
+    lengths = edges[1::2] - starts
+    limits = np.concatenate([[0], np.cumsum(lengths)])
+    if len(written) > len(of_words):
+        # Bytes of each character.
+        widths = np.ones(len(of_words), np.uint8)
+        for code in (0x80, 0x800, 0x10000):
+            widths += of_words >= code
+        limits = np.concatenate([[0], np.cumsum(widths, dtype=np.int32)])[limits]
+    column = pa.StringArray.from_buffers(
+        len(starts), pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(written)
+    ).dictionary_encode()
+    firsts = np.cumsum([0, *(len(text) + 1 for text in lowered)])
+    rows = np.repeat(np.arange(len(lowered)), np.diff(np.searchsorted(starts, firsts)))
+    return rows, column.indices.to_numpy(), column.dictionary.to_numpy(zero_copy_only=False)
 
 
 class _Blanks(dict):

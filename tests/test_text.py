@@ -1,7 +1,9 @@
+import hashlib
 import os
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,22 @@ def test_words_are_runs_of_letters_and_digits():
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000), 0x1D7D8, 0x1F600, 0x20000]))
     for text in ("", "_a_b", "\u0130stanbul \u00df\u2170", every, " ".join(f"{c}a" for c in every)):
         assert words_of(text) == pattern.findall(text.lower())
+
+
+def test_words_are_cut_and_counted_as_whole_arrays(monkeypatch):
+    """Other letters than ASCII, lower case that is longer, texts without words, slices."""
+    from paperloom.operators import embedding
+
+    words_of, embedder = embedding.words_of, embedding.HashedEmbedder(8)
+    given = [None, "", "\n", " a", "b\n", "The thé THE", "İx ΑΣ ΑΣ, ½x² 4³", "𝟘𐐀 𝟘𐐀", "x" * 50, "end"]
+    expected = []
+    for text in given:
+        buckets = [int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 8 for word in words_of(text or "")]
+        expected.append(np.bincount(buckets, minlength=8).tolist())
+    monkeypatch.setattr(embedding, "words_of", None)
+    for size in (1, 20, 1 << 22):
+        monkeypatch.setattr(embedding, "_CHARACTERS_AT_ONCE", size)
+        assert embedder(given).tolist() == expected
+    rows, numbers, words = embedding._numbered_words(["", "a é a", "", "é"])
+    assert rows.tolist() == [1, 1, 1, 3] and words[numbers].tolist() == ["a", "é", "a", "é"]
+    assert embedder([]).shape == (0, 8)
