@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 Embedder = Callable[[list[str]], np.ndarray]
 
 EMBEDDING_DIMENSION = 256
-# Characters of texts that are cut into words at a time.
-_CHARACTERS_AT_ONCE = 1 << 22
+# Characters of texts that are cut into words at a time, with some 30 bytes for each.
+_CHARACTERS_AT_ONCE = 1 << 20
 
 
 class _Buckets(dict):
@@ -51,14 +51,14 @@ class HashedEmbedder:
         self._buckets = _Buckets(dimension)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        lowered = [(text or "").lower() for text in texts]
-        ends = np.cumsum([len(text) for text in lowered])
+        ends = np.cumsum([len(text or "") for text in texts])
         vectors = np.zeros((len(texts), self.dimension), dtype=np.float32)
         start = 0
         while start < len(texts):
             least = (ends[start - 1] if start else 0) + _CHARACTERS_AT_ONCE
             end = max(int(np.searchsorted(ends, least, side="right")), start + 1)
-            rows, numbers, words = _numbered_words(lowered[start:end])
+            lowered = [(text or "").lower() for text in texts[start:end]]
+            rows, numbers, words = _numbered_words(lowered)
             own = np.fromiter(map(self._buckets.__getitem__, words), np.int64, len(words))
             counts = np.bincount(
                 rows * self.dimension + own[numbers], minlength=(end - start) * self.dimension
