@@ -88,11 +88,11 @@ class _LettersAndDigits:
 _LETTERS_AND_DIGITS = _LettersAndDigits()
 
 
-def _numbered_words(lowered: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def numbered_words(lowered: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The words of lower-case texts, as :func:`words_of` finds them: the row of each, its
     number, and the different words in the order of their numbers.
 
-    Words are cut and told apart as whole arrays; what becomes a Python string is one of each."""
+    Words are cut and told apart as whole arrays; none becomes a Python string."""
     codes = np.frombuffer("\n".join(lowered).encode("utf-32-le"), np.uint32)
     inside = np.concatenate([[False], _LETTERS_AND_DIGITS(codes), [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -112,7 +112,13 @@ def _numbered_words(lowered: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     ).dictionary_encode()
     firsts = np.cumsum([0, *(len(text) + 1 for text in lowered)])
     rows = np.repeat(np.arange(len(lowered)), np.diff(np.searchsorted(starts, firsts)))
-    return rows, column.indices.to_numpy(), column.dictionary.to_numpy(zero_copy_only=False)
+    return rows, column.indices.to_numpy(), column.dictionary
+
+
+def _numbered_words(lowered: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the words as Python strings."""
+    rows, numbers, words = numbered_words(lowered)
+    return rows, numbers, words.to_numpy(zero_copy_only=False)
 
 
 class _Blanks(dict):

@@ -118,15 +118,16 @@ def build_postings(
     chunks: DataFrame, store: str, per_shard: int = postings.CHUNKS_PER_SHARD
 ) -> None:
     """Write the inverted index of the chunks' words (``document_id, chunk_index,
-    chunk_text``), by buckets of words, with the rows of a file in the words' order."""
+    chunk_text``), by buckets of words. The counts are stored on the way, as they are used
+    twice; tasks that put shards together write all buckets."""
     spark = chunks.sparkSession
     counts = table_path(store, COUNT_TABLE)
     counted = postings.shard_counts(chunks, per_shard)
     counted.write.mode("overwrite").parquet(counts)
-    made = postings.weighted_postings(spark.read.schema(counted.schema).parquet(counts))
-    made.repartition("bucket", "shard").sortWithinPartitions("bucket", "term").write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(table_path(store, POSTING_TABLE))
+    made = postings.posting_lists(spark.read.schema(counted.schema).parquet(counts))
+    made.sortWithinPartitions("bucket", "shard").write.mode("overwrite").partitionBy(
+        "bucket"
+    ).parquet(table_path(store, POSTING_TABLE))
 
 
 def stored_postings(spark: SparkSession, store: str) -> DataFrame:

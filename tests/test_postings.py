@@ -137,3 +137,54 @@ def test_cells_stay_in_tasks_of_their_own(spark, tables, tmp_path, plan):
     shards, slices = -(-len(chunks) // 700), -(-len(questions) // 11)
     assert cells.rdd.getNumPartitions() >= shards * slices
     assert "collect_list" in plan(cells)
+
+
+def test_counts_are_made_where_chunks_are_read(spark, tables, plan):
+    """Texts stay where they are: what goes on are counts, as compressed arrays."""
+    _, chunks = tables
+    counted = postings.shard_counts(spark.createDataFrame(chunks, SCHEMA), 700)
+    assert "Exchange" not in plan(counted)
+    lists = plan(postings.posting_lists(counted))
+    assert "SortMergeJoin" not in lists and "chunk_text" not in lists.split("Exchange")[0]
+
+
+def test_index_takes_less_than_its_texts(spark, tmp_path):
+    """Many words that one chunk holds, which make a row each costly."""
+    draw = random.Random(4)
+    texts = [" ".join(f"{draw.choice('abc')}{draw.randrange(400 if n % 3 else 10**6)}" for n in range(150)) for _ in range(3000)]
+    rows = [(i, 0, text) for i, text in enumerate(texts)]
+    index_flow.build_postings(spark.createDataFrame(rows, SCHEMA).repartition(3), str(tmp_path), 600)
+    stored = sum(path.stat().st_size for path in tmp_path.rglob("*.parquet"))
+    assert stored < 3 * sum(len(text) for text in texts)
+    index = index_flow.stored_postings(spark, str(tmp_path))
+    assert index.count() == 5 * (postings.BUCKETS + 1)
+
+
+@pytest.mark.parametrize(
+    "limits",
+    [{"_WORD_BYTES": 0}, {"_COUNTS_PER_PACK": 100, "_CHARACTERS_AT_ONCE": 300}, {"_SHARDS_TOGETHER": 40, "_GROUPS_PER_CORE": 1}],
+)
+def test_search_is_exact_at_any_limit(spark, tables, tmp_path, monkeypatch, limits):
+    """All words passed on; packs of few counts; shards one after another, with a floor."""
+    questions, chunks = tables
+    for name, value in limits.items():
+        monkeypatch.setattr(postings, name, value)
+    frame = spark.createDataFrame(chunks, SCHEMA).repartition(3)
+    index_flow.build_postings(frame, str(tmp_path), 90)
+    index = index_flow.stored_postings(spark, str(tmp_path))
+    got = postings.search(question_frame(spark, questions), index, 3, questions_per_slice=7).collect()
+    found = {(r.query_id, r["rank"]): (r.document_id, r.chunk_index, r.score) for r in got}
+    assert found == by_hand(questions, chunks, 3)
+    assert index.filter(f"bucket = {postings.KEYS}").count() == -(-len(chunks) // 90)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "int", "decimal(9,2)"])
+def test_search_takes_ids_of_other_types(spark, tables, tmp_path, kind):
+    _, chunks = tables
+    index_flow.build_postings(spark.createDataFrame(chunks, SCHEMA), str(tmp_path), 700)
+    asked = spark.sql(f"SELECT CAST(CAST(id AS INT) AS {kind}) AS query_id, 'w1 w2' AS query FROM range(3)")
+    found = index_flow.search_postings(asked, str(tmp_path))
+    assert found.schema["query_id"].dataType == asked.schema["query_id"].dataType
+    rows = found.collect()
+    assert len(rows) == 9 and len({(r.document_id, r.chunk_index) for r in rows}) == 3
+    assert {r.query_id for r in rows} == {r.query_id for r in asked.collect()}
