@@ -46,6 +46,9 @@ class HashedEmbedder:
     cosine metric takes care of their length.
     """
 
+    #: Values are whole numbers, hardly any above 255.
+    whole = True
+
     def __init__(self, dimension: int = EMBEDDING_DIMENSION) -> None:
         self.dimension = dimension
         self._buckets = _Buckets(dimension)
@@ -157,6 +160,72 @@ def embed(
     return rows.mapInArrow(add_vectors, schema)
 
 
+def embed_packed(
+    rows: DataFrame, text: str, embedder: Embedder, out: str = "packed"
+) -> DataFrame:
+    """Put the vector of a text column in its place, as bytes (:func:`packed_vectors`). No shuffle."""
+    kept = [name for name in rows.columns if name != text]
+    fields = [rows.schema[name] for name in kept]
+    schema = T.StructType([*fields, T.StructField(out, T.BinaryType())])
+
+    def add_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = np.asarray(embedder(batch.column(text).to_pylist()))
+            columns = [*(batch.column(name) for name in kept), packed_vectors(vectors)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, out])
+
+    return rows.mapInArrow(add_vectors, schema)
+
+
+def packed_vectors(vectors: np.ndarray) -> pa.BinaryArray:
+    """Vectors in single precision as bytes: a one and a byte for each value where all are
+    whole numbers below 256, else a four and four bytes for each."""
+    vectors = np.ascontiguousarray(vectors, "<f4")
+    count, width = vectors.shape
+    with np.errstate(invalid="ignore"):
+        small = ((vectors >= 0) & (vectors < 256) & (vectors == np.rint(vectors))).all(axis=1)
+    sizes = np.where(small, width, 4 * width) + 1
+    limits = np.concatenate([[0], np.cumsum(sizes)])
+    if limits[-1] >= 1 << 31:
+        half = count // 2
+        return pa.concat_arrays([packed_vectors(vectors[:half]), packed_vectors(vectors[half:])])
+    data = np.empty(limits[-1], np.uint8)
+    data[limits[:-1]] = np.where(small, 1, 4)
+    for kind, chosen in ((np.uint8, np.flatnonzero(small)), ("<f4", np.flatnonzero(~small))):
+        if not len(chosen):
+            continue
+        size = width * np.dtype(kind).itemsize
+        written = vectors[chosen].astype(kind).view(np.uint8).reshape(len(chosen), size)
+        if len(chosen) == count:
+            data.reshape(count, size + 1)[:, 1:] = written
+        else:
+            data[limits[chosen][:, None] + 1 + np.arange(size)] = written
+    buffers = [None, pa.py_buffer(limits.astype("<i4")), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), count, buffers)
+
+
+def unpacked_vectors(column: pa.Array, width: int) -> np.ndarray:
+    """What :func:`packed_vectors` was given, as one matrix."""
+    if column.null_count:
+        raise ValueError("a vector is missing; filter such rows first")
+    if not len(column):
+        return np.zeros((0, width), np.float32)
+    limits = np.frombuffer(column.buffers()[1], "<i4")[column.offset :][: len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    vectors = np.empty((len(column), width), np.float32)
+    kinds = data[limits[:-1]]
+    if not (np.diff(limits) == kinds.astype(np.int64) * width + 1).all():
+        raise ValueError(f"vectors must all have {width} values")
+    for kind, chosen in (("u1", np.flatnonzero(kinds == 1)), ("<f4", np.flatnonzero(kinds == 4))):
+        size = width * np.dtype(kind).itemsize
+        if len(chosen) == len(column):
+            vectors[:] = data[limits[0] : limits[-1]].reshape(-1, size + 1)[:, 1:].copy().view(kind)
+        elif len(chosen):
+            places = limits[chosen][:, None] + 1 + np.arange(size)
+            vectors[chosen] = data[places].view(kind)
+    return vectors
+
+
 def as_lists(vectors: np.ndarray) -> pa.ListArray:
     count, width = vectors.shape
     offsets = pa.array(np.arange(count + 1, dtype=np.int32) * width)

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom import fixed_values as fixed
-from paperloom.operators.embedding import Embedder, as_matrix, embed
+from paperloom.operators.embedding import Embedder, as_matrix, embed_packed, unpacked_vectors
 
 # Largest question matrix that is sent to every task. A cell of the grid used
 # beyond that holds twice as much on average.
 QUESTION_BYTES = 32 * 1024 * 1024
 # Chunks in one cell of that grid, and pairs that a cell compares on average.
 CHUNKS_PER_CELL = 100_000
-PAIRS_PER_CELL = 4_000_000_000
+PAIRS_PER_CELL = 8_000_000_000
+# Chunks whose vectors, a byte for each value, take as much as one in single precision.
+_WHOLE_VECTORS = 4
 # Ranked rows (ids, a rank and a score) that are sent to every task.
 RANKED_SENT = 200_000
 # Largest matrix of cell centres that is sent to every task.
@@ -39,14 +41,17 @@ _MOST_PARTITIONS = 4096
 # Pairs scored at a time, which bounds the score matrix, and questions among them.
 _SCORES_PER_BLOCK = 1_048_576
 _QUESTIONS_PER_BLOCK = 1024
-# Products of counts that are worked out at once: how many share a number, the bound that they
-# stay below, the numbers' kinds, and the kind of a share, of which a number has one more.
+# Products of counts that are worked out at once: the bound that they stay below, how many
+# share a number, the numbers' kinds, and the kind of a share, of which a number has one more,
+# if there is one.
 _SHARES = 3
 _SHARED = (
-    (1 << 8, np.float32, np.int32, np.uint8),
-    (1 << 16, np.float64, np.int64, np.uint16),
+    (1 << 8, 3, np.float32, np.int32, np.uint8),
+    (1 << 12, 2, np.float32, np.int32, None),
+    (1 << 16, 3, np.float64, np.int64, np.uint16),
 )
-# Questions and numbers of such a product, numbers with one threshold, and values of a block.
+# Questions and numbers of such a product, numbers of three with one threshold, and values of a
+# block.
 _COUNTED_QUESTIONS = 512
 _NUMBERS_PER_TILE = 512
 _NUMBERS_TOGETHER = 16
@@ -56,6 +61,8 @@ _FIRST_CHUNKS = 256
 _GROWTH = 3
 # More than rounding can change a score.
 _SCORE_SLACK = 1e-9
+# Vectors that are in double precision at a time while lengths are worked out.
+_SQUARED_AT_ONCE = 1024
 # Values of the vectors that are compared in double precision at a time.
 _EXACT_VALUES = 131_072
 _SCORE_DIGITS = 12
@@ -298,8 +305,10 @@ class _Ranker:
         inputs = self.inputs(self.chunks)
         if self.embedder:
             # Once for each chunk; what meets the columns of questions are vectors.
-            inputs = embed(inputs, "chunk_text", self.embedder)
-            inputs = inputs.select("document_id", "chunk_index", "embedding", *self.carry)
+            inputs = inputs.withColumn("_text", F.col("chunk_text")).select(
+                "document_id", "chunk_index", *self.carry, "_text"
+            )
+            inputs = embed_packed(inputs, "_text", self.embedder)
         chunk_cells = inputs.select(
             "*",
             _hash_part(["document_id", "chunk_index"], rows).alias("_row"),
@@ -316,7 +325,10 @@ class _Ranker:
         cells = max(count * held / PAIRS_PER_CELL, _CELLS_PER_CORE * cores)
         columns = max(columns, math.ceil(math.sqrt(cells * count / max(held, 1))))
         columns = max(min(columns, count), 1)
-        rows = max(math.ceil(held / CHUNKS_PER_CELL), math.ceil(cells / columns))
+        # Each cell begins without a floor, so few cells with many chunks take less time.
+        whole = self.embedder is not None and getattr(self.embedder, "whole", False)
+        most = CHUNKS_PER_CELL * (_WHOLE_VECTORS if whole else 1)
+        rows = max(math.ceil(held / most), math.ceil(cells / columns))
         return max(min(rows, held), 1), columns
 
     def cell_candidates(
@@ -335,7 +347,7 @@ class _Ranker:
             if not left.num_rows or not right.num_rows:
                 return empty
             matrix = as_matrix(one_array(right.column("embedding")))
-            found = list(search.task(ids, matrix, left.to_batches()))
+            found = list(search.task(ids, matrix, _blocks(left, matrix.shape[1])))
             return pa.Table.from_batches(found) if found else empty
 
         sides = [side.repartition(partitions, *keys).groupBy(*keys) for side in (left, right)]
@@ -348,15 +360,22 @@ class _Vectors:
 
     def __init__(self, values: np.ndarray) -> None:
         self.values = values
-        wide = values.astype(np.float64)
-        self.squares = np.einsum("ij,ij->i", wide, wide)
+        self.squares = np.empty(len(values))
+        # A part at a time, as the values take twice their memory here.
+        for at in range(0, len(values), _SQUARED_AT_ONCE):
+            wide = values[at : at + _SQUARED_AT_ONCE].astype(np.float64)
+            np.einsum("ij,ij->i", wide, wide, out=self.squares[at : at + _SQUARED_AT_ONCE])
         self.usable = (self.squares > 0) & np.isfinite(self.squares)
 
     @cached_property
     def units(self) -> np.ndarray:
         lengths = np.sqrt(np.where(self.usable, self.squares, np.inf))[:, None]
+        made = np.empty(self.values.shape, np.float32)
         with np.errstate(invalid="ignore"):
-            return (self.values.astype(np.float64) / lengths).astype(np.float32)
+            for at in range(0, len(made), _SQUARED_AT_ONCE):
+                part = slice(at, at + _SQUARED_AT_ONCE)
+                made[part] = self.values[part].astype(np.float64) / lengths[part]
+        return made
 
     @cached_property
     def are_counts(self) -> bool:
@@ -366,42 +385,55 @@ class _Vectors:
 
 
 class _Counts:
-    """Chunks whose vectors hold counts, shortest first, three to a row of numbers.
+    """Chunks whose vectors hold counts, shortest first, two or three to a row of numbers.
 
     The product of two such vectors is a whole number, and not above that of their lengths.
     Where that is below 2 ** 8, three of them fit side by side into the 24 digits of a number in
-    single precision, below 2 ** 16 into those of one in double precision: a product of
-    matrices then gives three exact ones at a time.
+    single precision, and two below 2 ** 12; three below 2 ** 16 into those of one in double
+    precision. A product of matrices then gives that many exact ones at a time.
+
+    Chunks of about the same length have one threshold: as many as ``_NUMBERS_TOGETHER`` numbers
+    of three, which are not next to each other. A tile has the first numbers of its
+    thresholds, then the second ones, and so on, so that what is compared at once is long.
     """
 
     def __init__(self, held: _Vectors, rows: np.ndarray) -> None:
         self.rows = rows[np.argsort(held.squares[rows], kind="stable")]
-        self.values = held.values[self.rows]
+        self.values = held.values
         lengths = np.sqrt(held.squares[self.rows])
-        together = _NUMBERS_TOGETHER * _SHARES
+        self.together = _NUMBERS_TOGETHER * _SHARES
         #: Of the chunks with one threshold.
-        self.shortest = lengths[::together]
-        ends = np.arange(1, len(self.shortest) + 1) * together - 1
+        self.shortest = lengths[:: self.together]
+        ends = np.arange(1, len(self.shortest) + 1) * self.together - 1
         self.longest = lengths[np.minimum(ends, len(lengths) - 1)]
-        self._numbers: dict[int, tuple[int, np.ndarray]] = {}
-
-    def numbers(self, bound: int, kind: type, start: int, end: int) -> np.ndarray:
+        self._numbers: dict[tuple, np.ndarray] = {}
+        self._places: dict[tuple, np.ndarray] = {}
+
+    def places(self, shares: int, start: int, end: int) -> np.ndarray:
+        """The chunks of the thresholds from ``start`` to ``end``, by the shares of the numbers of
+        their tile, places beyond the last chunk among them."""
+        if (shares, start, end) not in self._places:
+            spread = np.arange(self.together).reshape(-1, 1, shares)
+            made = np.arange(start, end)[:, None] * self.together + spread
+            self._places[shares, start, end] = made.reshape(-1)
+        return self._places[shares, start, end]
+
+    def numbers(self, bound: int, shares: int, kind: type, start: int, end: int) -> np.ndarray:
         """Rows of numbers for the thresholds from ``start`` to ``end``."""
-        none = np.empty((0, self.values.shape[1]), kind)
-        first, made = self._numbers.get(bound, (len(self.shortest), none))
-        if start < first:
-            together = _NUMBERS_TOGETHER * _SHARES
-            # Zeros in place of chunks that the last threshold lacks; chunks too long for
-            # this form are not asked for.
-            whole = np.zeros(((first - start) * together, self.values.shape[1]), kind)
-            own = self.values[start * together : first * together]
-            np.minimum(own, bound, out=whole[: len(own)])
-            more = whole[::_SHARES]
-            for share in range(1, _SHARES):
-                more = more + whole[share::_SHARES] * kind(bound**share)
-            first, made = start, np.concatenate([more, made])
-            self._numbers[bound] = first, made
-        return made[(start - first) * _NUMBERS_TOGETHER : (end - first) * _NUMBERS_TOGETHER]
+        if (bound, start, end) not in self._numbers:
+            places = self.places(shares, start, end)
+            known = np.minimum(places, len(self.rows) - 1)
+            # Chunks too long for this form are not asked for.
+            whole = np.minimum(self.values[self.rows[known]], bound, dtype=kind)
+            # Zeros in place of chunks that the last threshold lacks.
+            whole[places >= len(self.rows)] = 0
+            made = whole[shares - 1 :: shares] * kind(bound)
+            for share in range(shares - 2, 0, -1):
+                made += whole[share::shares]
+                made *= kind(bound)
+            made += whole[::shares]
+            self._numbers[bound, start, end] = made
+        return self._numbers[bound, start, end]
 
 
 def _cosines(asked: _Vectors, held: _Vectors, question, row) -> np.ndarray:
@@ -466,7 +498,9 @@ class _Search:
         seen, first = 0, rows_at_once
         self.by_length = None
         if asked.are_counts:
-            self.by_length = np.argsort(asked.squares, kind="stable")
+            order = np.argsort(asked.squares, kind="stable")
+            self.by_length = order[asked.usable[order]]
+            self.sorted = asked.values[self.by_length].astype(np.float32)
             first = min(rows_at_once, _FIRST_CHUNKS)
             counted_at_once = max(rows_at_once, _COUNTED_VALUES // matrix.shape[1])
         parts: list[pa.Table] = []
@@ -500,6 +534,8 @@ class _Search:
             made = np.asarray(self.embedder(block.column("chunk_text").to_pylist()))
             # As `embed` stores them.
             held = _Vectors(made.astype(np.float32))
+        elif "packed" in block.schema.names:
+            held = _Vectors(unpacked_vectors(block.column("packed"), asked.values.shape[1]))
         else:
             held = _Vectors(as_matrix(block.column("embedding")))
         if len(held.values) and held.values.shape[1] != asked.values.shape[1]:
@@ -543,48 +579,87 @@ class _Search:
         same form. Pairs too long for any form are compared, and questions whose floor a
         product of zero reaches."""
         counts = _Counts(held, rows)
-        usable = self.by_length[asked.usable[self.by_length]]
+        usable, values = self.by_length, self.sorted
         low = floor[usable] <= _SCORE_SLACK
-        yield from self._compared(asked, usable[low], floor, held, rows, False)
-        usable = usable[~low]
+        if low.any():
+            yield from self._compared(asked, usable[low], floor, held, rows, False)
+            usable, values = usable[~low], values[~low]
+        wide = max(_NUMBERS_PER_TILE // _NUMBERS_TOGETHER, 1)
         for start in range(0, len(usable), _COUNTED_QUESTIONS):
             tile = usable[start : start + _COUNTED_QUESTIONS]
             lengths = np.sqrt(asked.squares[tile])
             least = (floor[tile] - _SCORE_SLACK) * lengths
+            # Single precision gives a threshold that is too high by less than this.
+            below = (least * (1 - 2.0**-20)).astype(np.float32)[:, None]
             done = 0
-            for bound, kind, whole, share in _SHARED:
+            for bound, shares, kind, whole, share in _SHARED:
                 end = int(np.searchsorted(counts.longest * lengths[-1], bound - 1))
-                values = asked.values[tile].astype(kind)
+                if done < end:
+                    own = values[start : start + _COUNTED_QUESTIONS].astype(kind, copy=False)
                 while done < end:
-                    until = min(done + _NUMBERS_PER_TILE // _NUMBERS_TOGETHER, end)
-                    numbers = counts.numbers(bound, kind, done, until)
-                    needed = np.ceil(least[:, None] * counts.shortest[done:until])
-                    needed = np.minimum(needed, bound - 1).astype(share)
-                    question, number, product = self._products(values, numbers, needed, whole)
-                    row = counts.rows[done * _NUMBERS_TOGETHER * _SHARES + number]
-                    question = tile[question]
+                    # Tiles begin at the same places for all questions.
+                    until = min((done // wide + 1) * wide, end)
+                    numbers = counts.numbers(bound, shares, kind, done, until)
+                    needed = below * counts.shortest[done:until].astype(np.float32)
+                    np.minimum(np.ceil(needed, out=needed), bound - 1, out=needed)
+                    find = self._shares if share else self._halves
+                    question, place, product = find(own, numbers, needed, whole, share or bound)
+                    row = counts.rows[counts.places(shares, done, until)[place]]
+                    # What its own length rules out, before its score is worked out.
+                    near = product >= least[question] * np.sqrt(held.squares[row])
+                    question, row, product = tile[question[near]], row[near], product[near]
                     length = np.sqrt(asked.squares[question] * held.squares[row])
                     yield question, row, np.round(product / length, _SCORE_DIGITS)
                     done = until
-            rest = counts.rows[done * _NUMBERS_TOGETHER * _SHARES :]
+            rest = counts.rows[done * counts.together :]
             if len(rest):
                 yield from self._compared(asked, tile, floor, held, rest, False)
 
-    def _products(self, values, numbers, needed, whole) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(question, place, product) where a share of the numbers' products reaches what is
-        needed, above zero, of the chunks with one threshold."""
+    def _products(self, values, numbers, whole) -> np.ndarray:
         near = self._buffer("near", (len(values), len(numbers)), values.dtype)
         np.matmul(values, numbers.T, out=near)
         products = self._buffer("products", near.shape, whole)
         np.copyto(products, near, casting="unsafe")
-        shares = products.view(needed.dtype).reshape(*needed.shape, -1)
-        hit = self._buffer("hit", (len(values), shares[0].size), np.bool_)
-        np.greater_equal(shares, needed[:, :, None], out=hit.reshape(shares.shape))
+        return products
+
+    def _shares(
+        self, values, numbers, needed, whole, share
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question, place, product) where a share of the numbers' products reaches what is
+        needed, above zero, of the chunks with one threshold."""
+        products = self._products(values, numbers, whole)
+        # Thresholds of the shares of a number; its last share is always zero.
+        most = np.iinfo(share).max
+        every_share = sum((most + 1) ** at for at in range(_SHARES))
+        shares = needed.astype(whole) * whole(every_share)
+        shares = shares.view(share).reshape(*needed.shape, _SHARES + 1)
+        shares[..., _SHARES] = most
+        every = products.view(share).reshape(len(values), _NUMBERS_TOGETHER, -1)
+        hit = self._buffer("hit", (len(values), every[0].size), np.bool_)
+        np.greater_equal(every, shares.reshape(len(values), 1, -1), out=hit.reshape(every.shape))
         places = _places(hit)
         question, place = np.divmod(places, max(hit.shape[1], 1))
-        # The last share of a number is always zero.
         number, at = np.divmod(place, _SHARES + 1)
-        return question, number * _SHARES + at, shares.reshape(-1)[places].astype(np.float64)
+        return question, number * _SHARES + at, every.reshape(-1)[places].astype(np.float64)
+
+    def _halves(
+        self, values, numbers, needed, whole, bound
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for two shares to a number, which have no kind of their own."""
+        high = self._products(values, numbers, whole)
+        low = self._buffer("low", high.shape, whole)
+        np.bitwise_and(high, whole(bound - 1), out=low)
+        least = needed.astype(whole)[:, None, :]
+        hit = self._buffer("hit", high.shape, np.bool_)
+        found = []
+        for at, (products, unit) in enumerate(((low, 1), (high, bound))):
+            every = products.reshape(len(values), -1, needed.shape[1])
+            np.greater_equal(every, least * whole(unit), out=hit.reshape(every.shape))
+            places = _places(hit)
+            question, number = np.divmod(places, max(hit.shape[1], 1))
+            product = (products.reshape(-1)[places] // whole(unit)).astype(np.float64)
+            found.append((question, number * 2 + at, product))
+        return tuple(np.concatenate(part) for part in zip(*found))
 
     def _reaching(self, asked, floor, units, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
         """(question, row) of the pairs that can be among the best.
@@ -657,6 +732,13 @@ def _collect_questions(questions: DataFrame) -> tuple[pa.Array, np.ndarray]:
     return ids, as_matrix(one_array(table.column("embedding")))
 
 
+def _blocks(chunks: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a cell in batches of as many as are compared at once."""
+    rows = max(_COUNTED_VALUES // max(width, 1), 1)
+    for start in range(0, chunks.num_rows, rows):
+        yield from chunks.slice(start, rows).combine_chunks().to_batches()
+
+
 def one_array(column: pa.ChunkedArray) -> pa.Array:
     """A column's values as one array."""
     whole = column.combine_chunks()

@@ -388,3 +388,57 @@ def test_counts_are_compared_several_at_a_time(spark, monkeypatch, k, min_score)
         question_bytes=5 * 8 * 16,
     )
     assert as_ranks(ranked) == got
+
+
+def test_vectors_as_bytes_are_the_same():
+    draw = np.random.default_rng(3)
+    odd = np.array([[np.nan, 1], [1, 2], [256, 0], [255, 0], [-1, 0], [0.5, 1], [np.inf, 0]])
+    for made in (draw.integers(0, 9, (40, 6)), draw.integers(0, 400, (40, 6)), draw.standard_normal((40, 6)), np.zeros((0, 6)), odd):
+        made = made.astype(np.float32)
+        packed = embedding.packed_vectors(made)
+        for part in (slice(None), slice(2, 5)):
+            got = embedding.unpacked_vectors(packed[part], made.shape[1])
+            assert np.array_equal(got, made[part], equal_nan=True)
+    assert len(embedding.packed_vectors(np.ones((1, 256)))[0].as_py()) == 257
+    with pytest.raises(ValueError):
+        embedding.unpacked_vectors(embedding.packed_vectors(np.ones((3, 8))), 32)
+
+
+@pytest.mark.parametrize("embedder", [embedding.HashedEmbedder(), lambda texts: embedding.HashedEmbedder()(texts) / 3 - 0.01])
+def test_chunks_meet_questions_as_bytes(spark, plan, embedder):
+    """In a grid vectors of counts take a byte a value, others as before; texts that are not
+    asked for stay behind."""
+    draw = np.random.default_rng(6)
+    texts = [" ".join(f"w{n}" for n in draw.integers(0, 60, 20)) for _ in range(300)]
+    chunks = spark.createDataFrame([(i // 3, i % 3, t) for i, t in enumerate(texts)], "document_id long, chunk_index long, chunk_text string")
+    questions = spark.createDataFrame(list(enumerate(texts[:40])), "query_id long, query string")
+    asked = embedding.embed(questions, "query", embedder)
+    met = {
+        limit: retrieval.top_k_chunks(asked, chunks, embedder=embedder, carry=carry, question_bytes=limit)
+        for limit, carry in ((1 << 20, ()), (5 * 8 * 256, ()), (6 * 8 * 256, ("chunk_text",)))
+    }
+    whole, small, carried = met.values()
+    assert "packed" in plan(small) and "packed" not in plan(whole)
+    assert as_ranks(small) == as_ranks(whole) == as_ranks(carried)
+    assert {(r.document_id * 3 + r.chunk_index, r.chunk_text) for r in carried.collect()} <= set(enumerate(texts))
+
+
+def test_products_below_4096_are_in_single_precision(monkeypatch):
+    """Two to a number; a number with one threshold has all its shares."""
+    draw = np.random.default_rng(7)
+    chunks = draw.integers(0, 6, (3000, 64)).astype(np.float32)
+    questions = draw.integers(0, 5, (50, 64)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(3000)), pa.array([0] * 3000), embedding.as_lists(chunks)],
+        names=["document_id", "chunk_index", "embedding"],
+    )
+    kinds = []
+    product = np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: kinds.append(a.dtype) or product(a, b, out=out))
+    search = retrieval._Search(3, -math.inf, None, [])
+    found = pa.Table.from_batches(list(search.task(pa.array(range(50)), questions, iter([batch]))))
+    scores = np.round(questions.astype(float) @ chunks.T.astype(float) / np.outer(*(np.sqrt((x.astype(float) ** 2).sum(1)) for x in (questions, chunks))), 12)
+    for row in found.to_pylist():
+        assert row["score"] == scores[row["query_id"], row["document_id"]]
+        assert (scores[row["query_id"]] > row["score"]).sum() < 3
+    assert found.num_rows == 150 and set(kinds) == {np.dtype(np.float32)}
