@@ -19,9 +19,10 @@ _CHARACTERS_AT_ONCE = 1 << 20
 
 
 class _Buckets(dict):
-    """Bucket per word, worked out when a word is first met."""
+    """Bucket per word, worked out when a word is first met; the first words are remembered,
+    as those met late are mostly rare ones."""
 
-    _remembered = 500_000
+    _remembered = 100_000
 
     def __init__(self, dimension: int) -> None:
         super().__init__()

@@ -346,8 +346,12 @@ class _Ranker:
             empty = pa.Table.from_batches([], schema=search.schema_of(ids.type, left.schema))
             if not left.num_rows or not right.num_rows:
                 return empty
+            # What the worker had for the task before.
+            pa.default_memory_pool().release_unused()
             matrix = as_matrix(one_array(right.column("embedding")))
-            found = list(search.task(ids, matrix, _blocks(left, matrix.shape[1])))
+            found = search.task(ids, matrix, _blocks(left, matrix.shape[1]))
+            del matrix
+            found = list(found)
             return pa.Table.from_batches(found) if found else empty
 
         sides = [side.repartition(partitions, *keys).groupBy(*keys) for side in (left, right)]
@@ -369,14 +373,16 @@ class _Vectors:
 
     @cached_property
     def units(self) -> np.ndarray:
-        lengths = np.sqrt(np.where(self.usable, self.squares, np.inf))[:, None]
         made = np.empty(self.values.shape, np.float32)
-        with np.errstate(invalid="ignore"):
-            for at in range(0, len(made), _SQUARED_AT_ONCE):
-                part = slice(at, at + _SQUARED_AT_ONCE)
-                made[part] = self.values[part].astype(np.float64) / lengths[part]
+        for at in range(0, len(made), _SQUARED_AT_ONCE):
+            made[at : at + _SQUARED_AT_ONCE] = self.units_of(slice(at, at + _SQUARED_AT_ONCE))
         return made
 
+    def units_of(self, rows) -> np.ndarray:
+        lengths = np.sqrt(np.where(self.usable[rows], self.squares[rows], np.inf))[:, None]
+        with np.errstate(invalid="ignore"):
+            return (self.values[rows].astype(np.float64) / lengths).astype(np.float32)
+
     @cached_property
     def are_counts(self) -> bool:
         """Whether the usable vectors hold whole numbers, none of them negative."""
@@ -498,11 +504,14 @@ class _Search:
         seen, first = 0, rows_at_once
         self.by_length = None
         if asked.are_counts:
+            # Questions by length, and one copy of them.
             order = np.argsort(asked.squares, kind="stable")
-            self.by_length = order[asked.usable[order]]
-            self.sorted = asked.values[self.by_length].astype(np.float32)
+            ids, asked, floor = ids.take(pa.array(order)), None, floor[order]
+            asked = _Vectors(matrix[order])
+            self.by_length = np.flatnonzero(asked.usable)
             first = min(rows_at_once, _FIRST_CHUNKS)
             counted_at_once = max(rows_at_once, _COUNTED_VALUES // matrix.shape[1])
+        del matrix
         parts: list[pa.Table] = []
         unsorted, fresh = 0, True
         for batch in batches:
@@ -559,11 +568,13 @@ class _Search:
         in single precision."""
         if not len(questions):
             return
-        units = held.units[rows]
+        units = held.units_of(rows)
         at_once = max(min(_QUESTIONS_PER_BLOCK, _SCORES_PER_BLOCK // len(rows)), 1)
         for start in range(0, len(questions), at_once):
             tile = questions[start : start + at_once]
-            question, row = self._reaching(asked.units[tile], floor[tile], units, fresh)
+            # Counts are hardly ever compared so.
+            near = asked.units[tile] if self.by_length is None else asked.units_of(tile)
+            question, row = self._reaching(near, floor[tile], units, fresh)
             question, row = tile[question], rows[row]
             score = np.empty(len(row))
             step = max(_EXACT_VALUES // asked.values.shape[1], 1)
@@ -579,11 +590,10 @@ class _Search:
         same form. Pairs too long for any form are compared, and questions whose floor a
         product of zero reaches."""
         counts = _Counts(held, rows)
-        usable, values = self.by_length, self.sorted
+        usable = self.by_length
         low = floor[usable] <= _SCORE_SLACK
-        if low.any():
-            yield from self._compared(asked, usable[low], floor, held, rows, False)
-            usable, values = usable[~low], values[~low]
+        yield from self._compared(asked, usable[low], floor, held, rows, False)
+        usable = usable[~low]
         wide = max(_NUMBERS_PER_TILE // _NUMBERS_TOGETHER, 1)
         for start in range(0, len(usable), _COUNTED_QUESTIONS):
             tile = usable[start : start + _COUNTED_QUESTIONS]
@@ -595,7 +605,7 @@ class _Search:
             for bound, shares, kind, whole, share in _SHARED:
                 end = int(np.searchsorted(counts.longest * lengths[-1], bound - 1))
                 if done < end:
-                    own = values[start : start + _COUNTED_QUESTIONS].astype(kind, copy=False)
+                    own = asked.values[tile].astype(kind, copy=False)
                 while done < end:
                     # Tiles begin at the same places for all questions.
                     until = min((done // wide + 1) * wide, end)
