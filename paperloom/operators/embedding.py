@@ -17,6 +17,9 @@ EMBEDDING_DIMENSION = 256
 # Characters of texts that are cut into words at a time, with some 30 bytes for each.
 _CHARACTERS_AT_ONCE = 1 << 20
 
+# Texts whose vectors are made at a time where they are passed on as bytes.
+_TEXTS_AT_ONCE = 2048
+
 
 class _Buckets(dict):
     """Bucket per word, worked out when a word is first met; the first words are remembered,
@@ -162,22 +165,31 @@ def embed(
 
 
 def embed_packed(
-    rows: DataFrame, text: str, embedder: Embedder, out: str = "packed"
+    rows: DataFrame, text: str, embedder: Embedder | None = None, out: str = "packed"
 ) -> DataFrame:
-    """Put the vector of a text column in its place, as bytes (:func:`packed_vectors`). No shuffle."""
+    """Put the vector of a text column in its place, as bytes (:func:`packed_vectors`), with
+    ``embedder`` called for some thousand texts at a time. No shuffle."""
+    embedder = embedder or HashedEmbedder()
     kept = [name for name in rows.columns if name != text]
     fields = [rows.schema[name] for name in kept]
     schema = T.StructType([*fields, T.StructField(out, T.BinaryType())])
 
     def add_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = np.asarray(embedder(batch.column(text).to_pylist()))
-            columns = [*(batch.column(name) for name in kept), packed_vectors(vectors)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, out])
+            for start in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+                part = batch.slice(start, _TEXTS_AT_ONCE)
+                vectors = np.asarray(embedder(part.column(text).to_pylist()))
+                columns = [*(part.column(name) for name in kept), packed_vectors(vectors)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, out])
 
     return rows.mapInArrow(add_vectors, schema)
 
 
+def packed_width(first: bytes) -> int:
+    """Number of values of a vector of :func:`packed_vectors`."""
+    return (len(first) - 1) // first[0]
+
+
 def packed_vectors(vectors: np.ndarray) -> pa.BinaryArray:
     """Vectors in single precision as bytes: a one and a byte for each value where all are
     whole numbers below 256, else a four and four bytes for each."""

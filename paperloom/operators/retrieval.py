@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom import fixed_values as fixed
-from paperloom.operators.embedding import Embedder, as_matrix, embed_packed, unpacked_vectors
+from paperloom.operators.embedding import (
+    Embedder,
+    as_matrix,
+    embed_packed,
+    packed_width,
+    unpacked_vectors,
+)
 
 # Largest question matrix that is sent to every task. A cell of the grid used
 # beyond that holds twice as much on average.
@@ -80,7 +86,8 @@ def top_k_chunks(
 ) -> DataFrame:
     """Exact k best chunks per question by cosine.
 
-    ``questions``: ``query_id`` (any type), ``embedding``. ``chunks``: ``document_id,
+    ``questions``: ``query_id`` (any type) and ``embedding``, or ``packed``, the same as bytes
+    (:func:`paperloom.operators.embedding.embed_packed`). ``chunks``: ``document_id,
     chunk_index`` and either ``embedding`` or, with an ``embedder``,
     ``chunk_text`` to embed on the way. Returns ``query_id, rank, document_id,
     chunk_index, score`` and the ``carry`` columns. Scores have 12 digits; equal
@@ -298,7 +305,7 @@ class _Ranker:
         rows, columns = self._grid(count, held, columns)
         question_cells = self.questions.select(
             "query_id",
-            "embedding",
+            _vector_column(self.questions),
             _hash_part(["query_id"], columns).alias("_column"),
             F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_row"),
         )
@@ -348,7 +355,7 @@ class _Ranker:
                 return empty
             # What the worker had for the task before.
             pa.default_memory_pool().release_unused()
-            matrix = as_matrix(one_array(right.column("embedding")))
+            matrix = _matrix_of(right)
             found = search.task(ids, matrix, _blocks(left, matrix.shape[1]))
             del matrix
             found = list(found)
@@ -729,17 +736,31 @@ class _Search:
 def _measure(questions: DataFrame) -> tuple[int, int]:
     """Number of questions and width of their vectors."""
     count = questions.count()
+    if _vector_column(questions) == "packed":
+        first = questions.select("packed").head()
+        return count, packed_width(bytes(first["packed"])) if first else 0
     first = questions.select(F.size("embedding").alias("width")).head()
     return count, max(first["width"], 0) if first else 0
 
 
+def _vector_column(questions: DataFrame) -> str:
+    return "packed" if "packed" in questions.columns else "embedding"
+
+
+def _matrix_of(questions: pa.Table) -> np.ndarray:
+    if "packed" not in questions.column_names:
+        return as_matrix(one_array(questions.column("embedding")))
+    packed = one_array(questions.column("packed"))
+    return unpacked_vectors(packed, packed_width(packed[0].as_py()))
+
+
 def _collect_questions(questions: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """Ids and matrix of questions whose size has been checked."""
-    table = questions.select("query_id", "embedding").toArrow()
+    table = questions.select("query_id", _vector_column(questions)).toArrow()
     ids = one_array(table.column("query_id"))
     if not len(ids):
         return ids, np.zeros((0, 1))
-    return ids, as_matrix(one_array(table.column("embedding")))
+    return ids, _matrix_of(table)
 
 
 def _blocks(chunks: pa.Table, width: int) -> Iterator[pa.RecordBatch]:

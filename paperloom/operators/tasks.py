@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paperloom import fixed_values as fixed
 from paperloom.functions import prompt_texts
 from paperloom.operators import chunking, generation, prompting, retrieval
-from paperloom.operators.embedding import Embedder, HashedEmbedder, embed, words_of
+from paperloom.operators.embedding import Embedder, HashedEmbedder, embed_packed, words_of
 
 # Words that tell what a request asks for: a rule in place of a model's choice.
 STEP_PATTERNS = {
@@ -140,7 +140,7 @@ def call_agents(
     )
     searching = routed.filter(F.array_contains("steps", "retrieve")).select("query_id", "query")
     ranked = retrieval.top_k_chunks(
-        embed(searching, "query", embedder),
+        embed_packed(searching, "query", embedder),
         chunks,
         min_score=min_score,
         embedder=None if "embedding" in chunks.columns else embedder or HashedEmbedder(),

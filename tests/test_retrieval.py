@@ -417,6 +417,10 @@ def test_chunks_meet_questions_as_bytes(spark, plan, embedder):
         limit: retrieval.top_k_chunks(asked, chunks, embedder=embedder, carry=carry, question_bytes=limit)
         for limit, carry in ((1 << 20, ()), (5 * 8 * 256, ()), (6 * 8 * 256, ("chunk_text",)))
     }
+    packed = embedding.embed_packed(questions, "query", embedder)
+    for limit in met:
+        given = retrieval.top_k_chunks(packed, chunks, embedder=embedder, question_bytes=limit)
+        assert as_ranks(given) == as_ranks(met[limit])
     whole, small, carried = met.values()
     assert "packed" in plan(small) and "packed" not in plan(whole)
     assert as_ranks(small) == as_ranks(whole) == as_ranks(carried)
