@@ -44,6 +44,8 @@ _CELLS_PER_CORE = 4
 # Partitions of a grid for each of its cells, so that few cells share one, and at most.
 _SPREAD = 2
 _MOST_PARTITIONS = 4096
+# Cells that are dealt to partitions one by one, at most.
+_CELLS_DEALT = 2048
 # Pairs scored at a time, which bounds the score matrix, and questions among them.
 _SCORES_PER_BLOCK = 1_048_576
 _QUESTIONS_PER_BLOCK = 1024
@@ -321,8 +323,15 @@ class _Ranker:
             _hash_part(["document_id", "chunk_index"], rows).alias("_row"),
             F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_column"),
         )
-        keys = ["_row", "_column"]
-        met = self.cell_candidates(chunk_cells, question_cells, keys, rows * columns)
+        keys, cells = ["_row", "_column"], rows * columns
+        if cells <= _CELLS_DEALT:
+            # A partition has one cell or none, where hashes of the keys would give some four.
+            numbers = F.lit(cell_keys(cells, max(min(_SPREAD * cells, _MOST_PARTITIONS), 1)))
+            own = F.get(numbers, F.col("_row") * columns + F.col("_column")).cast("int")
+            chunk_cells = chunk_cells.withColumn("_cell", own)
+            question_cells = question_cells.withColumn("_cell", own)
+            keys = ["_cell"]
+        met = self.cell_candidates(chunk_cells, question_cells, keys, cells)
         return self.ranked(met, rows * self.k)
 
     def _grid(self, count: int, held: int, columns: int) -> tuple[int, int]:
@@ -778,6 +787,33 @@ def one_array(column: pa.ChunkedArray) -> pa.Array:
     return whole
 
 
+def cell_keys(cells: int, partitions: int) -> list[int]:
+    """A number for each cell, such that Spark's hash deals the cells evenly to partitions.
+
+    Other hashes would deal them less evenly, and no less right."""
+    numbers = np.arange(32 * max(cells, partitions), dtype=np.uint32)
+    part = _hash_of(numbers).astype(np.int32).astype(np.int64) % partitions
+    order = np.argsort(part, kind="stable")
+    first = np.searchsorted(part[order], np.arange(partitions))
+    wanted, turn = np.arange(cells) % partitions, np.arange(cells) // partitions
+    keys = numbers[order[np.minimum(first[wanted] + turn, len(order) - 1)]].tolist()
+    return keys if len(set(keys)) == cells else list(range(cells))
+
+
+def _hash_of(numbers: np.ndarray) -> np.ndarray:
+    """Murmur3 of 32-bit numbers, with the seed that Spark deals rows by."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+    mixed = turned(numbers * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    mixed = turned(np.uint32(42) ^ mixed, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    mixed ^= np.uint32(4)
+    for by, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        mixed = (mixed ^ (mixed >> np.uint32(by))) * np.uint32(factor)
+    return mixed ^ (mixed >> np.uint32(16))
+
+
 def _hash_part(keys: list[str], parts: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 

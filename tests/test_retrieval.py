@@ -446,3 +446,12 @@ def test_products_below_4096_are_in_single_precision(monkeypatch):
         assert row["score"] == scores[row["query_id"], row["document_id"]]
         assert (scores[row["query_id"]] > row["score"]).sum() < 3
     assert found.num_rows == 150 and set(kinds) == {np.dtype(np.float32)}
+
+
+@pytest.mark.parametrize("cells, partitions", [(1, 2), (9, 18), (32, 64), (500, 1000), (50, 20)])
+def test_cells_are_dealt_evenly(spark, cells, partitions):
+    keys = retrieval.cell_keys(cells, partitions)
+    assert len(set(keys)) == cells
+    frame = spark.createDataFrame([(key,) for key in keys], "key int").repartition(partitions, "key")
+    held = frame.groupBy(F.spark_partition_id()).count().collect()
+    assert max(row["count"] for row in held) == -(-cells // partitions)
